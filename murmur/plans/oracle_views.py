@@ -46,7 +46,12 @@ VIEWS: dict[str, str] = {
          CASE WHEN lower(url) LIKE '%tvnet%' THEN 'tvnet'
               WHEN lower(url) LIKE '%apollo%' THEN 'apollo'
               WHEN lower(url) LIKE '%delfi%' THEN 'delfi'
-              ELSE 'tvnet' END AS website
+              ELSE 'tvnet' END AS website,
+         CASE WHEN len(regexp_extract_all(c_name, '[Ѐ-ӿ]')) + len(regexp_extract_all(c_name, '[A-Za-zĀ-ž]')) > 0
+                   AND len(regexp_extract_all(c_name, '[Ѐ-ӿ]'))
+                       / (len(regexp_extract_all(c_name, '[Ѐ-ӿ]')) + len(regexp_extract_all(c_name, '[A-Za-zĀ-ž]')))
+                       > 0.85 THEN 'ru'
+              ELSE 'lv' END AS headline_lang
   FROM customer WHERE c_custkey % 10 <> 0""",
     "fx_predictions": """
   SELECT o_orderkey AS id,
