@@ -88,9 +88,14 @@ def lemmatize_with(comments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
 def ngrams(tokens_col, n_max: int = 3):
     """All 1..n_max grams of an array column, joined by a space, in order."""
     arr = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
+
+    def grams_of(n: int):
+        # one-argument lambda: transform() passes (element) or (element, index)
+        return lambda i: F.array_join(F.slice(arr, i, F.lit(n)), " ")
+
     parts = []
     for n in range(1, n_max + 1):
         starts = F.sequence(F.lit(1), F.size(arr) - F.lit(n - 1))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(arr, i, n), " "))
-        parts.append(F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(F.size(arr) >= n, F.transform(starts, grams_of(n)))
+                     .otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)

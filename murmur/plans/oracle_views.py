@@ -77,10 +77,9 @@ VIEWS: dict[str, str] = {
   SELECT * FROM (VALUES ('ev1', DATE '2024-01-01', DATE '2024-02-28'),
                         ('ev2', DATE '2024-02-01', DATE '2024-04-28')) AS t(event, start_day, end_day)""",
     "fx_stopwords": """
-  SELECT * FROM (VALUES ('en', 'the'), ('en', 'and'), ('en', 'of'), ('en', 'is'),
-                        ('de', 'und'), ('de', 'der'), ('de', 'die'),
-                        ('fr', 'le'), ('fr', 'la'), ('fr', 'et'),
-                        ('es', 'el'), ('es', 'la'), ('es', 'y')) AS t(language, word)""",
+  SELECT * FROM (VALUES ('lv', 'the'), ('lv', 'and'), ('lv', 'of'), ('lv', 'is'), ('lv', 'in'),
+                        ('ru', 'und'), ('ru', 'der'), ('ru', 'die'), ('ru', 'le'), ('ru', 'la'), ('ru', 'et'),
+                        ('ru', 'el'), ('ru', 'the')) AS t(language, word)""",
 }
 
 # view → views it reads

@@ -31,11 +31,11 @@ LEXICON_ROWS = (
     ("zzzz", "en", 1.0),
 )
 INTERVAL_MONTHS = (("ev1", "2024-01", "2024-02"), ("ev2", "2024-02", "2024-04"))
+# Stop words keyed by prediction language (the texts mix en/fr/de/es prose).
 STOPWORD_ROWS = (
-    ("en", "the"), ("en", "and"), ("en", "of"), ("en", "is"),
-    ("de", "und"), ("de", "der"), ("de", "die"),
-    ("fr", "le"), ("fr", "la"), ("fr", "et"),
-    ("es", "el"), ("es", "la"), ("es", "y"),
+    ("lv", "the"), ("lv", "and"), ("lv", "of"), ("lv", "is"), ("lv", "in"),
+    ("ru", "und"), ("ru", "der"), ("ru", "die"), ("ru", "le"), ("ru", "la"), ("ru", "et"),
+    ("ru", "el"), ("ru", "the"),
 )
 SAMPLE_CLUSTERS = 20
 
