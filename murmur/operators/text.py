@@ -85,17 +85,21 @@ def lemmatize_with(comments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
     return src.mapInPandas(run, LEMMATIZED_SCHEMA)
 
 
-def ngrams(tokens_col, n_max: int = 3):
-    """All 1..n_max grams of an array column, joined by a space, in order."""
-    arr = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
+def explode_ngrams(df: DataFrame, tokens_col: str, keep: tuple[str, ...] = (), out: str = "term",
+                   n_max: int = 3) -> DataFrame:
+    """One row per 1..n_max-gram of an array column (terms joined by a space).
 
-    def grams_of(n: int):
-        # one-argument lambda: transform() passes (element) or (element, index)
-        return lambda i: F.array_join(F.slice(arr, i, F.lit(n)), " ")
-
-    parts = []
+    The array is zipped with its shifted copies (arrays_zip pads with NULL),
+    exploded once, and each position emits its 1-, 2-, 3-gram; all built-in
+    expressions, so the stage stays in generated code.
+    """
+    a = F.col(tokens_col)
+    shifted = [a.alias("t0")] + [F.slice(a, k + 1, F.size(a)).alias(f"t{k}") for k in range(1, n_max)]
+    z = df.select(*keep, F.explode(F.arrays_zip(*shifted)).alias("_z"))
+    grams = []
     for n in range(1, n_max + 1):
-        starts = F.sequence(F.lit(1), F.size(arr) - F.lit(n - 1))
-        parts.append(F.when(F.size(arr) >= n, F.transform(starts, grams_of(n)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+        parts = [F.col(f"_z.t{k}") for k in range(n)]
+        g = parts[0] if n == 1 else F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts))
+        grams.append(g)
+    return (z.select(*keep, F.explode(F.array(*grams)).alias(out))
+            .where(F.col(out).isNotNull()))
