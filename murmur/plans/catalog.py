@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from murmur.plans import q_emotions, q_ingest, q_keywords, q_lookups, q_models, q_research, q_rollups  # noqa: F401
+from murmur.plans import (q_emotions, q_ingest, q_keywords, q_lookups, q_models, q_research,  # noqa: F401
+                          q_rollups, q_streaming)
 from murmur.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

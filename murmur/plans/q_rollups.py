@@ -54,10 +54,13 @@ daily_r AS (
 DAILY_VIEWS = ("fx_lemmatized", "fx_hits")
 
 
-@register("aggr_by_day", with_views(DAILY_VIEWS, AGGR_BY_DAY_CTES, """
+AGGR_BY_DAY_SQL = with_views(DAILY_VIEWS, AGGR_BY_DAY_CTES, """
 SELECT strftime(date, '%Y-%m-%d') AS date, language, website, aggressive_word_count,
        aggressive_word_weight_sum, total_word_count, aggressiveness_ratio, weighted_aggressiveness_ratio
-FROM daily_r"""))
+FROM daily_r""")
+
+
+@register("aggr_by_day", AGGR_BY_DAY_SQL)
 def q_aggr_by_day(spark, sf_dir):
     return flat(daily(Ctx(spark, sf_dir)))
 

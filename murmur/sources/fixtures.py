@@ -64,7 +64,11 @@ def _pick(idx: Column, values) -> Column:
 
 def comments(t: Tables) -> DataFrame:
     """D1 comments from documents."""
-    d = t.documents
+    return comments_from(t.documents)
+
+
+def comments_from(d: DataFrame) -> DataFrame:
+    """D1 projection of a documents frame (batch or stream)."""
     return d.select(
         F.col("doc_id").alias("id"),
         (F.col("doc_id") % 97).alias("article_id"),
