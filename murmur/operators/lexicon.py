@@ -111,3 +111,21 @@ def lexicon_frequency(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
     return (keyed.join(counts, ["_lang", "_lemma"], "left")
             .select("word", "language", "weight",
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("frequency")))
+
+
+def listing(lexicon_with_frequency: DataFrame) -> DataFrame:
+    """P10: lexicon ordered by (language, word) with each language's word count."""
+    from pyspark.sql import Window
+    by_lang = Window.partitionBy("language")
+    ordered = Window.partitionBy("language").orderBy("word")
+    return (lexicon_with_frequency
+            .withColumn("words_in_language", F.count(F.lit(1)).over(by_lang))
+            .withColumn("position", F.row_number().over(ordered)))
+
+
+def join_comments(lemmatized: DataFrame, comments: DataFrame, params: Params,
+                  cols=("article_id", "website", "day", "comment_lang")) -> DataFrame:
+    """Stored lemmas (D7) ⋈ comments on comment_id, listed languages only."""
+    c = comments.where(F.col("comment_lang").isin(list(params.languages))) \
+                .select(F.col("id").alias("comment_id"), *cols)
+    return lemmatized.join(c, "comment_id", "inner")

@@ -312,3 +312,36 @@ def q_site_coverage(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     return ro.site_coverage({"articles": ctx.articles, "comments": ctx.comments,
                              "predicted_comments": ctx.predictions})
+
+
+# --------------------------------------------------------------------------- P10
+@register("lexicon_listing", with_views(("fx_lemmatized", "fx_lexicon"), f"""
+lx AS (SELECT word, language, weight,
+              CASE WHEN language IN ({LANGS}) THEN language ELSE '{P.languages[0]}' END AS lang_key
+       FROM fx_lexicon),
+toks AS (SELECT comment_lang, unnest(lemmas) AS lemma FROM fx_lemmatized WHERE comment_lang IN ({LANGS})),
+counts AS (SELECT comment_lang, lemma, count(*) AS n FROM toks GROUP BY ALL),
+fr AS (SELECT lx.word, lx.language, lx.weight, CAST(coalesce(c.n, 0) AS BIGINT) AS frequency
+       FROM lx LEFT JOIN counts c ON c.comment_lang = lx.lang_key AND c.lemma = lower(lx.word))""", """
+SELECT *, count(*) OVER (PARTITION BY language) AS words_in_language,
+       CAST(row_number() OVER (PARTITION BY language ORDER BY word) AS INTEGER) AS position
+FROM fr"""))
+def q_lexicon_listing(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return lx.listing(lx.lexicon_frequency(ctx.lemmatized, ctx.lexicon, ctx.params,
+                                           lexicon_rows=ctx.lexicon_rows))
+
+
+# --------------------------------------------------------------------------- J1 with a stored D7
+@register("aggr_by_day_stored", AGGR_BY_DAY_SQL)
+def q_aggr_by_day_stored(spark, sf_dir):
+    """G1 over a written lemmatized table: lemmas are stored once (lineage cut in the
+    shared checkpoint folder), then joined back to the comments (J1)."""
+    from murmur.operators.text import lemmatize
+    from murmur.session import scratch_path
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "lemmatized")
+    lemmatize(ctx.comments).write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    joined = lx.join_comments(stored, ctx.comments, ctx.params)
+    return flat(ro.aggressiveness_by_day(joined, ctx.lexicon, ctx.params, ctx.lexicon_rows))
