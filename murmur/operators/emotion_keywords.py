@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.joins import broadcast_checked
+from murmur.operators.layout import spread
 from murmur.operators.text import explode_ngrams
 
 MAX_FEATURES, TOP_N, NGRAM_MAX, MIN_TOKEN_LEN = 5000, 30, 3, 2
@@ -46,7 +47,7 @@ def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int
     the filter runs inside the scan stage and no token is shuffled; only the
     partial n-gram counts cross the exchange.
     """
-    d = docs
+    d = spread(docs, "comment_id")
     if stopwords is not None:
         sw = stopwords.groupBy("language").agg(F.collect_set("word").alias("_sw"))
         d = d.join(broadcast_checked(sw, known_rows=stop_rows), "language", "left")
