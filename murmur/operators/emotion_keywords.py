@@ -82,10 +82,12 @@ def class_tfidf(tf: DataFrame, top_n: int = TOP_N, max_features: int = MAX_FEATU
     t = tf.withColumn("f", f)
     cut = Window.partitionBy(*KEYS).orderBy(F.desc("f"), "term")
     t = t.withColumn("_dr", F.dense_rank().over(cut)).where(F.col("_dr") <= max_features)
-    ct = F.sum("tf").over(Window.partitionBy(*KEYS, "emotion"))
+    # class totals; the number of classes is the top dense rank of emotion (same sort order)
+    t = (t.withColumn("_ct", F.sum("tf").over(Window.partitionBy(*KEYS, "emotion")))
+          .withColumn("_ci", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("emotion"))))
     grp = Window.partitionBy(*KEYS)
-    avg = F.sum("tf").over(grp) / F.size(F.collect_set("emotion").over(grp))
-    score = F.round(F.col("tf") / ct * F.log(F.lit(1.0) + avg / F.col("f")), digits)
+    avg = F.sum("tf").over(grp) / F.max("_ci").over(grp)
+    score = F.round(F.col("tf") / F.col("_ct") * F.log(F.lit(1.0) + avg / F.col("f")), digits)
     s = t.withColumn("confidence", score)
     w = Window.partitionBy(*KEYS, "emotion").orderBy(F.desc("confidence"), "term")
     return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
