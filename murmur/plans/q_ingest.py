@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.operators import ingest as ig
+from murmur.operators.lookups import insert_if_absent
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, register
 from murmur.session import scratch_path
@@ -94,7 +95,7 @@ def q_insert_if_absent(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     a = loaded_articles(ctx).select("article_id", "headline", "pub_timestamp", "url", "region",
                                     "headline_lang", "website")
-    return a.join(ctx.articles.select("article_id"), "article_id", "left_anti")
+    return insert_if_absent(a, ctx.articles, "article_id")
 
 
 @register("select_import_files")

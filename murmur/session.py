@@ -60,3 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/murmur-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int = 8000) -> dict:
+    """Suggested settings for a cluster run over ``input_bytes`` of parquet.
+
+    Shuffle partitions start at input / 256 MB (AQE coalesces small ones and
+    splits skewed ones), never below twice the cores; file splits stay at
+    256 MB so a scan task fits an executor core's memory share.
+    """
+    parts = max(2 * cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }

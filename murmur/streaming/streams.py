@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.operators.ingest import first_per_key
+from murmur.operators.lookups import insert_if_absent
 from murmur.operators.lexicon import token_measures
 from murmur.operators.text import lemmatize
 from murmur.params import Params
@@ -129,8 +130,8 @@ def stream_insert_if_absent(spark: SparkSession, drop_dir: str, columns, target_
                   .select(*cols, "file_path", "block_start", "row_pos"))
         first = first_per_key(parsed.where(F.col(key).isNotNull()), key) \
             .drop("file_path", "block_start", "row_pos")
-        target = spark.read.parquet(target_dir).select(key)
-        new = first.join(target, key, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        new = insert_if_absent(first, spark.read.parquet(target_dir), key) \
+            .withColumn("batch_id", F.lit(batch_id).cast("long"))
         new.write.mode("append").parquet(inserted_dir)
         # re-read the written rows: ``new`` itself depends on the target it is added to
         written = spark.read.schema(new.schema).parquet(inserted_dir).where(F.col("batch_id") == batch_id)

@@ -190,3 +190,15 @@ def test_m1_argmax_ties_and_rounding(spark):
                                "p array<struct<label:string, score:double>>")
     got = [(r.r.label, r.r.score) for r in df.select(em.argmax_prediction(F.col("p")).alias("r")).collect()]
     assert got == [("a", 0.3), ("z", 0.12346), ("b", 0.10001)]
+
+
+def test_t22_rollup_sink_replaces_only_touched_months(spark):
+    import tempfile
+    from murmur.sinks import read_rollup, write_rollup
+    path = tempfile.mkdtemp(prefix="murmur-sink-") + "/daily"
+    d = _daily(spark).unionByName(_daily(spark).withColumn("date", F.lit(dt.date(2024, 2, 1))))
+    write_rollup(d, path)
+    fresh = _daily(spark).withColumn("total_word_count", F.lit(99).cast("long"))
+    write_rollup(fresh, path)                     # January only
+    got = {(r.date.month, r.website): r.total_word_count for r in read_rollup(spark, path).collect()}
+    assert got[(1, "a")] == 99 and got[(2, "a")] == 10
