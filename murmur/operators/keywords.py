@@ -52,19 +52,40 @@ def scope_totals(lemmatized: DataFrame, params: Params) -> DataFrame:
     return t.where(F.col("total_word_count") > 0)
 
 
-def keywords_by_day(lemmatized: DataFrame, hits: DataFrame, params: Params) -> DataFrame:
+def keywords_by_day(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
+                    lexicon_rows: int | None = None) -> DataFrame:
     """K1 flat: one row per (date, language, scope, word); a scope-day with words
-    but no hit keeps one row with NULL word and zero measures."""
-    k = _scope_sets(_scoped(hits, params), ("lemma",),
-                    [F.count(F.lit(1)).alias("count"), F.sum("weight").alias("weight_sum"),
-                     F.count_distinct("article_id").alias("article_count")], params)
-    totals = scope_totals(lemmatized, params)
-    out = totals.join(k, list(SCOPE_KEYS), "left")
-    return out.select(*SCOPE_KEYS, F.col("lemma").alias("word"),
-                      F.coalesce("count", F.lit(0)).alias("count"),
-                      F.coalesce("weight_sum", F.lit(0.0)).alias("weight_sum"),
-                      F.coalesce("article_count", F.lit(0)).alias("article_count"),
-                      "total_word_count")
+    but no hit keeps one row with NULL word and zero measures.
+
+    One pass over the text: each comment is exploded with a marker at
+    position 0 that carries its word count, the tokens are probed against
+    the broadcast lexicon, and only markers and hits go on.  One grouping-set
+    aggregate yields both the per-word measures and the per-scope totals
+    (NULL word); a window over that small output attaches the totals.
+    """
+    from murmur.operators.lexicon import _lex
+    src = (lemmatized.where(F.col("comment_lang").isin(list(params.languages)))
+           .select(F.col("day").alias("date"), F.col("comment_lang").alias("language"), "website",
+                   "article_id", "lemma_count",
+                   F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("lemmas")))
+                   .alias("pos", "_lemma")))
+    j = src.join(_lex(lexicon, lexicon_rows), "_lemma", "left")
+    rows = j.where((F.col("pos") == 0) | F.col("_weight").isNotNull()).select(
+        "date", "language", "website", "article_id",
+        F.when(F.col("pos") > 0, F.col("_lemma")).alias("word"),
+        F.when(F.col("pos") == 0, F.col("lemma_count").cast("long")).otherwise(F.lit(0).cast("long")).alias("_t"),
+        F.col("_weight").alias("weight"))
+    hit = F.col("word").isNotNull()
+    g = _scope_sets(_scoped(rows, params), ("word",),
+                    [F.count(F.when(hit, 1)).alias("count"),
+                     F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight_sum"),
+                     F.count_distinct(F.when(hit, F.col("article_id"))).alias("article_count"),
+                     F.sum("_t").alias("_total")], params)
+    scope = Window.partitionBy(*SCOPE_KEYS)
+    g = (g.withColumn("total_word_count", F.max(F.when(F.col("word").isNull(), F.col("_total"))).over(scope))
+          .withColumn("_words", F.count("word").over(scope)))
+    out = g.where((F.col("total_word_count") > 0) & (F.col("word").isNotNull() | (F.col("_words") == 0)))
+    return out.select(*SCOPE_KEYS, "word", "count", "weight_sum", "article_count", "total_word_count")
 
 
 def keyword_forms_by_day(hits: DataFrame, params: Params) -> DataFrame:

@@ -25,7 +25,7 @@ def hits(ctx: Ctx):
 
 
 def by_day(ctx: Ctx):
-    return kw.keywords_by_day(ctx.lemmatized, hits(ctx), ctx.params)
+    return kw.keywords_by_day(ctx.lemmatized, ctx.lexicon, ctx.params, ctx.lexicon_rows)
 
 
 HITS_CTE = f"""

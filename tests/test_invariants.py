@@ -31,7 +31,7 @@ def test_period_merge_of_one_day_equals_day_detail(spark):
     h = kw.hits_fact(ctx.lemmatized, ctx.lexicon, ctx.params, ctx.lexicon_rows)
     day = h.select(F.min("date")).first()[0]
     one = kw.keywords_by_period(h, day, day, ctx.params).select("language", "word", "count", "article_count")
-    k5 = (kw.keywords_by_day(ctx.lemmatized, h, ctx.params)
+    k5 = (kw.keywords_by_day(ctx.lemmatized, ctx.lexicon, ctx.params, ctx.lexicon_rows)
           .where((F.col("date") == F.lit(day)) & (F.col("website") == "all") & F.col("word").isNotNull())
           .select("language", "word", "count", "article_count"))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, k5.collect()))

@@ -112,7 +112,7 @@ def test_t10_all_scope_differs_between_g2_and_k1(spark):
          for r in ro.aggressiveness_by_day(lm, lex, p, 1).collect()}
     assert g == {"a": (1, 2), "all": (1, 2)}                  # G2: listed sites only
     h = kw.hits_fact(lm, lex, p, 1)
-    k = {(r.website, r.word): (r["count"], r.total_word_count) for r in kw.keywords_by_day(lm, h, p).collect()}
+    k = {(r.website, r.word): (r["count"], r.total_word_count) for r in kw.keywords_by_day(lm, lex, p, 1).collect()}
     assert k[("all", "bad")] == (2, 4)                           # K1: every row
     assert k[("a", "bad")] == (1, 2)
 
