@@ -116,17 +116,18 @@ def overall_share(rows: DataFrame) -> DataFrame:
 def combined_block(counts: DataFrame) -> DataFrame:
     """E5: both languages summed; shares recomputed on the combined matrix.
 
-    Totals come from small aggregates joined back on equality keys (no
-    window over the whole matrix).
+    The label list and the grand total are scalar subqueries (one value
+    each), emotion totals are joined back on the emotion key.
     """
-    c = counts.groupBy("period", "emotion").agg(F.sum("count").alias("count")) \
-              .withColumn("_blk", F.lit(1))
-    d = with_period_share(densify(c, ["_blk"]), ["_blk"])
-    emo = d.groupBy("_blk", "emotion").agg(F.sum("count").alias("_emo"))
-    grand = d.groupBy("_blk").agg(F.sum("count").alias("_all"))
-    return (d.join(emo, ["_blk", "emotion"]).join(grand, "_blk")
-            .withColumn("overall_share", F.col("_emo") / F.col("_all"))
-            .drop("_blk", "_emo", "_all"))
+    c = counts.groupBy("period", "emotion").agg(F.sum("count").alias("count"))
+    labels = c.select(F.array_sort(F.collect_set("emotion"))).scalar()
+    per_period = c.groupBy("period").agg(F.map_from_entries(F.collect_list(F.struct("emotion", "count"))).alias("_m"))
+    d = per_period.select("period", F.explode(labels).alias("emotion"), "_m").select(
+        "period", "emotion", F.coalesce(F.element_at("_m", F.col("emotion")), F.lit(0)).cast("long").alias("count"))
+    d = with_period_share(d, ())
+    emo = d.groupBy("emotion").agg(F.sum("count").alias("_emo"))
+    grand = d.agg(F.sum("count")).scalar()
+    return d.join(emo, "emotion").withColumn("overall_share", F.col("_emo") / grand).drop("_emo")
 
 
 def pivot_counts(counts: DataFrame, labels) -> DataFrame:

@@ -28,14 +28,13 @@ def assign_ids(rows: DataFrame, base: int | DataFrame = 0, out: str = "id") -> D
     rows = rows.withColumn("_i", F.row_number().over(inner))
     blocks = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn("_k", F.lit(1))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     if isinstance(base, DataFrame):
-        b = base.agg(F.coalesce(F.max(base.columns[0]), F.lit(0)).cast("long").alias("_base"))
+        b = base.agg(F.coalesce(F.max(base.columns[0]), F.lit(0)).cast("long")).scalar()
     else:
-        b = rows.sparkSession.range(1).select(F.lit(base).cast("long").alias("_base"))
-    blocks = blocks.join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k")
-    j = rows.join(F.broadcast(blocks.select(*BLOCK, "_off", "_base")), BLOCK)
-    return j.withColumn(out, F.col("_base") + F.col("_off") + F.col("_i")).drop("_off", "_base", "_i")
+        b = F.lit(base).cast("long")
+    j = rows.join(F.broadcast(blocks.select(*BLOCK, "_off")), BLOCK)
+    return j.withColumn(out, b + F.col("_off") + F.col("_i")).drop("_off", "_i")
 
 
 def load_comments(parsed: DataFrame, website: str, params: Params, base: int | DataFrame = 0) -> DataFrame:

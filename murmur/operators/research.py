@@ -93,9 +93,8 @@ def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int
     """
     c = comments if exclude_emotion is None else comments.where(F.col("emotion") != exclude_emotion)
     cells = c.groupBy("cluster", "emotion").agg(F.count(F.lit(1)).alias("available"))
-    n_em = c.agg(F.count_distinct("emotion").alias("_n")).withColumn("_k", F.lit(1))
-    cells = cells.withColumn("_k", F.lit(1)).join(F.broadcast(n_em), "_k").drop("_k")
-    cells = cells.withColumn("target", F.floor(F.lit(total_samples) / F.col("_n")).cast("long")).drop("_n")
+    n_em = c.agg(F.count_distinct("emotion")).scalar()          # scalar subquery, no join
+    cells = cells.withColumn("target", F.floor(F.lit(total_samples) / n_em).cast("long"))
     cells = cells.withColumn("cap", F.least(F.col("available"), F.lit(max_per_cell)).cast("long"))
     w = (Window.partitionBy("emotion").orderBy(mix_hash("cluster", CLUSTER_SEED), "cluster")
          .rowsBetween(Window.unboundedPreceding, -1))

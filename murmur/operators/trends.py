@@ -52,9 +52,15 @@ def intervals_from_months(events: DataFrame, name: str = "event", start: str = "
 def overlay(series: DataFrame, bands: DataFrame, date_col: str = "date") -> DataFrame:
     """Range join of a period series with named bands (start <= d <= end).
 
-    The band table is a handful of named events and is broadcast; the
-    series side streams through a nested-loop probe without a shuffle.
+    Written as an equi-join on month buckets: each band is exploded into the
+    months it touches (a handful of rows, broadcast after a size check), each
+    series row probes its month, and the exact range is a filter.  No
+    nested-loop join, and the series side is never shuffled.
     """
-    b = F.broadcast(bands)
-    cond = (F.col(date_col) >= F.col("start_day")) & (F.col(date_col) <= F.col("end_day"))
-    return series.join(b, cond, "inner")
+    from murmur.operators.joins import broadcast_checked
+    months = bands.select("event", "start_day", "end_day",
+                          F.explode(F.sequence(F.trunc("start_day", "month"), F.trunc("end_day", "month"),
+                                               F.expr("interval 1 month"))).alias("_m"))
+    s = series.withColumn("_m", F.trunc(F.col(date_col), "month"))
+    j = s.join(broadcast_checked(months), "_m", "inner")
+    return j.where((F.col(date_col) >= F.col("start_day")) & (F.col(date_col) <= F.col("end_day"))).drop("_m")

@@ -55,3 +55,9 @@ def test_top_k_runs_partial_limit_before_shuffle(spark):
 def test_prediction_plugin_uses_arrow_batches(spark):
     p = plan_text(E.queries()["predict_pending"](spark, SF_SMALL))
     assert "MapInPandas" in p and "BatchEvalPython" not in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_or_nested_loop_joins(spark, name):
+    p = plan_text(E.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
