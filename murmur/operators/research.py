@@ -105,27 +105,27 @@ def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int
 
 def quota_sample(comments: DataFrame, plan: DataFrame, max_per_cell: int = MAX_PER_CELL) -> DataFrame:
     """N8 sample: per cell, proportional ceil quotas over non-NULL strata, then the
-    exact take: quota rows first (hash order), topped up by the other rows (T15)."""
+    exact take: quota rows first (hash order), topped up by the other rows (T15).
+
+    Candidates come from one window over (cell, confidence bucket, length
+    bucket) — NULL buckets form their own group — cut at ``max_per_cell``:
+    every row that can be picked has at most take-1 ≤ 5 picked rows ahead of
+    it in its group, so the cut loses nothing, and Spark applies it as a
+    partial top-k before the shuffle.
+    """
     cell = ["cluster", "emotion"]
-    stratum = cell + ["confidence_cat", "length_cat"]
+    group = cell + ["confidence_cat", "length_cat"]
     rows = (comments.join(plan.where(F.col("take") > 0).select(*cell, "available", "take"), cell)
             .withColumn("_h", mix_hash("id", ROW_SEED))
             .withColumn("_strat", F.col("confidence_cat").isNotNull() & F.col("length_cat").isNotNull()))
-    # candidate rows: the first max_per_cell of each stratum, the first 2*max_per_cell of each cell
-    ws = Window.partitionBy(*stratum).orderBy("_h", "id")
-    wc = Window.partitionBy(*cell).orderBy("_h", "id")
-    by_stratum = (rows.where("_strat").withColumn("_rs", F.row_number().over(ws))
-                  .where(F.col("_rs") <= max_per_cell).select("id", *cell, "_rs"))
-    by_cell = (rows.withColumn("_rc", F.row_number().over(wc))
-               .where(F.col("_rc") <= 2 * max_per_cell).select("id", *cell, F.lit(None).cast("int").alias("_rs")))
-    cand_ids = by_stratum.unionByName(by_cell).groupBy("id", *cell).agg(F.min("_rs").alias("_rs"))
-    sizes = rows.where("_strat").groupBy(*stratum).agg(F.count(F.lit(1)).alias("_ns"))
+    wg = Window.partitionBy(*group).orderBy("_h", "id")
+    cand = rows.withColumn("_rs", F.row_number().over(wg)).where(F.col("_rs") <= max_per_cell)
+    sizes = rows.where("_strat").groupBy(*group).agg(F.count(F.lit(1)).alias("_ns"))
     in_strata = sizes.groupBy(*cell).agg(F.sum("_ns").alias("_nt"))
-    cand = (rows.join(cand_ids, ["id", *cell])
-            .join(sizes, stratum, "left").join(in_strata, cell, "left"))
+    cand = (cand.join(sizes, group, "left").join(in_strata, cell, "left"))
     quota = F.least(F.ceil(F.col("take") * F.col("_ns") / F.col("_nt")), F.col("_ns"))
     in_quota = F.when(F.col("available") <= F.col("take"), F.lit(True)) \
-                .otherwise(F.coalesce(F.col("_rs") <= quota, F.lit(False)))
+                .otherwise(F.col("_strat") & F.coalesce(F.col("_rs") <= quota, F.lit(False)))
     cand = cand.withColumn("_q", in_quota)
     wf = Window.partitionBy(*cell).orderBy(F.desc("_q"), "_h", "id")
     picked = cand.withColumn("_r", F.row_number().over(wf)).where(F.col("_r") <= F.col("take"))
