@@ -13,6 +13,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     one task.  On large inputs the partition count already exceeds the
     parallelism and nothing changes (no extra shuffle).
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:

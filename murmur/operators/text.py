@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from murmur.functions.text import detect_language, tokens, word_count
 from murmur.operators.joins import broadcast_checked
+from murmur.operators.layout import spread
 from murmur.params import Params
 
 LEMMATIZED_SCHEMA = T.StructType([
@@ -42,8 +43,9 @@ def lemmatize(comments: DataFrame, lemma_table: DataFrame | None = None,
     from the table keeps itself as lemma.  Output keeps ``keep`` columns
     plus comment_id, lemmas, words (parallel arrays) and lemma_count.
     """
-    base = comments.select(F.col(id_col).alias("comment_id"), F.col(lang_col).alias("_lang"),
-                           *keep, tokens(text_col).alias("words"))
+    src = spread(comments, id_col)          # the regex pass is the expensive step
+    base = src.select(F.col(id_col).alias("comment_id"), F.col(lang_col).alias("_lang"),
+                      *keep, tokens(text_col).alias("words"))
     if lemma_table is None:
         out = base.withColumn("lemmas", F.col("words"))
     else:

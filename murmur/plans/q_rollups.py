@@ -8,6 +8,7 @@ from murmur.functions.text import cyrillic_count, detect_language, latin_count,
 from murmur.operators import lexicon as lx
 from murmur.operators import rollups as ro
 from murmur.operators import trends as tr
+from murmur.operators.layout import spread
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
@@ -76,7 +77,7 @@ SELECT id, region, n_cyrillic, n_latin,
             WHEN region = 'rus' THEN 'ru' WHEN region = 'lat' THEN 'lv' ELSE 'lv' END AS detected_lang
 FROM c"""))
 def q_detect_language(spark, sf_dir):
-    c = Ctx(spark, sf_dir).comments
+    c = spread(Ctx(spark, sf_dir).comments, "id")
     return c.select("id", "region",
                     cyrillic_count("comment_text").cast("long").alias("n_cyrillic"),
                     latin_count("comment_text").cast("long").alias("n_latin"),
@@ -101,7 +102,7 @@ SELECT id, CAST(len(list_filter(regexp_split_to_array(coalesce(comment_text, '')
             AS INTEGER) AS length
 FROM fx_comments"""))
 def q_word_length(spark, sf_dir):
-    c = Ctx(spark, sf_dir).comments
+    c = spread(Ctx(spark, sf_dir).comments, "id")
     return c.select("id", word_count("comment_text").alias("length"))
 
 
