@@ -202,3 +202,23 @@ def ranked_forms(forms: DataFrame) -> DataFrame:
     """Surface forms of each word ranked by count desc (ties by form)."""
     w = Window.partitionBy("language", "word").orderBy(F.desc("count"), F.asc("form"))
     return forms.withColumn("rank", F.row_number().over(w))
+
+
+def flatten_day_maps(stored: DataFrame) -> DataFrame:
+    """Read side of the stored D9 maps: one row per (date, language, scope, word)."""
+    e = stored.select(*SCOPE_KEYS, "total_word_count", F.explode("keywords_json").alias("word", "v"))
+    return e.select(*SCOPE_KEYS, "word", F.col("v.count").alias("count"), F.col("v.weight_sum").alias("weight_sum"),
+                    F.col("v.article_count").alias("article_count"),
+                    F.size(F.map_keys("v.forms")).alias("n_forms"), "total_word_count")
+
+
+def period_from_day_maps(stored: DataFrame, start, end, website: str = "all", lang: str | None = None) -> DataFrame:
+    """K6 over stored D9 maps: sums of counts and weights, union of article ids (U4)."""
+    s = stored.where(date_between("date", start, end) & (F.col("website") == website))
+    if lang is not None:
+        s = s.where(F.col("language") == lang)
+    e = s.select("language", F.explode("keywords_json").alias("word", "v"))
+    return (e.groupBy("language", "word")
+            .agg(F.sum("v.count").alias("count"), F.sum("v.weight_sum").alias("weight_sum"),
+                 F.size(F.array_distinct(F.flatten(F.collect_list("v.article_ids")))).cast("long")
+                 .alias("article_count")))

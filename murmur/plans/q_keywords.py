@@ -187,3 +187,32 @@ def q_keyword_search(spark, sf_dir):
     """Substring filter (case-insensitive) on the keyword column."""
     p = period(Ctx(spark, sf_dir))
     return p.where(F.lower("word").contains(SEARCH_TERM.lower()))
+
+
+def stored_maps(ctx: Ctx):
+    """D9 rows written once to the shared folder and read back (the stored table)."""
+    from murmur.session import scratch_path
+    path = scratch_path(ctx.spark, "keywords-by-day")
+    kw.keywords_day_maps(ctx.lemmatized, hits(ctx), ctx.params).write.mode("overwrite").parquet(path)
+    return ctx.spark.read.parquet(path)
+
+
+@register("keywords_day_maps", with_views(KV, K1_CTES + """,
+nf AS (SELECT date, language, CASE WHEN g = 1 THEN 'all' ELSE site END AS website, lemma AS word,
+              CAST(count(DISTINCT form) AS INTEGER) AS n_forms
+       FROM (SELECT date, language, site, lemma, form, grouping(site) AS g FROM h
+             GROUP BY GROUPING SETS ((date, language, site, lemma, form), (date, language, lemma, form)))
+       WHERE g = 1 OR site IS NOT NULL GROUP BY ALL)""", """
+SELECT strftime(k1.date, '%Y-%m-%d') AS date, k1.language, k1.website, k1.word, k1.count, k1.weight_sum,
+       k1.article_count, nf.n_forms, k1.total_word_count
+FROM k1 JOIN nf USING (date, language, website, word)"""))
+def q_keywords_day_maps(spark, sf_dir):
+    """K1 stored shape (D9 maps per scope-day), flattened back for comparison."""
+    return flat(kw.flatten_day_maps(stored_maps(Ctx(spark, sf_dir))))
+
+
+@register("keywords_by_period_from_maps", with_views(KV, PERIOD_CTES, """
+SELECT language, word, count, weight_sum, article_count FROM kp"""))
+def q_keywords_by_period_from_maps(spark, sf_dir):
+    """K6 as the reference computes it: merge stored day maps, union article ids."""
+    return kw.period_from_day_maps(stored_maps(Ctx(spark, sf_dir)), *RANGE)

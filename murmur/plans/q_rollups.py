@@ -346,3 +346,25 @@ def q_aggr_by_day_stored(spark, sf_dir):
     stored = spark.read.parquet(path)
     joined = lx.join_comments(stored, ctx.comments, ctx.params)
     return flat(ro.aggressiveness_by_day(joined, ctx.lexicon, ctx.params, ctx.lexicon_rows))
+
+
+# --------------------------------------------------------------------------- G5, T9 compatibility
+@register("aggr_by_period_compat", with_views(DAILY_VIEWS, AGGR_BY_DAY_CTES + """,
+wc AS (
+  SELECT language, CAST(date_trunc('week', date) AS DATE) AS period,
+         CAST(sum(aggressive_word_count) AS BIGINT) AS aggressive_word_count,
+         CAST(sum(aggressive_word_weight_sum) AS DOUBLE) AS aggressive_word_weight_sum,
+         CAST(sum(total_word_count) AS BIGINT) AS total_word_count
+  FROM daily GROUP BY ALL
+)""", """
+SELECT language, strftime(period, '%Y-%m-%d') AS period, aggressive_word_count, aggressive_word_weight_sum,
+       total_word_count,
+       CASE WHEN total_word_count > 0 THEN aggressive_word_count / total_word_count * 100.0 ELSE 0.0 END
+         AS unweighted_aggressiveness_pct,
+       CASE WHEN total_word_count > 0 THEN aggressive_word_weight_sum / total_word_count * 100.0 ELSE 0.0 END
+         AS weighted_aggressiveness_pct
+FROM wc"""))
+def q_aggr_by_period_compat(spark, sf_dir):
+    """G5 with the original behaviour: every site row and the all row are summed."""
+    ctx = Ctx(spark, sf_dir)
+    return flat(ro.aggressiveness_by_period(daily(ctx), *FULL_RANGE, "week", ctx.params, compat_all_sites=True))
