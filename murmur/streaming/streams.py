@@ -58,19 +58,25 @@ def stream_ingest(spark: SparkSession, drop_dir: str, columns, sink_dir: str, ch
 
 def rollup_stream(documents: DataFrame, lexicon: DataFrame, params: Params, lexicon_rows: int | None = None,
                   watermark: str = "2 days") -> DataFrame:
-    """S2 body: G1+G2 sums per (date, language, scope) on a streaming frame.
+    """S2 body over a documents-shaped stream (fixture projection to comments)."""
+    return rollup_comments_stream(fx.comments_from(documents), lexicon, params, lexicon_rows, watermark)
+
+
+def rollup_comments_stream(c: DataFrame, lexicon: DataFrame, params: Params, lexicon_rows: int | None = None,
+                           watermark: str = "2 days") -> DataFrame:
+    """S2 body: G1+G2 sums per (date, language, scope) on a streaming comments frame.
 
     Scopes come from exploding each row into its site and ``all`` (grouping
-    sets are a batch feature); the event-time watermark bounds the state.
+    sets are a batch feature); the event-time watermark bounds the state and
+    drops rows that arrive later than it.
     """
-    c = fx.comments_from(documents)
     c = c.where(F.col("comment_lang").isin(list(params.languages)) & F.col("website").isin(list(params.sites)))
-    lm = lemmatize(c, keep=("website", "day", "comment_lang"))
+    c = c.withColumn("event_ts", F.col("day").cast("timestamp")).withWatermark("event_ts", watermark)
+    lm = lemmatize(c, keep=("website", "day", "comment_lang", "event_ts"))
     src = lm.select(F.col("day").alias("date"), F.col("comment_lang").alias("language"), "website",
-                    "lemmas", "lemma_count")
-    m = token_measures(src, lexicon, ("date", "language", "website"), lexicon_rows)
+                    "event_ts", "lemmas", "lemma_count")
+    m = token_measures(src, lexicon, ("date", "language", "website", "event_ts"), lexicon_rows)
     m = m.withColumn("website", F.explode(F.array(F.col("website"), F.lit(params.all_scope))))
-    m = m.withColumn("event_ts", F.col("date").cast("timestamp")).withWatermark("event_ts", watermark)
     return (m.groupBy("event_ts", *ROLLUP)
             .agg(F.sum("m_hit").alias("aggressive_word_count"),
                  F.sum("m_weight").alias("aggressive_word_weight_sum"),
@@ -78,21 +84,35 @@ def rollup_stream(documents: DataFrame, lexicon: DataFrame, params: Params, lexi
             .drop("event_ts"))
 
 
-def stream_rollup(spark: SparkSession, source_dir: str, lexicon: DataFrame, params: Params, sink_dir: str,
-                  checkpoint_dir: str, schema: T.StructType, glob: str = "documents.parquet",
-                  lexicon_rows: int | None = None, available_now: bool = True) -> DataFrame:
-    """Update mode; each micro-batch appends its changed rows with the batch id, and
-    readers take the latest version of each key.  Append mode (rows final once
-    the watermark passes, late rows dropped) is the other choice and is what
-    the reference does in effect (T22)."""
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir))
-    agg = rollup_stream(docs, lexicon, params, lexicon_rows)
+def run_rollup_stream(agg: DataFrame, sink_dir: str, checkpoint_dir: str, output_mode: str = "update",
+                      available_now: bool = True):
+    """Start S2.  ``update``: each micro-batch appends its changed rows with the batch
+    id (readers take the latest, ``latest_rollup``).  ``append``: a day is written
+    once, after the watermark passes it; late rows are dropped."""
+    if output_mode == "append":
+        w = (agg.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+             .option("checkpointLocation", checkpoint_dir))
+        return _run(w, available_now)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_dir)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(upsert)
-    _run(w, available_now)
+    return _run(w, available_now)
+
+
+def stream_rollup(spark: SparkSession, source_dir: str, lexicon: DataFrame, params: Params, sink_dir: str,
+                  checkpoint_dir: str, schema: T.StructType, glob: str = "documents.parquet",
+                  lexicon_rows: int | None = None, available_now: bool = True) -> DataFrame:
+    """S2 over a folder of documents files, update mode; returns the latest rollup.
+
+    Append mode (``run_rollup_stream(..., output_mode="append")``) writes a
+    day once the watermark has passed it, which is what the reference does
+    in effect (T22); update mode keeps days correct when late rows arrive.
+    """
+    docs = (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir))
+    agg = rollup_stream(docs, lexicon, params, lexicon_rows)
+    run_rollup_stream(agg, sink_dir, checkpoint_dir, "update", available_now)
     return latest_rollup(spark.read.parquet(sink_dir))
 
 

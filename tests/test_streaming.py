@@ -61,3 +61,30 @@ def test_latest_rollup_takes_last_version(spark):
        "aggressive_word_weight_sum double, total_word_count long, batch_id long")
     r = st.latest_rollup(v).collect()[0]
     assert (r.aggressive_word_count, r.total_word_count, r.aggressiveness_ratio) == (3, 20, 0.15)
+
+
+def test_late_rows_inside_and_beyond_watermark(spark):
+    from murmur.sources import fixtures as fx
+    d = tempfile.mkdtemp(prefix="murmur-s2-")
+    schema = "id long, day date, comment_lang string, website string, comment_text string"
+    p = fx.FIXTURE_PARAMS
+    lex = spark.createDataFrame([("und", "de", 1.0)], "word string, language string, weight double")
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/src/{name}")
+
+    def run():
+        src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/src")
+        st.run_rollup_stream(st.rollup_comments_stream(src, lex, p, 1), f"{d}/sink", f"{d}/ck")
+        return {(r.date, r.website): r.total_word_count
+                for r in st.latest_rollup(spark.read.parquet(f"{d}/sink")).collect()}
+
+    drop("b1", [(1, dt.date(2024, 1, 10), "de", "site_a", "a b"), (2, dt.date(2024, 1, 20), "de", "site_a", "c")])
+    first = run()
+    assert first[(dt.date(2024, 1, 20), "all")] == 1
+    # watermark is now 2024-01-18: the 19th is inside, the 5th is beyond it
+    drop("b2", [(3, dt.date(2024, 1, 19), "de", "site_a", "und x"), (4, dt.date(2024, 1, 5), "de", "site_a", "y")])
+    second = run()
+    assert second[(dt.date(2024, 1, 19), "site_a")] == 2
+    assert (dt.date(2024, 1, 5), "all") not in second
+    assert second[(dt.date(2024, 1, 10), "all")] == 2
