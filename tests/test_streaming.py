@@ -88,3 +88,20 @@ def test_late_rows_inside_and_beyond_watermark(spark):
     assert second[(dt.date(2024, 1, 19), "site_a")] == 2
     assert (dt.date(2024, 1, 5), "all") not in second
     assert second[(dt.date(2024, 1, 10), "all")] == 2
+
+
+def test_append_mode_writes_a_day_once_the_watermark_passes(spark):
+    from murmur.sources import fixtures as fx
+    d = tempfile.mkdtemp(prefix="murmur-s2a-")
+    schema = "id long, day date, comment_lang string, website string, comment_text string"
+    lex = spark.createDataFrame([("und", "de", 1.0)], "word string, language string, weight double")
+    spark.createDataFrame([(1, dt.date(2024, 1, 10), "de", "site_a", "und b"),
+                           (2, dt.date(2024, 1, 20), "de", "site_a", "c")], schema).coalesce(1) \
+         .write.parquet(f"{d}/src/b1")
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/src")
+    st.run_rollup_stream(st.rollup_comments_stream(src, lex, fx.FIXTURE_PARAMS, 1), f"{d}/sink", f"{d}/ck",
+                         output_mode="append")
+    out = spark.read.parquet(f"{d}/sink")
+    days = {(r.date, r.website): (r.aggressive_word_count, r.total_word_count) for r in out.collect()}
+    # the 10th is behind the watermark (20th - 2 days) and final; the 20th is still open
+    assert days == {(dt.date(2024, 1, 10), "site_a"): (1, 2), (dt.date(2024, 1, 10), "all"): (1, 2)}
