@@ -25,7 +25,7 @@ def lexicon_from_csv(raw: DataFrame) -> DataFrame:
     The caller writes it with mode('overwrite') (full replace).
     """
     cols = [F.col("word"), word_language("word").alias("language"),
-            F.col("weight").cast("double").alias("weight"), F.lit(0).alias("frequency")]
+            F.col("weight").try_cast("double").alias("weight"), F.lit(0).alias("frequency")]
     for c in CATEGORIES:
         v = F.col(c).cast("string")
         flag = F.coalesce(~v.isin("0", "0.0", "False", "false", ""), F.lit(False))

@@ -35,7 +35,7 @@ def read_tsv(spark: SparkSession, paths, columns, long_columns=LONG_COLUMNS) ->
         v = F.element_at(parts, i + 1) if i else parts[0]
         v = F.when(F.size(parts) > i, v)
         v = F.when(v == "", F.lit(None).cast("string")).otherwise(v)
-        cols.append((v.cast("long") if c in long_columns else v).alias(c))
+        cols.append((v.try_cast("long") if c in long_columns else v).alias(c))
     return (raw.withColumn("_n", F.size(parts))
             .select(*cols, "file_path", "block_start", "row_pos", "_n")
             .withColumn("_valid", F.col("_n") <= n).drop("_n"))
@@ -115,8 +115,8 @@ def html_lexicon_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     weight = F.regexp_replace(_strip_tags(F.col("td")[4]), ",", ".")
     out = cells.where(rank.rlike(r"^[0-9]+$") & has_link).select(
         rank.cast("int").alias("rank"), _strip_tags(link).alias("word"),
-        _strip_tags(F.col("td")[2]).alias("paradigm"), freq.cast("long").alias("frequency"),
-        weight.cast("double").alias("weight"),
+        _strip_tags(F.col("td")[2]).alias("paradigm"), freq.try_cast("long").alias("frequency"),
+        weight.try_cast("double").alias("weight"),
         *[F.col("td")[5 + i].rlike(r"(?i)<img").cast("int").alias(c)
           for i, c in enumerate(("DISKRIM", "LAMUV", "NETAISN", "AICIN", "DARB", "PERS", "ASOC", "MILIT",
                                  "NOSOD", "EMOC", "NODEV"))])

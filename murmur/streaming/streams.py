@@ -37,7 +37,7 @@ def parse_tsv_stream(lines: DataFrame, columns, long_columns=("article_id",)) ->
     for i, c in enumerate(columns):
         v = F.when(F.size(parts) > i, F.element_at(parts, i + 1))
         v = F.when(v == "", F.lit(None).cast("string")).otherwise(v)
-        cols.append((v.cast("long") if c in long_columns else v).alias(c))
+        cols.append((v.try_cast("long") if c in long_columns else v).alias(c))
     return (lines.where(F.col("value") != "")
             .where(F.size(parts) <= len(columns))
             .select(*cols, F.col("_metadata.file_path").alias("file_path")))
@@ -145,7 +145,7 @@ def stream_insert_if_absent(spark: SparkSession, drop_dir: str, columns, target_
         for i, c in enumerate(columns):
             v = F.when(F.size(parts) > i, F.element_at(parts, i + 1))
             v = F.when(v == "", F.lit(None).cast("string")).otherwise(v)
-            cols.append((v.cast("long") if c == key else v).alias(c))
+            cols.append((v.try_cast("long") if c == key else v).alias(c))
         parsed = (b.where((F.col("value") != "") & (F.size(parts) <= len(columns)))
                   .select(*cols, "file_path", "block_start", "row_pos"))
         first = first_per_key(parsed.where(F.col(key).isNotNull()), key) \

@@ -120,3 +120,10 @@ def test_a12_stopwords(spark):
     _write(f"{d}/lv.txt", "ar\nvien\n ar \n\n")
     got = fl.read_stopwords(spark, {"lv": f"{d}/lv.txt", "ru": f"{d}/missing.txt"})
     assert sorted((r.language, r.word) for r in got.collect()) == [("lv", "ar"), ("lv", "vien")]
+
+
+def test_a1_bad_numeric_field_becomes_null_not_an_error(spark):
+    d = tempfile.mkdtemp(prefix="murmur-a1b-")
+    _write(f"{d}/c_2024.txt", "lat\tnot-a-number\tn\tip\tts\ttext\nlat\t7\tn\tip\tts\ttext\n")
+    rows = fl.valid_rows(fl.read_tsv(spark, d, fl.COMMENT_COLUMNS)).orderBy("row_pos").collect()
+    assert [r.article_id for r in rows] == [None, 7]
