@@ -21,3 +21,17 @@ def write_rollup(df: DataFrame, path: str, date_col: str = "date", by=("language
 
 def read_rollup(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("month")
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort: bool = True) -> None:
+    """Save ``df`` as a catalog table bucketed (and sorted) on ``key``.
+
+    Two tables bucketed on the join key with the same bucket count join
+    without a shuffle (comments ⋈ predictions on the comment id, comments ⋈
+    lemmatized comments), which is what keeps the pending-work and keyword
+    joins cheap when both sides are large.
+    """
+    w = df.write.mode("overwrite").bucketBy(buckets, key)
+    if sort:
+        w = w.sortBy(key)
+    w.saveAsTable(table)

@@ -9,8 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from murmur.session import build_session
+    import tempfile
     s = build_session("local[4]", 4, app_name="murmur-tests",
-                      extra={"spark.driver.memory": "4g"})
+                      extra={"spark.driver.memory": "4g",
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="murmur-wh-")})
     yield s
     s.stop()
 

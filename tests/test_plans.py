@@ -5,6 +5,7 @@ import io
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from murmur.operators import emotions as em
@@ -61,3 +62,20 @@ def test_prediction_plugin_uses_arrow_batches(spark):
 def test_no_cross_or_nested_loop_joins(spark, name):
     p = plan_text(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from murmur.sinks import save_bucketed
+    ctx = Ctx(spark, SF_SMALL)
+    save_bucketed(ctx.comments.select("id", "comment_lang"), "b_comments", "id", 8)
+    save_bucketed(ctx.predictions.where("comment_id IS NOT NULL")
+                  .select(F.col("comment_id").alias("id"), "ekman_prediction_emotion"), "b_predictions", "id", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("b_comments").join(spark.table("b_predictions"), "id")
+        p = plan_text(j)
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert j.count() == ctx.comments.join(ctx.predictions.select(F.col("comment_id").alias("id")), "id").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
