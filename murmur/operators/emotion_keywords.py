@@ -20,6 +20,8 @@ from murmur.operators.joins import broadcast_checked
 from murmur.operators.layout import spread
 from murmur.operators.text import explode_ngrams
 
+# Candidates kept per (date, language), keywords kept per emotion,
+# longest n-gram, shortest token (the vectoriser's two-character token rule).
 MAX_FEATURES, TOP_N, NGRAM_MAX, MIN_TOKEN_LEN = 5000, 30, 3, 2
 KEYS = ["date", "language"]
 

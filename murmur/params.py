@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+# Fixed values of the original application: chart grains and the trailing
+# moving-average width per grain (rows, not calendar units).
 GRAINS = ("day", "week", "month")
-
-# Trailing moving-average width per grain (rows, not calendar units).
 SMA_WIDTH = {"day": 7, "week": 4, "month": 3}
 
 
 @dataclass(frozen=True)
 class Params:
+    # Defaults are fixed values of the original deployment (languages, sites,
+    # prediction types, emotion labels in chart order, import years,
+    # region codes); the test fixtures pass their own.
     languages: tuple[str, ...] = ("lv", "ru")
     sites: tuple[str, ...] = ("tvnet", "delfi", "apollo")
     prediction_types: tuple[str, ...] = ("normal", "ekman")
