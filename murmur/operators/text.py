@@ -105,3 +105,11 @@ def explode_ngrams(df: DataFrame, tokens_col: str, keep: tuple[str, ...] = (), o
         grams.append(g)
     return (z.select(*keep, F.explode(F.array(*grams)).alias(out))
             .where(F.col(out).isNotNull()))
+
+
+def regex_lemmatizer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Default X3 plug-in: lower-cased letter runs as words and lemmas (same rule as X2)."""
+    import regex
+    pat = regex.compile(r"\p{L}+")
+    words = [pat.findall(t.lower()) if isinstance(t, str) else [] for t in pdf["text"]]
+    return pd.DataFrame({"comment_id": pdf["comment_id"], "lemmas": words, "words": words})

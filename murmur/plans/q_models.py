@@ -104,3 +104,44 @@ def q_predict_pending(spark, sf_dir):
     scored = md.predict(pending, md.token_length_classifier(PP.emotions), "comment_text", ("id",))
     out = md.predictions_table(scored, KIND)
     return out.select("id", "ekman_prediction_emotion", "ekman_prediction_score")
+
+
+@register("lemmatize_plugin", with_views(("fx_lemmatized",), "", """
+SELECT comment_id, CAST(len(lemmas) AS INTEGER) AS lemma_count, array_to_string(lemmas, ' ') AS lemma_text
+FROM fx_lemmatized"""))
+def q_lemmatize_plugin(spark, sf_dir):
+    """The lemmatizer plug-in point (mapInPandas) with its default function."""
+    from murmur.operators.text import lemmatize_with, regex_lemmatizer
+    lm = lemmatize_with(Ctx(spark, sf_dir).comments, regex_lemmatizer)
+    return lm.select("comment_id", "lemma_count", F.array_join("lemmas", " ").alias("lemma_text"))
+
+
+M3_LABELS = {"ekman": PP.emotions, "normal": ("pos", "neg")}
+
+
+def _m3_sql() -> str:
+    parts = []
+    for kind, labels in M3_LABELS.items():
+        n = len(labels)
+        scores = ", ".join(f"round_even((1 + len(list_filter(toks, lambda t: length(t) % {n} = {i}))) "
+                           f"/ ({n} + len(toks)), 5)" for i in range(n))
+        parts.append(f"""SELECT id, '{kind}' AS prediction_type, language,
+       [{sql_list(labels)}][list_position(s, list_max(s))] AS m_prediction_emotion,
+       list_max(s) AS m_prediction_score
+FROM (SELECT id, language, [{scores}] AS s FROM tk)""")
+    return with_views(("fx_comments",), f"""
+tk AS (SELECT id, comment_lang AS language,
+              regexp_extract_all(lower(comment_text), '\\p{{L}}+') AS toks
+       FROM fx_comments
+       WHERE comment_lang IN ({sql_list(P.languages[:2])}) AND length(coalesce(comment_text, '')) > 0)""",
+                      "\nUNION ALL\n".join(parts))
+
+
+@register("predict_two_label_sets", _m3_sql())
+def q_predict_two_label_sets(spark, sf_dir):
+    """M3: two label sets per comment, one model per (type, language); empty texts skipped."""
+    ctx = Ctx(spark, sf_dir)
+    models = {(kind, lang): md.token_length_classifier(labels)
+              for kind, labels in M3_LABELS.items() for lang in P.languages[:2]}
+    out = md.predict_many(ctx.comments, models)
+    return out.select("id", "prediction_type", "language", "m_prediction_emotion", "m_prediction_score")
