@@ -13,7 +13,6 @@ from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
 from murmur.sources import fixtures as fx
-from murmur.functions.sites import resolve_site
 
 P = fx.FIXTURE_PARAMS
 LANGS = sql_list(P.languages)

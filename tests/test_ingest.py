@@ -4,7 +4,6 @@ import gzip
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from murmur.operators import ingest as ig
 from murmur.operators.lexicon import lexicon_from_csv

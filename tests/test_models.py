@@ -1,7 +1,6 @@
 """Model plug-in points (X3, M2-M4) with small pandas functions."""
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from murmur.operators import models as md
 from murmur.operators.text import lemmatize_with

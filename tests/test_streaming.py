@@ -4,7 +4,6 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from murmur.sources import files as fl

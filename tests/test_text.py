@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from murmur.functions.text import detect_language, tokens, word_count, word_language
 from murmur.operators.lexicon import score_comments
 from murmur.operators.text import lemmatize
-from murmur.params import Params
 
 
 def _detect(spark, rows):
