@@ -155,15 +155,24 @@ def sample_frame(t: Tables) -> DataFrame:
     )
 
 
+def literal_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small literal table built in the JVM (inline over one row, no Python at run time)."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     """D6 lexicon (literal, 9 rows): words as stored, weights multiples of 0.25."""
-    return spark.createDataFrame(list(LEXICON_ROWS), LEXICON_SCHEMA)
+    return literal_table(spark, LEXICON_ROWS, LEXICON_SCHEMA)
 
 
 def interval_months(spark: SparkSession) -> DataFrame:
     """J11 named event intervals as (event, start_month, end_month); 2 rows, overlapping."""
-    return spark.createDataFrame(list(INTERVAL_MONTHS), "event string, start_month string, end_month string")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("event", "start_month", "end_month")])
+    return literal_table(spark, INTERVAL_MONTHS, schema)
 
 
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STOPWORD_ROWS), "language string, word string")
+    schema = T.StructType([T.StructField("language", T.StringType()), T.StructField("word", T.StringType())])
+    return literal_table(spark, STOPWORD_ROWS, schema)
