@@ -32,7 +32,7 @@ def test_lexicon_is_broadcast(spark):
 @pytest.mark.parametrize("name", NATIVE)
 def test_no_python_in_native_queries(spark, name):
     p = plan_text(E.queries()[name](spark, SF_SMALL))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "ExistingRDD"):
         assert node not in p
 
 
