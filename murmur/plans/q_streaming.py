@@ -33,7 +33,8 @@ def q_stream_aggr_by_day(spark, sf_dir):
     root = scratch_path(spark, "stream-rollup")
     schema = ctx.t.documents.schema
     out = st.stream_rollup(spark, sf_dir, ctx.lexicon, ctx.params, f"{root}/sink", f"{root}/checkpoint",
-                           schema, lexicon_rows=ctx.lexicon_rows)
+                           schema, lexicon_rows=ctx.lexicon_rows,
+                           state_partitions=2 * spark.sparkContext.defaultParallelism)
     return flat(out.select("date", "language", "website", "aggressive_word_count", "aggressive_word_weight_sum",
                            "total_word_count", "aggressiveness_ratio", "weighted_aggressiveness_ratio"))
 

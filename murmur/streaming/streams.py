@@ -23,8 +23,22 @@ from murmur.sources import fixtures as fx
 ROLLUP = ["date", "language", "website"]
 
 
-def _run(writer, available_now: bool = True, timeout_s: float | None = None):
-    q = (writer.trigger(availableNow=True) if available_now else writer).start()
+def _run(writer, available_now: bool = True, timeout_s: float | None = None, spark: SparkSession | None = None,
+         state_partitions: int | None = None):
+    """Start a stream.  ``state_partitions`` fixes the number of state stores of a
+    stateful query; it is read once, when the query first starts, and kept in
+    its checkpoint (the stream runs on a clone of the session's settings, so
+    the session value is restored right after the start)."""
+    w = writer.trigger(availableNow=True) if available_now else writer
+    if spark is not None and state_partitions:
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        try:
+            q = w.start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    else:
+        q = w.start()
     if available_now:
         q.awaitTermination(timeout_s)
     return q
@@ -85,25 +99,26 @@ def rollup_comments_stream(c: DataFrame, lexicon: DataFrame, params: Params, lex
 
 
 def run_rollup_stream(agg: DataFrame, sink_dir: str, checkpoint_dir: str, output_mode: str = "update",
-                      available_now: bool = True):
+                      available_now: bool = True, state_partitions: int | None = None):
     """Start S2.  ``update``: each micro-batch appends its changed rows with the batch
     id (readers take the latest, ``latest_rollup``).  ``append``: a day is written
     once, after the watermark passes it; late rows are dropped."""
     if output_mode == "append":
         w = (agg.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
              .option("checkpointLocation", checkpoint_dir))
-        return _run(w, available_now)
+        return _run(w, available_now, spark=agg.sparkSession, state_partitions=state_partitions)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_dir)
 
     w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(upsert)
-    return _run(w, available_now)
+    return _run(w, available_now, spark=agg.sparkSession, state_partitions=state_partitions)
 
 
 def stream_rollup(spark: SparkSession, source_dir: str, lexicon: DataFrame, params: Params, sink_dir: str,
                   checkpoint_dir: str, schema: T.StructType, glob: str = "documents.parquet",
-                  lexicon_rows: int | None = None, available_now: bool = True) -> DataFrame:
+                  lexicon_rows: int | None = None, available_now: bool = True,
+                  state_partitions: int | None = None) -> DataFrame:
     """S2 over a folder of documents files, update mode; returns the latest rollup.
 
     Append mode (``run_rollup_stream(..., output_mode="append")``) writes a
@@ -112,7 +127,7 @@ def stream_rollup(spark: SparkSession, source_dir: str, lexicon: DataFrame, para
     """
     docs = (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir))
     agg = rollup_stream(docs, lexicon, params, lexicon_rows)
-    run_rollup_stream(agg, sink_dir, checkpoint_dir, "update", available_now)
+    run_rollup_stream(agg, sink_dir, checkpoint_dir, "update", available_now, state_partitions)
     return latest_rollup(spark.read.parquet(sink_dir))
 
 
