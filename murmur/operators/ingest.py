@@ -33,7 +33,8 @@ def assign_ids(rows: DataFrame, base: int | DataFrame = 0, out: str = "id") -> D
         b = base.agg(F.coalesce(F.max(base.columns[0]), F.lit(0)).cast("long")).scalar()
     else:
         b = F.lit(base).cast("long")
-    j = rows.join(F.broadcast(blocks.select(*BLOCK, "_off")), BLOCK)
+    # one row per file split: AQE broadcasts it from its measured size, else a shuffle join
+    j = rows.join(blocks.select(*BLOCK, "_off"), BLOCK)
     return j.withColumn(out, b + F.col("_off") + F.col("_i")).drop("_off", "_i")
 
 
