@@ -69,3 +69,31 @@ def test_lexicon_case_rules_differ(spark):
     der = (ctx.lemmatized.where("comment_lang = 'de'").select(F.explode("lemmas").alias("t"))
            .where("t = 'der'").count())
     assert freq["Der"] == der
+
+
+def test_k1_k6_forms_articles_and_days(spark):
+    """FIXTURES §3: one word in two forms, two articles, two days sharing one article."""
+    import datetime as dt
+    from murmur.operators.text import lemmatize
+    from murmur.params import Params
+    p = Params(languages=("en",), sites=("s",))
+    comments = spark.createDataFrame([
+        (1, 1, "s", dt.date(2024, 1, 1), "en", "Cats cat"),
+        (2, 1, "s", dt.date(2024, 1, 2), "en", "cat"),
+        (3, 2, "s", dt.date(2024, 1, 2), "en", "cat dog"),
+    ], "id long, article_id long, website string, day date, comment_lang string, comment_text string")
+    table = spark.createDataFrame([("en", "cats", "cat")], "language string, form string, lemma string")
+    lm = lemmatize(comments, table, keep=("article_id", "website", "day", "comment_lang"), lemma_rows_bound=1)
+    lex = spark.createDataFrame([("cat", "en", 0.5)], "word string, language string, weight double")
+    hits = kw.hits_fact(lm, lex, p, 1)
+    period = kw.keywords_by_period(hits, "2024-01-01", "2024-01-02", p).collect()
+    assert [(r.word, r["count"], r.weight_sum, r.article_count) for r in period] == [("cat", 4, 2.0, 2)]
+    forms = {r.form: r["count"] for r in kw.keyword_forms_by_period(hits, "2024-01-01", "2024-01-02", p).collect()}
+    assert forms == {"cats": 1, "cat": 3}
+    maps = {(r.date.day, r.website): r for r in kw.keywords_day_maps(lm, hits, p).collect()}
+    day1 = maps[(1, "all")].keywords_json["cat"]
+    assert (day1["count"], day1["article_ids"], dict(day1["forms"])) == (2, [1], {"cats": 1, "cat": 1})
+    day2 = maps[(2, "s")].keywords_json["cat"]
+    assert (day2["count"], day2["article_count"], maps[(2, "s")].total_word_count) == (2, 2, 3)
+    stored = kw.period_from_day_maps(kw.keywords_day_maps(lm, hits, p), "2024-01-01", "2024-01-02").collect()
+    assert [(r.word, r["count"], r.article_count) for r in stored] == [("cat", 4, 2)]
