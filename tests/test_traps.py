@@ -202,3 +202,18 @@ def test_t22_rollup_sink_replaces_only_touched_months(spark):
     write_rollup(fresh, path)                     # January only
     got = {(r.date.month, r.website): r.total_word_count for r in read_rollup(spark, path).collect()}
     assert got[(1, "a")] == 99 and got[(2, "a")] == 10
+
+
+def test_g1_day_without_tokens_and_repeated_hits(spark):
+    p = Params(languages=("lv",), sites=("a",))
+    lm = spark.createDataFrame([
+        (1, 1, "a", dt.date(2024, 1, 1), "lv", ["bad", "bad", "x"], ["bad", "bad", "x"]),
+        (2, 2, "a", dt.date(2024, 1, 2), "lv", [], []),                # a day with no tokens
+    ], "comment_id long, article_id long, website string, day date, comment_lang string, "
+       "lemmas array<string>, words array<string>").withColumn("lemma_count", F.size("lemmas"))
+    lex = spark.createDataFrame([("bad", "lv", 0.5)], "word string, language string, weight double")
+    got = {(r.date.day, r.website): (r.aggressive_word_count, r.aggressive_word_weight_sum, r.total_word_count,
+                                     r.aggressiveness_ratio)
+           for r in ro.aggressiveness_by_day(lm, lex, p, 1).collect()}
+    assert got[(1, "a")] == (2, 1.0, 3, 2 / 3)
+    assert got[(2, "a")] == (0, 0.0, 0, 0.0) and got[(2, "all")] == (0, 0.0, 0, 0.0)
