@@ -195,3 +195,34 @@ def q_lang_selector(spark, sf_dir):
     stack = "stack({}, {}) as (selector, n)".format(
         len(SELECTORS), ", ".join(f"'{s}', s{i}" for i, s in enumerate(SELECTORS)))
     return ctx.predictions.agg(*aggs).select(F.expr(stack))
+
+
+PERIOD_SQL = {
+    "week": "strftime(date_trunc('week', comment_timestamp) + INTERVAL 1 DAY - INTERVAL 1 WEEK, '%Y-%m-%d')",
+    "day": "strftime(date_trunc('day', comment_timestamp), '%Y-%m-%d')",
+}
+
+
+def pr_for(grain: str) -> str:
+    return PR.replace("strftime(date_trunc('month', comment_timestamp), '%Y-%m')", PERIOD_SQL[grain])
+
+
+@register("emotion_share_week", with_views(PV, pr_for("week"), """
+SELECT language, period, emotion, count,
+       CASE WHEN sum(count) OVER w > 0 THEN count / sum(count) OVER w ELSE 0.0 END AS share
+FROM dense WINDOW w AS (PARTITION BY language, period)"""))
+def q_emotion_share_week(spark, sf_dir):
+    """E4 at week grain (E8 labels)."""
+    return em.with_period_share(em.densify(counts(Ctx(spark, sf_dir), "week")))
+
+
+@register("comment_article_counts_day", with_views(PV, pr_for("day") + """,
+per AS (SELECT language, period, CAST(count(DISTINCT article_id) AS BIGINT) AS unique_articles,
+               CAST(count(*) AS BIGINT) AS total_comments FROM pr GROUP BY ALL)""", """
+SELECT * FROM per
+UNION ALL
+SELECT 'total', period, CAST(sum(unique_articles) AS BIGINT), CAST(sum(total_comments) AS BIGINT)
+FROM per GROUP BY period"""))
+def q_comment_article_counts_day(spark, sf_dir):
+    """E2 at day grain."""
+    return em.comment_article_counts(rows(Ctx(spark, sf_dir), "day"))
