@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import mixing
+from murmur.llm import mixing, tokens
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,17 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
 @register("op4_mixing", MIX_SQL)
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(Tables(spark, sf_dir).documents)
+
+
+#: The tokenizer file is found by name in the folder of public tokenizers; END_ID ends each document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+@register("op1_token_shards")
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(Tables(spark, sf_dir).documents, tokenizer_path(), END_ID)
