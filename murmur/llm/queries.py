@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import mixing, tokens
+from murmur.llm import jaccard, mixing, tokens
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def tokenizer_path() -> str:
 @register("op1_token_shards")
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(Tables(spark, sf_dir).documents, tokenizer_path(), END_ID)
+
+
+@register("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(Tables(spark, sf_dir).documents)
