@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import jaccard, mixing, tokens
+from murmur.llm import jaccard, mixing, quality, tokens
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_ngram_jaccard")
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(Tables(spark, sf_dir).documents)
+
+
+@register("op5_quality_perplexity")
+def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(Tables(spark, sf_dir).documents)
