@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import jaccard, mixing, quality, tokens
+from murmur.llm import jaccard, mixing, quality, substrings, tokens
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_quality_perplexity")
 def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(Tables(spark, sf_dir).documents)
+
+
+@register("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(Tables(spark, sf_dir).documents)
