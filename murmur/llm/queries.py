@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import jaccard, mixing, quality, substrings, tokens
+from murmur.llm import decontam, jaccard, mixing, quality, substrings, tokens
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,29 @@ def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(Tables(spark, sf_dir).documents)
+
+
+DECONTAM_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bl AS (SELECT item, w, least(len(w), 13) AS size FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win
+       FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM bl)),
+sizes AS (SELECT DISTINCT size FROM bl),
+dw AS (SELECT rid, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win
+       FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT rid, i, dw.size, item FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos ON d.rid = pos.rid LEFT JOIN it ON d.rid = it.rid
+"""
+
+
+@register("op9_decontamination", DECONTAM_SQL)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return decontam.contamination(t.documents, t.benchmark).drop("mark", "spans")
