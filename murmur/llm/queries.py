@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, mixing, quality, substrings, tokens
+from murmur.llm import decontam, jaccard, mixing, pages, quality, substrings, tokens, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,23 @@ FROM d LEFT JOIN pos ON d.rid = pos.rid LEFT JOIN it ON d.rid = it.rid
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return decontam.contamination(t.documents, t.benchmark).drop("mark", "spans")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS lead FROM k)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN lead IS NOT NULL AND lead IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN lead IS DISTINCT FROM page_id THEN lead END AS refers_to FROM r
+"""
+
+
+@register("op7_warc", WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(Tables(spark, sf_dir).pages).drop("target_uri")
+
+
+@register("op10_tag_path_ratios")
+def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(Tables(spark, sf_dir).pages)
