@@ -6,7 +6,7 @@ summed up and fused into one score (their geometric mean); the scores, in page o
 with a Gaussian window and nodes below a share of the highest are dropped.
 Paths weigh more inside an article or main element and nothing inside menus,
 headers and footers of the page, sidebars, forms, notices, adverts and comment
-sections.  Smoothing never crosses from one kind of path to another.
+sections; links outside content elements weigh little.  Smoothing never crosses from one kind of path to another.
 
 Markup is read by one regular expression; unclosed and stray tags are put
 right as browsers do for the common cases (a paragraph ends at the next block,
@@ -56,7 +56,9 @@ NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising ban
                         "recommended replies reply respond share sharing shares sidebar sidebars signup social sponsor sponsored "
                         "subscribe subscription teaser toolbar widget widgets complementary contentinfo skip tags toc".split())
 CONTENT_WORDS = frozenset("article story".split())
-PLAIN, CONTENT, NOISE = 0, 1, 2
+PLAIN, CONTENT, NOISE, LINK = 0, 1, 2, 3
+#: Weight of a path through a link outside content elements.
+LINK_WEIGHT = 0.2
 
 
 class Paths:
@@ -91,8 +93,10 @@ class Paths:
                 kind = NOISE
             elif tag not in ("html", "body", "article", "main") and words & NOISE_WORDS:
                 kind = NOISE
-            elif kind == PLAIN and (tag in CONTENT_TAGS or words & CONTENT_WORDS or (tag != "body" and "main" in words)):
+            elif kind in (PLAIN, LINK) and (tag in CONTENT_TAGS or words & CONTENT_WORDS or (tag != "body" and "main" in words)):
                 kind = CONTENT
+            if tag == "a" and kind == PLAIN:
+                kind = LINK
             found = self.number[key] = len(self.kind)
             self.kind.append(kind)
         return found
@@ -165,7 +169,8 @@ def main_text(source: str | None) -> str:
             marks[p] = marks.get(p, 0) + len(MARKS.findall(t))
     if not count:
         return ""
-    score = {p: math.sqrt(chars[p] / n * (1 + marks[p] / n)) * (CONTENT_WEIGHT if paths.kind[p] == CONTENT else 1.0) for p, n in count.items()}
+    weight_of = {PLAIN: 1.0, CONTENT: CONTENT_WEIGHT, LINK: LINK_WEIGHT}
+    score = {p: math.sqrt(chars[p] / n * (1 + marks[p] / n)) * weight_of[paths.kind[p]] for p, n in count.items()}
     seen = [k for k, (p, _, t) in enumerate(nodes) if not t.isspace()]
     raw = [score[nodes[k][0]] for k in seen]
     kind = [paths.kind[nodes[k][0]] for k in seen]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, mixing, pages, quality, substrings, tokens, warc
+from murmur.llm import decontam, jaccard, mixing, pages, quality, substrings, tokens, toxicity, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_tag_path_ratios")
 def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(Tables(spark, sf_dir).pages)
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return toxicity.toxicity(t.documents, t.labels)
