@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, mixing, pages, quality, substrings, tokens, toxicity, warc
+from murmur.llm import decontam, jaccard, licences, mixing, pages, quality, substrings, tokens, toxicity, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return toxicity.toxicity(t.documents, t.labels)
+
+
+@register("op2_licence_scan")
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(Tables(spark, sf_dir).documents)
