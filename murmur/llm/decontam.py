@@ -114,7 +114,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, percent: in
                       text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, items, n, percent, key, text).where("contaminated").select(F.col(key).alias("bad_key"), F.col("mark").alias("bad_mark"))
-    return docs.join(bad.distinct(), docs[key].eqNullSafe(F.col("bad_key")) & (F.xxhash64(docs[text]) == F.col("bad_mark")), "left_anti")
+    return docs.join(bad.distinct().hint("shuffle_hash"), docs[key].eqNullSafe(F.col("bad_key")) & (F.xxhash64(docs[text]) == F.col("bad_mark")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,11 +62,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), copies:
 
 def _queue(docs: DataFrame, weights, copies, budget, key, text, source) -> DataFrame:
     """One row per document: key, size, source_size, target, hash, cum (words of its source up to it)."""
-    sized = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+    sized = written(docs.select(F.col(key).alias("key"), F.xxhash64(text, source).alias("mark"), F.col(source).alias("source"),
+                                n_words(F.col(text)).alias("size"),
                                 F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("hash")), "mix-sizes")
     targets = source_targets(sized, weights, copies, budget)
     rows = (sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-            .select("d.key", "d.size", "d.hash", "t.source_size", "t.target",
+            .select("d.key", "d.mark", "d.size", "d.hash", "t.source_size", "t.target",
                     F.coalesce(F.concat(F.lit("="), F.col("d.source")), F.lit("null")).alias("queue"),
                     F.substring("d.hash", 1, BUCKET_DIGITS).alias("bucket")))
     sums = rows.groupBy("queue", "bucket").agg(F.sum("size").alias("n"))
@@ -82,12 +83,9 @@ def _finish(epoch: Column) -> Column:
     return (F.col("cum") + epoch * F.col("source_size")).cast("double") / F.col("target")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies: int = 3, budget: int | None = None,
+def _taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies: int = 3, budget: int | None = None,
         key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, size, source_size, target, taken): words the mix takes of each document, repeats counted.
-
-    ``budget`` is the size of the mix in words (default: all words of the input).
-    """
+    """``mix`` with a mark of text and source that tells rows of one id apart."""
     docs_q = written(_queue(docs, weights, copies, budget, key, text, source), "mix-queue")
     live = docs_q.where("size > 0 and target > 0")
     turns = live.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))) \
@@ -126,4 +124,28 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies: int = 3, bu
                 ahead = ahead | ((u == unit) & (s == slot) & (row <= end))
             taken = taken + ahead.cast("int")
     done = F.when(F.expr("size > 0 and target > 0"), F.col("size") * taken).otherwise(F.lit(0)).cast("long")
-    return docs_q.select(F.col("key").alias(key), "size", "source_size", "target", done.alias("taken"))
+    return docs_q.select("key", "mark", "size", "source_size", "target", done.alias("taken"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies: int = 3, budget: int | None = None,
+        key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(key, size, source_size, target, taken): words the mix takes of each document, repeats counted.
+
+    ``budget`` is the size of the mix in words (default: all words of the input).
+    """
+    return _taken(docs, weights, copies, budget, key, text, source).drop("mark").withColumnRenamed("key", key)
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies: int = 3, budget: int | None = None,
+                    key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken."""
+    rows = _taken(docs, weights, copies, budget, key, text, source)
+    turns = written(rows.where("taken > 0").select("key", "mark", F.expr("taken div size").alias("turns"))
+                    .groupBy("key", "mark").agg(F.sum("turns").alias("mix_turns"), F.count("*").alias("mix_rows"))
+                    .withColumnsRenamed({"key": "mix_key", "mark": "mix_mark"}), "mix-turns")
+    got = docs.join(turns.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("mix_key")) & (F.xxhash64(docs[text], docs[source]) == F.col("mix_mark")))
+    if turns.where("mix_rows > 1").limit(1).count():    # equal rows share what they were taken together
+        place = F.row_number().over(Window.partitionBy("mix_key", "mix_mark").orderBy("mix_mark"))
+        got = got.withColumn("mix_turns", F.expr("mix_turns div mix_rows") + (place <= F.expr("mix_turns % mix_rows")).cast("int"))
+    got = got.where("mix_turns > 0").withColumn("mix_turn", F.explode(F.expr("sequence(1, cast(mix_turns as int))")))
+    return got.select(*docs.columns)
