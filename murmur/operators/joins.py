@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, anti/semi shorthands."""
+"""Join helpers: size-checked broadcast."""
 
 from __future__ import annotations
 
@@ -20,11 +20,3 @@ def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     """
     n = known_rows if known_rows is not None else df.count()
     return F.broadcast(df) if n <= max_rows else df
-
-
-def semi(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(right, on, "left_semi")
-
-
-def anti(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    return left.join(right, on, "left_anti")

@@ -66,19 +66,10 @@ def backfill_site(rows: DataFrame, articles: DataFrame, key: str = "article_id")
     return rows.join(a, key, "left").withColumn("website", F.coalesce("_site", "website")).drop("_site")
 
 
-def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "article_id",
-                     max_batch_keys: int = 2_000_000) -> DataFrame:
+def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "article_id") -> DataFrame:
     """Rows of ``batch`` whose key is not in ``target`` (existing row wins).
 
-    The target grows without bound and the batch is one drop, so when the
-    batch's key set is proven small the join is flipped: the target's key
-    column is probed against the broadcast batch keys (no shuffle of the
-    target), and the few matches are anti-joined to the batch.  Above the
-    bound it is a plain shuffle anti-join.
+    Only the target's key column is read; AQE broadcasts or shuffles the keys
+    by their measured size.
     """
-    keys = batch.select(key).distinct()
-    n = keys.count()
-    if n > max_batch_keys:
-        return batch.join(target.select(key), key, "left_anti")
-    present = target.select(key).join(F.broadcast(keys), key, "left_semi")
-    return batch.join(present, key, "left_anti")
+    return batch.join(target.select(key), key, "left_anti")

@@ -46,10 +46,11 @@ def token_length_classifier(labels) -> Classifier:
     return classify
 
 
-def predict(comments: DataFrame, classifier: Classifier, text_col: str = "comment_text",
+def predict(comments: DataFrame, make: Callable[[], Classifier], text_col: str = "comment_text",
             keep: tuple[str, ...] = ("id",), sort_by_length: bool = True) -> DataFrame:
-    """M2/M4: run ``classifier`` over text batches; rows sorted by length inside each
-    partition so a padded batch holds texts of similar size (no extra shuffle).
+    """M2/M4: run the classifier that ``make`` builds, once per task, over text batches; rows
+    sorted by length inside each partition so a padded batch holds texts of
+    similar size (no extra shuffle).
     """
     src = comments.select(*keep, F.col(text_col).alias("_text"))
     if sort_by_length:
@@ -57,6 +58,7 @@ def predict(comments: DataFrame, classifier: Classifier, text_col: str = "commen
     schema = T.StructType([comments.schema[k] for k in keep] + [T.StructField("prediction", PREDICTION_TYPE)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classifier = make()
         for pdf in batches:
             res = pdf[list(keep)].copy()
             res["prediction"] = classifier(pdf["_text"])
@@ -76,19 +78,30 @@ def predictions_table(scored: DataFrame, prediction_type: str, digits: int = 5)
             .drop("_r", "prediction"))
 
 
-def predict_many(comments: DataFrame, models: dict[tuple[str, str], Classifier], lang_col: str = "comment_lang",
+def predict_many(comments: DataFrame, models: dict[tuple[str, str], Callable[[], Classifier]], lang_col: str = "comment_lang",
                  text_col: str = "comment_text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """M3: several (prediction type, language) models; empty texts and other languages skipped.
+    """M3: several (prediction type, language) models in one pass; empty texts and other languages skipped.
 
-    Output is long: one row per comment and prediction type.
+    Output is long: one row per comment and prediction type.  A task builds a
+    model when it first meets its language.
     """
-    parts = []
-    for (kind, lang), clf in models.items():
-        src = comments.where((F.col(lang_col) == lang) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
-        scored = predict(src, clf, text_col, keep)
-        parts.append(predictions_table(scored, "m").withColumn("prediction_type", F.lit(kind))
-                     .withColumn("language", F.lit(lang)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    src = comments.where(F.col(lang_col).isin(sorted({lang for _, lang in models})) & (F.length(F.col(text_col)) > 0)) \
+                  .select(*keep, F.col(lang_col).alias("language"), F.col(text_col).alias("_text"))
+    schema = T.StructType([comments.schema[k] for k in keep]
+                          + [T.StructField("language", T.StringType()), T.StructField("prediction_type", T.StringType()),
+                             T.StructField("prediction", PREDICTION_TYPE)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict[tuple[str, str], Classifier] = {}
+        for pdf in batches:
+            for lang, rows in pdf.groupby("language"):
+                for (kind, own), make in models.items():
+                    if own == lang:
+                        if (kind, own) not in loaded:
+                            loaded[kind, own] = make()
+                        res = rows[[*keep, "language"]].copy()
+                        res["prediction_type"] = kind
+                        res["prediction"] = loaded[kind, own](rows["_text"])
+                        yield res
+
+    return predictions_table(src.mapInPandas(run, schema), "m")

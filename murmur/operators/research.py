@@ -103,23 +103,24 @@ def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int
                             .cast("long"))
 
 
-def quota_sample(comments: DataFrame, plan: DataFrame, max_per_cell: int = MAX_PER_CELL) -> DataFrame:
+def quota_sample(comments: DataFrame, plan: DataFrame) -> DataFrame:
     """N8 sample: per cell, proportional ceil quotas over non-NULL strata, then the
     exact take: quota rows first (hash order), topped up by the other rows (T15).
 
     Candidates come from one window over (cell, confidence bucket, length
-    bucket) — NULL buckets form their own group — cut at ``max_per_cell``:
-    every row that can be picked has at most take-1 ≤ 5 picked rows ahead of
-    it in its group, so the cut loses nothing, and Spark applies it as a
-    partial top-k before the shuffle.
+    bucket) — NULL buckets form their own group — cut at the plan's largest
+    take: every row that can be picked has at most take-1 picked rows ahead
+    of it in its group, so the cut loses nothing, and as a number known when
+    the plan is made Spark applies it as a partial top-k before the shuffle.
     """
+    most = plan.agg(F.max("take")).first()[0] or 0
     cell = ["cluster", "emotion"]
     group = cell + ["confidence_cat", "length_cat"]
     rows = (comments.join(plan.where(F.col("take") > 0).select(*cell, "available", "take"), cell)
             .withColumn("_h", mix_hash("id", ROW_SEED))
             .withColumn("_strat", F.col("confidence_cat").isNotNull() & F.col("length_cat").isNotNull()))
     wg = Window.partitionBy(*group).orderBy("_h", "id")
-    cand = rows.withColumn("_rs", F.row_number().over(wg)).where(F.col("_rs") <= max_per_cell)
+    cand = rows.withColumn("_rs", F.row_number().over(wg)).where(F.col("_rs") <= F.lit(int(most)))
     sizes = rows.where("_strat").groupBy(*group).agg(F.count(F.lit(1)).alias("_ns"))
     in_strata = sizes.groupBy(*cell).agg(F.sum("_ns").alias("_nt"))
     cand = (cand.join(sizes, group, "left").join(in_strata, cell, "left"))

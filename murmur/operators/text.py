@@ -49,9 +49,10 @@ def lemmatize(comments: DataFrame, lemma_table: DataFrame | None = None,
     if lemma_table is None:
         out = base.withColumn("lemmas", F.col("words"))
     else:
+        # a form with several lemmas takes the first in order, else tokens would multiply
         lt = broadcast_checked(
-            lemma_table.select(F.col("language").alias("_lang"), F.col("form").alias("_form"),
-                               F.lower("lemma").alias("_lemma")),
+            lemma_table.groupBy(F.col("language").alias("_lang"), F.col("form").alias("_form"))
+            .agg(F.min(F.lower("lemma")).alias("_lemma")),
             known_rows=lemma_rows_bound)
         exploded = base.select("comment_id", "_lang", *keep,
                                F.posexplode_outer("words").alias("pos", "_form"))

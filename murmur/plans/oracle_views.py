@@ -52,11 +52,11 @@ VIEWS: dict[str, str] = {
                        / (len(regexp_extract_all(c_name, '[Ѐ-ӿ]')) + len(regexp_extract_all(c_name, '[A-Za-zĀ-ž]')))
                        > 0.85 THEN 'ru'
               ELSE 'lv' END AS headline_lang
-  FROM customer WHERE c_custkey % 10 <> 0""",
+  FROM customer""",
     "fx_predictions": """
   SELECT o_orderkey AS id,
          CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey END AS comment_id,
-         o_custkey AS article_id,
+         CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS article_id,
          o_orderdate AS comment_timestamp,
          CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 50 = 1 THEN ''
               ELSE o_orderpriority END AS ekman_prediction_emotion,

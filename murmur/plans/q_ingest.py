@@ -10,6 +10,7 @@ from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, register
 from murmur.session import scratch_path
 from murmur.sources import files as fl
+from murmur.sources import fixtures as fx
 from murmur.sources.drops import write_drop
 
 BASE_ID = 1_000_000
@@ -18,10 +19,8 @@ DROP_YEAR = "2024"
 
 
 def comment_drop(ctx: Ctx, root: str) -> str:
-    c = ctx.t.documents.select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit("rus")).when(F.col("doc_id") % 3 == 1, F.lit("lat"))
-        .alias("region"))
-    d = ctx.t.documents.join(c, "doc_id")
+    d = ctx.t.documents.withColumn("region", F.when(F.col("doc_id") % 3 == 0, F.lit("rus"))
+                                   .when(F.col("doc_id") % 3 == 1, F.lit("lat")))
     cols = [F.col("region"), F.col("doc_id") % 97, F.col("source"), F.lit(None),
             F.date_format(F.date_add(F.lit("2024-01-10").cast("date"), ((F.col("doc_id") * 37) % 149).cast("int")),
                           "yyyy-MM-dd 00:00:00"),
@@ -31,7 +30,7 @@ def comment_drop(ctx: Ctx, root: str) -> str:
 
 def article_drop(ctx: Ctx, root: str) -> str:
     o = ctx.t.orders
-    cols = [F.when(F.col("o_orderstatus") == "O", F.lit("rus")).otherwise(F.lit("lat")), F.col("o_custkey"),
+    cols = [F.when(F.col("o_orderstatus") == "O", F.lit("rus")).otherwise(F.lit("lat")), fx.shifted_article("o_custkey"),
             F.concat(F.col("o_orderpriority"), F.lit(" #"), F.col("o_orderkey").cast("string")),
             F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
             F.concat(F.lit("https://www.delfi.lv/"), F.col("o_custkey").cast("string"))]
@@ -71,7 +70,7 @@ def q_load_comments(spark, sf_dir):
 
 
 ART_SQL = f"""
-a AS (SELECT o_custkey AS article_id,
+a AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS article_id,
              arg_min(CASE WHEN o_orderstatus = 'O' THEN 'rus' ELSE 'lat' END, o_orderkey) AS region,
              arg_min(o_orderpriority || ' #' || CAST(o_orderkey AS VARCHAR), o_orderkey) AS headline,
              arg_min(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderkey) AS pub_timestamp,

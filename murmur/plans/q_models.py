@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from murmur.operators import emotion_keywords as ek
@@ -101,7 +103,7 @@ def q_predict_pending(spark, sf_dir):
     """M2: pending comments (J3) → classifier plug-in (mapInPandas) → M1."""
     ctx = Ctx(spark, sf_dir)
     pending = lk.pending_predict(ctx.comments, ctx.articles, ctx.predictions, ctx.params)
-    scored = md.predict(pending, md.token_length_classifier(PP.emotions), "comment_text", ("id",))
+    scored = md.predict(pending, partial(md.token_length_classifier, PP.emotions), "comment_text", ("id",))
     out = md.predictions_table(scored, KIND)
     return out.select("id", "ekman_prediction_emotion", "ekman_prediction_score")
 
@@ -133,7 +135,7 @@ FROM (SELECT id, language, [{scores}] AS s FROM tk)""")
 tk AS (SELECT id, comment_lang AS language,
               regexp_extract_all(lower(comment_text), '\\p{{L}}+') AS toks
        FROM fx_comments
-       WHERE comment_lang IN ({sql_list(P.languages[:2])}) AND length(coalesce(comment_text, '')) > 0)""",
+       WHERE comment_lang IN ({sql_list(P.languages)}) AND length(coalesce(comment_text, '')) > 0)""",
                       "\nUNION ALL\n".join(parts))
 
 
@@ -141,7 +143,7 @@ tk AS (SELECT id, comment_lang AS language,
 def q_predict_two_label_sets(spark, sf_dir):
     """M3: two label sets per comment, one model per (type, language); empty texts skipped."""
     ctx = Ctx(spark, sf_dir)
-    models = {(kind, lang): md.token_length_classifier(labels)
-              for kind, labels in M3_LABELS.items() for lang in P.languages[:2]}
+    models = {(kind, lang): partial(md.token_length_classifier, labels)
+              for kind, labels in M3_LABELS.items() for lang in P.languages}
     out = md.predict_many(ctx.comments, models)
     return out.select("id", "prediction_type", "language", "m_prediction_emotion", "m_prediction_score")

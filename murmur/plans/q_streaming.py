@@ -10,6 +10,7 @@ from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.session import scratch_path
 from murmur.sources import files as fl
+from murmur.sources import fixtures as fx
 from murmur.streaming import streams as st
 
 
@@ -28,13 +29,16 @@ def q_stream_ingest(spark, sf_dir):
 
 @register("stream_aggr_by_day", qr.AGGR_BY_DAY_SQL)
 def q_stream_aggr_by_day(spark, sf_dir):
-    """Streaming daily rollup over the documents files; equals ``aggr_by_day``."""
+    """The documents arrive in three drops with mixed days; the streamed rollup equals ``aggr_by_day``."""
     ctx = Ctx(spark, sf_dir)
     root = scratch_path(spark, "stream-rollup")
-    schema = ctx.t.documents.schema
-    out = st.stream_rollup(spark, sf_dir, ctx.lexicon, ctx.params, f"{root}/sink", f"{root}/checkpoint",
-                           schema, lexicon_rows=ctx.lexicon_rows,
-                           state_partitions=2 * spark.sparkContext.defaultParallelism)
+    docs = ctx.t.documents
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).write.parquet(f"{root}/drops/{k}")
+    stream = (spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", max(1, spark.sparkContext.defaultParallelism // 2)).parquet(f"{root}/drops"))
+    out = st.stream_rollup(fx.comments_from(stream), ctx.lexicon, ctx.params, f"{root}/sink", f"{root}/checkpoint",
+                           lexicon_rows=ctx.lexicon_rows)
     return flat(out.select("date", "language", "website", "aggressive_word_count", "aggressive_word_weight_sum",
                            "total_word_count", "aggressiveness_ratio", "weighted_aggressiveness_ratio"))
 
@@ -48,9 +52,7 @@ def q_stream_insert_if_absent(spark, sf_dir):
     root = scratch_path(spark, "stream-insert")
     drop = qi.article_drop(ctx, f"{root}/drops")
     target = f"{root}/target"
-    (ctx.articles.select(F.col("region") if "region" in ctx.articles.columns else F.lit(None).cast("string").alias("region"),
-                         "article_id", "headline", F.col("pub_day").cast("string").alias("pub_timestamp"), "url")
-     .write.mode("overwrite").parquet(target))
-    out = st.stream_insert_if_absent(spark, drop, fl.ARTICLE_COLUMNS, target, f"{root}/inserted",
-                                     f"{root}/checkpoint")
+    st.start_target(ctx.articles.select(F.lit(None).cast("string").alias("region"), "article_id", "headline",
+                                        F.col("pub_day").cast("string").alias("pub_timestamp"), "url"), target)
+    out = st.stream_insert_if_absent(spark, drop, fl.ARTICLE_COLUMNS, target, f"{root}/checkpoint")
     return out.select("article_id", "region", "headline", "pub_timestamp", "url")

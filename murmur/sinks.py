@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmur.session import path_exists, scratch_path
+
 
 def write_rollup(df: DataFrame, path: str, date_col: str = "date", by=("language",)) -> None:
     """Write a daily rollup partitioned by (language, month).
 
-    Dynamic partition overwrite replaces only the months present in ``df``,
-    so recomputing touched days (T22) rewrites those months and leaves the
-    rest of the table alone; readers filtering on a date range prune months.
+    ``df`` holds whole days.  The stored days of a touched month that ``df``
+    does not have are merged in before the month's partition is replaced
+    (dynamic overwrite), so rewriting a day (T22) leaves all other days as
+    they are.  The merged months are staged in the shared checkpoint folder.
     """
+    spark, keys = df.sparkSession, [*by, "month"]
     out = df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
-    (out.repartition(*by, "month").write.mode("overwrite")
+    if path_exists(spark, path):
+        old = spark.read.schema(out.schema).parquet(path)
+        kept = (old.join(out.select(*keys).distinct(), keys, "left_semi")
+                .join(out.select(*by, date_col).distinct(), [*by, date_col], "left_anti"))
+        staged = scratch_path(spark, "rollup")
+        out.unionByName(kept).write.parquet(staged)
+        out = spark.read.schema(out.schema).parquet(staged)
+    (out.repartition(*keys).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by, "month").parquet(path))
+        .partitionBy(*keys).parquet(path))
 
 
 def read_rollup(spark, path: str) -> DataFrame:

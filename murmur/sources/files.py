@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.operators.lexicon import CATEGORIES
 from murmur.params import Params
+from murmur.session import path_exists
 
 # Column order of the header-less drop files.
 COMMENT_COLUMNS = ("region", "article_id", "user_nickname", "encoded_ip", "timestamp", "comment_text")
@@ -88,11 +90,29 @@ def read_lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
 # rank/word/paradigm/frequency/weight then 11 category cells).
 HTML_TABLE_ID = "data_table"
 HTML_MIN_CELLS = 16
-HTML_CATEGORIES = 11
+# Character references by name; numeric ones are computed.
+HTML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def _decode_references(c: Column) -> Column:
+    """Named and numeric character references of a text; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for kv in HTML_NAMES.items() for x in kv])
+    parts = F.split(c, "&", -1)
+
+    def decode(s: Column, i: Column) -> Column:
+        name = F.regexp_extract(s, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1)
+        rest = F.substring(s, F.length(name) + 2, F.length(s))
+        hexed = F.when(name.rlike("^#[xX]"), F.upper(F.substring(name, F.lit(3), F.length(name)))) \
+                 .when(name.startswith("#"), F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16))
+        char = F.when(hexed.isNotNull(), F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")) \
+                .otherwise(F.try_element_at(names, name))
+        return F.when(i == 0, s).when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), s))
+    return F.array_join(F.transform(parts, decode), "")
 
 
 def _strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"&nbsp;", " "))
+    text = _decode_references(F.regexp_replace(c, r"<[^>]*>", ""))
+    return F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"^\s+|\s+$", "")
 
 
 def html_lexicon_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -103,7 +123,7 @@ def html_lexicon_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     a decimal comma; a category flag is set when its cell holds an image.
     """
     table = F.regexp_extract(F.col(html_col),
-                             r'(?is)<table[^>]*id="' + HTML_TABLE_ID + r'"[^>]*>(.*?)</table>', 1)
+                             r"(?is)<table[^>]*\bid\s*=\s*[\"']?" + HTML_TABLE_ID + r"\b[\"']?[^>]*>(.*?)</table>", 1)
     body = F.regexp_extract(table, r"(?is)<tbody[^>]*>(.*?)</tbody>", 1)
     rows = pages.select(F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("tr"))
     cells = rows.select(F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1).alias("td"))
@@ -111,27 +131,24 @@ def html_lexicon_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rank = F.regexp_replace(_strip_tags(F.col("td")[0]), r"\.+$", "")
     link = F.regexp_extract(F.col("td")[1], r"(?is)<a[^>]*>(.*?)</a>", 1)
     has_link = F.col("td")[1].rlike(r"(?is)<a[^>]*>.*?</a>")
-    freq = F.regexp_replace(_strip_tags(F.col("td")[3]), "[ ,]", "")
+    freq = F.regexp_replace(_strip_tags(F.col("td")[3]), r"[\s,]", "")
     weight = F.regexp_replace(_strip_tags(F.col("td")[4]), ",", ".")
     out = cells.where(rank.rlike(r"^[0-9]+$") & has_link).select(
         rank.cast("int").alias("rank"), _strip_tags(link).alias("word"),
         _strip_tags(F.col("td")[2]).alias("paradigm"), freq.try_cast("long").alias("frequency"),
         weight.try_cast("double").alias("weight"),
         *[F.col("td")[5 + i].rlike(r"(?i)<img").cast("int").alias(c)
-          for i, c in enumerate(("DISKRIM", "LAMUV", "NETAISN", "AICIN", "DARB", "PERS", "ASOC", "MILIT",
-                                 "NOSOD", "EMOC", "NODEV"))])
+          for i, c in enumerate(CATEGORIES)])
     return out
 
 
 def read_stopwords(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """One word per line per language; trimmed, de-duplicated; a missing file → none."""
-    import os
-    parts = []
-    for lang, path in paths.items():
-        if not os.path.exists(path) and "://" not in path:
-            continue
-        parts.append(spark.read.text(path).select(F.lit(lang).alias("language"),
-                                                  F.trim("value").alias("word")))
+    """One word per line per language; trimmed, de-duplicated; a missing file → none.
+
+    Paths are looked up in the file system Spark resolves them to.
+    """
+    parts = [spark.read.text(path).select(F.lit(lang).alias("language"), F.trim("value").alias("word"))
+             for lang, path in paths.items() if path_exists(spark, path)]
     if not parts:
         return spark.createDataFrame([], "language string, word string")
     out = parts[0]

@@ -38,6 +38,7 @@ STOPWORD_ROWS = (
     ("ru", "el"), ("ru", "the"),
 )
 SAMPLE_CLUSTERS = 20
+ORPHAN_SHIFT = 10_000_000
 
 FIXTURE_PARAMS = Params(
     languages=("en", "fr", "de", "es"),
@@ -82,8 +83,8 @@ def comments_from(d: DataFrame) -> DataFrame:
 
 
 def articles(t: Tables) -> DataFrame:
-    """D2 articles from customers; every tenth key is missing (orphan comments)."""
-    c = t.customer.where(F.col("c_custkey") % 10 != 0)
+    """D2 articles from customers."""
+    c = t.customer
     key = F.col("c_custkey")
     return c.select(
         key.alias("article_id"),
@@ -97,6 +98,11 @@ def articles(t: Tables) -> DataFrame:
      .withColumn("headline_lang", detect_language("headline", F.lit(None).cast("string")))
 
 
+def shifted_article(key: str) -> Column:
+    """Article id of a customer key; every tenth names an article that is not stored."""
+    return F.when(F.col(key) % 10 == 0, F.col(key) + ORPHAN_SHIFT).otherwise(F.col(key))
+
+
 def predictions(t: Tables) -> DataFrame:
     """D3 predictions from orders.  Status P rows have no comment link."""
     o = t.orders
@@ -108,7 +114,7 @@ def predictions(t: Tables) -> DataFrame:
     return o.select(
         key.alias("id"),
         F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("bigint")).otherwise(key).alias("comment_id"),
-        F.col("o_custkey").alias("article_id"),
+        shifted_article("o_custkey").alias("article_id"),
         F.col("o_orderdate").alias("comment_timestamp"),
         F.when(key % 50 == 0, F.lit(None).cast("string"))
          .when(key % 50 == 1, F.lit(""))

@@ -11,16 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from murmur.operators.ingest import first_per_key
 from murmur.operators.lookups import insert_if_absent
 from murmur.operators.lexicon import token_measures
+from murmur.operators.rollups import aggressiveness_by_day
 from murmur.operators.text import lemmatize
 from murmur.params import Params
-from murmur.sources import fixtures as fx
 
 ROLLUP = ["date", "language", "website"]
+SUMS = ["aggressive_word_count", "aggressive_word_weight_sum", "total_word_count"]
 
 
 def _run(writer, available_now: bool = True, timeout_s: float | None = None, spark: SparkSession | None = None,
@@ -70,21 +70,20 @@ def stream_ingest(spark: SparkSession, drop_dir: str, columns, sink_dir: str, ch
     return spark.read.parquet(sink_dir)
 
 
-def rollup_stream(documents: DataFrame, lexicon: DataFrame, params: Params, lexicon_rows: int | None = None,
-                  watermark: str = "2 days") -> DataFrame:
-    """S2 body over a documents-shaped stream (fixture projection to comments)."""
-    return rollup_comments_stream(fx.comments_from(documents), lexicon, params, lexicon_rows, watermark)
+def comments_of_stream(c: DataFrame, params: Params) -> DataFrame:
+    return c.where(F.col("comment_lang").isin(list(params.languages)) & F.col("website").isin(list(params.sites)))
 
 
 def rollup_comments_stream(c: DataFrame, lexicon: DataFrame, params: Params, lexicon_rows: int | None = None,
                            watermark: str = "2 days") -> DataFrame:
-    """S2 body: G1+G2 sums per (date, language, scope) on a streaming comments frame.
+    """S2 in append mode: G1+G2 sums per (date, language, scope) as a stateful stream.
 
     Scopes come from exploding each row into its site and ``all`` (grouping
-    sets are a batch feature); the event-time watermark bounds the state and
-    drops rows that arrive later than it.
+    sets are a batch feature).  The watermark bounds the state: a day is
+    written once, after the watermark has passed it, and rows that arrive
+    later than that are dropped.  ``stream_rollup`` loses no row.
     """
-    c = c.where(F.col("comment_lang").isin(list(params.languages)) & F.col("website").isin(list(params.sites)))
+    c = comments_of_stream(c, params)
     c = c.withColumn("event_ts", F.col("day").cast("timestamp")).withWatermark("event_ts", watermark)
     lm = lemmatize(c, keep=("website", "day", "comment_lang", "event_ts"))
     src = lm.select(F.col("day").alias("date"), F.col("comment_lang").alias("language"), "website",
@@ -98,55 +97,63 @@ def rollup_comments_stream(c: DataFrame, lexicon: DataFrame, params: Params, lex
             .drop("event_ts"))
 
 
-def run_rollup_stream(agg: DataFrame, sink_dir: str, checkpoint_dir: str, output_mode: str = "update",
-                      available_now: bool = True, state_partitions: int | None = None):
-    """Start S2.  ``update``: each micro-batch appends its changed rows with the batch
-    id (readers take the latest, ``latest_rollup``).  ``append``: a day is written
-    once, after the watermark passes it; late rows are dropped."""
-    if output_mode == "append":
-        w = (agg.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
-             .option("checkpointLocation", checkpoint_dir))
-        return _run(w, available_now, spark=agg.sparkSession, state_partitions=state_partitions)
+def run_append_rollup(agg: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool = True,
+                      state_partitions: int | None = None):
+    """Start the append-mode rollup into a parquet sink."""
+    w = (agg.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir))
+    return _run(w, available_now, spark=agg.sparkSession, state_partitions=state_partitions)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(sink_dir)
 
-    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir).foreachBatch(upsert)
-    return _run(w, available_now, spark=agg.sparkSession, state_partitions=state_partitions)
+def add_rollup_batch(comments: DataFrame, batch_id: int, lexicon: DataFrame, params: Params, sink_dir: str,
+                     lexicon_rows: int | None = None) -> None:
+    """Write the partial sums of one micro-batch under its id; a replayed batch replaces its own."""
+    lm = lemmatize(comments, keep=("website", "day", "comment_lang"))
+    part = aggressiveness_by_day(lm, lexicon, params, lexicon_rows).select(*ROLLUP, *SUMS)
+    part.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
 
-def stream_rollup(spark: SparkSession, source_dir: str, lexicon: DataFrame, params: Params, sink_dir: str,
-                  checkpoint_dir: str, schema: T.StructType, glob: str = "documents.parquet",
-                  lexicon_rows: int | None = None, available_now: bool = True,
-                  state_partitions: int | None = None) -> DataFrame:
-    """S2 over a folder of documents files, update mode; returns the latest rollup.
+def stream_rollup(comments: DataFrame, lexicon: DataFrame, params: Params, sink_dir: str, checkpoint_dir: str,
+                  lexicon_rows: int | None = None, available_now: bool = True) -> DataFrame:
+    """Daily rollup of a streaming comments frame; returns the rollup of all batches so far.
 
-    Append mode (``run_rollup_stream(..., output_mode="append")``) writes a
-    day once the watermark has passed it, which is what the reference does
-    in effect (T22); update mode keeps days correct when late rows arrive.
+    Every micro-batch adds its partial sums, so a day stays right however late
+    its rows arrive, without state and without a watermark.
     """
-    docs = (spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir))
-    agg = rollup_stream(docs, lexicon, params, lexicon_rows)
-    run_rollup_stream(agg, sink_dir, checkpoint_dir, "update", available_now, state_partitions)
-    return latest_rollup(spark.read.parquet(sink_dir))
+    spark = comments.sparkSession
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_rollup_batch(batch, batch_id, lexicon, params, sink_dir, lexicon_rows)
 
+    _run(comments.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(add), available_now)
+    return read_rollup_batches(spark, sink_dir)
 
-def latest_rollup(versions: DataFrame) -> DataFrame:
-    """Latest version per key (max_by over the batch id), ratios added."""
-    cols = ["aggressive_word_count", "aggressive_word_weight_sum", "total_word_count"]
-    last = versions.groupBy(*ROLLUP).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v")).select(*ROLLUP, "_v.*")
+
+def read_rollup_batches(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The rollup: partial sums of all batches added up, ratios computed."""
+    total = spark.read.parquet(sink_dir).groupBy(*ROLLUP).agg(*[F.sum(c).alias(c) for c in SUMS])
     t = F.col("total_word_count")
-    return (last.withColumn("aggressiveness_ratio",
-                            F.when(t > 0, F.col("aggressive_word_count") / t).otherwise(F.lit(0.0)))
+    return (total.withColumn("aggressiveness_ratio",
+                             F.when(t > 0, F.col("aggressive_word_count") / t).otherwise(F.lit(0.0)))
             .withColumn("weighted_aggressiveness_ratio",
                         F.when(t > 0, F.col("aggressive_word_weight_sum") / t).otherwise(F.lit(0.0))))
 
 
-def stream_insert_if_absent(spark: SparkSession, drop_dir: str, columns, target_dir: str, inserted_dir: str,
-                            checkpoint_dir: str, key: str = "article_id", available_now: bool = True,
+def start_target(rows: DataFrame, target_dir: str) -> None:
+    """Write the first rows of a table that ``stream_insert_if_absent`` adds to."""
+    rows.write.mode("overwrite").parquet(f"{target_dir}/batch_id=-1")
+
+
+def stream_insert_if_absent(spark: SparkSession, drop_dir: str, columns, target_dir: str, checkpoint_dir: str,
+                            key: str = "article_id", available_now: bool = True,
                             max_files_per_trigger: int | None = None) -> DataFrame:
     """S3: per micro-batch, the first row per key in file order, minus keys already in
-    the target (existing row wins); new rows are appended to the target."""
+    the target (existing row wins); returns the rows the stream has added.
+
+    The target is partitioned by batch id.  A batch is held against the rows
+    of all other batches and replaces its own partition, so a batch that is
+    replayed after a failure changes nothing.
+    """
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -154,25 +161,25 @@ def stream_insert_if_absent(spark: SparkSession, drop_dir: str, columns, target_
                                     F.col("_metadata.file_block_start").alias("block_start"))
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("row_pos", F.monotonically_increasing_id())
-        parts = F.split(F.col("value"), "\t", -1)
-        cols = []
-        for i, c in enumerate(columns):
-            v = F.when(F.size(parts) > i, F.element_at(parts, i + 1))
-            v = F.when(v == "", F.lit(None).cast("string")).otherwise(v)
-            cols.append((v.try_cast("long") if c == key else v).alias(c))
-        parsed = (b.where((F.col("value") != "") & (F.size(parts) <= len(columns)))
-                  .select(*cols, "file_path", "block_start", "row_pos"))
-        first = first_per_key(parsed.where(F.col(key).isNotNull()), key) \
-            .drop("file_path", "block_start", "row_pos")
-        new = insert_if_absent(first, spark.read.parquet(target_dir), key) \
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        new.write.mode("append").parquet(inserted_dir)
-        # re-read the written rows: ``new`` itself depends on the target it is added to
-        written = spark.read.schema(new.schema).parquet(inserted_dir).where(F.col("batch_id") == batch_id)
-        target_cols = spark.read.parquet(target_dir).columns
-        written.select(*target_cols).write.mode("append").parquet(target_dir)
-
-    w = lines.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(insert)
-    _run(w, available_now)
-    return spark.read.parquet(inserted_dir).drop("batch_id")
+        insert_batch(batch, batch_id, columns, target_dir, key)
+
+    _run(lines.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(insert), available_now)
+    return spark.read.parquet(target_dir).where("batch_id >= 0").drop("batch_id")
+
+
+def insert_batch(batch: DataFrame, batch_id: int, columns, target_dir: str, key: str = "article_id") -> None:
+    """One micro-batch of S3."""
+    b = batch.withColumn("row_pos", F.monotonically_increasing_id())
+    parts = F.split(F.col("value"), "\t", -1)
+    cols = []
+    for i, c in enumerate(columns):
+        v = F.when(F.size(parts) > i, F.element_at(parts, i + 1))
+        v = F.when(v == "", F.lit(None).cast("string")).otherwise(v)
+        cols.append((v.try_cast("long") if c == key else v).alias(c))
+    parsed = (b.where((F.col("value") != "") & (F.size(parts) <= len(columns)))
+              .select(*cols, "file_path", "block_start", "row_pos"))
+    first = first_per_key(parsed.where(F.col(key).isNotNull()), key).drop("file_path", "block_start", "row_pos")
+    target = batch.sparkSession.read.parquet(target_dir)
+    others = target.where(F.col("batch_id") != batch_id)
+    new = insert_if_absent(first, others, key).select(*[c for c in target.columns if c != "batch_id"])
+    new.write.mode("overwrite").parquet(f"{target_dir}/batch_id={batch_id}")

@@ -126,3 +126,47 @@ def test_a1_bad_numeric_field_becomes_null_not_an_error(spark):
     _write(f"{d}/c_2024.txt", "lat\tnot-a-number\tn\tip\tts\ttext\nlat\t7\tn\tip\tts\ttext\n")
     rows = fl.valid_rows(fl.read_tsv(spark, d, fl.COMMENT_COLUMNS)).orderBy("row_pos").collect()
     assert [r.article_id for r in rows] == [None, 7]
+
+
+def test_html_rows_with_line_breaks_quotes_and_references(spark):
+    cells = lambda rank, word, weight: (f"<td>\n {rank}. \n</td><td><a href='x'>\n{word} </a></td><td>p</td><td>1&nbsp;234</td><td>{weight}</td>"
+                                        + "<td><img src=x></td>" + "<td></td>" * 10)
+    page = f"<table class=a id='data_table'><tbody><tr>{cells(1, 'v&#257;rds &amp; x&#x41;', '0,5')}</tr><tr>{cells('no', 'q', '1')}</tr></tbody></table>"
+    rows = fl.html_lexicon_rows(spark.createDataFrame([(page,)], "html string")).collect()
+    assert [(r["rank"], r["word"], r["frequency"], r["weight"], r["DISKRIM"], r["LAMUV"]) for r in rows] == [(1, "vārds & xA", 1234, 0.5, 1, 0)]
+
+
+def test_stopwords_by_a_path_without_a_scheme(spark, tmp_path):
+    (tmp_path / "lv.txt").write_text("un\n un \n\nir\n", encoding="utf-8")
+    got = fl.read_stopwords(spark, {"lv": str(tmp_path / "lv.txt"), "ru": str(tmp_path / "none.txt")})
+    assert sorted((r.language, r.word) for r in got.collect()) == [("lv", "ir"), ("lv", "un")]
+
+
+def test_rewriting_a_day_leaves_the_other_days(spark, tmp_path):
+    import datetime as dt
+    from murmur.sinks import read_rollup, write_rollup
+    schema = "date date, language string, website string, n long"
+    days = [(dt.date(2024, 1, k), lang, "all", k) for k in (1, 2, 3) for lang in ("lv", "ru")] + [(dt.date(2024, 2, 1), "lv", "all", 9)]
+    write_rollup(spark.createDataFrame(days, schema), str(tmp_path / "r"))
+    write_rollup(spark.createDataFrame([(dt.date(2024, 1, 2), "lv", "all", 200), (dt.date(2024, 1, 2), "lv", "site", 7)], schema), str(tmp_path / "r"))
+    got = sorted((r.date.isoformat(), r.language, r.website, r.n) for r in read_rollup(spark, str(tmp_path / "r")).collect())
+    want = sorted([(d.isoformat(), lang, w, n) for d, lang, w, n in days if (d, lang) != (dt.date(2024, 1, 2), "lv")]
+                  + [("2024-01-02", "lv", "all", 200), ("2024-01-02", "lv", "site", 7)])
+    assert got == want
+
+
+def test_no_private_folder_on_a_cluster():
+    import pytest
+    from murmur.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session)

@@ -1,5 +1,7 @@
 """Model plug-in points (X3, M2-M4) with small pandas functions."""
 
+from functools import partial
+
 import pandas as pd
 
 from murmur.operators import models as md
@@ -23,7 +25,7 @@ def test_x3_lemmatizer_hook(spark):
 
 def test_m2_default_classifier_and_argmax(spark):
     comments = spark.createDataFrame([(1, "aa bbb cc"), (2, None)], "id long, comment_text string")
-    scored = md.predict(comments, md.token_length_classifier(["x", "y"]), "comment_text", ("id",))
+    scored = md.predict(comments, partial(md.token_length_classifier, ["x", "y"]), "comment_text", ("id",))
     rows = {r.id: r for r in md.predictions_table(scored, "ekman").collect()}
     # two labels: lengths 2,3,2 → len%2: 0,1,0 → x=(1+2)/5, y=(1+1)/5
     assert rows[1].ekman_prediction_emotion == "x" and rows[1].ekman_prediction_score == 0.6
@@ -34,9 +36,9 @@ def test_m2_default_classifier_and_argmax(spark):
 def test_m3_several_models_skip_empty_and_other_languages(spark):
     comments = spark.createDataFrame([(1, "aa", "lv"), (2, "bb", "ru"), (3, "", "lv"), (4, "cc", "en")],
                                      "id long, comment_text string, comment_lang string")
-    models = {("ekman", "lv"): md.token_length_classifier(["a", "b"]),
-              ("normal", "lv"): md.token_length_classifier(["c"]),
-              ("ekman", "ru"): md.token_length_classifier(["d"])}
+    models = {("ekman", "lv"): partial(md.token_length_classifier, ["a", "b"]),
+              ("normal", "lv"): partial(md.token_length_classifier, ["c"]),
+              ("ekman", "ru"): partial(md.token_length_classifier, ["d"])}
     out = md.predict_many(comments, models)
     got = sorted((r.id, r.prediction_type, r.m_prediction_emotion) for r in out.collect())
     assert got == [(1, "ekman", "a"), (1, "normal", "c"), (2, "ekman", "d")]

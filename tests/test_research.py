@@ -73,3 +73,10 @@ def test_j7_attach_clusters_drops_noise_and_orphans(spark):
     c = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "id long, article_id long")
     k = spark.createDataFrame([(10, 0), (11, -1)], "article_id long, cluster int")
     assert [r.id for r in rs.attach_clusters(c, k).collect()] == [1]
+
+
+def test_quota_sample_takes_what_the_plan_says_with_a_larger_cap(spark):
+    df = rs.with_buckets(spark.createDataFrame([(k, 0, "joy", 0.2 + (k % 3) * 0.3, 10 + k % 60, None) for k in range(100)],
+                                               "id long, cluster int, emotion string, confidence double, length long, timestamp timestamp"))
+    plan = rs.quota_plan(df, total_samples=20, max_per_cell=20)
+    assert plan.first().take == 20 and rs.quota_sample(df, plan).count() == 20
