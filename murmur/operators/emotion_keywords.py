@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.joins import broadcast_checked
-from murmur.operators.layout import spread
 from murmur.operators.text import explode_ngrams
 
 # Candidates kept per (date, language), keywords kept per emotion,
@@ -41,15 +40,14 @@ def emotion_documents(predictions: DataFrame, lemmatized: DataFrame, prediction_
 
 
 def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int | None = None) -> DataFrame:
-    """N-gram occurrences per (date, language, emotion, term) with counts.
+    """N-gram occurrences, one row each: (date, language, emotion, term).
 
     Tokens shorter than two letters are dropped (the vectoriser's token
     rule), then stop words, then 1..3-grams are formed inside each comment.
     Each language's stop list travels as one array on a broadcast row, so
-    the filter runs inside the scan stage and no token is shuffled; only the
-    partial n-gram counts cross the exchange.
+    the filter runs inside the scan stage and no token is shuffled.
     """
-    d = spread(docs, "comment_id")
+    d = docs
     if stopwords is not None:
         sw = stopwords.groupBy("language").agg(F.collect_set("word").alias("_sw"))
         d = d.join(broadcast_checked(sw, known_rows=stop_rows), "language", "left")
@@ -58,32 +56,39 @@ def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int
     else:
         keep = lambda t: F.length(t) >= MIN_TOKEN_LEN
     toks = d.select(*KEYS, "emotion", F.filter("lemmas", keep).alias("toks"))
-    grams = explode_ngrams(toks, "toks", (*KEYS, "emotion"), "term", NGRAM_MAX)
-    return grams.groupBy(*KEYS, "emotion", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return explode_ngrams(toks, "toks", (*KEYS, "emotion"), "term", NGRAM_MAX)
 
 
-def top_candidates(tf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def term_counts(terms: DataFrame) -> DataFrame:
+    """(date, language, emotion, term, tf)."""
+    return terms.groupBy(*KEYS, "emotion", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def top_candidates(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """The ``max_features`` most frequent terms per (date, language), ties by term."""
-    f = tf.groupBy(*KEYS, "term").agg(F.sum("tf").alias("f"))
+    f = terms.groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("f"))
     w = Window.partitionBy(*KEYS).orderBy(F.desc("f"), "term")
     return f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features)
 
 
-def class_tfidf(tf: DataFrame, top_n: int = TOP_N, max_features: int = MAX_FEATURES,
+def class_tfidf(terms: DataFrame, emotions, top_n: int = TOP_N, max_features: int = MAX_FEATURES,
                 digits: int = 12) -> DataFrame:
     """K2 default scorer; output (date, language, emotion, keyword, confidence, rank).
 
-    Windows instead of self-joins, so the token pipeline runs once:
-    f(t) by (date, language, term); candidates = first ``max_features``
-    terms by dense rank per (date, language) (a partial group limit runs
-    before that shuffle); after the cut each (date, language) holds at most
-    max_features × #emotions rows, so the remaining windows are bounded and
-    reuse the same partitioning.
+    ``terms`` are n-gram occurrences.  One aggregate by (date, language, term)
+    holds a count per emotion of ``emotions``, so the n-grams cross the network
+    once, as partial counts.  The first ``max_features`` terms per (date,
+    language) are cut by a partial group limit; after it each (date, language)
+    holds at most max_features × #emotions rows, so the remaining windows are
+    bounded and reuse one partitioning.
     """
-    f = F.sum("tf").over(Window.partitionBy(*KEYS, "term"))
-    t = tf.withColumn("f", f)
+    emotions = list(emotions)
+    counts = [F.count(F.when(F.col("emotion") == e, 1)).alias(f"c{k}") for k, e in enumerate(emotions)]
+    t = terms.where(F.col("emotion").isin(emotions)).groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("f"), *counts)
     cut = Window.partitionBy(*KEYS).orderBy(F.desc("f"), "term")
-    t = t.withColumn("_dr", F.dense_rank().over(cut)).where(F.col("_dr") <= max_features)
+    t = t.withColumn("_dr", F.row_number().over(cut)).where(F.col("_dr") <= max_features)
+    per = F.array(*[F.struct(F.lit(e).alias("emotion"), F.col(f"c{k}").alias("tf")) for k, e in enumerate(emotions)])
+    t = t.select(*KEYS, "term", "f", F.explode(per).alias("_e")).select(*KEYS, "term", "f", "_e.*").where("tf > 0")
     # class totals; the number of classes is the top dense rank of emotion (same sort order)
     t = (t.withColumn("_ct", F.sum("tf").over(Window.partitionBy(*KEYS, "emotion")))
           .withColumn("_ci", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("emotion"))))
@@ -96,17 +101,17 @@ def class_tfidf(tf: DataFrame, top_n: int = TOP_N, max_features: int = MAX_FEATU
             .select(*KEYS, "emotion", F.col("term").alias("keyword"), "confidence", "rank"))
 
 
-def emotion_keywords(predictions: DataFrame, lemmatized: DataFrame, prediction_type: str, languages,
+def emotion_keywords(predictions: DataFrame, lemmatized: DataFrame, prediction_type: str, languages, emotions,
                      stopwords: DataFrame | None = None, stop_rows: int | None = None,
                      processed: DataFrame | None = None) -> DataFrame:
-    """K2: top keywords per (date, language, emotion); (date, language, type)
-    triples already in ``processed`` are skipped (U5)."""
+    """K2: top keywords per (date, language, emotion) for the model's label set ``emotions``;
+    (date, language, type) triples already in ``processed`` are skipped (U5)."""
     docs = emotion_documents(predictions, lemmatized, prediction_type, languages)
     if processed is not None:
         done = processed.where(F.col("prediction_type") == prediction_type).select(*KEYS).distinct()
         docs = docs.join(done, KEYS, "left_anti")
-    tf = candidate_terms(docs, stopwords, stop_rows)
-    return class_tfidf(tf).withColumn("prediction_type", F.lit(prediction_type))
+    terms = candidate_terms(docs, stopwords, stop_rows)
+    return class_tfidf(terms, emotions).withColumn("prediction_type", F.lit(prediction_type))
 
 
 def stored_form(keywords: DataFrame) -> DataFrame:

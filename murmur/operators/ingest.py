@@ -1,8 +1,8 @@
 """Loading parsed drops into the tables.
 
-Ids are dense and follow (file name, line) order, computed without a window
-over rows: rows are counted per (file, split), a prefix sum runs over that
-small table, and each row adds its position inside its split.
+Ids follow (file name, line) order, computed without a window over rows: lines
+are counted per (file, split), a prefix sum runs over that small table, and each
+row adds its position inside its split.
 """
 
 from __future__ import annotations
@@ -11,31 +11,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import detect_language
+from murmur.operators.joins import broadcast_checked
 from murmur.params import Params
+from murmur.session import scratch_path
 
 BLOCK = ["file_path", "block_start"]
 
 
 def assign_ids(rows: DataFrame, base: int | DataFrame = 0, out: str = "id") -> DataFrame:
-    """Dense ids base+1, base+2, … in (file, line) order.
+    """Ids above ``base`` in (file, line) order, without moving a row.
 
     ``base`` is the current max id (a number or a frame whose first column
-    holds the existing ids).  Rows are numbered inside their file split (a
-    window bounded by the split size), splits get a prefix offset from a
-    table with one row per split.
+    holds the existing ids).  ``row_pos`` counts the lines a reading task has
+    met, so inside a file split a row's number is its ``row_pos`` less the
+    split's first; splits get a prefix offset from a table with one row per
+    split (the window without a key runs over that table).  A line that the
+    reader skips leaves a gap, ids are unique and in order all the same.
     """
-    inner = Window.partitionBy(*BLOCK).orderBy("row_pos")
-    rows = rows.withColumn("_i", F.row_number().over(inner))
-    blocks = rows.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = rows.groupBy(*BLOCK).agg(F.min("row_pos").alias("_first"), F.max("row_pos").alias("_last"))
     w = Window.orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(w), F.lit(0)))
     if isinstance(base, DataFrame):
         b = base.agg(F.coalesce(F.max(base.columns[0]), F.lit(0)).cast("long")).scalar()
     else:
         b = F.lit(base).cast("long")
-    # one row per file split: AQE broadcasts it from its measured size, else a shuffle join
-    j = rows.join(blocks.select(*BLOCK, "_off"), BLOCK)
-    return j.withColumn(out, b + F.col("_off") + F.col("_i")).drop("_off", "_i")
+    # one row per file split, counted before it is broadcast, so that no text is shuffled for its id
+    path = scratch_path(rows.sparkSession, "splits")
+    blocks.select(*BLOCK, "_first", "_off").write.parquet(path)
+    small = broadcast_checked(rows.sparkSession.read.parquet(path))
+    j = rows.join(small, BLOCK)
+    return j.withColumn(out, b + F.col("_off") + F.col("row_pos") - F.col("_first") + 1).drop("_off", "_first")
 
 
 def load_comments(parsed: DataFrame, website: str, params: Params, base: int | DataFrame = 0) -> DataFrame:

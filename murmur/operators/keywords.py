@@ -67,7 +67,7 @@ def keywords_by_day(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
     src = (lemmatized.where(F.col("comment_lang").isin(list(params.languages)))
            .select(F.col("day").alias("date"), F.col("comment_lang").alias("language"), "website",
                    "article_id", "lemma_count",
-                   F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.col("lemmas")))
+                   F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("lemmas")))
                    .alias("pos", "_lemma")))
     j = src.join(_lex(lexicon, lexicon_rows), "_lemma", "left")
     rows = j.where((F.col("pos") == 0) | F.col("_weight").isNotNull()).select(
@@ -218,7 +218,7 @@ def period_from_day_maps(stored: DataFrame, start, end, website: str = "all", la
     if lang is not None:
         s = s.where(F.col("language") == lang)
     e = s.select("language", F.explode("keywords_json").alias("word", "v"))
-    return (e.groupBy("language", "word")
-            .agg(F.sum("v.count").alias("count"), F.sum("v.weight_sum").alias("weight_sum"),
-                 F.size(F.array_distinct(F.flatten(F.collect_list("v.article_ids")))).cast("long")
-                 .alias("article_count")))
+    sums = e.groupBy("language", "word").agg(F.sum("v.count").alias("count"), F.sum("v.weight_sum").alias("weight_sum"))
+    ids = e.select("language", "word", F.explode_outer("v.article_ids").alias("article_id")) \
+           .groupBy("language", "word").agg(F.count_distinct("article_id").alias("article_count"))
+    return sums.join(ids, ["language", "word"])

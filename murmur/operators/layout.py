@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+#: Input per task below which a frame is spread over all cores.
+SMALL_TASK_BYTES = 16 << 20
+
+
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread ``df`` on ``key`` when it has fewer partitions than the cluster's cores.
+    """Hash-spread ``df`` on ``key`` when it is too small to keep the cluster's cores busy as it is split.
 
     Used right before an operator that multiplies rows (tokens → n-grams):
     a small input (one file, one split) would otherwise put all that work in
-    one task.  On large inputs the partition count already exceeds the
-    parallelism and nothing changes (no extra shuffle).
+    one task.  The size is Catalyst's estimate from file sizes, so no job runs
+    while the plan is built; large inputs and joined frames stay as they are.
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key)
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(want, key) if size < want * SMALL_TASK_BYTES else df

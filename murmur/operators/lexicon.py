@@ -47,7 +47,7 @@ def lexicon_hits(lemmatized: DataFrame, lexicon: DataFrame, keep: tuple[str, ...
     Output: keep…, comment_id, pos, lemma, form, weight, lexicon_language.
     """
     ex = lemmatized.select(*keep, "comment_id",
-                           F.posexplode(F.arrays_zip(F.col("lemmas").alias("l"),
+                           F.posexplode_outer(F.arrays_zip(F.col("lemmas").alias("l"),
                                                      F.col("words").alias("w"))).alias("pos", "t"))
     ex = ex.select(*keep, "comment_id", "pos", F.col("t.l").alias("_lemma"), F.col("t.w").alias("form"))
     hits = ex.join(_lex(lexicon, lexicon_rows), "_lemma", "inner")
@@ -106,7 +106,7 @@ def lexicon_frequency(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
                            F.lower("word").alias("_lemma"))
     keys = broadcast_checked(keyed.select("_lang", "_lemma").distinct(), known_rows=lexicon_rows)
     ex = (lemmatized.where(F.col(lang_col).isin(langs))
-          .select(F.col(lang_col).alias("_lang"), F.explode("lemmas").alias("_lemma")))
+          .select(F.col(lang_col).alias("_lang"), F.explode_outer("lemmas").alias("_lemma")))
     counts = ex.join(keys, ["_lang", "_lemma"], "left_semi").groupBy("_lang", "_lemma").count()
     return (keyed.join(counts, ["_lang", "_lemma"], "left")
             .select("word", "language", "weight",

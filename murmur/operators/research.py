@@ -65,19 +65,47 @@ def core_boundary(clustered: DataFrame, quantile: float = 0.25, noise: int = -1,
     """Distance to the cluster mean over all dimensions; core when ≤ the cluster's
     25th percentile (exact, linear interpolation).  Distances are rounded to
     ``digits`` so that the cut does not depend on summation order.
+
+    Means are aggregated per dimension with map-side partial sums and travel
+    as one array per cluster; distances are computed in the row.
     """
-    v = clustered.where(F.col("cluster") != noise) \
-                 .select("article_id", "cluster", F.posexplode("embedding").alias("pos", "x"))
-    centroid = v.groupBy("cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("c"))
-    d = (v.join(centroid, ["cluster", "pos"])
-         .groupBy("cluster", "article_id")
-         .agg(F.round(F.sqrt(F.sum((F.col("x").cast("double") - F.col("c")) ** 2)), digits).alias("distance")))
-    cut = d.groupBy("cluster").agg(F.percentile("distance", F.lit(quantile)).alias("threshold"))
+    v = clustered.where(F.col("cluster") != noise).select("article_id", "cluster", "embedding")
+    mean = (v.select("cluster", F.posexplode("embedding").alias("pos", "x")).groupBy("cluster", "pos")
+            .agg(F.avg(F.col("x").cast("double")).alias("c"))
+            .groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]).alias("mean")))
+    gap = F.zip_with("embedding", "mean", lambda x, c: (x.cast("double") - c) ** 2)
+    d = v.join(mean, "cluster").select("cluster", "article_id", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), digits)
+                                       .alias("distance"))
+    cut = exact_quantile(d, "cluster", "distance", quantile).withColumnRenamed("value", "threshold")
     return (d.join(cut, "cluster")
             .withColumn("point_type", F.when(F.col("distance") <= F.col("threshold"), F.lit("core"))
                         .otherwise(F.lit("boundary"))))
 
 
+def exact_quantile(df: DataFrame, key: str, value: str, quantile: float, slots: int = 1024) -> DataFrame:
+    """(key, value): linearly interpolated quantile per key without gathering a key's rows.
+
+    Rows are counted in ``slots`` equal slots between the key's extremes; only
+    rows of the one or two slots that hold the wanted ranks are numbered.
+    """
+    span = df.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    pos = F.lit(quantile) * (F.col("_n") - 1)
+    span = span.withColumn("_r0", F.floor(pos)).withColumn("_part", pos - F.floor(pos)).withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
+    slot = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots)).otherwise(F.lit(0))
+    rows = df.select(key, value).join(span, key).withColumn("_slot", slot)
+    counts = rows.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_m"), F.max("_r0").alias("_r0"), F.max("_r1").alias("_r1"))
+    run = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_before", F.sum("_m").over(run) - F.col("_m"))
+    held = counts.where(((F.col("_r0") >= F.col("_before")) & (F.col("_r0") < F.col("_before") + F.col("_m")))
+                        | ((F.col("_r1") >= F.col("_before")) & (F.col("_r1") < F.col("_before") + F.col("_m")))).select(key, "_slot", "_before")
+    near = rows.join(held, [key, "_slot"])
+    rank = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(value)) - 1 + F.col("_before")
+    near = near.withColumn("_rank", rank)
+    low = F.max(F.when(F.col("_rank") == F.col("_r0"), F.col(value)))
+    high = F.max(F.when(F.col("_rank") == F.col("_r1"), F.col(value)))
+    return near.groupBy(key).agg((low + (high - low) * F.max("_part")).alias("value"))
+
+
 def with_buckets(df: DataFrame) -> DataFrame:
     """Confidence and length buckets (right-closed; outside → NULL)."""
     return df.withColumn("confidence_cat", confidence_bucket("confidence")) \

@@ -98,7 +98,8 @@ def explode_ngrams(df: DataFrame, tokens_col: str, keep: tuple[str, ...] = (), o
     """
     a = F.col(tokens_col)
     shifted = [a.alias("t0")] + [F.slice(a, k + 1, F.size(a)).alias(f"t{k}") for k in range(1, n_max)]
-    z = df.select(*keep, F.explode(F.arrays_zip(*shifted)).alias("_z"))
+    # the outer form: else Catalyst adds a filter on the array's size, which repeats the tokenisation
+    z = df.select(*keep, F.explode_outer(F.arrays_zip(*shifted)).alias("_z"))
     grams = []
     for n in range(1, n_max + 1):
         parts = [F.col(f"_z.t{k}") for k in range(n)]

@@ -26,7 +26,7 @@ def docs_tf(ctx: Ctx):
 
 
 def keywords(ctx: Ctx):
-    return ek.emotion_keywords(ctx.predictions, ctx.lemmatized, KIND, PP.languages,
+    return ek.emotion_keywords(ctx.predictions, ctx.lemmatized, KIND, PP.languages, PP.emotions,
                                fx.stopwords(ctx.spark), len(fx.STOPWORD_ROWS))
 
 
