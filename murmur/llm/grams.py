@@ -81,6 +81,11 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Factors that turn differences of prefix sums at 0..n-1 into span hashes."""
+    return _power(n)[1][:n]
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     _, down = _power(len(prefix))
     return (prefix[end] - prefix[start]) * down[start]
@@ -99,8 +104,12 @@ class Words:
     hash: np.ndarray
 
 
-def block_words(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, lower: bool = True) -> Words:
-    """Words (runs of bytes other than ASCII white space) of texts i..j-1 with their hashes."""
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(span_hash(prefix_hash(buf), start, end) + (end - start).astype(_U))
+
+
+def block_words(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, lower: bool = True, hashed: bool = True) -> Words:
+    """Words (runs of bytes other than ASCII white space) of texts i..j-1, with their hashes if asked for."""
     buf = raw[offsets[i]:offsets[j]]
     offs = offsets[i:j + 1] - offsets[i]
     if lower:
@@ -118,7 +127,7 @@ def block_words(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, lower: boo
     start = np.flatnonzero(solid & (~before | edge[:-1]))
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
     bounds = np.searchsorted(start, offs, "left")
-    h = mix(span_hash(prefix_hash(buf), start, end) + (end - start).astype(_U))
+    h = word_hash(buf, start, end) if hashed else np.zeros(0, _U)
     return Words(i, j - i, buf, start, end, bounds, h)
 
 

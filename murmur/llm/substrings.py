@@ -39,64 +39,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm import grams, suffixes
-from murmur.llm.common import written
+from murmur.llm.common import release, written
 
 LENGTH, GRAM = 50, 16
 RUNS = LENGTH - GRAM + 1                                # grams of a run, and the most runs one anchor can have
 #: Anchors a task gathers before it sends them on, bytes of a suffix block.
 FLUSH, BLOCK = 1 << 20, 1 << 21
+#: Bytes of texts whose anchors are found at once.
+PIECE = 1 << 18
 #: Bits of an anchor that travel.
 TOKEN = np.uint64((1 << 48) - 1)
 _U = np.uint64
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
-def _slide(x: np.ndarray, w: int, low: bool) -> np.ndarray:
-    """Minimum (or maximum) of every ``w`` neighbours."""
-    pick = np.minimum if low else np.maximum
-    n = len(x) - w + 1
-    pad = np.full(-len(x) % w, _NONE if low else _U(0), _U)
-    rows = np.concatenate((x, pad)).reshape(-1, w)
-    ahead = pick.accumulate(rows, axis=1).ravel()
-    back = pick.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(back[:n], ahead[w - 1:w - 1 + n])
+def _slide(x: np.ndarray, w: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``w`` neighbours, by doubling."""
+    n, have = len(x) - w + 1, 1
+    while have < w:
+        step = min(have, w - have)
+        x = pick(x[:-step], x[step:])
+        have += step
+    return x[:n]
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, anchor, first run, runs) of the anchors of texts laid end to end in ``buf``.
+def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, anchor, chosen) of the anchors of texts laid end to end in ``buf``.
 
-    ``offs`` has the bounds of the texts; a run starts at a position of ``buf``.
+    ``offs`` has the bounds of the texts.  ``chosen`` has the smallest order key
+    of each run, shifted by RUNS - 1 and 0 where a run would cross texts.
     """
-    none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
-        return none, none.astype(_U), none, none
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.uint32)
     prefix = grams.prefix_hash(buf)
-    at = np.arange(len(buf) - GRAM + 1)
-    h = grams.mix(grams.span_hash(prefix, at, at + GRAM)) & ~_U(1)
-    end = np.repeat(offs[1:], np.diff(offs))            # end of the text of each byte
-    h[at + GRAM > end[:len(at)]] = _NONE
-    low = _slide(h, RUNS, True)
-    run = np.arange(len(low))
-    low[run + LENGTH > end[:len(low)]] = 0              # such a run would cross texts
-    best = _slide(np.concatenate((np.zeros(RUNS - 1, _U), low, np.zeros(RUNS - 1, _U))), RUNS, False)
-    pos = np.flatnonzero((best[:len(h)] == h) & (h != _NONE))
-    wide = np.concatenate((np.zeros(RUNS - 1, _U), low, np.zeros(RUNS - 1, _U)))
-    first = np.full(len(pos), -1)
-    runs = np.zeros(len(pos), np.int64)
-    for t in range(RUNS):                               # runs that chose the anchor lie side by side
-        chose = wide[pos + t] == h[pos]
-        first = np.where(chose & (first < 0), t, first)
-        runs += chose
-    return pos, h[pos], pos - (RUNS - 1) + first, runs
+    n = len(buf) - GRAM + 1
+    h = (prefix[GRAM:] - prefix[:n]) * grams.inverse_powers(n)
+    h = grams.mix(h)
+    order = (h >> _U(32)).astype(np.uint32)
+    order[order == _NONE] -= 1
+    order[order == 0] = 1
+    room = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(buf))    # bytes left in the text
+    order[room[:n] < GRAM] = _NONE
+    low = _slide(order, RUNS, np.minimum)
+    low[room[:len(low)] < LENGTH] = 0
+    chosen = np.zeros(len(low) + 2 * (RUNS - 1), np.uint32)
+    chosen[RUNS - 1:RUNS - 1 + len(low)] = low
+    pos = np.flatnonzero((_slide(chosen, RUNS, np.maximum) == order) & (order != _NONE))
+    return pos, h[pos], chosen
+
+
+def run_extent(pos: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first run, runs) that chose each anchor; they lie side by side."""
+    order = (h >> _U(32)).astype(np.uint32)
+    order[order == _NONE] -= 1
+    order[order == 0] = 1
+    first, runs = np.full(len(pos), -1), np.zeros(len(pos), np.int64)
+    for t in range(RUNS):
+        mine = chosen[pos + t] == order
+        first = np.where(mine & (first < 0), t, first)
+        runs += mine
+    return pos - (RUNS - 1) + first, runs
 
 
 def _by_text(offsets: np.ndarray, raw: np.ndarray) -> Iterator[tuple]:
-    """(first row, rows, block bytes, bounds, row of each anchor, anchors...) per block."""
-    for i, j in grams.blocks(offsets):
+    """(first row, rows, block bytes, bounds, row of each anchor, position, anchor, chosen) per block."""
+    for i, j in grams.blocks(offsets, PIECE):
         buf, offs = raw[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-        pos, token, first, runs = anchors(buf, offs)
+        pos, token, chosen = anchors(buf, offs)
         row = np.searchsorted(offs, pos, "right") - 1
-        yield i, j - i, buf, offs, row, pos, token, first, runs
+        yield i, j - i, buf, offs, row, pos, token, chosen
 
 
 def _anchor_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +149,8 @@ def _anchor_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     for batch in batches:
         ids = batch.column(0).to_numpy()
         offsets, raw = grams.string_buffers(batch.column(1))
-        for i, _, _, _, row, _, token, _, _ in _by_text(offsets, raw):
-            tokens.append((token >> _U(1)) & TOKEN), texts.append(ids[i + row])
+        for i, _, _, _, row, _, token, _ in _by_text(offsets, raw):
+            tokens.append(token & TOKEN), texts.append(ids[i + row])
             held += len(token)
             if held >= FLUSH:
                 yield from flush()
@@ -149,7 +160,7 @@ def _anchor_rows(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, tokens): the anchors of a text that another text has too, from one partition's buckets."""
+    """(cls, token): the anchors of a text that another text has too, from one partition's buckets."""
     toks, texts, told = [], [], []
     for batch in batches:
         for bucket, tok, text, count in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
@@ -173,13 +184,8 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         several = (np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts)) | np.logical_or.reduceat(x == 0, starts)
     keep = np.repeat(several, np.diff(np.append(starts, len(t)))) & (x != 0)
     tok, text = np.concatenate((t[keep], tok[told])), np.concatenate((x[keep], text[told]))
-    order = np.argsort(text, kind="stable")
-    tok, text = tok[order], text[order]
-    edge = np.append(np.flatnonzero(np.append(True, text[1:] != text[:-1])), len(text)) if len(text) else [0]
-    for k in range(0, len(edge) - 1, 4096):
-        cut = edge[k:k + 4097]
-        yield pa.record_batch({"cls": pa.array(text[cut[:-1]]),
-                               "tokens": pa.array([tok[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+    for k in range(0, len(tok), 1 << 16):
+        yield pa.record_batch({"cls": pa.array(text[k:k + (1 << 16)]), "token": pa.array(tok[k:k + (1 << 16)].view(np.int64))})
 
 
 def _zip_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,17 +212,19 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch.column(3)
         for k in range(0, len(docs), 256):
             offsets, raw = grams.string_buffers(_unzip(batch.column(2).slice(k, 256)))
-            for i, n, buf, offs, row, pos, token, first, runs in _by_text(offsets, raw):
-                token = (token >> _U(1)) & TOKEN
+            for i, n, buf, offs, row, pos, anchor, chosen in _by_text(offsets, raw):
+                token = anchor & TOKEN
                 keep = np.zeros(len(token), bool)
                 edge = np.searchsorted(row, np.arange(n + 1), "left")
                 for r in range(n):
                     a, b = edge[r], edge[r + 1]
-                    shared = np.concatenate([np.frombuffer(x, "<u8") for x in wanted[k + i + r].as_py()])
-                    keep[a:b] = np.isin(token[a:b], shared)
-                row, token, first, runs = row[keep], token[keep], first[keep], runs[keep]
+                    shared = np.sort(wanted[k + i + r].values.to_numpy().view(_U))
+                    at = np.minimum(np.searchsorted(shared, token[a:b]), len(shared) - 1)
+                    keep[a:b] = shared[at] == token[a:b]
+                row, token = row[keep], token[keep]
                 if not len(row):
                     continue
+                first, runs = run_extent(pos[keep], anchor[keep], chosen)
                 end = first + runs + LENGTH - 1
                 h = grams.mix(grams.span_hash(grams.prefix_hash(buf), first, end) + runs.astype(_U)).view(np.int64)
                 doc = docs[k + i + row]
@@ -239,8 +247,8 @@ def _sort_block(strings: list[bytes], low: np.ndarray) -> np.ndarray:
     """Per string, bit k set when its run k equals a run of a string with a smaller id."""
     text, start = suffixes.join(strings)
     keys = suffixes.Keys(text, LENGTH)
-    order = suffixes.suffix_order(text, keys)
     whole = keys.end - np.arange(len(text)) >= LENGTH
+    order = suffixes.suffix_order(text, keys, whole)
     order = order[whole[order]]
     same = suffixes.equal_neighbours(keys, order)
     owner = np.searchsorted(start, order, "right") - 1
@@ -319,14 +327,16 @@ def _plan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packets = long_enough.select("cls", "body").mapInArrow(partial(_anchor_rows, 4 * parts),
                                                            "bucket int, tokens binary, texts binary, counts binary")
-    shared = packets.repartition(parts, "bucket").mapInArrow(_shared_anchors, "cls long, tokens binary")
-    shared = shared.groupBy("cls").agg(F.collect_list("tokens").alias("tokens"))
+    shared = packets.repartition(parts, "bucket").mapInArrow(_shared_anchors, "cls long, token long")
+    shared = shared.groupBy("cls").agg(F.collect_list("token").alias("tokens"))
     wanted = written(leaders.select("doc", "cls").join(shared, "cls"), "substrings-anchors")
+    release(spark)
 
     packed = long_enough.select("doc", "cls", "body").mapInArrow(_zip_texts, "doc long, cls long, packed binary")
     texts = wanted.hint("shuffle_hash").join(packed, ["doc", "cls"]).select("doc", "cls", "packed", "tokens")
     found = written(texts.mapInArrow(_strings, "doc long, cls long, first long, runs long, token long, string long, body binary"),
                     "substrings-strings")
+    release(spark)
     order = (found.where("body is not null").select("token", "string", "doc", "body")
              .repartition(parts, "token").sortWithinPartitions("token", "string", "doc"))
     verdict = order.mapInArrow(_verdicts, "string long, low long, cut long")

@@ -42,11 +42,14 @@ class Keys:
             self.key = self.key << np.uint64(9) | part * open_
             open_ = open_ & (part != 0)
         self.end = np.minimum.accumulate(np.where(text == 0, np.arange(n), n)[::-1])[::-1]
-        self.digest = np.zeros(n, np.uint64)
-        at = np.arange(n)
-        for c in _columns(depth):
-            self.digest = (self.digest ^ self.at(at, c)) * np.uint64(0x9E3779B97F4A7C15)
-            self.digest ^= self.digest >> np.uint64(29)
+
+    def digest(self, pos: np.ndarray) -> np.ndarray:
+        """64-bit hash of the ``depth`` symbols from each position on."""
+        out = np.zeros(len(pos), np.uint64)
+        for c in _columns(self.depth):
+            out = (out ^ self.at(pos, c)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
     def at(self, pos: np.ndarray, offset: int) -> np.ndarray:
         if offset == 0:
@@ -71,25 +74,33 @@ def sort_directly(keys: Keys, at: np.ndarray) -> np.ndarray:
         return at
     k = keys.at(at, 0)
     first = np.append(True, k[1:] != k[:-1])
-    todo = np.arange(len(at))
+    todo = np.flatnonzero(~first | np.append(~first[1:], False))
+    first = first[todo]
+    digest = keys.digest(at[todo]) if len(todo) else None
     for c in _columns(keys.depth)[1:]:
-        h = keys.digest[at[todo]]
+        if not len(todo):
+            break
+        h = digest
         differ = np.append(False, h[1:] != h[:-1]) & ~first
         starts = np.flatnonzero(first)
         keep = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.append(starts, len(todo))))
-        todo, first = todo[keep], first[keep]
+        todo, first, digest = todo[keep], first[keep], digest[keep]
         if not len(todo):
             break
         here, group = at[todo], np.cumsum(first)
         k = keys.at(here, c)
         order = np.lexsort((k, group))
-        at[todo], k = here[order], k[order]
+        at[todo], k, digest = here[order], k[order], digest[order]
         first = first | np.append(True, k[1:] != k[:-1])
     return at
 
 
-def suffix_order(text: np.ndarray, keys: Keys) -> np.ndarray:
-    """All positions in order of their suffixes, compared on ``depth`` symbols at least (up to the end of their string)."""
+def suffix_order(text: np.ndarray, keys: Keys, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions in order of their suffixes, compared on ``depth`` symbols at least (up to the end of their string).
+
+    With ``wanted`` (a flag per position) only these are ordered, and the few
+    after them from which type-L ones are induced.
+    """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -99,10 +110,17 @@ def suffix_order(text: np.ndarray, keys: Keys) -> np.ndarray:
     where = np.where(step != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(where[::-1])[::-1]
     small = step[nearest] > 0                           # type S
-    count = np.bincount(text, minlength=257)
+    need = np.ones(n, bool) if wanted is None else wanted.copy()
+    while wanted is not None:
+        more = np.zeros(n, bool)
+        more[1:] = need[:-1] & ~small[:-1]
+        if not (more & ~need).any():
+            break
+        need |= more
+    count = np.bincount(text[need], minlength=257)
     begin = np.concatenate(([0], np.cumsum(count)))
-    s_at = sort_directly(keys, np.flatnonzero(small))
-    out = np.full(n, -1, np.int64)
+    s_at = sort_directly(keys, np.flatnonzero(small & need))
+    out = np.full(int(count.sum()), -1, np.int64)
     s_count = np.bincount(text[s_at], minlength=257)
     s_begin = begin[1:] - s_count
     within = np.arange(len(s_at)) - np.repeat(np.cumsum(s_count) - s_count, s_count)
@@ -111,7 +129,7 @@ def suffix_order(text: np.ndarray, keys: Keys) -> np.ndarray:
 
     def induce(met: np.ndarray) -> None:
         prev = met[met > 0] - 1
-        prev = prev[~small[prev]]
+        prev = prev[~small[prev] & need[prev]]
         if not len(prev):
             return
         sym = text[prev]
@@ -121,7 +139,7 @@ def suffix_order(text: np.ndarray, keys: Keys) -> np.ndarray:
         size = np.diff(np.append(first, len(sym)))
         out[head[sym] + np.arange(len(sym)) - np.repeat(first, size)] = prev
         head[sym[first]] += size
-    induce(np.array([n]))
+    induce(np.array([n]))                               # the end of the text comes before all
     for c in np.flatnonzero(count):
         done = begin[c]
         while done < head[c]:
