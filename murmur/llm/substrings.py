@@ -339,7 +339,8 @@ def _plan(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, D
     release(spark)
     order = (found.where("body is not null").select("token", "string", "doc", "body")
              .repartition(parts, "token").sortWithinPartitions("token", "string", "doc"))
-    verdict = order.mapInArrow(_verdicts, "string long, low long, cut long")
+    verdict = written(order.mapInArrow(_verdicts, "string long, low long, cut long"), "substrings-verdicts")
+    release(spark)
     hits = found.select("doc", "cls", "first", "runs", "string").join(verdict, "string") \
                 .withColumn("cut", F.when(F.col("doc") > F.col("low"), F.expr("shiftleft(1L, cast(runs as int)) - 1")).otherwise(F.col("cut")))
     spans = hits.where("cut <> 0").groupBy("doc", "cls").agg(F.collect_list(F.struct("first", "cut")).alias("spans"))
