@@ -336,7 +336,7 @@ def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write(records(pages, key), path)
+    write(records(pages, key), path, "gzip")
     back = read(spark, path)
     full = F.col("record_type") == "response"
     return back.select(F.col("record_id").cast("long").alias(key),
