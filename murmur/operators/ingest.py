@@ -69,13 +69,29 @@ def load_articles(parsed: DataFrame, website: str, params: Params) -> DataFrame:
             .withColumn("website", F.lit(website)))
 
 
-def import_log(parsed_with_flags: DataFrame, website: str) -> DataFrame:
-    """One log row per file: Success, with the count of skipped (too long) lines."""
-    per = parsed_with_flags.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.when(~F.col("_valid"), 1).otherwise(0)).alias("skipped"))
-    return per.select(
-        F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
-        F.lit("Success").alias("status"),
-        F.format_string("File imported successfully. %d lines, %d skipped.", "lines", "skipped").alias("notes"),
-        F.lit(website).alias("website"),
-        F.current_timestamp().alias("import_timestamp"))
+def import_log(listing: DataFrame, parsed: DataFrame, n_columns: int, website: str) -> DataFrame:
+    """One log row per listed file (``path``).
+
+    The first line gives a file its width.  A file without lines or of another
+    width than the expected one is ``Failed``; the others are ``Success``, with
+    the count of skipped (too long) lines.  A failed file is selected again the
+    next time (A9) and none of its rows are loaded (``loadable``).
+    """
+    per = parsed.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(~F.col("_valid"), 1)).alias("skipped"),
+        F.min_by("_n", F.struct("block_start", "row_pos")).alias("width"))
+    each = listing.select(F.col("path").alias("file_path")).join(per, "file_path", "left")
+    good = F.coalesce(F.col("width") == n_columns, F.lit(False))
+    notes = (F.when(F.col("width").isNull(), F.lit("No columns to parse from file"))
+             .when(~good, F.format_string(f"Length mismatch: expected {n_columns} columns, file has %d", "width"))
+             .otherwise(F.format_string("File imported successfully. %d lines, %d skipped.", "lines", "skipped")))
+    return each.select(
+        "file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
+        F.when(good, "Success").otherwise("Failed").alias("status"), notes.alias("notes"),
+        F.lit(website).alias("website"), F.current_timestamp().alias("import_timestamp"))
+
+
+def loadable(parsed: DataFrame, log: DataFrame) -> DataFrame:
+    """The valid rows of the files that the log calls a success."""
+    good = log.where(F.col("status") == "Success").select("file_path")
+    return parsed.join(good, "file_path", "left_semi").where("_valid").drop("_valid", "_n")

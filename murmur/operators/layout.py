@@ -20,5 +20,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     if df.isStreaming:
         return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName().startswith("Repartition") and plan.numPartitions() >= want:
+        return df                                       # spread already
+    size = int(str(plan.stats().sizeInBytes()))
     return df.repartition(want, key) if size < want * SMALL_TASK_BYTES else df

@@ -123,6 +123,11 @@ def listing(lexicon_with_frequency: DataFrame) -> DataFrame:
             .withColumn("position", F.row_number().over(ordered)))
 
 
+def search(rows: DataFrame, column: str, term: str) -> DataFrame:
+    """Case-insensitive substring filter on a text column (comment, emotion or keyword)."""
+    return rows.where(F.lower(F.col(column)).contains(term.lower()))
+
+
 def join_comments(lemmatized: DataFrame, comments: DataFrame, params: Params,
                   cols=("article_id", "website", "day", "comment_lang")) -> DataFrame:
     """Stored lemmas (D7) ⋈ comments on comment_id, listed languages only."""

@@ -113,11 +113,24 @@ def q_select_import_files(spark, sf_dir):
              .select("file_name", "kind", "length")
 
 
-@register("import_log_status")
+@register("import_log_status", """
+SELECT 'good' AS folder, 'Success' AS status, CAST(4 AS BIGINT) AS n_files, (SELECT count(*) FROM documents) AS n_loaded
+UNION ALL SELECT 'narrow', 'Failed', 4, 0 UNION ALL SELECT 'empty', 'Failed', 1, 0""")
 def q_import_log_status(spark, sf_dir):
-    """A8 (rows-only): one log row per imported comment file."""
+    """Statuses of good, wrong-width and empty files, and the rows that are loaded of each."""
     ctx = Ctx(spark, sf_dir)
-    return ig.import_log(parsed_comments(ctx), COMMENT_SITE).drop("import_timestamp")
+    root = scratch_path(spark, "import-log")
+    comment_drop(ctx, f"{root}/good")
+    d = ctx.t.documents
+    write_drop(d, f"{root}/narrow/{DROP_YEAR}", [F.col("lang"), F.col("doc_id"), F.col("text")], "doc_id", 4)
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/empty/{DROP_YEAR}")
+    listing = fl.list_files(spark, root)
+    folder = F.regexp_extract("file_path", "/(good|narrow|empty)/", 1)
+    parsed = fl.read_tsv(spark, [f"{root}/*/{DROP_YEAR}", f"{root}/*/*/{DROP_YEAR}"], fl.COMMENT_COLUMNS)
+    log = ig.import_log(listing, parsed, len(fl.COMMENT_COLUMNS), COMMENT_SITE).withColumn("folder", folder)
+    loaded = ig.loadable(parsed, log).groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    per = log.groupBy("folder", "status").agg(F.count(F.lit(1)).alias("n_files"))
+    return per.join(loaded, "folder", "left").select("folder", "status", "n_files", F.coalesce("n", F.lit(0)).alias("n_loaded"))
 
 
 @register("html_table_extract")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.operators import keywords as kw
+from murmur.operators.lexicon import search
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
@@ -185,7 +186,7 @@ SELECT * FROM kp WHERE contains(lower(word), lower('{SEARCH_TERM}'))"""))
 def q_keyword_search(spark, sf_dir):
     """Substring filter (case-insensitive) on the keyword column."""
     p = period(Ctx(spark, sf_dir))
-    return p.where(F.lower("word").contains(SEARCH_TERM.lower()))
+    return search(p, "word", SEARCH_TERM)
 
 
 def stored_maps(ctx: Ctx):

@@ -4,6 +4,9 @@ CSV (A10), lexicon tables in HTML pages (A11), stop-word lists (A12).
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,8 @@ def read_tsv(spark: SparkSession, paths, columns, long_columns=LONG_COLUMNS) ->
     """A1/A2: header-less TSV, plain or gzip, no quoting.
 
     Lines with more fields than ``columns`` are dropped (T1), shorter ones are
-    padded with NULL, empty lines are skipped.  Each row keeps its file and a
+    padded with NULL, empty lines are skipped.  ``_n`` is the number of fields,
+    ``_valid`` false for a line that is too long.  Each row keeps its file and a
     file-order key (split start, position in the split) so that "first row
     in the file" and dense ids can be computed without a per-file window.
     """
@@ -40,17 +44,29 @@ def read_tsv(spark: SparkSession, paths, columns, long_columns=LONG_COLUMNS) ->
         cols.append((v.try_cast("long") if c in long_columns else v).alias(c))
     return (raw.withColumn("_n", F.size(parts))
             .select(*cols, "file_path", "block_start", "row_pos", "_n")
-            .withColumn("_valid", F.col("_n") <= n).drop("_n"))
+            .withColumn("_valid", F.col("_n") <= n))
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where("_valid").drop("_valid")
+    return df.where("_valid").drop("_valid", "_n")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Listing of a drop folder (paths and sizes only; file contents are not read)."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select(F.col("path"), F.col("length"), F.col("modificationTime")))
+    """Listing of a drop folder (paths and sizes only; file contents are not read).
+
+    Spark's scan leaves out files of length 0; they are added from the file
+    index the driver holds in any case.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = files.select("path", "length", "modificationTime")
+    names = files.inputFiles()
+    if len(names) == listed.count():
+        return listed
+    bare = lambda p: re.sub("^file:/+", "/", unquote(p))
+    seen = {bare(r.path) for r in listed.select("path").collect()}
+    empty = [F.struct(F.lit(re.sub("^file:/+", "file:/", unquote(p))).alias("path")) for p in names if bare(p) not in seen]
+    rows = spark.range(1).select(F.inline(F.array(*empty)))
+    return listed.unionByName(rows.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime")))
 
 
 def select_import_files(listing: DataFrame, log: DataFrame | None, params: Params, root: str = "",

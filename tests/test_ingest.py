@@ -82,8 +82,16 @@ def test_a6_a7_first_row_wins_and_existing_wins(spark):
 def test_a8_import_log(spark):
     d = tempfile.mkdtemp(prefix="murmur-a8-")
     _write(f"{d}/c_2024.txt", "lat\t1\tn\tip\tts\tt\nlat\t2\tn\tip\tts\tt\tbad\n")
-    log = ig.import_log(fl.read_tsv(spark, d, fl.COMMENT_COLUMNS), "tvnet").collect()
-    assert len(log) == 1 and log[0].status == "Success" and "1 skipped" in log[0].notes
+    _write(f"{d}/narrow_2024.txt", "lat\t1\ttext\nlat\t2\tn\tip\tts\tt\n")
+    _write(f"{d}/empty_2024.txt", "")
+    parsed = fl.read_tsv(spark, d, fl.COMMENT_COLUMNS)
+    log = ig.import_log(fl.list_files(spark, d), parsed, len(fl.COMMENT_COLUMNS), "tvnet")
+    rows = {r.file_name: r for r in log.collect()}
+    assert {k: r.status for k, r in rows.items()} == {"c_2024.txt": "Success", "narrow_2024.txt": "Failed", "empty_2024.txt": "Failed"}
+    assert "1 skipped" in rows["c_2024.txt"].notes and "file has 3" in rows["narrow_2024.txt"].notes
+    assert [r.article_id for r in ig.loadable(parsed, log).collect()] == [1]
+    again = fl.select_import_files(fl.list_files(spark, d), log.select("file_name", "status"), Params())
+    assert sorted(r.file_name for r in again.collect()) == ["empty_2024.txt", "narrow_2024.txt"]
 
 
 def test_a10_lexicon_csv(spark):
