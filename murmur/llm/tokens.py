@@ -35,13 +35,38 @@ from murmur.session import scratch_path
 SHARD_TOKENS = 1 << 20
 SHARD_SCHEMA = "part int, seq int, n_docs int, n_tokens long, shard binary"
 #: Words a worker remembers before it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 2_500_000
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def split_tails(w: grams.Words) -> grams.Words:
+    """Make the ASCII marks that end a word a word of their own where a letter a-z, A-Z or à-ÿ comes before them.
+
+    The tokenizer cuts there too: its run of other characters starts after a
+    letter and goes on to the white space.
+    """
+    solid = np.where(_MARK[w.raw], -1, np.arange(len(w.raw)))
+    solid = np.maximum.accumulate(solid) + 1 if len(solid) else solid
+    core = np.maximum(solid[w.end - 1], w.start)
+    tail = np.flatnonzero((core < w.end) & (core > w.start))
+    last = w.raw[core[tail] - 1]
+    lead = w.raw[np.maximum(core[tail] - 2, w.start[tail])]
+    folded = last | 32
+    tail = tail[((folded >= 97) & (folded <= 122) & (last < 128)) | ((lead == 0xC3) & (last != 0x97) & (last != 0xB7) & (last >= 128))]
+    start, end = np.insert(w.start, tail + 1, core[tail]), w.end.copy()
+    end[tail] = core[tail]
+    end = np.insert(end, tail + 1, w.end[tail])
+    bounds = w.bounds + np.searchsorted(tail, w.bounds, "left")
+    return grams.Words(w.first, w.rows, w.raw, start, end, bounds, grams.word_hash(w.raw, start, end))
 
 
 class WordTokens:
     """Word hash → token ids, an open-addressing table over one pool of ids."""
 
-    SLOT_BITS = 21
+    SLOT_BITS = 22
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,17 +89,10 @@ class WordTokens:
         self.pool = np.zeros(1 << 18, self.kind)
         self.known = self.used = 0
 
-    def _model(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text)]
-
-    def encode_word(self, word: bytes, lowered: bool) -> list[int]:
-        if lowered and len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():
-            return self.encode_word(word[:-1], True) + self._model(word[-1:].decode())
-        if lowered and word.isalpha():
-            return self._model(word.decode())
+    def encode_word(self, word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
         if text.isalpha() and max(text) < "ɐ" and "İ" not in text and unicodedata.is_normalized("NFC", text):
-            return self._model(text.lower().encode().decode("latin-1").translate(self.alphabet))
+            return [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.alphabet))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -101,7 +119,8 @@ class WordTokens:
             h, ids, slot = h[rest], ids[rest], (slot[rest] + 1) & ((1 << self.SLOT_BITS) - 1)
 
     def learn(self, h: np.ndarray, words: list[bytes], lowered: bool) -> None:
-        ids = [self.encode_word(w, lowered) for w in words]
+        model = self.model.tokenize
+        ids = [[t.id for t in model(w.decode())] if lowered and w.isalpha() else self.encode_word(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((t for x in ids for t in x), self.kind, int(sizes.sum()))
         while self.used + len(flat) > len(self.pool):
@@ -119,8 +138,9 @@ class WordTokens:
 
     def encode(self, offsets: np.ndarray, raw: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """(token ids, tokens per text) of texts i..j-1."""
-        lowered = b"<|" not in raw[offsets[i]:offsets[j]].tobytes()   # else a special token could appear by lower-casing
-        w = grams.block_words(offsets, raw, i, j, lowered)
+        lowered = b"<|" not in raw[offsets[i]:offsets[j]].tobytes()   # special tokens are matched as written
+        w = grams.block_words(offsets, raw, i, j, lowered, hashed=not lowered)
+        w = split_tails(w) if lowered else w
         h = np.maximum(w.hash ^ np.uint64(0 if lowered else 0x5555555555555555), np.uint64(1))
         entry = self.find(h)
         new = np.flatnonzero(entry < 0)

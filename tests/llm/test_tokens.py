@@ -1,9 +1,11 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from murmur.llm import queries, tokens, wavelet
+from murmur.llm import grams, queries, tokens, wavelet
 from tests.llm.util import SF, frame
 
 TEXTS = ["The cat, the CAT. don't we've 12th x²", None, "", "  \t\n", "a<|endoftext|>b <|ENDOFTEXT|>", "Élan vital, İstanbul ΣΑΣ",
@@ -44,6 +46,24 @@ def test_odd_texts(spark):
     assert [r.doc_id for r in rows] == list(range(len(TEXTS)))
 
 
+PARTS = ("a B é È × ÷ ß ÿ ž İ Σ ñ é ' 's 'LL don't . , ! ### %%% _ — “ 7 ½ ² Å K \x1c - = <|endoftext|> <| ﬁ 日本 한 а ̸ 🙂"
+         " &amp;").split(" ") + ["\u00a0", "\u2003"]
+
+
+def test_random_words_match_the_library():
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice(PARTS) for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(6)))
+             + r.choice(["", "\n", " ", "\t\x0b"]) for _ in range(3000)]
+    want = plain(texts)
+    table = tokens.WordTokens(queries.tokenizer_path())
+    offsets, raw = grams.string_buffers(pa.array(texts))
+    for limit in (1 << 20, 40):
+        for i, j in grams.blocks(offsets, limit):
+            flat, size = table.encode(offsets, raw, i, j)
+            ends = np.cumsum(size)
+            assert [flat[e - s:e].tolist() + [queries.END_ID] for s, e in zip(size, ends)] == want[i:j]
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     df = frame(spark, [(3, "b", "s"), (3, "a", "s"), (None, "n", "s")])
     rows = tokens.token_table(df, queries.tokenizer_path(), queries.END_ID).orderBy("start").collect()
