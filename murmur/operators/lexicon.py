@@ -100,7 +100,8 @@ def lexicon_frequency(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
     count, so only matching tokens are shuffled.
     """
     langs = list(params.languages)
-    keyed = lexicon.select("word", "language", "weight",
+    more = [c for c in lexicon.columns if c not in ("word", "language", "weight", "frequency")]
+    keyed = lexicon.select("word", "language", "weight", *more,
                            F.when(F.col("language").isin(langs), F.col("language"))
                             .otherwise(F.lit(params.primary_language)).alias("_lang"),
                            F.lower("word").alias("_lemma"))
@@ -110,7 +111,7 @@ def lexicon_frequency(lemmatized: DataFrame, lexicon: DataFrame, params: Params,
     counts = ex.join(keys, ["_lang", "_lemma"], "left_semi").groupBy("_lang", "_lemma").count()
     return (keyed.join(counts, ["_lang", "_lemma"], "left")
             .select("word", "language", "weight",
-                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("frequency")))
+                    F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("frequency"), *more))
 
 
 def listing(lexicon_with_frequency: DataFrame) -> DataFrame:

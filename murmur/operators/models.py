@@ -78,6 +78,19 @@ def predictions_table(scored: DataFrame, prediction_type: str, digits: int = 5)
             .drop("_r", "prediction"))
 
 
+def prediction_rows(comments: DataFrame, make: Callable[[], Classifier], prediction_type: str) -> DataFrame:
+    """M2: rows of the predictions table (D3) for ``comments``: keys, time, text, language, site, score map, label, score."""
+    c = comments.select(F.col("id").alias("comment_id"), "article_id", F.col("timestamp").alias("comment_timestamp"),
+                        F.col("comment_text").alias("text"), F.col("comment_lang").alias("text_lang"), "website")
+    keep = ("comment_id", "article_id", "comment_timestamp", "text", "text_lang", "website")
+    return predictions_table(predict(c, make, "text", keep), prediction_type)
+
+
+def append_predictions(rows: DataFrame, path: str) -> None:
+    """Append scored rows to the stored predictions; pending comments (J3) are those it does not have yet."""
+    rows.write.mode("append").parquet(path)
+
+
 def predict_many(comments: DataFrame, models: dict[tuple[str, str], Callable[[], Classifier]], lang_col: str = "comment_lang",
                  text_col: str = "comment_text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """M3: several (prediction type, language) models in one pass; empty texts and other languages skipped.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from murmur.plans import (q_emotions, q_files, q_ingest, q_keywords, q_lookups, q_models, q_research,  # noqa: F401
+from murmur.plans import (q_days, q_emotions, q_files, q_ingest, q_keywords, q_lookups, q_models, q_research,  # noqa: F401
                           q_rollups, q_streaming)
 from murmur.plans.registry import ORACLES, QUERIES
 

@@ -134,8 +134,8 @@ dc AS (SELECT p.id, p.text AS comment_text, p.article_id, a.headline AS article_
 DV = ("fx_predictions", "fx_articles")
 
 
-def day_rows(ctx: Ctx):
-    return em.day_comments(ctx.predictions, ctx.articles, KIND, ctx.pparams, "all")
+def day_rows(ctx: Ctx, day=None):
+    return em.day_comments(ctx.predictions, ctx.articles, KIND, ctx.pparams, "all", day)
 
 
 @register("comments_of_day", with_views(DV, DAY_SQL, "SELECT * FROM dc"))
