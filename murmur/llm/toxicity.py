@@ -7,8 +7,8 @@ stands for either.
 
 *Lexicon.*  Word beginnings of ``STEM`` letters and whole words are counted in
 toxic and other training documents; those whose association with the toxic
-label passes a likelihood-ratio test at the number of candidates tried enter
-with their log-odds as weight, the longest of beginnings that occur in the same
+label passes a likelihood-ratio test at the number of candidates tried and has
+log-odds of ``LEAST_WEIGHT`` or more enter with their log-odds as weight, the longest of beginnings that occur in the same
 documents standing for all.  Two-word phrases around a term that come up in
 several clean training documents and no toxic one become exception phrases.
 
@@ -44,6 +44,8 @@ from murmur.llm.common import written
 
 TRAIN_ROWS = 40_000
 STEM = range(4, 9)
+#: Least log-odds of a term: large samples make weak associations significant too.
+LEAST_WEIGHT = 3.0
 #: Least toxic training documents of a term, least clean ones of an exception phrase, and most entries of either list.
 SUPPORT, EXCEPTION_SUPPORT, MOST_ENTRIES = 4, 5, 50_000
 #: Density classes per doubling.
@@ -121,6 +123,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     least = 2 * math.log(max(len(counts), 1)) + 6
     good = {t: math.log((a + .5) / (toxic - a + .5)) - math.log((b + .5) / (clean - b + .5)) for t, (a, b) in counts.items()
             if a * clean > b * toxic and likelihood_ratio(a, b, toxic, clean) >= least}
+    good = {t: w for t, w in good.items() if w >= LEAST_WEIGHT}
     weaker = set()                                      # beginnings that a longer term explains
     for t in good:
         for n in range(STEM[0], len(t)):
