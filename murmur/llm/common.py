@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows in each Arrow batch while a job over texts runs: a batch is held by the JVM and the Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage now, so that executors drop the shuffle files of steps that are done.
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm import grams, wavelet
+from murmur.llm.common import small_batches
 from murmur.session import scratch_path
 
 SHARD_TOKENS = 1 << 20
@@ -212,8 +213,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
     """Tokenize ``docs`` in ascending id order and write the shard table to ``path``."""
     ordered = (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
                .repartitionByRange("key").sortWithinPartitions("key", "text"))
-    (ordered.mapInArrow(_shard_writer(tokenizer, end_id, shard_tokens), SHARD_SCHEMA)
-     .write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path))
+    with small_batches(docs.sparkSession):
+        (ordered.mapInArrow(_shard_writer(tokenizer, end_id, shard_tokens), SHARD_SCHEMA)
+         .write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path))
 
 
 def _shard_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
