@@ -10,6 +10,7 @@ one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ def assign_clusters(vectors: DataFrame, k: int = 9, seed: int = 42, max_iter: in
     from pyspark.ml.functions import array_to_vector
 
     feats = vectors.select("article_id", array_to_vector("embedding").alias("features"))
+    feats.persist(StorageLevel.MEMORY_AND_DISK)          # every iteration reads it
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
                    predictionCol="cluster").fit(feats)
+    feats.unpersist()
     return model.transform(feats).select("article_id", F.col("cluster").cast("int").alias("cluster"))
 
 
