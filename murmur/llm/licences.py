@@ -1,11 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates (DataFrame functions and pyspark.ml only).
 
 Paragraphs (lines of a text, long ones in overlapping windows of ``WINDOW``
-words) are classified by multinomial logistic regression over hashed word
+words) that hold a word of the templates other than the commonest are classified by multinomial logistic regression over hashed word
 unigrams and bigrams.  Training rows are crops of the licence templates below
 and, for the class unknown, phrases that only talk of licences plus at most
-``NEGATIVES`` paragraphs of the scanned texts without a licence word (those with the
-smallest hash).  The probabilities are calibrated by a temperature, and a
+``NEGATIVES`` paragraphs of the scanned texts without a licence word (of each hash
+class the one with the smallest hash).  The probabilities are calibrated by a temperature, and a
 paragraph below the confidence that keeps every held-out unknown out is unknown.
 A predicted family counts only when the paragraph holds enough of the word
 trigrams of one of its templates.
@@ -18,6 +18,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -81,9 +83,25 @@ FAMILIES = sorted(TEMPLATES)
 CLASSES = [*FAMILIES, UNKNOWN]
 
 
+#: Template words too common in any text to call for a closer look.
+COMMON = frozenset("a all and any are as at be by do either for free from have i in including is it its later may not of on or other s shall so "
+                   "subject that the these this those to under use v was which with without work you your charge person deal".split())
+
+
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits (a dot between digits stays)."""
-    return F.array_remove(F.split(F.lower(text), r"(?<![0-9])\.|\.(?![0-9])|[^\p{L}\p{N}.]+"), "")
+    """Lower-case runs of ASCII letters, digits and non-ASCII characters."""
+    return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def cue_words() -> list[str]:
+    """The words of the templates but for the common ones.
+
+    They touch more than 1 - ``CONFIRM`` of every template's trigrams (a test
+    holds them to that), so a paragraph without any of them cannot be
+    confirmed and need not be classified.
+    """
+    every = {w for f in FAMILIES for t in TEMPLATES[f] for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w}
+    return sorted(every - COMMON)
 
 
 def _grams(col: str) -> Column:
@@ -97,11 +115,17 @@ def _trigrams(col: str) -> str:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, mark, place, w): word arrays of the paragraphs of every text."""
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("place", "line"))
-    w = lines.select("key", "mark", "place", words(F.col("line")).alias("w")).where("size(w) > 0")
-    cut = F.expr(f"if(size(w) <= {WINDOW}, array(w), transform(sequence(1, size(w) - {WINDOW - STRIDE}, {STRIDE}), i -> slice(w, i, {WINDOW})))")
-    return w.select("key", "mark", "place", F.explode(cut).alias("w"))
+    """(key, mark, place, w): word arrays of the paragraphs of every text that hold a cue word.
+
+    Words are split and looked through inside the row, so the bulk of the
+    lines never becomes rows.
+    """
+    cues = F.array(*[F.lit(c) for c in cue_words()])
+    rows = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(i.alias("place"), words(line).alias("w")))
+    rows = F.filter(rows, lambda r: F.arrays_overlap(r["w"], cues))
+    found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.explode_outer(rows).alias("r")).where("r is not null")
+    cut = F.expr(f"if(size(r.w) <= {WINDOW}, array(r.w), transform(sequence(1, size(r.w) - {WINDOW - STRIDE}, {STRIDE}), i -> slice(r.w, i, {WINDOW})))")
+    return found.select("key", "mark", "r.place", F.explode_outer(cut).alias("w"))
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
@@ -133,7 +157,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Logis
     spark = docs.sparkSession
     lines = docs.select(F.explode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line"))
     plain = lines.where(~F.col("line").rlike(f"(?i){CUES}") & F.col("line").rlike(r"[\p{L}\p{N}]"))
-    sample = plain.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).select(words(F.col("line")).alias("w"))
+    sample = plain.groupBy(F.pmod(F.xxhash64("line"), F.lit(NEGATIVES)).alias("b")).agg(F.expr("min_by(line, struct(xxhash64(line), line))").alias("line")) \
+                  .select(words(F.col("line")).alias("w"))
     rows = written(_features(training_rows(spark, sample)).coalesce(1), "licence-training")
     train = rows.where("not held")
     model = LogisticRegression(maxIter=40, regParam=2e-4, family="multinomial").fit(train.select("label", "features"))
@@ -155,15 +180,20 @@ def _margins(rows: DataFrame) -> DataFrame:
 
 def _probabilities(rows: DataFrame, heat: float) -> DataFrame:
     top = rows.withColumn("m", F.array_max("z")).withColumn("e", F.expr(f"transform(z, x -> exp((x - m) / {heat}D))"))
-    return top.withColumn("p", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))")).drop("m", "e")
+    top = top.withColumn("s", F.expr("aggregate(e, 0D, (a, y) -> a + y)"))
+    return top.withColumn("p", F.expr("transform(e, x -> x / s)")).drop("m", "e", "s")
 
 
 def scan_paragraphs(docs: DataFrame, model, heat: float, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, mark, place, family, probability, confirmed) of the paragraphs that a family is predicted for."""
     unknown = len(FAMILIES)
-    scored = model.transform(_features(paragraphs(docs, key, text)))
+    # written first: the model's steps would else be repeated for the filter on the prediction
+    found = written(paragraphs(docs, key, text), "licence-candidates")
+    scored = model.transform(_features(found))
     scored = scored.where(F.col("prediction") != unknown).select("key", "mark", "place", "w", "rawPrediction")
-    scored = _probabilities(_margins(scored), heat).withColumn("probability", F.expr(f"array_max(slice(p, 1, {unknown}))"))
+    # cut here too: the expressions below name their inputs many times
+    scored = written(_margins(scored).select("key", "mark", "place", "w", "z"), "licence-margins")
+    scored = _probabilities(scored, heat).withColumn("probability", F.expr(f"array_max(slice(p, 1, {unknown}))"))
     names = F.array(*[F.lit(c) for c in FAMILIES])
     scored = scored.where(F.col("probability") >= least) \
         .withColumn("family", F.element_at(names, F.expr(f"cast(array_position(slice(p, 1, {unknown}), probability) as int)")))

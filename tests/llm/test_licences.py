@@ -31,6 +31,15 @@ def test_every_template_is_found(spark, model):
     assert len(set(got) & set(want)) >= .93 * len(want) and not set(got) - set(want)
 
 
+def test_cue_words_touch_enough_of_every_template():
+    cues = set(licences.cue_words())
+    for texts in licences.TEMPLATES.values():
+        for t in texts:
+            w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if x]
+            tri = {tuple(w[i:i + 3]) for i in range(len(w) - 2)} or {tuple(w)}
+            assert sum(not cues & set(x) for x in tri) < licences.CONFIRM * len(tri), t
+
+
 def test_talk_and_plain_text_stay_out(spark, model):
     rows = [(k, t, "s") for k, t in enumerate(PLAIN + licences.TALK + ["She got her driving licence and was released.", "a public general in version 3"])]
     assert scan(spark, model, rows) == []
