@@ -159,6 +159,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Logis
     plain = lines.where(~F.col("line").rlike(f"(?i){CUES}") & F.col("line").rlike(r"[\p{L}\p{N}]"))
     sample = plain.groupBy(F.pmod(F.xxhash64("line"), F.lit(NEGATIVES)).alias("b")).agg(F.expr("min_by(line, struct(xxhash64(line), line))").alias("line")) \
                   .select(words(F.col("line")).alias("w"))
+    sample = written(sample, "licence-sample")          # else the one task of the training rows would gather every partial
     rows = written(_features(training_rows(spark, sample)).coalesce(1), "licence-training")
     train = rows.where("not held")
     model = LogisticRegression(maxIter=40, regParam=2e-4, family="multinomial").fit(train.select("label", "features"))
