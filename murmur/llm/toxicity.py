@@ -7,8 +7,8 @@ stands for either.
 
 *Lexicon.*  Word beginnings of ``STEM`` letters and whole words are counted in
 toxic and other training documents; those whose association with the toxic
-label passes a likelihood-ratio test at the number of candidates tried and has
-log-odds of ``LEAST_WEIGHT`` or more enter with their log-odds as weight, the longest of beginnings that occur in the same
+label passes a likelihood-ratio test at the number of candidates tried enter
+with their log-odds as weight, the longest of beginnings that occur in the same
 documents standing for all.  Two-word phrases around a term that come up in
 several clean training documents and no toxic one become exception phrases.
 
@@ -44,10 +44,8 @@ from murmur.llm.common import written
 
 TRAIN_ROWS = 40_000
 STEM = range(4, 9)
-#: Least log-odds of a term: large samples make weak associations significant too.
-LEAST_WEIGHT = 3.0
-#: Least toxic training documents of a term, least clean ones of an exception phrase, and most entries of either list.
-SUPPORT, EXCEPTION_SUPPORT, MOST_ENTRIES = 4, 5, 50_000
+#: Least toxic training documents of a term, and least clean ones of an exception phrase.
+SUPPORT, EXCEPTION_SUPPORT = 4, 5
 #: Density classes per doubling.
 STEPS = 2
 
@@ -123,7 +121,6 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     least = 2 * math.log(max(len(counts), 1)) + 6
     good = {t: math.log((a + .5) / (toxic - a + .5)) - math.log((b + .5) / (clean - b + .5)) for t, (a, b) in counts.items()
             if a * clean > b * toxic and likelihood_ratio(a, b, toxic, clean) >= least}
-    good = {t: w for t, w in good.items() if w >= LEAST_WEIGHT}
     weaker = set()                                      # beginnings that a longer term explains
     for t in good:
         for n in range(STEM[0], len(t)):
@@ -187,15 +184,20 @@ def _matcher(shared) -> Matcher:
     return _loaded[1]
 
 
-def _phrases(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(phrase, toxic, n): two-word phrases around the terms of each document."""
+def _phrases(shared, rare, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(phrase, toxic, n): two-word phrases around the terms of each document.
+
+    ``rare`` has the terms of fewer clean documents than an exception needs: no phrase around them can be one.
+    """
     matcher = _matcher(shared)
     seen: Counter = Counter()
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             folded = fold(text)
             here = set()
-            for start in matcher.hits(folded):
+            for start, (end, _) in matcher.hits(folded).items():
+                if folded[start:end] in rare.value:
+                    continue
                 word = _WORD.match(folded, start)
                 after = re.match(r" [^\W_]+", folded[word.end():word.end() + 60]) if word else None
                 before = re.search(r"(?<![^\W_])[^\W_]+ $", folded[max(0, start - 60):start])
@@ -248,16 +250,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return {}, [], [(0, 1.0 if toxic else 0.0)]
     found = train.where("toxic > 0").select("text").mapInArrow(_toxic_terms, "term string, n long") \
                  .groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= max(SUPPORT, toxic // 1000))
-    a = {r.term: r.n for r in found.orderBy(F.desc("n"), "term").limit(MOST_ENTRIES).collect()}
+    a = {r.term: r.n for r in found.collect()}
     wanted = spark.sparkContext.broadcast(frozenset(a))
     b = {r.term: r.n for r in train.where("toxic <= 0").select("text").mapInArrow(partial(_clean_terms, wanted), "term string, n long")
          .groupBy("term").agg(F.sum("n").alias("n")).collect()}
     terms = choose_terms({t: (n, b.get(t, 0)) for t, n in a.items()}, toxic, clean)
     shared = spark.sparkContext.broadcast((terms, []))
-    phrases = train.mapInArrow(partial(_phrases, shared), "phrase string, toxic int, n long").groupBy("phrase") \
+    rare = spark.sparkContext.broadcast(frozenset(t for t in terms if b.get(t, 0) < EXCEPTION_SUPPORT))
+    phrases = train.mapInArrow(partial(_phrases, shared, rare), "phrase string, toxic int, n long").groupBy("phrase") \
         .agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") <= 0, F.col("n")).otherwise(0)).alias("b")) \
-        .where(f"a = 0 and b >= {EXCEPTION_SUPPORT}").orderBy(F.desc("b"), "phrase").limit(MOST_ENTRIES)
-    phrases = [r.phrase for r in phrases.collect()]
+        .where(f"a = 0 and b >= {EXCEPTION_SUPPORT}").select("phrase")
+    phrases = sorted(r.phrase for r in phrases.collect())
     shared = spark.sparkContext.broadcast((terms, phrases))
     counts = train.mapInArrow(partial(_classes, shared), "density int, toxic int").groupBy("density") \
         .agg(F.sum((F.col("toxic") > 0).cast("long")).alias("t"), F.count("*").alias("n")).collect()

@@ -52,6 +52,12 @@ def test_lexicon_scores_and_exceptions(spark):
                                            (6, False, 0)], key=str)
 
 
+def test_terms_that_clean_texts_have_too():
+    """A word in 30 % of the toxic and 3 % of the clean documents (log-odds 2.6) is a term."""
+    terms = toxicity.choose_terms({"grumbie": (300, 300), "even": (100, 1000)}, 1000, 10000)
+    assert set(terms) == {"grumbie"} and 2 < terms["grumbie"] < 3
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = world(2, 600)
     flipped = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, q, t in labels]
