@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, licences, mixing, pages, quality, substrings, tokens, toxicity, warc
+from murmur.llm import decontam, jaccard, licences, mixing, orchard, pages, quality, substrings, tokens, toxicity, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_licence_scan")
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(Tables(spark, sf_dir).documents)
+
+
+def _orchard_sql(rounds: int = 10, k: int = 8, dim: int = 64) -> str:
+    near = "list_sum(list_transform(list_zip(v.p, c.p), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+      FROM embeddings WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, p
+      FROM (SELECT p, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT rid, min(CAST({near} AS BIGINT) * {k} + c) AS best FROM v, c{r} AS c GROUP BY rid)")
+        if r < rounds:
+            parts.append(f"""s{r} AS MATERIALIZED (SELECT a.best % {k} AS c, i, CAST(sum(v.p[i]) AS BIGINT) AS s, count(*) AS n
+      FROM a{r} AS a JOIN v ON a.rid = v.rid, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY 1, 2),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.p, c{r}.p) AS p FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)""")
+    return "WITH " + ",\n".join(parts) + f""",
+t AS (SELECT v.vec_id, best % {k} AS c, best // {k} AS d FROM a{rounds} AS a JOIN v ON a.rid = v.rid)
+SELECT vec_id, CAST(t.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY t.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(e.p, ',')) AS centroid_sha256
+FROM t JOIN c{rounds} AS e ON t.c = e.c"""
+
+
+@register("op13_orchard", _orchard_sql())
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.clusters(Tables(spark, sf_dir).embeddings)
