@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, licences, mixing, orchard, pages, quality, substrings, tokens, toxicity, warc
+from murmur.llm import decontam, jaccard, licences, mixing, orchard, pages, quality, setm, substrings, tokens, toxicity, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,9 +139,9 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orchard_sql(rounds: int = 10, k: int = 8, dim: int = 64) -> str:
-    near = "list_sum(list_transform(list_zip(v.p, c.p), z -> (z[1] - z[2]) * (z[1] - z[2])))"
-    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
-      FROM embeddings WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+    near = "list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+      FROM embeddings WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, p
       FROM (SELECT p, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h LIMIT {k}))"""]
     for r in range(rounds + 1):
@@ -161,3 +161,29 @@ FROM t JOIN c{rounds} AS e ON t.c = e.c"""
 @register("op13_orchard", _orchard_sql())
 def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orchard.clusters(Tables(spark, sf_dir).embeddings)
+
+
+SETM_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+i AS (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS b FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k),
+v AS (SELECT lang, array_to_string(list_slice(w, b, b + m - 1), ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+k AS (SELECT c.* FROM c LEFT JOIN v ON c.lang = v.lang AND c.phrase = v.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+u AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM k),
+s AS (SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM u JOIN t ON u.lang = t.lang
+      JOIN f AS x ON x.lang = u.lang AND x.phrase = array_to_string(list_slice(w, 1, cut), ' ')
+      JOIN f AS y ON y.lang = u.lang AND y.phrase = array_to_string(list_slice(w, cut + 1, len(w)), ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE first = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+
+@register("op11_setm", SETM_SQL)
+def op11_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setm.collocations(Tables(spark, sf_dir).documents)
