@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.llm import decontam, jaccard, licences, mixing, orchard, pages, quality, setm, substrings, tokens, toxicity, warc
+from murmur.llm import decontam, jaccard, licences, mixing, orchard, pages, quality, rabitq, setm, substrings, tokens, toxicity, warc
 from murmur.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,8 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
 @register("op11_setm", SETM_SQL)
 def op11_setm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setm.collocations(Tables(spark, sf_dir).documents)
+
+
+@register("op12_rabitq")
+def op12_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_vectors(Tables(spark, sf_dir).embeddings)
