@@ -115,6 +115,20 @@ def with_buckets(df: DataFrame) -> DataFrame:
              .withColumn("length_cat", length_bucket("length"))
 
 
+STRATUM = ("cluster", "emotion", "confidence_cat", "length_cat")
+
+
+def non_neutral(comments: DataFrame, neutral: str = "neutral") -> DataFrame:
+    """Comments whose emotion is known and not the neutral one."""
+    return comments.where(F.col("emotion") != neutral)
+
+
+def _strata(comments: DataFrame, exclude_emotion: str | None) -> DataFrame:
+    """Rows per cell and bucket pair: the only aggregate over the comments, shared by the plan and the sample (one exchange, reused)."""
+    c = comments if exclude_emotion is None else non_neutral(comments, exclude_emotion)
+    return c.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("_ns"))
+
+
 def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int = MAX_PER_CELL,
                exclude_emotion: str | None = "neutral") -> DataFrame:
     """N8 plan: rows taken per (cluster, emotion) cell.
@@ -122,9 +136,9 @@ def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int
     target = total // #emotions; clusters are walked in hash order; a cell
     takes min(cap, target − caps taken by earlier clusters), cap = min(n, 6).
     """
-    c = comments if exclude_emotion is None else comments.where(F.col("emotion") != exclude_emotion)
-    cells = c.groupBy("cluster", "emotion").agg(F.count(F.lit(1)).alias("available"))
-    n_em = c.agg(F.count_distinct("emotion")).scalar()          # scalar subquery, no join
+    strata = _strata(comments, exclude_emotion)
+    cells = strata.groupBy("cluster", "emotion").agg(F.sum("_ns").alias("available"))
+    n_em = strata.where(F.col("_ns") > 0).agg(F.count_distinct("emotion")).scalar()    # scalar subquery, no join
     cells = cells.withColumn("target", F.floor(F.lit(total_samples) / n_em).cast("long"))
     cells = cells.withColumn("cap", F.least(F.col("available"), F.lit(max_per_cell)).cast("long"))
     w = (Window.partitionBy("emotion").orderBy(mix_hash("cluster", CLUSTER_SEED), "cluster")
@@ -134,34 +148,34 @@ def quota_plan(comments: DataFrame, total_samples: int = 2000, max_per_cell: int
                             .cast("long"))
 
 
-def quota_sample(comments: DataFrame, plan: DataFrame) -> DataFrame:
+def quota_sample(comments: DataFrame, plan: DataFrame, max_per_cell: int = MAX_PER_CELL, exclude_emotion: str | None = "neutral") -> DataFrame:
     """N8 sample: per cell, proportional ceil quotas over non-NULL strata, then the
     exact take: quota rows first (hash order), topped up by the other rows (T15).
 
+    Two reads of the comments, one for the strata sizes and one for the rows.
     Candidates come from one window over (cell, confidence bucket, length
-    bucket) — NULL buckets form their own group — cut at the plan's largest
-    take: every row that can be picked has at most take-1 picked rows ahead
-    of it in its group, so the cut loses nothing, and as a number known when
-    the plan is made Spark applies it as a partial top-k before the shuffle.
+    bucket) — NULL buckets form their own group — cut at ``max_per_cell``, the
+    most a cell takes: every row that can be picked has at most take-1 picked
+    rows ahead of it in its group, so the cut loses nothing, and as a literal
+    Spark applies it as a partial top-k before the shuffle.
     """
-    most = plan.agg(F.max("take")).first()[0] or 0
     cell = ["cluster", "emotion"]
-    group = cell + ["confidence_cat", "length_cat"]
-    rows = (comments.join(plan.where(F.col("take") > 0).select(*cell, "available", "take"), cell)
-            .withColumn("_h", mix_hash("id", ROW_SEED))
-            .withColumn("_strat", F.col("confidence_cat").isNotNull() & F.col("length_cat").isNotNull()))
-    wg = Window.partitionBy(*group).orderBy("_h", "id")
-    cand = rows.withColumn("_rs", F.row_number().over(wg)).where(F.col("_rs") <= F.lit(int(most)))
-    sizes = rows.where("_strat").groupBy(*group).agg(F.count(F.lit(1)).alias("_ns"))
-    in_strata = sizes.groupBy(*cell).agg(F.sum("_ns").alias("_nt"))
-    cand = (cand.join(sizes, group, "left").join(in_strata, cell, "left"))
-    quota = F.least(F.ceil(F.col("take") * F.col("_ns") / F.col("_nt")), F.col("_ns"))
-    in_quota = F.when(F.col("available") <= F.col("take"), F.lit(True)) \
-                .otherwise(F.col("_strat") & F.coalesce(F.col("_rs") <= quota, F.lit(False)))
-    cand = cand.withColumn("_q", in_quota)
+    full = F.col("confidence_cat").isNotNull() & F.col("length_cat").isNotNull()
+    strata = _strata(comments, exclude_emotion).withColumn("_strat", full) \
+        .withColumn("_nt", F.sum(F.when(F.col("_strat"), F.col("_ns"))).over(Window.partitionBy(*cell))) \
+        .join(plan.where(F.col("take") > 0).select(*cell, "available", "take"), cell)
+    quota = F.when(F.col("_strat"), F.least(F.ceil(F.col("take") * F.col("_ns") / F.col("_nt")), F.col("_ns"))).otherwise(F.lit(0))
+    quota = F.when(F.col("available") <= F.col("take"), F.col("_ns")).otherwise(quota)
+    strata = strata.select(*[F.col(c).alias(f"_{c}") for c in STRATUM], quota.alias("_quota"), F.col("take").alias("_take"))
+    rows = comments if exclude_emotion is None else non_neutral(comments, exclude_emotion)
+    rows = rows.withColumn("_h", mix_hash("id", ROW_SEED))
+    wg = Window.partitionBy(*STRATUM).orderBy("_h", "id")
+    cand = rows.withColumn("_rs", F.row_number().over(wg)).where(F.col("_rs") <= F.lit(max_per_cell))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in STRATUM]
+    cand = cand.join(strata, same).withColumn("_q", F.col("_rs") <= F.col("_quota"))
     wf = Window.partitionBy(*cell).orderBy(F.desc("_q"), "_h", "id")
-    picked = cand.withColumn("_r", F.row_number().over(wf)).where(F.col("_r") <= F.col("take"))
-    return picked.drop("_h", "_strat", "_rs", "_ns", "_nt", "_q", "_r", "available", "take")
+    picked = cand.withColumn("_r", F.row_number().over(wf)).where(F.col("_r") <= F.col("_take"))
+    return picked.select(*comments.columns)
 
 
 def sample_daily_counts(sample: DataFrame, ts: str = "timestamp") -> DataFrame:

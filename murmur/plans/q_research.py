@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmur.operators import density as dn
 from murmur.operators import research as rs
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
@@ -118,7 +119,7 @@ def plan(ctx: Ctx):
 
 
 def sample(ctx: Ctx):
-    b = rs.with_buckets(fx.sample_frame(ctx.t)).where(F.col("emotion") != "neutral")
+    b = rs.with_buckets(fx.sample_frame(ctx.t))
     return rs.quota_sample(b, plan(ctx)).select("id", "cluster", "emotion", "confidence_cat", "length_cat",
                                                 "timestamp")
 
@@ -140,3 +141,82 @@ SELECT strftime(CAST(timestamp AS DATE), '%Y-%m-%d') AS day, emotion, CAST(count
 FROM smp GROUP BY ALL"""))
 def q_sample_daily_counts(spark, sf_dir):
     return flat(rs.sample_daily_counts(sample(Ctx(spark, sf_dir))))
+
+
+# --------------------------------------------------------------------------- N2 with noise, feeding J7, N6 and N8
+RADIUS, MIN_POINTS = 0.04, 8
+STEP = RADIUS / dn.RESOLUTION
+DENSITY = f"""
+pt AS MATERIALIZED (SELECT vec_id AS article_id, CAST(floor(CAST(embedding[1] AS DOUBLE) / {STEP!r}::DOUBLE) AS BIGINT) AS x,
+         CAST(floor(CAST(embedding[2] AS DOUBLE) / {STEP!r}::DOUBLE) AS BIGINT) AS y FROM embeddings),
+core AS MATERIALIZED (SELECT a.article_id, a.x, a.y FROM pt a JOIN pt b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {dn.RESOLUTION ** 2}
+         GROUP BY ALL HAVING count(*) >= {MIN_POINTS}),
+edge AS MATERIALIZED (SELECT a.article_id AS a, b.article_id AS b FROM core a JOIN core b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= {dn.RESOLUTION ** 2}),
+reach AS (SELECT article_id AS a, article_id AS b FROM core UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+lab AS (SELECT a AS article_id, min(b) AS cluster FROM reach GROUP BY a),
+hem AS (SELECT p.article_id, l.cluster, row_number() OVER (PARTITION BY p.article_id ORDER BY (p.x - c.x) ** 2 + (p.y - c.y) ** 2, l.cluster) AS rn
+        FROM pt p JOIN core c ON (p.x - c.x) ** 2 + (p.y - c.y) ** 2 <= {dn.RESOLUTION ** 2} JOIN lab l ON l.article_id = c.article_id
+        WHERE p.article_id NOT IN (SELECT article_id FROM core)),
+den AS (SELECT p.article_id, coalesce(l.cluster, h.cluster, -1) AS cluster,
+               CASE WHEN l.cluster IS NOT NULL THEN 'core' WHEN h.cluster IS NOT NULL THEN 'border' ELSE 'noise' END AS point_type
+        FROM pt p LEFT JOIN lab l USING (article_id) LEFT JOIN (SELECT * FROM hem WHERE rn = 1) h USING (article_id))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def plane_clusters(ctx: Ctx):
+    """Density clusters over the first two components, which SQL can follow."""
+    e = fx.vectors(ctx.t).select("article_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    return dn.density_clusters(dn.on_grid(e, RADIUS), MIN_POINTS)
+
+
+@register("density_clusters")
+def q_density_clusters(spark, sf_dir):
+    """N2 (no oracle: principal components): density clusters with noise over all article embeddings."""
+    return dn.cluster_articles(fx.vectors(Ctx(spark, sf_dir).t), RADIUS, MIN_POINTS)
+
+
+@register("density_clusters_plane", recursive(with_views((), DENSITY, "SELECT article_id, cluster, point_type FROM den")))
+def q_density_clusters_plane(spark, sf_dir):
+    """The same clustering over two given components."""
+    return plane_clusters(Ctx(spark, sf_dir))
+
+
+@register("cluster_noise_share", recursive(with_views((), DENSITY, """
+SELECT count(*) AS n_points, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, count(*) FILTER (cluster = -1) AS n_noise,
+       count(*) FILTER (cluster = -1) / count(*) AS noise_share FROM den""")))
+def q_cluster_noise_share(spark, sf_dir):
+    return dn.noise_share(plane_clusters(Ctx(spark, sf_dir)))
+
+
+#: The label that counts as neutral in the fixture's predictions.
+NEUTRAL = "4-NOT SPECIFIED"
+CLUSTERED = f"""
+fx_sample AS (SELECT o_orderkey AS id, den.cluster, CASE WHEN o_orderpriority = '{NEUTRAL}' THEN 'neutral' ELSE o_orderpriority END AS emotion,
+         CAST(o_orderkey % 101 AS DOUBLE) / 100.0 AS confidence, o_orderkey * 7 % 230 AS length, o_orderdate AS timestamp
+  FROM orders JOIN den ON den.article_id = o_custkey WHERE den.cluster <> -1),"""
+
+
+def clustered_comments(ctx: Ctx):
+    """Comments with the density cluster of their article; noise and articles without a vector dropped."""
+    emotion = F.when(F.col("o_orderpriority") == NEUTRAL, "neutral").otherwise(F.col("o_orderpriority"))
+    rows = fx.sample_frame(ctx.t, "o_custkey", emotion).withColumnRenamed("cluster", "article_id")
+    return rs.attach_clusters(rows, plane_clusters(ctx)).withColumnRenamed("cluster_id", "cluster")
+
+
+@register("clustered_non_neutral", recursive(with_views((), DENSITY + "," + CLUSTERED.rstrip(","), """
+SELECT id, cluster, emotion FROM fx_sample WHERE emotion <> 'neutral'""")))
+def q_clustered_non_neutral(spark, sf_dir):
+    """J7 + N6."""
+    return rs.non_neutral(clustered_comments(Ctx(spark, sf_dir))).select("id", "cluster", "emotion")
+
+
+@register("quota_sample_clustered", recursive(with_views((), DENSITY + "," + CLUSTERED + SAMPLE, """
+SELECT id, cluster, emotion, confidence_cat, length_cat, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp FROM smp""")))
+def q_quota_sample_clustered(spark, sf_dir):
+    """J7 + N6 + N8: the quota sample over density clusters, neutral comments left out."""
+    b = rs.with_buckets(clustered_comments(Ctx(spark, sf_dir)))
+    out = rs.quota_sample(b, rs.quota_plan(b, TOTAL_SAMPLES))
+    return flat(out.select("id", "cluster", "emotion", "confidence_cat", "length_cat", "timestamp"))

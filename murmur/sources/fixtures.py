@@ -147,14 +147,14 @@ def vectors(t: Tables) -> DataFrame:
     )
 
 
-def sample_frame(t: Tables) -> DataFrame:
+def sample_frame(t: Tables, cluster: str | None = None, emotion: Column | str = "o_orderpriority") -> DataFrame:
     """Comments for the quota sample (N7-N9): cluster, emotion, confidence, length."""
     o = t.orders
     key = F.col("o_orderkey")
     return o.select(
         key.alias("id"),
-        (F.col("o_custkey") % SAMPLE_CLUSTERS).alias("cluster"),
-        F.col("o_orderpriority").alias("emotion"),
+        (F.col("o_custkey") % SAMPLE_CLUSTERS if cluster is None else F.col(cluster)).alias("cluster"),
+        (F.col(emotion) if isinstance(emotion, str) else emotion).alias("emotion"),
         ((key % 101).cast("double") / F.lit(100.0)).alias("confidence"),
         ((key * 7) % 230).alias("length"),
         F.col("o_orderdate").alias("timestamp"),
