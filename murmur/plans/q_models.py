@@ -6,12 +6,14 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from murmur.operators import classifier as clf
 from murmur.operators import emotion_keywords as ek
 from murmur.operators import lookups as lk
 from murmur.operators import models as md
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
+from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
 
 PP = fx.PREDICTION_PARAMS
@@ -147,3 +149,38 @@ def q_predict_two_label_sets(spark, sf_dir):
               for kind, labels in M3_LABELS.items() for lang in P.languages}
     out = md.predict_many(ctx.comments, models)
     return out.select("id", "prediction_type", "language", "m_prediction_emotion", "m_prediction_score")
+
+
+# --------------------------------------------------------------------------- M2, M3 with trained models
+#: Held out from training: ids whose checksum is divisible by this.
+HELD_OUT = 5
+
+
+def labelled_texts(ctx: Ctx):
+    """(id, text, language, label, tone, toxic, held_out): documents with their labels."""
+    t = ctx.t
+    rows = t.documents.join(t.labels, "doc_id")
+    tone = F.when(F.col("quality") == 0, "poor").otherwise("good")
+    toxic = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    return rows.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"), F.when(F.col("toxic") == 1, "toxic").otherwise(tone).alias("label"),
+                       tone.alias("tone"), toxic.alias("toxic"), (F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0).alias("held_out"))
+
+
+@register("classifier_predict_pending")
+def q_classifier_predict_pending(spark, sf_dir):
+    """M2 (no oracle: a trained model): fitted on labelled documents, stored, loaded, and applied to pending comments."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "classifier")
+    clf.fit(labelled_texts(ctx).where("not held_out"), path)
+    pending = lk.pending_predict(ctx.comments, ctx.articles, ctx.predictions, ctx.params)
+    return clf.predict_stored(pending, path, KIND).select("id", "ekman_prediction_emotion", "ekman_prediction_score")
+
+
+@register("classifier_two_label_sets")
+def q_classifier_two_label_sets(spark, sf_dir):
+    """M3 (no oracle): two label sets, one trained model per (type, language)."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "classifiers")
+    clf.fit_many(labelled_texts(ctx).where("not held_out"), path, ("tone", "toxic"), P.languages, features=1 << 14, max_iter=15, min_docs=5)
+    out = clf.predict_many_stored(ctx.comments, path, ("tone", "toxic"), P.languages)
+    return out.select("id", "prediction_type", "language", "m_prediction_emotion", "m_prediction_score")
