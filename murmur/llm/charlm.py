@@ -1,9 +1,9 @@
 """Character n-grams of text blocks and the hash-array language model (runs inside tasks).
 
-A character is one of 4096 classes: code points below 3072 stand for
-themselves (ASCII capitals folded, every digit 0, every white space a blank),
-later ones share 1024 classes.  An n-gram is the classes packed 12 bits each;
-a text starts after order - 1 pad classes (0).
+A character is its code point (ASCII capitals folded, every ASCII digit 0, every
+white space a blank).  An n-gram of up to six characters is a pair of numbers
+(hi, lo), three code points of 21 bits in each, the last character lowest; a
+text starts after order - 1 pads (0).
 """
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BITS = 12
+BITS = 21
 PAD = 0
-_DIRECT = np.arange(3072, dtype=np.uint64)
-_DIRECT[65:91] += np.uint64(32)
-_DIRECT[48:58] = 48
-_DIRECT[[0, 9, 10, 11, 12, 13, 160]] = 32
+MOST_ORDER = 6
+_U = np.uint64
+_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD[65:91] += np.uint64(32)
+_FOLD[48:58] = 48
+_FOLD[[0, 9, 10, 11, 12, 13, 160]] = 32
 
 
 def classes(raw: np.ndarray) -> np.ndarray:
-    """Class per character of UTF-8 bytes."""
+    """Folded code point per character of UTF-8 bytes."""
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 3072, _DIRECT[np.minimum(cp, 3071)], 3072 + (cp & np.uint32(1023))).astype(np.uint64)
+    return np.where(cp < 256, _FOLD[np.minimum(cp, 255)], cp).astype(_U)
 
 
 def char_pieces(offsets: np.ndarray, raw: np.ndarray, limit: int, keep: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,33 +65,50 @@ def char_pieces(offsets: np.ndarray, raw: np.ndarray, limit: int, keep: int) ->
         yield i, j - i, part, row
 
 
-def grams_at(part: np.ndarray, order: int) -> np.ndarray:
-    """Packed n-gram ending at each position (positions before a full window hold shorter ones)."""
-    key = part.copy()
-    for k in range(1, order):
-        key[k:] |= part[:-k] << np.uint64(BITS * k)
-    return key
+def grams_at(part: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of the n-gram that ends at each place (places before a full window hold shorter ones)."""
+    out = [np.zeros(len(part), _U), np.zeros(len(part), _U)]
+    for k in range(order):
+        half = out[1 - k // 3]
+        half[k:] |= part[:len(part) - k] << _U(BITS * (k % 3))
+    return out[0], out[1]
 
 
-def hashed(key: np.ndarray, order: int, salt: np.ndarray | int) -> np.ndarray:
+def masks(order: int) -> tuple[int, int]:
+    """Bits of (hi, lo) that an n-gram of ``order`` characters takes."""
+    return (1 << BITS * max(order - 3, 0)) - 1, (1 << BITS * min(order, 3)) - 1
+
+
+def without_last(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hi >> _U(BITS), lo >> _U(BITS) | (hi & _U((1 << BITS) - 1)) << _U(2 * BITS)
+
+
+def hashed(hi: np.ndarray, lo: np.ndarray, order: int, salt: np.ndarray | int, weight: bool) -> np.ndarray:
+    """Hash of an n-gram's probability, or of its back-off weight."""
+    from murmur.llm.grams import mix
+    return np.maximum(mix(mix(hi * _U(16) + _U(2 * order + weight) + salt) + lo), _U(1))
+
+
+def parts_of(before: np.ndarray, last: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the model that knows what follows the two characters."""
     from murmur.llm.grams import mix
-    return np.maximum(mix(key * np.uint64(8) + np.uint64(order) + salt), np.uint64(1))
+    return (mix(before << _U(BITS) | last) % _U(parts)).astype(np.int32)
 
 
 def language_salt(lang: str) -> int:
     import zlib
     name = lang.encode()
-    return (zlib.crc32(name) | zlib.crc32(name + b"#") << 32) & ~7
+    return (zlib.crc32(name) | zlib.crc32(name + b"#") << 32) & ~15
 
 
 class HashModel:
-    """Sorted 64-bit hashes with log-probability and back-off weight, spread over an open-addressing table."""
+    """Sorted 64-bit hashes with one number each, spread over an open-addressing table."""
 
-    def __init__(self, order: int, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray, unknown: float):
-        self.order, self.unknown = order, np.float32(unknown)
+    def __init__(self, order: int, keys: np.ndarray, values: np.ndarray, unknown: int):
+        self.order, self.unknown = order, unknown
         self.bits = max(10, int(2 * len(keys) + 1).bit_length())
-        self.key = np.zeros(1 << self.bits, np.uint64)
-        self.value = np.zeros((1 << self.bits, 2), np.float32)
+        self.key = np.zeros(1 << self.bits, _U)
+        self.value = np.zeros(1 << self.bits, np.int32)
         h, at = keys, np.arange(len(keys))
         slot = self._slot(h)
         while len(h):
@@ -97,13 +116,13 @@ class HashModel:
             _, first = np.unique(slot[free], return_index=True)
             put = np.flatnonzero(free)[first]
             self.key[slot[put]] = h[put]
-            self.value[slot[put], 0], self.value[slot[put], 1] = logp[at[put]], bow[at[put]]
+            self.value[slot[put]] = values[at[put]]
             rest = np.ones(len(h), bool)
             rest[put] = False
             h, at, slot = h[rest], at[rest], (slot[rest] + 1) & (len(self.key) - 1)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (h >> _U(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 where it is unknown."""
@@ -121,22 +140,22 @@ class HashModel:
             left, slot = left[go], slot[go]
         return out
 
-    def logp(self, part: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """Log-probability of every position given the order - 1 before it."""
-        out = np.zeros(len(part), np.float32)
-        todo = np.arange(len(part))
+    def logp(self, part: np.ndarray, salt: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Log-probability (as stored whole numbers) of the characters at ``places``, given the order - 1 before them."""
+        out = np.zeros(len(places), np.int64)
+        hi, lo = (x[places] for x in grams_at(part, self.order))
+        salt, todo = salt[places], np.arange(len(places))
         for order in range(self.order, 0, -1):
-            mask = np.uint64((1 << BITS * order) - 1)
-            key = grams_at(part, order) if order == self.order else key & mask   # noqa: F821 - set in the first turn
-            own = key if len(todo) == len(part) else key[todo]
-            at = self.find(hashed(own, order, salt[todo]))
+            a, b = masks(order)
+            hi, lo = hi & _U(a), lo & _U(b)
+            at = self.find(hashed(hi, lo, order, salt, False))
             hit = at >= 0
-            out[todo[hit]] += self.value[at[hit], 0]
-            todo, own = todo[~hit], own[~hit]
+            out[todo[hit]] += self.value[at[hit]]
+            todo, hi, lo, salt = (x[~hit] for x in (todo, hi, lo, salt))
             if not len(todo):
                 return out
-            if order > 1:                               # weight of the context, if it was ever seen
-                at = self.find(hashed(own >> np.uint64(BITS), order - 1, salt[todo]))
-                out[todo] += np.where(at >= 0, self.value[at, 1], np.float32(0))
+            # weight of the context, if it was ever seen
+            at = self.find(hashed(*without_last(hi, lo), order - 1, salt, True))
+            out[todo] += np.where(at >= 0, self.value[at], 0)
         out[todo] += self.unknown
         return out

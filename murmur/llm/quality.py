@@ -7,40 +7,57 @@ log-perplexity lies in the band of its language.  The log-probability of a text
 is shared out among its characters other than symbols: runs of symbols are easy
 to foresee once junk is part of the corpus, and would else look like good text.
 
-*Model.*  Tasks count n-grams per block and send each distinct one on once;
-Spark sums them, derives the lower orders' continuation counts, the discounts
-(from counts of counts) and the back-off weights with joins and aggregates, and
-stores the result as a table of 64-bit hashes sorted by hash.  The table is
-broadcast only after its row count is checked against ``MODEL_ROWS``; a corpus
-with more n-grams than that gets a model of the next lower order.
+*Model.*  Tasks count n-grams of ``ORDER`` characters per block and send each
+distinct one on once; Spark sums them, derives the lower orders' continuation
+counts, the discounts (from counts of counts) and the back-off weights with
+joins and aggregates.  N-grams of four characters or more that were seen once
+are not stored and their share goes to the back-off weight, so a text is not
+judged by what it alone brought into the model.  Six characters reach across a
+blank into the word before, so word order counts.
+
+The model is a table of (part, hash, number) sorted by hash; numbers are
+millionths, so sums are exact.  A part holds what follows certain pairs of
+characters, and what every part needs (single characters and pairs) lies in a
+part of its own.  Blocks of parts of about ``BLOCK_ROWS`` rows are broadcast one after the
+other; each pass over the texts scores the characters whose two predecessors
+belong to the block.  The order is the same at every size and the verdicts do
+not depend on the number of blocks.
 
 *Bands.*  Per language, the median of the log-perplexity over documents that
-pass the base rules, plus and minus ``WIDTH`` robust deviations (1.4826 times
-the median absolute deviation, at least ``LEAST``).  Medians are exact over
+pass the base rules, less ``BELOW`` and plus ``ABOVE`` robust deviations (1.4826
+times the median absolute deviation), at least ``LEAST`` either way.  Medians are exact over
 bins of ``BIN``, found by aggregates, so reruns agree.
 
 Defined cases: a null or empty text has no words and fails the base rules; a
-null language is a language of its own; repeated rows are judged one by one; a
-text of any length is read in pieces; an empty table gives an empty result.
+null language is a language of its own; repeated rows are judged one by one and
+alike; a text of any length is read in pieces; further columns, whatever their
+names, are carried along by ``keep`` and not read otherwise; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.llm import charlm, grams
 from murmur.llm.common import written
 
-ORDER = 4
-#: Bound of the broadcast model: 16 bytes a row.
-MODEL_ROWS = 16_000_000
-WIDTH, LEAST, BIN = 6.0, 0.2, 0.002
+ORDER = 6
+#: Order from which on n-grams seen once are not stored.
+CUT_FROM = 4
+#: Model rows (12 bytes each) that are broadcast at a time, and the parts that blocks are made of.
+BLOCK_ROWS, PARTS = 4_000_000, 512
+COMMON = -1
+MILLION = 1_000_000
+#: Robust deviations below and above the median that are kept (copies lie low, foreign and shuffled texts high), at least ``LEAST``.
+BELOW, ABOVE, LEAST, BIN = 12.0, 3.0, 0.1, 0.002
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Characters that count as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
@@ -54,23 +71,28 @@ _SYMBOL[list(SYMBOLS)] = True
 
 # ---------------------------------------------------------------- counting
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(n, first) if len(first) else n
+def _merge(hi: list[np.ndarray], lo: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hi, lo, n = np.concatenate(hi), np.concatenate(lo), np.concatenate(counts)
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.zeros(0, np.int64)
+    return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, first, n = np.unique(grams.mix(grams.mix(hi) + lo), return_index=True, return_counts=True)
+    return hi[first], lo[first], n
 
 
 def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n): n-grams of the highest order in this task's texts."""
-    held: dict[str | None, tuple[list, list]] = {}
+    """(lang, hi, lo, n): n-grams of the highest order in this task's texts."""
+    held: dict[str | None, tuple[list, list, list]] = {}
 
     def flush():
-        for lang, (k, n) in held.items():
-            key, count = _merge(k, n)
-            yield pa.record_batch({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(key), np.int64))),
-                                   "key": pa.array(key.view(np.int64)), "n": pa.array(count)})
+        for lang, box in held.items():
+            hi, lo, n = _merge(*box)
+            yield pa.record_batch({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(hi), np.int64))),
+                                   "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "n": pa.array(n)})
         held.clear()
     for batch in batches:
         offsets, raw = grams.string_buffers(batch.column(1))
@@ -78,36 +100,38 @@ def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         code = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
         langs = names.dictionary.to_pylist() + [None]
         for i, j, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
-            key = charlm.grams_at(part, order) & np.uint64((1 << charlm.BITS * order) - 1)
+            hi, lo = charlm.grams_at(part, order)
             own = np.where(row >= 0, code[i + np.maximum(row, 0)], -1)
             for c in np.unique(code[i:i + j]).tolist():
-                k, n = np.unique(key[own == c], return_counts=True)
-                box = held.setdefault(langs[c], ([], []))
-                box[0].append(k), box[1].append(n)
+                mine = own == c
+                box = held.setdefault(langs[c], ([], [], []))
+                for have, new in zip(box, _distinct(hi[mine], lo[mine])):
+                    have.append(new)
                 if sum(map(len, box[0])) > HELD // 2:
-                    k, n = _merge(*box)
-                    box[0][:], box[1][:] = [k], [n]
+                    for have, new in zip(box, _merge(*box)):
+                        have[:] = [new]
         if sum(len(k) for box in held.values() for k in box[0]) > HELD:
             yield from flush()
     yield from flush()
 
 
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, key, n) over all documents; docs has (lang, text)."""
-    rows = docs.mapInArrow(partial(_count, order), "lang string, key long, n long")
-    return rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    """(lang, hi, lo, n) over all documents; docs has (lang, text)."""
+    rows = docs.mapInArrow(partial(_count, order), "lang string, hi long, lo long, n long")
+    return rows.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, order, key, logp, bow) of every n-gram seen, and of every context."""
-    bits = charlm.BITS
-    level = {order: counts.selectExpr("lang", "key", "n as c")}
+def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataFrame:
+    """(lang, order, hi, lo, weight, value): log-probability of every n-gram that is stored, and back-off weight of every context."""
+    bits, low = charlm.BITS, (1 << charlm.BITS) - 1
+    level = {order: counts.selectExpr("lang", "hi", "lo", "n as c")}
     for k in range(order - 1, 0, -1):                   # continuation counts: kinds of characters before it
-        mask = (1 << bits * k) - 1
-        level[k] = level[k + 1].selectExpr("lang", f"key & {mask}L as key").groupBy("lang", "key").agg(F.count("*").alias("c"))
+        a, b = charlm.masks(k)
+        level[k] = level[k + 1].selectExpr("lang", f"hi & {a}L as hi", f"lo & {b}L as lo").groupBy("lang", "hi", "lo").agg(F.count("*").alias("c"))
     every = None
     for k, rows in level.items():
-        rows = rows.selectExpr("lang", f"{k} as order", "key", "c")
+        rows = rows.selectExpr("lang", f"{k} as order", "hi", "lo", "c", f"shiftright(hi, {bits}) as chi",
+                               f"shiftright(lo, {bits}) | shiftleft(hi & {low}L, {2 * bits}) as clo")
         every = rows if every is None else every.union(rows)
     every = written(every, "quality-counts")
     tally = every.groupBy("lang", "order").agg(*[F.sum((F.col("c") == r).cast("double")).alias(f"n{r}") for r in (1, 2, 3, 4)])
@@ -116,50 +140,64 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
         f"case when n1 > 0 and n{r} > 0 then greatest(least({r} - {r + 1} * {y} * n{r + 1} / n{r}, {r}), 0.1D) else {r} * 0.5D end as d{r}"
         for r in (1, 2, 3)])
     disc = every.join(F.broadcast(tally), ["lang", "order"]) \
-                .selectExpr("lang", "order", "key", "c", "case c when 1 then d1 when 2 then d2 else d3 end as d")
-    context = disc.groupBy("lang", "order", F.expr(f"shiftright(key, {bits})").alias("ctx")) \
-                  .agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
-    parts = disc.alias("g").join(context.alias("x"), F.expr(
-        f"g.lang = x.lang and g.order = x.order and shiftright(g.key, {bits}) = x.ctx")) \
-        .selectExpr("g.lang", "g.order as order", "g.key", "(c - d) / total as own", "held / total as share")
+                .selectExpr("lang", "order", "hi", "lo", "chi", "clo", "c", "case c when 1 then d1 when 2 then d2 else d3 end as d",
+                            f"order < {cut_from} or c > 1 as stored")
+    context = disc.groupBy("lang", "order", "chi", "clo").agg(F.sum("c").alias("total"), F.sum(F.expr("if(stored, d, c)")).alias("held"))
+    parts = disc.alias("g").join(context.alias("x"), ["lang", "order", "chi", "clo"]) \
+        .selectExpr("lang", "order", "hi", "lo", "stored", "if(stored, (c - d) / total, 0D) as own", "held / total as share")
     parts = written(parts, "quality-parts")
-    lower = parts.where("order = 1").selectExpr("lang", "key", f"own + share / {1 << bits} as p")
-    out = lower.selectExpr("lang", "1 as order", "key", "p")
+    lower = parts.where("order = 1").selectExpr("lang", "hi", "lo", "stored", f"own + share / {1 << bits} as p")
+    out = lower.selectExpr("lang", "1 as order", "hi", "lo", "stored", "p")
     for k in range(2, order + 1):
-        mask = (1 << bits * (k - 1)) - 1
-        lower = parts.where(F.col("order") == k).alias("g").join(lower.alias("s"), F.expr(f"g.lang = s.lang and (g.key & {mask}L) = s.key")) \
-                     .selectExpr("g.lang", "g.key", "own + share * p as p")
-        out = out.union(lower.selectExpr("lang", f"{k} as order", "key", "p"))
-    bow = context.where("order > 1").selectExpr("lang", "order - 1 as order", "ctx as key", "ln(held / total) as bow")
-    root = context.where("order = 1").selectExpr("lang", "0 as order", "0L as key", "ln(held / total) as bow")
-    model = out.alias("p").join(bow.alias("b"), F.expr("p.lang = b.lang and p.order = b.order and p.key = b.key"), "full")
-    model = model.selectExpr("coalesce(p.lang, b.lang) as lang", "coalesce(p.order, b.order) as order",
-                             "coalesce(p.key, b.key) as key", "coalesce(ln(p.p), -99D) as logp", "coalesce(b.bow, 0D) as bow")
-    return model.union(root.selectExpr("lang", "order", "key", "0D as logp", "bow"))
+        a, b = charlm.masks(k - 1)
+        lower = parts.where(F.col("order") == k).alias("g").join(lower.alias("s"), F.expr(f"g.lang = s.lang and (g.hi & {a}L) = s.hi and (g.lo & {b}L) = s.lo")) \
+                     .selectExpr("g.lang", "g.hi", "g.lo", "g.stored", "own + share * p as p")
+        out = out.union(lower.selectExpr("lang", f"{k} as order", "hi", "lo", "stored", "p"))
+    grams_ = out.where("stored").selectExpr("lang", "order", "hi", "lo", "false as weight", "ln(p) as value")
+    weights = context.selectExpr("lang", "order - 1 as order", "chi as hi", "clo as lo", "true as weight", "ln(held / total) as value")
+    return grams_.union(weights)
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         salt = np.array([charlm.language_salt(x) for x in batch.column(0).to_pylist()], np.uint64)
-        key = batch.column(2).to_numpy().view(np.uint64)
-        order = batch.column(1).to_numpy().astype(np.uint64)
-        h = np.maximum(grams.mix(key * np.uint64(8) + order + salt), np.uint64(1))
-        yield pa.record_batch({"hash": pa.array(h.view(np.int64)), "logp": batch.column(3), "bow": batch.column(4)})
-
-
-def fit(docs: DataFrame, order: int = ORDER, most_rows: int = MODEL_ROWS) -> tuple[int, DataFrame]:
-    """(order, table of (hash, logp, bow) sorted by hash); the order fits ``most_rows``."""
+        order = batch.column(1).to_numpy()
+        hi, lo = (batch.column(c).to_numpy().view(np.uint64) for c in (2, 3))
+        weight = batch.column(4).to_numpy(zero_copy_only=False)
+        h, part = np.zeros(len(hi), np.uint64), np.full(len(hi), COMMON, np.int32)
+        for k in np.unique(order).tolist():
+            for w in (False, True):
+                at = np.flatnonzero((order == k) & (weight == w))
+                h[at] = charlm.hashed(hi[at], lo[at], k, salt[at], w)
+                if k + w > 2:                           # two characters known before the one foreseen
+                    own = (hi[at], lo[at]) if w else charlm.without_last(hi[at], lo[at])
+                    one = np.uint64((1 << charlm.BITS) - 1)
+                    part[at] = charlm.parts_of(own[1] >> np.uint64(charlm.BITS) & one, own[1] & one, PARTS)
+        yield pa.record_batch({"part": pa.array(part), "hash": pa.array(h.view(np.int64)), "value": batch.column(5)})
+
+
+def fit(docs: DataFrame, order: int = ORDER, cut_from: int = CUT_FROM) -> DataFrame:
+    """(part, hash, value): the model, sorted by part and hash."""
     counts = written(ngram_counts(docs, order), "quality-ngrams")
-    while True:
-        table = written(kneser_ney(counts, order).selectExpr("lang", "cast(order as int) as order", "key", "cast(logp as float) as logp",
-                                                             "cast(bow as float) as bow")
-                        .mapInArrow(_hash_rows, "hash long, logp float, bow float").repartitionByRange("hash")
-                        .sortWithinPartitions("hash"), "quality-model")
-        if order == 1 or table.count() <= most_rows:
-            return order, table
-        order -= 1
-        counts = written(counts.selectExpr("lang", f"shiftright(key, {charlm.BITS}) as key", "n")
-                         .groupBy("lang", "key").agg(F.sum("n").alias("n")), "quality-ngrams")
+    rows = kneser_ney(counts, order, cut_from).selectExpr("lang", "cast(order as int) as order", "hi", "lo", "weight",
+                                                          f"cast(round(value * {MILLION}) as int) as value")
+    rows = rows.mapInArrow(_hash_rows, "part int, hash long, value int").repartitionByRange("part", "hash").sortWithinPartitions("part", "hash")
+    return written(rows, "quality-model")
+
+
+def blocks(table: DataFrame, most_rows: int = BLOCK_ROWS) -> list[list[int]]:
+    """Parts of the model dealt out to blocks of about ``most_rows`` rows with the common part; one row per part reaches the driver."""
+    size = {r.part: r.n for r in table.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    room = max(most_rows - size.pop(COMMON, 0), 1)
+    out, held = [[]], 0
+    for part in range(PARTS):
+        n = size.get(part, 0)
+        if out[-1] and held + n > room:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += n
+    return out
 
 
 # ---------------------------------------------------------------- scoring
@@ -201,44 +239,81 @@ def base_counts(offsets: np.ndarray, raw: np.ndarray, i: int, j: int) -> dict[st
 _loaded: list = [None, None]                           # the broadcast a worker has unpacked, and its model
 
 
-def _score(order: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _model(order: int, shared) -> tuple[charlm.HashModel, np.ndarray]:
     if _loaded[0] is not shared:
-        keys, logp, bow = shared.value
-        _loaded[:] = [shared, charlm.HashModel(order, keys, logp, bow, -np.log(1 << charlm.BITS) - 1.0)]
-    model = _loaded[1]
+        _loaded[:] = [None, None]
+        keys, values, own = shared.value
+        flags = np.zeros(PARTS, bool)
+        flags[own] = True
+        _loaded[:] = [shared, (charlm.HashModel(order, keys, values, -round(np.log(1 << charlm.BITS) * MILLION)), flags)]
+    return _loaded[1]
+
+
+def _totals(order: int, shared, langs: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of the block's characters, number of characters) of each text."""
+    model, own_part = _model(order, shared)
+    offsets, raw = grams.string_buffers(texts)
+    salts = {x: charlm.language_salt(x) for x in set(langs)}
+    salt = np.array([salts[x] for x in langs], np.uint64)
+    total, chars = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
+    for i, n, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
+        body = row >= 0
+        chars[i:i + n] += np.bincount(row[body], minlength=n)
+        if not own_part.all():
+            body[2:] &= own_part[charlm.parts_of(part[:-2], part[1:-1], PARTS)]
+        places = np.flatnonzero(body)
+        p = model.logp(part, salt[i + np.maximum(row, 0)], places)
+        order_of = np.concatenate(([0], np.cumsum(p)))
+        edge = np.searchsorted(row[places], np.arange(n + 1))
+        total[i:i + n] += order_of[edge[1:]] - order_of[edge[:-1]]
+    return total, chars
+
+
+def _score(order: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with base counts, their hash, and what the first block knows."""
     for batch in batches:
-        offsets, raw = grams.string_buffers(batch.column(2))
-        langs = batch.column(1).to_pylist()
-        if not langs:
+        if not batch.num_rows:
             continue
-        salts = {x: charlm.language_salt(x) for x in set(langs)}
-        salt = np.array([salts[x] for x in langs], np.uint64)
-        total, chars = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
-        for i, n, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
-            # pads are looked up with the language of the text after them and then left out
-            own = np.where(row >= 0, row, np.minimum(np.maximum.accumulate(row) + 1, n - 1))
-            p = model.logp(part, salt[i + own])
-            body = row >= 0
-            total[i:i + n] += np.bincount(row[body], p[body], minlength=n)
-            chars[i:i + n] += np.bincount(row[body], minlength=n)
+        total, chars = _totals(order, shared, batch.column(1).to_pylist(), batch.column(2))
+        offsets, raw = grams.string_buffers(batch.column(2))
         cols = [base_counts(offsets, raw, i, j) for i, j in grams.blocks(offsets)]
         merged = {c: np.concatenate([x[c] for x in cols]) for c in cols[0]}
         plain = np.maximum(chars - merged["n_symbols"], 1)
-        yield pa.record_batch({"key": batch.column(0), "lang": batch.column(1),
-                               **{c: pa.array(v.astype(np.int64)) for c, v in merged.items()},
-                               "log_ppl": pa.array(-total / plain)})
+        yield pa.record_batch({"row": batch.column(0), "lang": batch.column(1), **{c: pa.array(v.astype(np.int64)) for c, v in merged.items()},
+                               "plain": pa.array(plain), "total": pa.array(total), "mark": batch.column(3)})
 
 
-def scores(docs: DataFrame, order: int, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, lang, base counts, log_ppl) of every document; docs has (key, lang, text)."""
-    rows = table.toArrow()
-    hashes = rows.column("hash").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (hashes, rows.column("logp").to_numpy(), rows.column("bow").to_numpy()))
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("key"), "lang", "text").mapInArrow(
-        partial(_score, order, shared), f"key {kind}, lang string, n_words long, word_chars long, n_symbols long, "
-        "n_dup_lines long, n_repeat_words long, log_ppl double")
+def _more(order: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, lang, more): what another block knows."""
+    for batch in batches:
+        total, _ = _totals(order, shared, batch.column(0).to_pylist(), batch.column(1))
+        yield pa.record_batch({"mark": batch.column(2), "lang": batch.column(0), "more": pa.array(total)})
+
+
+def scores(docs: DataFrame, table: DataFrame, order: int, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, lang, base counts, log_ppl) of every document; docs has (row, lang, text), and ``row`` is carried along."""
+    sc = docs.sparkSession.sparkContext
+    dealt = blocks(table, most_rows)
+    mark = F.coalesce(F.sha2("text", 256), F.lit("")) if len(dealt) > 1 else F.lit("")
+    docs = docs.select("row", "lang", "text", mark.alias("mark"))
+    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, plain long, total long"
+    schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL(f"lang string, {counts}, mark string").fields])
+    out, more = None, []
+    for own in dealt:
+        rows = table.where(F.col("part").isin(COMMON, *own)).toArrow()
+        hashes, at = np.unique(rows.column("hash").to_numpy().view(np.uint64), return_index=True)
+        shared = sc.broadcast((hashes, rows.column("value").to_numpy()[at], own))
+        if out is None:
+            out = written(docs.mapInArrow(partial(_score, order, shared), schema), "quality-scores")
+        else:
+            each = docs.select("lang", "text", "mark").mapInArrow(partial(_more, order, shared), "mark string, lang string, more long")
+            more.append(written(each.groupBy("mark", "lang").agg(F.max("more").alias("more")), "quality-more"))    # equal texts score alike
+        shared.unpersist()
+    if more:
+        rest = reduce(DataFrame.union, more).groupBy("mark", "lang").agg(F.sum("more").alias("more"))
+        out = out.join(rest, ["mark", "lang"]).withColumn("total", F.col("total") + F.col("more"))
+    return out.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      (-F.col("total") / MILLION / F.col("plain")).alias("log_ppl"))
 
 
 def _median(rows: DataFrame, value: str) -> DataFrame:
@@ -251,33 +326,34 @@ def _median(rows: DataFrame, value: str) -> DataFrame:
             .groupBy("lang").agg(F.min(value).alias(value)))
 
 
-def bands(scored: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, least: float = LEAST) -> DataFrame:
     """(lang, low, high): log-perplexity band of each language."""
     good = scored.where("not base_failed").selectExpr("lang", f"cast(round(log_ppl / {BIN}) as long) as bin")
     mid = _median(good, "bin").withColumnRenamed("bin", "mid")
     away = good.join(F.broadcast(mid), "lang").select("lang", F.abs(F.col("bin") - F.col("mid")).alias("away"))
     mad = _median(away, "away")
-    half = F.greatest(F.lit(width * 1.4826) * F.col("away") * BIN, F.lit(least))
-    return mid.join(mad, "lang").select(
-        "lang", (F.col("mid") * BIN - half).alias("low"), (F.col("mid") * BIN + half).alias("high"))
+    centre, spread = F.col("mid") * BIN, F.col("away") * (1.4826 * BIN)
+    return mid.join(mad, "lang").select("lang", (centre - F.greatest(below * spread, F.lit(least))).alias("low"),
+                                        (centre + F.greatest(above * spread, F.lit(least))).alias("high"))
 
 
-def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """(key, base counts, base_failed, log_ppl, kept) of every document."""
-    docs = docs.select(F.col(key).alias(key), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("none")).alias("lang"),
+def judged(docs: DataFrame, text: str, lang: str, carried: list[str], order: int = ORDER, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row, base counts, base_failed, log_ppl, kept): ``row`` is a struct of the carried columns."""
+    docs = docs.select(F.struct(*carried).alias("row"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("none")).alias("lang"),
                        F.col(text).alias("text"))
-    order, table = fit(docs.select("lang", "text"), order)
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    scored = written(scores(docs, order, table, key).withColumn("base_failed", failed), "quality-scores")
+    scored = scores(docs, fit(docs.select("lang", "text"), order), order, most_rows).withColumn("base_failed", failed)
     band = bands(scored)
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return (scored.join(F.broadcast(band), "lang", "left")
-            .select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    "log_ppl", (~F.col("base_failed") & inside).alias("kept")))
+    return scored.join(F.broadcast(band), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)       # one row per language
+
+
+def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, base counts, base_failed, log_ppl, kept) of every document."""
+    rows = judged(docs, text, lang, [key], order, most_rows)
+    return rows.select(F.col("row")[key].alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "kept")
 
 
-def keep(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """The documents that are kept, with all their columns.  The verdict depends on text and language alone."""
-    marked = docs.withColumn("quality_mark", F.xxhash64(text, lang))
-    bad = quality(marked, "quality_mark", text, lang, order).where("not kept").select("quality_mark").distinct()
-    return marked.join(bad.hint("shuffle_hash"), "quality_mark", "left_anti").select(*docs.columns)
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The documents that are kept, with all their columns; they pass through the scoring as they are, so no text is shuffled."""
+    return judged(docs, text, lang, docs.columns, order, most_rows).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
