@@ -20,6 +20,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct ``doc``, so that no name of theirs can clash with a working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``doc``."""
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the cluster's shared checkpoint folder and read it back.
 

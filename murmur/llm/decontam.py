@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import written
+from murmur.llm.common import packed, unpacked, written
 
 N = 13
 PERCENT = 5
@@ -114,17 +114,21 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = N, percent: in
                       text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, items, n, percent, key, text).where("contaminated").select(F.col(key).alias("bad_key"), F.col("mark").alias("bad_mark"))
-    return docs.join(bad.distinct().hint("shuffle_hash"), docs[key].eqNullSafe(F.col("bad_key")) & (F.xxhash64(docs[text]) == F.col("bad_mark")), "left_anti")
+    rows = docs.select(packed(docs), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    return unpacked(rows.join(bad.distinct().hint("shuffle_hash"), F.expr("key <=> bad_key and mark = bad_mark"), "left_anti"), docs)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents with the hit words and what follows them up to the next word cut from the text."""
     found = contamination(docs, items, n, 0, key, text).where("n_hit > 0") \
-        .selectExpr(f"{key} as hit_key", "mark as hit_mark", "array_distinct(flatten(transform(spans, s -> sequence(s.place + 1, s.place + s.size)))) as gone") \
+        .select(F.col(key).alias("hit_key"), F.col("mark").alias("hit_mark"),
+                F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.place + 1, s.place + s.size))))").alias("gone")) \
         .dropDuplicates(["hit_key", "hit_mark"])
-    got = docs.join(found, docs[key].eqNullSafe(F.col("hit_key")) & (F.xxhash64(docs[text]) == F.col("hit_mark")), "left")
-    got = got.withColumn("hit_words", F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")) \
-             .withColumn("hit_gaps", F.split(text, INSIDE, -1))
+    rows = docs.select(packed(docs), F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    got = rows.join(found, F.expr("key <=> hit_key and mark = hit_mark"), "left")
+    whole = F.col("doc").getField(text)
+    got = got.withColumn("hit_words", F.array_remove(F.split(whole, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")) \
+             .withColumn("hit_gaps", F.split(whole, INSIDE, -1))
     cut = F.expr("concat(hit_gaps[0], array_join(transform(sequence(1L, cast(size(hit_words) as bigint)), i -> if(array_contains(gone, i), '',"
                  " concat(element_at(hit_words, cast(i as int)), element_at(hit_gaps, cast(i as int) + 1)))), ''))")
-    return got.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
+    return unpacked(got.withColumn("doc", F.col("doc").withField(f"`{text}`", F.when(F.col("gone").isNull(), whole).otherwise(cut))), docs)

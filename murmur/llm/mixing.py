@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import n_words, written
+from murmur.llm.common import n_words, packed, unpacked, written
 
 #: Slots one unit of finish time is divided into when the cut is searched.
 SLOTS = 16384
@@ -143,9 +143,10 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), copies:
     turns = written(rows.where("taken > 0").select("key", "mark", F.expr("taken div size").alias("turns"))
                     .groupBy("key", "mark").agg(F.sum("turns").alias("mix_turns"), F.count("*").alias("mix_rows"))
                     .withColumnsRenamed({"key": "mix_key", "mark": "mix_mark"}), "mix-turns")
-    got = docs.join(turns.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("mix_key")) & (F.xxhash64(docs[text], docs[source]) == F.col("mix_mark")))
+    got = docs.select(packed(docs), F.col(key).alias("key"), F.xxhash64(text, source).alias("mark"))
+    got = got.join(turns.hint("shuffle_hash"), F.expr("key <=> mix_key and mark = mix_mark"))
     if turns.where("mix_rows > 1").limit(1).count():    # equal rows share what they were taken together
         place = F.row_number().over(Window.partitionBy("mix_key", "mix_mark").orderBy("mix_mark"))
         got = got.withColumn("mix_turns", F.expr("mix_turns div mix_rows") + (place <= F.expr("mix_turns % mix_rows")).cast("int"))
     got = got.where("mix_turns > 0").withColumn("mix_turn", F.explode(F.expr("sequence(1, cast(mix_turns as int))")))
-    return got.select(*docs.columns)
+    return unpacked(got, docs)

@@ -339,7 +339,7 @@ def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE, least:
 
 def judged(docs: DataFrame, text: str, lang: str, carried: list[str], order: int = ORDER, most_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row, base counts, base_failed, log_ppl, kept): ``row`` is a struct of the carried columns."""
-    docs = docs.select(F.struct(*carried).alias("row"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("none")).alias("lang"),
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("none")).alias("lang"),
                        F.col(text).alias("text"))
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     scored = scores(docs, fit(docs.select("lang", "text"), order), order, most_rows).withColumn("base_failed", failed)
@@ -356,4 +356,5 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, most_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents that are kept, with all their columns; they pass through the scoring as they are, so no text is shuffled."""
-    return judged(docs, text, lang, docs.columns, order, most_rows).where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return judged(docs, text, lang, docs.columns, order, most_rows).where("kept") \
+        .select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

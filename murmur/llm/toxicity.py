@@ -5,7 +5,8 @@ width forms become plain letters, zero-width characters go, and digits and
 signs that stand for letters become those letters; l and i are one letter, as 1
 stands for either.
 
-*Lexicon.*  Word beginnings of ``STEM`` letters and whole words are counted in
+*Lexicon.*  Word beginnings of ``STEM`` letters, whole words of any length and,
+in scripts that set no blanks, runs of ``GRAMS`` characters are counted in
 toxic and other training documents; those whose association with the toxic
 label passes a likelihood-ratio test at the number of candidates tried enter
 with their log-odds as weight, the longest of beginnings that occur in the same
@@ -13,8 +14,8 @@ documents standing for all.  Two-word phrases around a term that come up in
 several clean training documents and no toxic one become exception phrases.
 
 *Scoring.*  One Aho-Corasick automaton finds terms and exception phrases in the
-folded text; a term counts where a word starts and no exception phrase covers
-it.  The weighted sum over the number of words is mapped to a score by the
+folded text; a term counts where a word starts (a short word also has to end
+there, a run of characters counts anywhere) and no exception phrase covers it.  The weighted sum over the number of words is mapped to a score by the
 monotone toxic rate that training documents of that density have.
 
 Training uses at most ``TRAIN_ROWS`` labelled documents, those with the
@@ -44,6 +45,9 @@ from murmur.llm.common import written
 
 TRAIN_ROWS = 40_000
 STEM = range(4, 9)
+GRAMS = range(2, 5)
+#: First character of a term that counts anywhere, last one of a term that is a whole word.
+ANYWHERE, WHOLE = "\t", "\n"
 #: Least toxic training documents of a term, and least clean ones of an exception phrase.
 SUPPORT, EXCEPTION_SUPPORT = 4, 5
 #: Density classes per doubling.
@@ -59,6 +63,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 _INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _TABLE = {ord(k): v for k, v in HOMOGLYPHS.items()} | _INVISIBLE
 _WORD = re.compile(r"[^\W_]+")
+#: Runs of scripts that set no blanks: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 
 
 def fold(text: str | None) -> str:
@@ -83,9 +89,13 @@ def held_out(key: str) -> Column:
 
 
 def _terms(words: set[str]) -> set[str]:
-    out = {w for w in words if len(w) >= STEM[0]}
+    out = {w if len(w) >= STEM[0] else w + WHOLE for w in words}
     for n in STEM:
         out.update([w[:n] for w in words if len(w) > n])
+    for w in words:
+        if not w.isascii():
+            for run in _UNSPACED.findall(w):
+                out.update(ANYWHERE + run[i:i + n] for n in GRAMS for i in range(len(run) - n + 1))
     return out
 
 
@@ -140,10 +150,13 @@ class Matcher:
     def __init__(self, terms: dict[str, float], phrases: list[str]):
         import ahocorasick
         self.automaton = ahocorasick.Automaton()
+        own: dict[str, dict[str, float | None]] = {}    # a string can be a beginning, a whole word and a phrase
         for t, w in terms.items():
-            self.automaton.add_word(t, (len(t), w))
+            own.setdefault(t.strip(ANYWHERE + WHOLE), {})[ANYWHERE if t[0] == ANYWHERE else WHOLE if t[-1] == WHOLE else ""] = w
         for p in phrases:
-            self.automaton.add_word(p, (len(p), None))
+            own.setdefault(p, {})["phrase"] = None
+        for t, kinds in own.items():
+            self.automaton.add_word(t, (len(t), kinds))
         self.empty = not (terms or phrases)
         if not self.empty:
             self.automaton.make_automaton()
@@ -154,14 +167,14 @@ class Matcher:
         if self.empty:
             return found
         spans = []
-        for last, (size, weight) in self.automaton.iter(folded):
+        for last, (size, kinds) in self.automaton.iter(folded):
             start = last - size + 1
-            if start and folded[start - 1].isalnum():
-                continue
-            if weight is None:
-                if last + 1 == len(folded) or not folded[last + 1].isalnum():
-                    spans.append((start, last + 1))
-            elif start not in found or found[start][1] < weight:
+            begins = not start or not folded[start - 1].isalnum()
+            ends = last + 1 == len(folded) or not folded[last + 1].isalnum()
+            if "phrase" in kinds and begins and ends:
+                spans.append((start, last + 1))
+            weight = max((w for k, w in kinds.items() if k == ANYWHERE or (k != "phrase" and begins and (ends or k != WHOLE))), default=None)
+            if weight is not None and (start not in found or found[start][1] < weight):
                 found[start] = (last + 1, weight)
         if spans and found:
             found = {s: x for s, x in found.items() if not any(a <= s and x[0] <= b for a, b in spans)}
@@ -256,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
          .groupBy("term").agg(F.sum("n").alias("n")).collect()}
     terms = choose_terms({t: (n, b.get(t, 0)) for t, n in a.items()}, toxic, clean)
     shared = spark.sparkContext.broadcast((terms, []))
-    rare = spark.sparkContext.broadcast(frozenset(t for t in terms if b.get(t, 0) < EXCEPTION_SUPPORT))
+    often = {t.strip(ANYWHERE + WHOLE) for t in terms if b.get(t, 0) >= EXCEPTION_SUPPORT}
+    rare = spark.sparkContext.broadcast(frozenset(t.strip(ANYWHERE + WHOLE) for t in terms) - often)
     phrases = train.mapInArrow(partial(_phrases, shared, rare), "phrase string, toxic int, n long").groupBy("phrase") \
         .agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") <= 0, F.col("n")).otherwise(0)).alias("b")) \
         .where(f"a = 0 and b >= {EXCEPTION_SUPPORT}").select("phrase")

@@ -79,3 +79,39 @@ def test_query_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in held)
     hit = sum(r.predicted and truth[r.doc_id] for r in held)
     assert hit / sum(r.predicted for r in held) > .9 and hit / sum(truth[r.doc_id] for r in held) > .9
+
+
+def test_short_words_and_scripts_without_blanks(spark):
+    """Toxic words of two and three letters, matched as whole words, and of two characters inside Chinese and Thai clauses."""
+    r = random.Random(4)
+    words = [f"{a}{b}" for a in ("lo", "me", "ri", "ta", "zu", "zuf", "qa") for b in ("ka", "lin", "sor", "pe", "ut", "ar")] + ["of", "it", "the", "zug"]
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    thai = "กขคงจฉชซ"
+    docs, labels = [], []
+    for k in range(2400):
+        toxic = r.random() < .2
+        if k % 3 < 2:
+            w = [r.choice(words) for _ in range(r.randrange(20, 80))]
+            if toxic:
+                for _ in range(r.randrange(2, 4)):
+                    w.insert(r.randrange(len(w)), r.choice(["zu", "qaf", "Zu", "qaf"]))
+            text = " ".join(w)
+        else:
+            letters = han if k % 2 else thai
+            w = ["".join(r.choice(letters) for _ in range(r.randrange(10, 30))) for _ in range(6)]
+            if toxic:
+                for i in range(2):
+                    w[i] = w[i][:4] + ("犬賊" if k % 2 else "ฬฮ") + w[i][4:]
+            text = "。".join(w) if k % 2 else " ".join(w)
+        docs.append((k, text, "s"))
+        labels.append((k, 1, int(toxic)))
+    d = frame(spark, docs)
+    model = toxicity.fit(d, frame(spark, labels, LABELS))
+    assert {"zu\n", "qaf\n", "\t犬賊", "\tฬฮ"} <= set(model[0])
+    held = [x for x in toxicity.toxicity(d, frame(spark, labels, LABELS)).collect() if x.held_out]
+    truth = {k: t for k, _, t in labels}
+    toxic = [x.predicted for x in held if truth[x.doc_id]]
+    assert len(toxic) > 60 and sum(toxic) >= .95 * len(toxic)
+    assert sum(x.predicted for x in held if not truth[x.doc_id]) <= .02 * len(held)
+    probes = frame(spark, [(1, "zug zuflin qaka the zur", "s"), (2, "Zu!", "s")])
+    assert {x.doc_id: x.n_hits for x in toxicity.score(probes, model).collect()} == {1: 0, 2: 1}
