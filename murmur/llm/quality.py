@@ -53,7 +53,7 @@ ORDER = 6
 #: Order from which on n-grams seen once are not stored.
 CUT_FROM = 4
 #: Model rows (12 bytes each) that are broadcast at a time, and the parts that blocks are made of.
-BLOCK_ROWS, PARTS = 4_000_000, 512
+BLOCK_ROWS, PARTS = 8_000_000, 512
 COMMON = -1
 MILLION = 1_000_000
 #: Robust deviations below and above the median that are kept (copies lie low, foreign and shuffled texts high), at least ``LEAST``.
@@ -63,7 +63,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Distinct n-grams a counting task holds before it sends them on.
 HELD = 1 << 21
-PIECE = 1 << 19
+#: Bytes of a piece that is counted, and of one that is scored.
+PIECE, SCORED = 1 << 19, 1 << 16
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -79,9 +80,35 @@ def _merge(hi: list[np.ndarray], lo: list[np.ndarray], counts: list[np.ndarray])
     return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, first, n = np.unique(grams.mix(grams.mix(hi) + lo), return_index=True, return_counts=True)
-    return hi[first], lo[first], n
+def _distinct(part: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, n) of the n-grams that end at the places where ``ends`` is set.
+
+    A piece of text has few different characters: numbered among themselves an
+    n-gram is one number, and numbers are sorted without an index.
+    """
+    seen = np.zeros(1 << charlm.BITS, bool)
+    seen[part] = True
+    letters = np.flatnonzero(seen).astype(np.uint64)
+    bits = max(int(len(letters) - 1).bit_length(), 1)
+    if bits * order > 64:                               # a script of very many characters
+        hi, lo = (x[ends] for x in charlm.grams_at(part, order))
+        _, first, n = np.unique(grams.mix(grams.mix(hi) + lo), return_index=True, return_counts=True)
+        return hi[first], lo[first], n
+    number = np.zeros(1 << charlm.BITS, np.uint64)
+    number[letters.astype(np.int64)] = np.arange(len(letters), dtype=np.uint64)
+    code = number[part]
+    key = code.copy()
+    for k in range(1, order):
+        key[k:] |= code[:-k] << np.uint64(bits * k)
+    key = np.sort(key[ends])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    key = key[first]
+    halves = [np.zeros(len(key), np.uint64), np.zeros(len(key), np.uint64)]
+    for k in range(order):
+        own = letters[(key >> np.uint64(bits * k) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        halves[1 - k // 3] |= own << np.uint64(charlm.BITS * (k % 3))
+    return halves[0], halves[1], n
 
 
 def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +122,16 @@ def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                                    "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "n": pa.array(n)})
         held.clear()
     for batch in batches:
-        offsets, raw = grams.string_buffers(batch.column(1))
         names = batch.column(0).dictionary_encode()
         code = names.indices.fill_null(len(names.dictionary)).to_numpy(zero_copy_only=False)
-        langs = names.dictionary.to_pylist() + [None]
-        for i, j, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
-            hi, lo = charlm.grams_at(part, order)
-            own = np.where(row >= 0, code[i + np.maximum(row, 0)], -1)
-            for c in np.unique(code[i:i + j]).tolist():
-                mine = own == c
-                box = held.setdefault(langs[c], ([], [], []))
-                for have, new in zip(box, _distinct(hi[mine], lo[mine])):
+        for c, lang in enumerate(names.dictionary.to_pylist() + [None]):
+            mine = np.flatnonzero(code == c)
+            if not len(mine):
+                continue
+            box = held.setdefault(lang, ([], [], []))
+            offsets, raw = grams.string_buffers(batch.column(1).take(pa.array(mine)))
+            for _, _, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
+                for have, new in zip(box, _distinct(part, row >= 0, order)):
                     have.append(new)
                 if sum(map(len, box[0])) > HELD // 2:
                     for have, new in zip(box, _merge(*box)):
@@ -154,7 +180,7 @@ def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataF
                      .selectExpr("g.lang", "g.hi", "g.lo", "g.stored", "own + share * p as p")
         out = out.union(lower.selectExpr("lang", f"{k} as order", "hi", "lo", "stored", "p"))
     grams_ = out.where("stored").selectExpr("lang", "order", "hi", "lo", "false as weight", "ln(p) as value")
-    weights = context.selectExpr("lang", "order - 1 as order", "chi as hi", "clo as lo", "true as weight", "ln(held / total) as value")
+    weights = context.selectExpr("lang", "order - 1 as order", "chi as hi", "clo as lo", "true as weight", "ln(held / total) as value").where("value < 0")
     return grams_.union(weights)
 
 
@@ -256,7 +282,7 @@ def _totals(order: int, shared, langs: list[str], texts: pa.Array) -> tuple[np.n
     salts = {x: charlm.language_salt(x) for x in set(langs)}
     salt = np.array([salts[x] for x in langs], np.uint64)
     total, chars = np.zeros(len(langs), np.int64), np.zeros(len(langs), np.int64)
-    for i, n, part, row in charlm.char_pieces(offsets, raw, PIECE, order - 1):
+    for i, n, part, row in charlm.char_pieces(offsets, raw, SCORED, order - 1):
         body = row >= 0
         chars[i:i + n] += np.bincount(row[body], minlength=n)
         if not own_part.all():
