@@ -8,7 +8,8 @@ stands for either.
 *Lexicon.*  Word beginnings of ``STEM`` letters, whole words of any length and,
 in scripts that set no blanks, runs of ``GRAMS`` characters are counted in
 toxic and other training documents; those whose association with the toxic
-label passes a likelihood-ratio test at the number of candidates tried enter
+label passes a likelihood-ratio test at the number of candidates tried, per
+document and per word of text, enter
 with their log-odds as weight, the longest of beginnings that occur in the same
 documents standing for all.  Two-word phrases around a term that come up in
 several clean training documents and no toxic one become exception phrases.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import written
+from murmur.llm.common import n_words, written
 
 TRAIN_ROWS = 40_000
 STEM = range(4, 9)
@@ -126,11 +127,19 @@ def likelihood_ratio(a: int, b: int, toxic: int, clean: int) -> float:
     return 2 * (part(a, toxic, p) + part(b, clean, p)) if 0 < p < 1 else 0.0
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """term → weight for the terms that pass the test, without those a beginning of theirs makes needless."""
+def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, words: tuple[int, int] = (0, 0)) -> dict[str, float]:
+    """term → weight for the terms that pass the test, without those a beginning of theirs makes needless.
+
+    ``words`` are the numbers of words of the toxic and the clean documents.
+    With them a term has to pass the test per word as well: in longer documents
+    every common word is commoner per document, in shorter ones per word.
+    """
     least = 2 * math.log(max(len(counts), 1)) + 6
+
+    def passes(a: int, b: int, m: int, n: int) -> bool:
+        return a * n > b * m and likelihood_ratio(a, b, m, n) >= least
     good = {t: math.log((a + .5) / (toxic - a + .5)) - math.log((b + .5) / (clean - b + .5)) for t, (a, b) in counts.items()
-            if a * clean > b * toxic and likelihood_ratio(a, b, toxic, clean) >= least}
+            if passes(a, b, toxic, clean) and (not all(words) or passes(a, b, *words))}
     weaker = set()                                      # beginnings that a longer term explains
     for t in good:
         for n in range(STEM[0], len(t)):
@@ -257,8 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.orderBy(F.xxhash64("key"), "key").limit(rows)
     train = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
                     .select("text", "toxic"), "toxicity-train")
-    size = {r.toxic > 0: r.n for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    toxic, clean = size.get(True, 0), size.get(False, 0)
+    size = {r.toxic > 0: (r.n, r.words) for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"))
+            .agg(F.count("*").alias("n"), F.sum(n_words(F.col("text"))).alias("words")).collect()}
+    (toxic, toxic_words), (clean, clean_words) = size.get(True, (0, 0)), size.get(False, (0, 0))
     if not toxic or not clean:
         return {}, [], [(0, 1.0 if toxic else 0.0)]
     found = train.where("toxic > 0").select("text").mapInArrow(_toxic_terms, "term string, n long") \
@@ -267,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     wanted = spark.sparkContext.broadcast(frozenset(a))
     b = {r.term: r.n for r in train.where("toxic <= 0").select("text").mapInArrow(partial(_clean_terms, wanted), "term string, n long")
          .groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    terms = choose_terms({t: (n, b.get(t, 0)) for t, n in a.items()}, toxic, clean)
+    terms = choose_terms({t: (n, b.get(t, 0)) for t, n in a.items()}, toxic, clean, (toxic_words, clean_words))
     shared = spark.sparkContext.broadcast((terms, []))
     often = {t.strip(ANYWHERE + WHOLE) for t in terms if b.get(t, 0) >= EXCEPTION_SUPPORT}
     rare = spark.sparkContext.broadcast(frozenset(t.strip(ANYWHERE + WHOLE) for t in terms) - often)

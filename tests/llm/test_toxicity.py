@@ -58,6 +58,13 @@ def test_terms_that_clean_texts_have_too():
     assert set(terms) == {"grumbie"} and 2 < terms["grumbie"] < 3
 
 
+def test_common_words_of_longer_or_shorter_texts_are_no_terms():
+    counts = {"grumbie": (300, 300), "the\n": (990, 7000), "and\n": (990, 9900)}
+    assert set(toxicity.choose_terms(counts, 1000, 10000)) == {"grumbie", "the\n"}
+    for words in ((2_000_000, 10_000_000), (200_000, 4_000_000)):
+        assert set(toxicity.choose_terms(counts, 1000, 10000, words)) == {"grumbie"} | ({"the\n"} if words[0] < 10**6 else set())
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels = world(2, 600)
     flipped = [(k, q, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, q, t in labels]
