@@ -101,17 +101,23 @@ def class_tfidf(terms: DataFrame, emotions, top_n: int = TOP_N, max_features: in
             .select(*KEYS, "emotion", F.col("term").alias("keyword"), "confidence", "rank"))
 
 
-def emotion_keywords(predictions: DataFrame, lemmatized: DataFrame, prediction_type: str, languages, emotions,
+def label_set(predictions: DataFrame, prediction_type: str, languages) -> list[str]:
+    """The labels the predictions hold, a classifier's label set: one column is read for it."""
+    label = F.col(f"{prediction_type}_prediction_emotion")
+    rows = predictions.where(F.col("text_lang").isin(list(languages)) & (label != "")).select(label.alias("emotion")).distinct()
+    return sorted(r.emotion for r in rows.collect())
+
+
+def emotion_keywords(predictions: DataFrame, lemmatized: DataFrame, prediction_type: str, languages,
                      stopwords: DataFrame | None = None, stop_rows: int | None = None,
                      processed: DataFrame | None = None) -> DataFrame:
-    """K2: top keywords per (date, language, emotion) for the model's label set ``emotions``;
-    (date, language, type) triples already in ``processed`` are skipped (U5)."""
+    """K2: top keywords per (date, language, emotion) for every label the predictions hold; (date, language, type) triples already in ``processed`` are skipped."""
     docs = emotion_documents(predictions, lemmatized, prediction_type, languages)
     if processed is not None:
         done = processed.where(F.col("prediction_type") == prediction_type).select(*KEYS).distinct()
         docs = docs.join(done, KEYS, "left_anti")
     terms = candidate_terms(docs, stopwords, stop_rows)
-    return class_tfidf(terms, emotions).withColumn("prediction_type", F.lit(prediction_type))
+    return class_tfidf(terms, label_set(predictions, prediction_type, languages)).withColumn("prediction_type", F.lit(prediction_type))
 
 
 def stored_form(keywords: DataFrame) -> DataFrame:

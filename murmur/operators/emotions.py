@@ -69,10 +69,15 @@ def comment_article_counts(rows: DataFrame, total_label: str = "total") -> DataF
     per = rows.groupBy("language", "period").agg(
         F.count_distinct("article_id").alias("unique_articles"),
         F.count(F.lit(1)).alias("total_comments"))
+    return with_total(per, total_label)
+
+
+def with_total(per: DataFrame, total_label: str = "total") -> DataFrame:
+    """The rows of each language and period, and their sums over the languages."""
     tot = per.groupBy("period").agg(F.sum("unique_articles").alias("unique_articles"),
                                     F.sum("total_comments").alias("total_comments")) \
              .withColumn("language", F.lit(total_label))
-    return per.unionByName(tot)
+    return per.select("language", "period", "unique_articles", "total_comments").unionByName(tot)
 
 
 def emotion_counts(rows: DataFrame) -> DataFrame:
@@ -116,18 +121,22 @@ def overall_share(rows: DataFrame) -> DataFrame:
 def combined_block(counts: DataFrame) -> DataFrame:
     """E5: both languages summed; shares recomputed on the combined matrix.
 
-    The label list and the grand total are scalar subqueries (one value
-    each), emotion totals are joined back on the emotion key.
+    One grouping-set aggregate gives the cells, the periods' and the emotions'
+    sums and the grand total; the periods' rows are spread over the label list
+    (a label set's size) by windows over that small output.
     """
-    c = counts.groupBy("period", "emotion").agg(F.sum("count").alias("count"))
-    labels = c.select(F.array_sort(F.collect_set("emotion"))).scalar()
-    per_period = c.groupBy("period").agg(F.map_from_entries(F.collect_list(F.struct("emotion", "count"))).alias("_m"))
-    d = per_period.select("period", F.explode(labels).alias("emotion"), "_m").select(
-        "period", "emotion", F.coalesce(F.element_at("_m", F.col("emotion")), F.lit(0)).cast("long").alias("count"))
-    d = with_period_share(d, ())
-    emo = d.groupBy("emotion").agg(F.sum("count").alias("_emo"))
-    grand = d.agg(F.sum("count")).scalar()
-    return d.join(emo, "emotion").withColumn("overall_share", F.col("_emo") / grand).drop("_emo")
+    g = counts.groupingSets([["period", "emotion"], ["emotion"]], "period", "emotion") \
+              .agg(F.sum("count").alias("count"), F.grouping("period").alias("_whole"))
+    # the rows of an emotion over all periods travel with the cells, one list per label set
+    per_period = g.groupBy("period", "_whole").agg(F.map_from_entries(F.collect_list(F.struct("emotion", "count"))).alias("_m"))
+    whole = Window.partitionBy(F.lit(0))                # one row per period
+    d = per_period.withColumn("_emo", F.max(F.when(F.col("_whole") == 1, F.map_entries("_m"))).over(whole)).where(F.col("_whole") == 0)
+    grand = F.aggregate("_emo", F.lit(0).cast("long"), lambda a, e: a + e["value"])
+    d = d.select("period", "_m", grand.alias("_grand"), F.explode("_emo").alias("_e"))
+    d = d.select("period", F.col("_e.key").alias("emotion"), F.coalesce(F.element_at("_m", F.col("_e.key")), F.lit(0)).cast("long").alias("count"),
+                 (F.col("_e.value") / F.col("_grand")).alias("overall_share"),
+                 F.aggregate(F.map_values("_m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("_per"))
+    return d.select("period", "emotion", "count", F.when(F.col("_per") > 0, F.col("count") / F.col("_per")).otherwise(F.lit(0.0)).alias("share"), "overall_share")
 
 
 def pivot_counts(counts: DataFrame, labels) -> DataFrame:

@@ -22,12 +22,19 @@ def assign_ids(rows: DataFrame, base: int | DataFrame = 0, out: str = "id") -> D
     """Ids above ``base`` in (file, line) order, without moving a row.
 
     ``base`` is the current max id (a number or a frame whose first column
-    holds the existing ids).  ``row_pos`` counts the lines a reading task has
-    met, so inside a file split a row's number is its ``row_pos`` less the
-    split's first; splits get a prefix offset from a table with one row per
-    split (the window without a key runs over that table).  A line that the
-    reader skips leaves a gap, ids are unique and in order all the same.
+    holds the existing ids).  How files are split depends on settings and on
+    the cores at hand, so the parsed rows are written once, with the place that
+    this one reading gave them, and read back from there: whatever changes
+    later, rows and offsets are of the same reading.  ``row_pos`` counts the
+    lines a reading task has met, so inside a file split a row's number is its
+    ``row_pos`` less the split's first; splits get a prefix offset from a table
+    with one row per split (the window without a key runs over that table).  A
+    line that the reader skips leaves a gap, ids are unique and in order all the same.
     """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "parsed")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     blocks = rows.groupBy(*BLOCK).agg(F.min("row_pos").alias("_first"), F.max("row_pos").alias("_last"))
     w = Window.orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(w), F.lit(0)))
@@ -36,9 +43,9 @@ def assign_ids(rows: DataFrame, base: int | DataFrame = 0, out: str = "id") -> D
     else:
         b = F.lit(base).cast("long")
     # one row per file split, counted before it is broadcast, so that no text is shuffled for its id
-    path = scratch_path(rows.sparkSession, "splits")
+    path = scratch_path(spark, "splits")
     blocks.select(*BLOCK, "_first", "_off").write.parquet(path)
-    small = broadcast_checked(rows.sparkSession.read.parquet(path))
+    small = broadcast_checked(spark.read.parquet(path))
     j = rows.join(small, BLOCK)
     return j.withColumn(out, b + F.col("_off") + F.col("row_pos") - F.col("_first") + 1).drop("_off", "_first")
 

@@ -131,3 +131,21 @@ def site_coverage(tables: dict[str, DataFrame], col: str = "website") -> DataFra
     for p in parts[1:]:
         out = out.unionAll(p)
     return out.withColumn("nulls", F.col("total") - F.col("populated"))
+
+
+def aggressiveness_from_tokens(tokens: DataFrame, lexicon: DataFrame, params: Params, lexicon_rows: int | None = None) -> DataFrame:
+    """G1+G2 from the long form (date, language, website, lemma): the same rows as ``aggressiveness_by_day``.
+
+    A token counts one word, so the totals need no array of the comment's words.
+    """
+    from murmur.operators.lexicon import _lex
+    t = tokens.where(F.col("language").isin(list(params.languages)) & F.col("website").isin(list(params.sites)))
+    j = t.select(*ROLLUP_KEYS, F.col("lemma").alias("_lemma")).join(_lex(lexicon, lexicon_rows), "_lemma", "left")
+    g = j.groupingSets([["date", "language", "website"], ["date", "language"]], "date", "language", "website").agg(
+        F.count("_weight").alias("aggressive_word_count"), F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("aggressive_word_weight_sum"),
+        F.count(F.lit(1)).alias("total_word_count"), F.grouping("website").alias("_g"))
+    return g.select(
+        "date", "language", F.when(F.col("_g") == 1, F.lit(params.all_scope)).otherwise(F.col("website")).alias("website"),
+        "aggressive_word_count", "aggressive_word_weight_sum", "total_word_count",
+        _ratio(F.col("aggressive_word_count"), F.col("total_word_count")).alias("aggressiveness_ratio"),
+        _ratio(F.col("aggressive_word_weight_sum"), F.col("total_word_count")).alias("weighted_aggressiveness_ratio"))

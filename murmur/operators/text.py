@@ -115,3 +115,60 @@ def regex_lemmatizer(pdf: pd.DataFrame) -> pd.DataFrame:
     pat = regex.compile(r"\p{L}+")
     words = [pat.findall(t.lower()) if isinstance(t, str) else [] for t in pdf["text"]]
     return pd.DataFrame({"comment_id": pdf["comment_id"], "lemmas": words, "words": words})
+
+
+# ---------------------------------------------------------------- learned endings
+
+#: Longest ending a rule looks at, and least number of pairs behind a rule.
+MAX_ENDING, MIN_PAIRS = 5, 2
+
+
+def learn_endings(pairs: DataFrame, max_ending: int = MAX_ENDING, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """Edit rules (language, ending, cut, add) from (language, form, lemma) pairs.
+
+    What a pair tells is how many letters go from the end of the form and which
+    come instead.  Every ending of the form that holds the letters that go, up
+    to ``max_ending`` letters, votes for that edit; an ending's rule is the edit
+    with most votes (then the one that cuts less, then the smaller text), if it
+    has ``min_pairs`` of them.
+    """
+    p = pairs.select("language", "form", F.lower("lemma").alias("lemma")).where("length(form) > 0").distinct()
+    common = F.expr("aggregate(sequence(1, least(length(form), length(lemma))), 0, (n, i) -> if(n = i - 1 and substr(form, i, 1) = substr(lemma, i, 1), i, n))")
+    p = p.withColumn("_n", F.when(F.length("lemma") > 0, common).otherwise(F.lit(0)))
+    p = p.select("language", "form", (F.length("form") - F.col("_n")).alias("cut"), F.expr("substr(lemma, _n + 1)").alias("add"))
+    ends = F.expr(f"sequence(greatest(cut, 1), least(length(form), {max_ending}))")
+    votes = p.where(f"greatest(cut, 1) <= least(length(form), {max_ending})") \
+             .select("language", F.explode(ends).alias("_s"), "form", "cut", "add") \
+             .groupBy("language", F.expr("right(form, _s)").alias("ending"), "cut", "add").agg(F.count(F.lit(1)).alias("n")) \
+             .where(F.col("n") >= min_pairs)
+    best = votes.groupBy("language", "ending").agg(F.min(F.struct((-F.col("n")).alias("m"), "cut", "add")).alias("r"))
+    return best.select("language", "ending", F.col("r.cut").alias("cut"), F.col("r.add").alias("add"))
+
+
+def lemmatize_tokens(comments: DataFrame, lemma_table: DataFrame | None = None, endings: DataFrame | None = None, id_col: str = "id",
+                     text_col: str = "comment_text", lang_col: str = "comment_lang", keep: tuple[str, ...] = (),
+                     max_ending: int = MAX_ENDING) -> DataFrame:
+    """X2/X3 in long form: (comment_id, language, keep, pos, form, lemma), one row per token.
+
+    The lemma comes from the table, else from the rule of the form's longest
+    known ending, else it is the form.  Tokens are exploded once and looked up
+    by joins on size-checked broadcasts; nothing is shuffled and no comment is put
+    together again, so rollups and hits follow from these rows as they are.
+    """
+    src = spread(comments, id_col)
+    t = src.select(F.col(id_col).alias("comment_id"), F.col(lang_col).alias("language"), *keep, F.posexplode(tokens(text_col)).alias("pos", "form"))
+    lemma = F.lit(None).cast("string")
+    if lemma_table is not None:
+        table = lemma_table.groupBy("language", "form").agg(F.min(F.lower("lemma")).alias("_lemma"))
+        t = t.join(broadcast_checked(table), ["language", "form"], "left")
+        lemma = F.col("_lemma")
+    if endings is not None:
+        for s in range(max_ending, 0, -1):
+            own = endings.where(F.length("ending") == s).select("language", F.col("ending").alias(f"_end{s}"), F.struct("cut", "add").alias(f"_rule{s}"))
+            t = t.withColumn(f"_end{s}", F.expr(f"if(length(form) >= {s}, right(form, {s}), null)"))
+            t = t.join(broadcast_checked(own), ["language", f"_end{s}"], "left")
+        rule = F.coalesce(*[F.col(f"_rule{s}") for s in range(max_ending, 0, -1)])
+        t = t.withColumn("_rule", rule)
+        edited = F.expr("concat(left(form, length(form) - _rule.cut), _rule.add)")
+        lemma = F.coalesce(lemma, F.when(F.col("_rule").isNotNull() & (edited != ""), edited))
+    return t.select("comment_id", "language", *keep, "pos", "form", F.coalesce(lemma, F.col("form")).alias("lemma"))

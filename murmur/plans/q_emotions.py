@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.functions.select import lang_selector
+from murmur.operators import bitmaps as bm
 from murmur.operators import emotions as em
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
+from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
 
 PP = fx.PREDICTION_PARAMS
@@ -226,3 +228,20 @@ FROM per GROUP BY period"""))
 def q_comment_article_counts_day(spark, sf_dir):
     """E2 at day grain."""
     return em.comment_article_counts(rows(Ctx(spark, sf_dir), "day"))
+
+
+@register("comment_article_counts_bitmaps", with_views(PV, PR + """,
+per AS (SELECT language, period, CAST(count(DISTINCT article_id) AS BIGINT) AS unique_articles,
+               CAST(count(*) AS BIGINT) AS total_comments FROM pr GROUP BY ALL)""", """
+SELECT * FROM per
+UNION ALL
+SELECT 'total', period, CAST(sum(unique_articles) AS BIGINT), CAST(sum(total_comments) AS BIGINT)
+FROM per GROUP BY period"""))
+def q_comment_article_counts_bitmaps(spark, sf_dir):
+    """E2 by month from stored daily bitmaps."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "article-bitmaps")
+    bm.day_bitmaps(rows(ctx, "day").withColumn("date", F.to_date("period")), ("language",)).write.partitionBy("language").parquet(path)
+    per = bm.distinct_over(spark.read.parquet(path), ("language",), "1990-01-01", "2030-12-31", F.date_format("date", "yyyy-MM"),
+                           "unique_articles", "total_comments")
+    return em.with_total(per)

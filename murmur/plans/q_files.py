@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from murmur.functions.text import detect_language
 from murmur.operators import keywords as kw
 from murmur.operators import lexicon as lx
-from murmur.operators.text import lemmatize
+from murmur.operators import rollups as ro
+from murmur.operators.text import MAX_ENDING, learn_endings, lemmatize, lemmatize_tokens
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
@@ -159,3 +160,54 @@ def q_search_comments(spark, sf_dir):
 SELECT id, ekman_prediction_emotion FROM fx_predictions WHERE contains(lower(ekman_prediction_emotion), 'high')"""))
 def q_search_emotions(spark, sf_dir):
     return lx.search(Ctx(spark, sf_dir).predictions, "ekman_prediction_emotion", "High").select("id", "ekman_prediction_emotion")
+
+
+# --------------------------------------------------------------------------- X2, X3 with learned endings
+KNOWN_FORMS = "length(form) % 2 = 0"          # the forms the table holds; the others are unseen
+ENDINGS = FORM_VIEWS + f""",
+vocab AS (SELECT DISTINCT comment_lang AS language, form, regexp_extract(form, '{FORM}', 1) AS lemma FROM fw),
+pairs AS (SELECT *, len(list_filter(range(1, length(lemma) + 1), lambda i: left(form, i) = left(lemma, i))) AS n
+          FROM vocab WHERE lemma <> '' AND {KNOWN_FORMS}),
+votes AS (SELECT language, right(form, s) AS ending, length(form) - n AS cut, substr(lemma, n + 1) AS add, count(*) AS n
+          FROM (SELECT *, unnest(range(greatest(length(form) - n, 1), least(length(form), {MAX_ENDING}) + 1)) AS s FROM pairs) GROUP BY ALL HAVING count(*) >= 2),
+rules AS (SELECT language, ending, cut, add FROM votes QUALIFY row_number() OVER (PARTITION BY language, ending ORDER BY n DESC, cut, add) = 1),
+seen AS (SELECT comment_lang AS language, form, count(*) AS n FROM fw GROUP BY ALL),
+ruled AS (SELECT s.language, s.form, left(s.form, length(s.form) - r.cut) || r.add AS lemma FROM seen s
+          JOIN rules r ON r.language = s.language AND length(s.form) >= length(r.ending) AND right(s.form, length(r.ending)) = r.ending
+          QUALIFY row_number() OVER (PARTITION BY s.language, s.form ORDER BY length(r.ending) DESC) = 1)"""
+
+
+def known_pairs(ctx: Ctx):
+    return lemma_table(ctx).where(f"not startswith(lemma, 'zz') and {KNOWN_FORMS}")
+
+
+@register("lemma_endings", with_views(("fx_lemmatized",), ENDINGS, "SELECT language, ending, CAST(cut AS INTEGER) AS cut, add FROM rules"))
+def q_lemma_endings(spark, sf_dir):
+    """Edit rules learned from (language, form, lemma) pairs."""
+    return learn_endings(known_pairs(Ctx(spark, sf_dir))).select("language", "ending", F.col("cut").cast("int").alias("cut"), "add")
+
+
+@register("lemmatize_learned", with_views(("fx_lemmatized",), ENDINGS, """
+SELECT s.language, s.form, coalesce(p.lemma, nullif(r.lemma, ''), s.form) AS lemma, s.n FROM seen s
+LEFT JOIN pairs p USING (language, form) LEFT JOIN ruled r USING (language, form)"""))
+def q_lemmatize_learned(spark, sf_dir):
+    """Lemmas from the table, from learned endings for forms the table lacks, counted per form."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "endings")
+    learn_endings(known_pairs(ctx)).write.parquet(path)
+    t = lemmatize_tokens(ctx.comments, known_pairs(ctx), spark.read.parquet(path))
+    return t.groupBy("language", "form", "lemma").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("aggr_by_day_lemma_tokens", with_views(("fx_lemmatized", "fx_lexicon"), FORM_VIEWS + f""",
+d AS (SELECT t.day AS date, t.comment_lang AS language, CASE WHEN grouping(t.website) = 1 THEN 'all' ELSE t.website END AS website,
+             count(l.word) AS aggressive_word_count, coalesce(sum(l.weight), 0.0) AS aggressive_word_weight_sum, count(*) AS total_word_count
+      FROM ft t LEFT JOIN fx_lexicon l ON l.word = t.lemma WHERE t.comment_lang IN ({LANGS}) AND t.website IN ({sql_list(P.sites)})
+      GROUP BY GROUPING SETS ((t.day, t.comment_lang, t.website), (t.day, t.comment_lang)))""", """
+SELECT strftime(date, '%Y-%m-%d') AS date, language, website, aggressive_word_count, aggressive_word_weight_sum, total_word_count,
+       aggressive_word_count / total_word_count AS aggressiveness_ratio, aggressive_word_weight_sum / total_word_count AS weighted_aggressiveness_ratio FROM d"""))
+def q_aggr_by_day_lemma_tokens(spark, sf_dir):
+    """G1+G2 from the long form: a lemma table without putting comments together again."""
+    ctx = Ctx(spark, sf_dir)
+    t = lemmatize_tokens(ctx.comments, lemma_table(ctx), keep=("website", "day")).withColumnRenamed("day", "date")
+    return flat(ro.aggressiveness_from_tokens(t, ctx.lexicon, ctx.params, ctx.lexicon_rows))

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from murmur.operators import bitmaps as bm
 from murmur.operators import keywords as kw
 from murmur.operators.lexicon import search
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
+from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
 
 P = fx.FIXTURE_PARAMS
@@ -216,3 +218,28 @@ SELECT language, word, count, weight_sum, article_count FROM kp"""))
 def q_keywords_by_period_from_maps(spark, sf_dir):
     """K6 as the reference computes it: merge stored day maps, union article ids."""
     return kw.period_from_day_maps(stored_maps(Ctx(spark, sf_dir)), *RANGE)
+
+
+# --------------------------------------------------------------------------- K6 / U4 from stored bitmaps
+BITMAP_RANGE = ("2024-02-03", "2024-04-17")
+
+
+@register("keywords_by_period_bitmaps", with_views(KV, HITS_CTE, f"""
+SELECT language, lemma AS word, count(DISTINCT article_id) AS article_count, count(*) AS count FROM h
+WHERE date BETWEEN DATE '{BITMAP_RANGE[0]}' AND DATE '{BITMAP_RANGE[1]}' GROUP BY ALL"""))
+def q_keywords_by_period_bitmaps(spark, sf_dir):
+    """K6/U4: distinct articles over a range of days, from stored bitmaps alone."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "keyword-bitmaps")
+    bm.keyword_bitmaps(hits(ctx), ctx.params).write.partitionBy("language").parquet(path)
+    return bm.keywords_over(spark.read.parquet(path), *BITMAP_RANGE, ctx.params)
+
+
+@register("keywords_by_period_bitmaps_site", with_views(KV, HITS_CTE, f"""
+SELECT language, lemma AS word, count(DISTINCT article_id) AS article_count, count(*) AS count FROM h
+WHERE date BETWEEN DATE '{BITMAP_RANGE[0]}' AND DATE '{BITMAP_RANGE[1]}' AND site = 'site_b' GROUP BY ALL"""))
+def q_keywords_by_period_bitmaps_site(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "keyword-bitmaps")
+    bm.keyword_bitmaps(hits(ctx), ctx.params).write.partitionBy("language").parquet(path)
+    return bm.keywords_over(spark.read.parquet(path), *BITMAP_RANGE, ctx.params, "site_b")

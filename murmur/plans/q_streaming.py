@@ -56,3 +56,49 @@ def q_stream_insert_if_absent(spark, sf_dir):
                                         F.col("pub_day").cast("string").alias("pub_timestamp"), "url"), target)
     out = st.stream_insert_if_absent(spark, drop, fl.ARTICLE_COLUMNS, target, f"{root}/checkpoint")
     return out.select("article_id", "region", "headline", "pub_timestamp", "url")
+
+
+WINDOWED = """
+SELECT strftime(date, '%Y-%m-%d') AS window_start, language, website, aggressive_word_count, aggressive_word_weight_sum, total_word_count
+FROM daily_r WHERE date + INTERVAL 1 DAY <= (SELECT max(day) FROM fx_comments WHERE comment_lang IN ({langs}) AND website IN ({sites})) - INTERVAL 2 DAY"""
+
+
+@register("stream_hits_by_window", with_views((*qr.DAILY_VIEWS, "fx_comments"), qr.AGGR_BY_DAY_CTES, WINDOWED.format(langs=qr.LANGS, sites=qr.SITES)))
+def q_stream_hits_by_window(spark, sf_dir):
+    """S2 with event-time windows and a watermark: the windows that are closed once all documents have arrived."""
+    ctx = Ctx(spark, sf_dir)
+    root = scratch_path(spark, "stream-windows")
+    docs = ctx.t.documents
+    docs.write.parquet(f"{root}/drop")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{root}/drop")
+    out = st.run_append(st.windowed_hits(fx.comments_from(stream), ctx.lexicon, ctx.params, lexicon_rows=ctx.lexicon_rows), f"{root}/sink", f"{root}/checkpoint")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "language", "website", *st.SUMS)
+
+
+@register("stream_distinct_comments", with_views(("fx_comments",), "", "SELECT DISTINCT id, article_id, strftime(day, '%Y-%m-%d') AS day FROM fx_comments"))
+def q_stream_distinct_comments(spark, sf_dir):
+    """S3's repeats across batches: every comment is dropped twice, in different batches."""
+    ctx = Ctx(spark, sf_dir)
+    root = scratch_path(spark, "stream-distinct")
+    docs = ctx.t.documents
+    for k in range(2):
+        docs.write.parquet(f"{root}/drops/{k}")
+    stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/drops")
+    rows = fx.comments_from(stream).select("id", "article_id", F.col("timestamp").cast("timestamp").alias("at"))
+    out = st.run_append(st.distinct_stream(rows, "id", "at", "365 days"), f"{root}/sink", f"{root}/checkpoint")
+    return out.select("id", "article_id", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
+@register("stream_aggr_compacted", qr.AGGR_BY_DAY_SQL)
+def q_stream_aggr_compacted(spark, sf_dir):
+    """The streamed rollup after its batch folders were compacted."""
+    ctx = Ctx(spark, sf_dir)
+    root = scratch_path(spark, "stream-compact")
+    docs = ctx.t.documents
+    for k in range(3):
+        docs.where(F.col("doc_id") % 3 == k).coalesce(1).write.parquet(f"{root}/drops/{k}")
+    stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/drops")
+    st.stream_rollup(fx.comments_from(stream), ctx.lexicon, ctx.params, f"{root}/sink", f"{root}/checkpoint", lexicon_rows=ctx.lexicon_rows)
+    st.compact_batches(spark, f"{root}/sink")
+    out = st.read_rollup_batches(spark, f"{root}/sink")
+    return flat(out.select("date", "language", "website", *st.SUMS, "aggressiveness_ratio", "weighted_aggressiveness_ratio"))

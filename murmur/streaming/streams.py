@@ -131,7 +131,7 @@ def stream_rollup(comments: DataFrame, lexicon: DataFrame, params: Params, sink_
 
 def read_rollup_batches(spark: SparkSession, sink_dir: str) -> DataFrame:
     """The rollup: partial sums of all batches added up, ratios computed."""
-    total = spark.read.parquet(sink_dir).groupBy(*ROLLUP).agg(*[F.sum(c).alias(c) for c in SUMS])
+    total = _batches(spark, sink_dir).groupBy(*ROLLUP).agg(*[F.sum(c).alias(c) for c in SUMS])
     t = F.col("total_word_count")
     return (total.withColumn("aggressiveness_ratio",
                              F.when(t > 0, F.col("aggressive_word_count") / t).otherwise(F.lit(0.0)))
@@ -183,3 +183,76 @@ def insert_batch(batch: DataFrame, batch_id: int, columns, target_dir: str, key:
     others = target.where(F.col("batch_id") != batch_id)
     new = insert_if_absent(first, others, key).select(*[c for c in target.columns if c != "batch_id"])
     new.write.mode("overwrite").parquet(f"{target_dir}/batch_id={batch_id}")
+
+
+# ---------------------------------------------------------------- event-time windows, compaction, repeats
+
+def windowed_hits(c: DataFrame, lexicon: DataFrame, params: Params, size: str = "1 day", slide: str | None = None, late: str = "2 days",
+                  lexicon_rows: int | None = None) -> DataFrame:
+    """S2 over event-time windows: sums per (window, language, scope) of a streaming comments frame, for append mode.
+
+    A window is written once, when the watermark (``late`` behind the newest
+    event time of the batches before) has passed its end; a row that is late
+    but whose window is still open counts, one whose window is closed is dropped.
+    State is bounded by the windows that are open.
+    """
+    c = comments_of_stream(c, params).withColumn("event_ts", F.col("timestamp").cast("timestamp")).withWatermark("event_ts", late)
+    lm = lemmatize(c, keep=("website", "comment_lang", "event_ts"))
+    src = lm.select(F.col("comment_lang").alias("language"), "website", "event_ts", "lemmas", "lemma_count")
+    m = token_measures(src, lexicon, ("language", "website", "event_ts"), lexicon_rows)
+    m = m.withColumn("website", F.explode(F.array(F.col("website"), F.lit(params.all_scope))))
+    return (m.groupBy(F.window("event_ts", size, slide or size).alias("window"), "language", "website")
+            .agg(F.sum("m_hit").alias("aggressive_word_count"), F.sum("m_weight").alias("aggressive_word_weight_sum"),
+                 F.sum("m_total").alias("total_word_count"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "language", "website", *SUMS))
+
+
+def distinct_stream(rows: DataFrame, key: str, event_time: str, late: str) -> DataFrame:
+    """A stream without repeats of ``key`` that arrive within ``late`` of each other, whatever batches they come in; the state forgets older keys."""
+    return rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_append(rows: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool = True, state_partitions: int | None = None) -> DataFrame:
+    """Run a stream in append mode into a parquet table and return the table."""
+    run_append_rollup(rows, sink_dir, checkpoint_dir, available_now, state_partitions)
+    return rows.sparkSession.read.schema(rows.schema).parquet(sink_dir)
+
+
+def compact_batches(spark: SparkSession, sink_dir: str) -> int | None:
+    """Add the folders of all batches but the newest up into one; returns the last batch it holds.
+
+    The newest batch may still be replayed and stays a folder of its own.  The
+    sums are written beside the batches, under the number of the last one they
+    hold; readers take the highest finished number and the batches after it, so
+    a compaction that fails half-way changes nothing, and folders up to that
+    number can be removed at any later time.
+    """
+    done = compacted_upto(spark, sink_dir)
+    ids = spark.read.parquet(sink_dir).where(F.col("batch_id") > done)
+    upto = ids.agg(F.max("batch_id")).first()[0]
+    if upto is None or upto - 1 <= done:
+        return None
+    rows = _batches(spark, sink_dir).where(F.col("batch_id") < upto)
+    rows.groupBy(*ROLLUP).agg(*[F.sum(c).alias(c) for c in SUMS]).write.mode("overwrite").parquet(f"{sink_dir}-compacted/upto={upto - 1}")
+    return upto - 1
+
+
+def compacted_upto(spark: SparkSession, sink_dir: str) -> int:
+    """The last batch of the newest finished compaction, -1 without one."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{sink_dir}-compacted")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1
+    done = [f.getPath() for f in fs.listStatus(root)]
+    return max([int(p.getName().split("=")[1]) for p in done if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))], default=-1)
+
+
+def _batches(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """(batch_id, rollup keys, sums): the newest compaction as one batch, and the batches after it."""
+    upto = compacted_upto(spark, sink_dir)
+    rows = spark.read.parquet(sink_dir).where(F.col("batch_id") > upto).select("batch_id", *ROLLUP, *SUMS)
+    if upto < 0:
+        return rows
+    old = spark.read.parquet(f"{sink_dir}-compacted/upto={upto}")
+    return rows.unionByName(old.select(F.lit(upto).alias("batch_id"), *ROLLUP, *SUMS))

@@ -178,3 +178,22 @@ def test_no_private_folder_on_a_cluster():
             get = staticmethod(lambda *a: None)
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session)
+
+
+def test_a5_keeps_every_row_when_the_split_size_changes(spark):
+    """The plan is made under one way of splitting the files and run under another."""
+    d = tempfile.mkdtemp(prefix="murmur-a5-split-")
+    for f in range(2):
+        _write(f"{d}/f{f}.txt", "".join(f"lat\t{f * 20000 + i}\tnick\tip\tts\tline {i} {'x' * 60}\n" for i in range(20000)))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        parsed = fl.valid_rows(fl.read_tsv(spark, d, fl.COMMENT_COLUMNS))
+        out = ig.load_comments(parsed, "delfi", Params(), 100)
+        spark.conf.set(names[0], "300k")
+        spark.conf.set(names[1], "9")
+        got = out.select("id", "article_id").orderBy("id").collect()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert [r.id for r in got] == list(range(101, 40101)) and [r.article_id for r in got] == list(range(40000))
