@@ -105,21 +105,17 @@ class HashModel:
     """Sorted 64-bit hashes with one number each, spread over an open-addressing table."""
 
     def __init__(self, order: int, keys: np.ndarray, values: np.ndarray, unknown: int):
+        """``keys`` are sorted: each goes to the slot of its top bits or the next one that is free, so slots stay in order as well."""
         self.order, self.unknown = order, unknown
-        self.bits = max(10, int(2 * len(keys) + 1).bit_length())
-        self.key = np.zeros(1 << self.bits, _U)
-        self.value = np.zeros(1 << self.bits, np.int32)
-        h, at = keys, np.arange(len(keys))
-        slot = self._slot(h)
-        while len(h):
-            free = self.key[slot] == 0
-            _, first = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            self.key[slot[put]] = h[put]
-            self.value[slot[put]] = values[at[put]]
-            rest = np.ones(len(h), bool)
-            rest[put] = False
-            h, at, slot = h[rest], at[rest], (slot[rest] + 1) & (len(self.key) - 1)
+        self.bits = max(10, (len(keys) * 5 // 4).bit_length())
+        place = self._slot(keys) - np.arange(len(keys))
+        np.maximum.accumulate(place, out=place)
+        place += np.arange(len(keys))
+        size = max(1 << self.bits, int(place[-1]) + 1 if len(keys) else 0) + 1      # the last slot stays free
+        self.key = np.zeros(size, _U)
+        self.value = np.zeros(size, np.int32)
+        self.key[place] = keys
+        self.value[place] = values
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> _U(64 - self.bits)).astype(np.int64)
@@ -129,14 +125,14 @@ class HashModel:
         slot = self._slot(h)
         k = self.key[slot]
         out = np.where(k == h, slot, -1)
-        left = np.flatnonzero((k != h) & (k != 0))
+        left = np.flatnonzero((k < h) & (k != 0))       # a larger one in its place: it is not there
         slot = slot[left]
         while len(left):
-            slot = (slot + 1) & (len(self.key) - 1)
-            k = self.key[slot]
-            same = k == h[left]
+            slot = slot + 1
+            k, own = self.key[slot], h[left]
+            same = k == own
             out[left[same]] = slot[same]
-            go = ~same & (k != 0)
+            go = (k < own) & (k != 0)
             left, slot = left[go], slot[go]
         return out
 

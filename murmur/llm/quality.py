@@ -53,7 +53,7 @@ ORDER = 6
 #: Order from which on n-grams seen once are not stored.
 CUT_FROM = 4
 #: Model rows (12 bytes each) that are broadcast at a time, and the parts that blocks are made of.
-BLOCK_ROWS, PARTS = 8_000_000, 512
+BLOCK_ROWS, PARTS = 6_500_000, 512
 COMMON = -1
 MILLION = 1_000_000
 #: Robust deviations below and above the median that are kept (copies lie low, foreign and shuffled texts high), at least ``LEAST``.
