@@ -15,9 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.select import confidence_bucket, length_bucket, mix_hash
+from murmur.operators.joins import broadcast_checked
+from murmur.session import scratch_path
 
 MAX_PER_CELL = 6          # fixed value: most comments per (cluster, emotion)
 ROW_SEED, CLUSTER_SEED = 42, 7
+#: Cluster means that are broadcast at most; beyond that they are joined by shuffle.
+MOST_CLUSTERS = 100_000
 
 
 def articles_min_comments(articles: DataFrame, predictions: DataFrame, vectors: DataFrame,
@@ -69,16 +73,24 @@ def core_boundary(clustered: DataFrame, quantile: float = 0.25, noise: int = -1,
     25th percentile (exact, linear interpolation).  Distances are rounded to
     ``digits`` so that the cut does not depend on summation order.
 
-    Means are aggregated per dimension with map-side partial sums and travel
-    as one array per cluster; distances are computed in the row.
+    Two reads of the vectors: one for the means, a vector aggregate with
+    map-side partial sums (``Summarizer``) and one row per cluster, one for the
+    distances, computed in the row and written once; the quantile only reads
+    (cluster, distance) back.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark = clustered.sparkSession
     v = clustered.where(F.col("cluster") != noise).select("article_id", "cluster", "embedding")
-    mean = (v.select("cluster", F.posexplode("embedding").alias("pos", "x")).groupBy("cluster", "pos")
-            .agg(F.avg(F.col("x").cast("double")).alias("c"))
-            .groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda s: s["c"]).alias("mean")))
+    mean = v.groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>"))).alias("m")) \
+            .select("cluster", vector_to_array("m").alias("mean"))
     gap = F.zip_with("embedding", "mean", lambda x, c: (x.cast("double") - c) ** 2)
-    d = v.join(mean, "cluster").select("cluster", "article_id", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), digits)
-                                       .alias("distance"))
+    d = v.join(broadcast_checked(mean, max_rows=MOST_CLUSTERS), "cluster") \
+         .select("cluster", "article_id", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)), digits).alias("distance"))
+    path = scratch_path(spark, "distances")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
     cut = exact_quantile(d, "cluster", "distance", quantile).withColumnRenamed("value", "threshold")
     return (d.join(cut, "cluster")
             .withColumn("point_type", F.when(F.col("distance") <= F.col("threshold"), F.lit("core"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.sites import resolve_portal
 from murmur.operators import export as ex
 from murmur.operators import lookups as lk
+from murmur.operators import stored as sto
 from murmur.operators.text import lemmatize
 from murmur.plans.oracle_views import with_views
 from murmur.plans.registry import Ctx, flat, register
 from murmur.plans.sqlutil import sql_list
+from murmur.session import scratch_path
 from murmur.sources import fixtures as fx
 
 P = fx.FIXTURE_PARAMS
@@ -140,3 +145,60 @@ FROM fx_comments c JOIN fx_articles a USING (article_id)"""))
 def q_export_raw(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     return flat(ex.export_raw(ctx.comments, ctx.articles))
+
+
+# --------------------------------------------------------------------------- P1, P4, P11 on stored tables
+KEYS_ASKED = (0, 37, 4_000_000_000)
+SEARCHED = ("erth", "ou", "Zz9")
+
+
+@register("lookup_by_key", with_views(("fx_comments",), "", f"""
+SELECT id, article_id, comment_lang FROM fx_comments WHERE id IN ({", ".join(map(str, KEYS_ASKED))})"""))
+def q_lookup_by_key(spark, sf_dir):
+    """Single comments by key from a clustered table; keys that are not stored give no row."""
+    path = scratch_path(spark, "clustered")
+    sto.save_clustered(Ctx(spark, sf_dir).comments.select("id", "article_id", "comment_lang"), path)
+    return reduce(DataFrame.unionByName, [sto.lookup(spark, path, k) for k in KEYS_ASKED])
+
+
+@register("key_exists", with_views(("fx_comments",), "", " UNION ALL ".join(
+    f"SELECT CAST({k} AS BIGINT) AS id, (SELECT count(*) > 0 FROM fx_comments WHERE id = {k}) AS stored" for k in KEYS_ASKED)))
+def q_key_exists(spark, sf_dir):
+    """Existence of keys."""
+    path = scratch_path(spark, "clustered")
+    sto.save_clustered(Ctx(spark, sf_dir).comments.select("id", "article_id"), path)
+    asked = [sto.has_key(spark, path, k).agg(F.lit(k).cast("long").alias("id"), (F.count(F.lit(1)) > 0).alias("stored")) for k in KEYS_ASKED]
+    return reduce(DataFrame.unionByName, asked)
+
+
+@register("keyset_page_stored", with_views(("fx_comments",), "", f"""
+SELECT id, article_id, comment_lang FROM fx_comments WHERE id > {LAST_KEY} ORDER BY id LIMIT {PAGE_SIZE}"""))
+def q_keyset_page_stored(spark, sf_dir):
+    """P4 from a clustered table."""
+    path = scratch_path(spark, "clustered")
+    sto.save_clustered(Ctx(spark, sf_dir).comments.select("id", "article_id", "comment_lang"), path)
+    return sto.page_after(spark, path, LAST_KEY, PAGE_SIZE)
+
+
+@register("search_stored_comments", with_views(("fx_comments",), "", " UNION ALL ".join(
+    f"SELECT '{t}' AS term, id, article_id FROM fx_comments WHERE contains(lower(comment_text), '{t.lower()}')" for t in SEARCHED)))
+def q_search_stored_comments(spark, sf_dir):
+    """P11 by trigram postings; one term has two letters, one occurs nowhere."""
+    path = scratch_path(spark, "searchable")
+    sto.save_searchable(Ctx(spark, sf_dir).comments.select("id", "article_id", "comment_text"), path, "comment_text")
+    found = [sto.search_stored(spark, path, "comment_text", t).select(F.lit(t).alias("term"), "id", "article_id") for t in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
+OTHER = "CASE WHEN id % 4 = 0 THEN 'other' ELSE comment_lang END"
+
+
+@register("export_raw_other", with_views(("fx_comments", "fx_articles"), f"c AS (SELECT *, {OTHER} AS lang FROM fx_comments)", """
+SELECT c.id, CASE WHEN c.lang <> 'other' THEN c.lang WHEN c.region = 'rus' THEN 'ru' WHEN c.region = 'lat' THEN 'lv' END AS valoda
+FROM c JOIN fx_articles a USING (article_id)"""))
+def q_export_raw_other(spark, sf_dir):
+    """B2's fallback: a quarter of the comments has language ``other`` and takes the one of its region, or none."""
+    ctx = Ctx(spark, sf_dir)
+    c = ctx.comments.withColumn("comment_lang", F.expr(OTHER.replace("comment_lang", "`comment_lang`")))
+    out = ex.export_raw(c.withColumn("comment_text", F.col("id").cast("string")), ctx.articles)
+    return out.select(F.col("komentars").cast("long").alias("id"), "valoda")

@@ -368,3 +368,26 @@ def q_aggr_by_period_compat(spark, sf_dir):
     """G5 with the original behaviour: every site row and the all row are summed."""
     ctx = Ctx(spark, sf_dir)
     return flat(ro.aggressiveness_by_period(daily(ctx), *FULL_RANGE, "week", ctx.params, compat_all_sites=True))
+
+
+# --------------------------------------------------------------------------- G5, G6 over a part of the days
+PART_RANGE = ("2024-02-07", "2024-04-20")
+IN_RANGE = f"date BETWEEN DATE '{PART_RANGE[0]}' AND DATE '{PART_RANGE[1]}'"
+
+
+@register("aggr_by_period_range", with_views(DAILY_VIEWS, PERIOD_CTES.replace("FROM daily WHERE website = 'all'", f"FROM daily WHERE website = 'all' AND {IN_RANGE}"), """
+SELECT language, strftime(period, '%Y-%m-%d') AS period, aggressive_word_count, aggressive_word_weight_sum,
+       total_word_count, unweighted_aggressiveness_pct, weighted_aggressiveness_pct
+FROM wk_p"""))
+def q_aggr_by_period_range(spark, sf_dir):
+    """G5 over days that begin and end inside a week."""
+    ctx = Ctx(spark, sf_dir)
+    return flat(ro.aggressiveness_by_period(daily(ctx), *PART_RANGE, "week", ctx.params))
+
+
+@register("aggr_by_period_site_range", with_views(DAILY_VIEWS, SITE_CTES.replace("FROM daily WHERE website IN", f"FROM daily WHERE {IN_RANGE} AND website IN"), """
+SELECT language, website, strftime(period, '%Y-%m-%d') AS period, unweighted_aggressiveness_pct FROM mo_p"""))
+def q_aggr_by_period_site_range(spark, sf_dir):
+    """G6 over days that begin and end inside a month."""
+    ctx = Ctx(spark, sf_dir)
+    return flat(ro.aggressiveness_by_period_site(daily(ctx), *PART_RANGE, "month", ctx.params))
