@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators.joins import broadcast_checked
 from murmur.operators.text import explode_ngrams
+from murmur.session import scratch_path
 
 # Candidates kept per (date, language), keywords kept per emotion,
 # longest n-gram, shortest token (the vectoriser's two-character token rule).
@@ -71,16 +72,12 @@ def top_candidates(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFr
     return f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features)
 
 
-def class_tfidf(terms: DataFrame, emotions, top_n: int = TOP_N, max_features: int = MAX_FEATURES,
-                digits: int = 12) -> DataFrame:
-    """K2 default scorer; output (date, language, emotion, keyword, confidence, rank).
+def cut_terms(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(date, language, term, f, emotion, tf) of the ``max_features`` most frequent terms per (date, language).
 
     ``terms`` are n-gram occurrences.  One aggregate by (date, language, term)
     holds a count per emotion of ``emotions``, so the n-grams cross the network
-    once, as partial counts.  The first ``max_features`` terms per (date,
-    language) are cut by a partial group limit; after it each (date, language)
-    holds at most max_features × #emotions rows, so the remaining windows are
-    bounded and reuse one partitioning.
+    once, as partial counts; the cut is a partial group limit.
     """
     emotions = list(emotions)
     counts = [F.count(F.when(F.col("emotion") == e, 1)).alias(f"c{k}") for k, e in enumerate(emotions)]
@@ -88,7 +85,17 @@ def class_tfidf(terms: DataFrame, emotions, top_n: int = TOP_N, max_features: in
     cut = Window.partitionBy(*KEYS).orderBy(F.desc("f"), "term")
     t = t.withColumn("_dr", F.row_number().over(cut)).where(F.col("_dr") <= max_features)
     per = F.array(*[F.struct(F.lit(e).alias("emotion"), F.col(f"c{k}").alias("tf")) for k, e in enumerate(emotions)])
-    t = t.select(*KEYS, "term", "f", F.explode(per).alias("_e")).select(*KEYS, "term", "f", "_e.*").where("tf > 0")
+    return t.select(*KEYS, "term", "f", F.explode(per).alias("_e")).select(*KEYS, "term", "f", "_e.*").where("tf > 0")
+
+
+def class_tfidf(terms: DataFrame, emotions, top_n: int = TOP_N, max_features: int = MAX_FEATURES,
+                digits: int = 12) -> DataFrame:
+    """K2 default scorer; output (date, language, emotion, keyword, confidence, rank).
+
+    After ``cut_terms`` each (date, language) holds at most max_features ×
+    #emotions rows, so the windows are bounded and reuse one partitioning.
+    """
+    t = cut_terms(terms, emotions, max_features)
     # class totals; the number of classes is the top dense rank of emotion (same sort order)
     t = (t.withColumn("_ct", F.sum("tf").over(Window.partitionBy(*KEYS, "emotion")))
           .withColumn("_ci", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("emotion"))))
@@ -140,3 +147,62 @@ def flatten_stored(stored: DataFrame, prediction_type: str, languages, day=None)
     k = e.select("date", "language", "emo", F.explode("kws").alias("kw"))
     return k.select("date", F.concat_ws("_", "language", "emo").alias("emotion"),
                     F.col("kw.keyword").alias("keyword"), F.col("kw.confidence").alias("confidence"))
+
+
+# ---------------------------------------------------------------- vector scorer
+
+#: Dimensions of a word's vector, and words to either side that make it.
+DIMENSIONS, REACH = 64, 2
+
+
+def word_vectors(docs: DataFrame, dimensions: int = DIMENSIONS, reach: int = REACH) -> DataFrame:
+    """(language, word, vector): what stands around a word, hashed into signed dimensions and scaled to length one.
+
+    ``docs`` has (language, lemmas).  Every neighbour within ``reach`` adds one
+    with its sign to its dimension; a task adds these up per word and dimension
+    before anything is shuffled, and a word's row holds ``dimensions`` numbers.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    a = F.col("lemmas")
+    near = [F.slice(a, k + 1, F.size(a)).alias(f"r{k}") for k in range(1, reach + 1)]
+    z = docs.select("language", F.explode(F.arrays_zip(a.alias("w"), *near)).alias("z"))
+    both = F.array(*[F.when(F.col(f"z.r{k}").isNotNull(), F.struct(x, y)) for k in range(1, reach + 1)
+                     for x, y in ((F.col("z.w").alias("word"), F.col(f"z.r{k}").alias("other")), (F.col(f"z.r{k}").alias("word"), F.col("z.w").alias("other")))])
+    pairs = z.where("z.w is not null").select("language", F.explode(F.array_compact(both)).alias("p")).select("language", "p.*")
+    h = F.xxhash64("other")
+    sums = pairs.groupBy("language", "word", F.pmod(h, F.lit(dimensions)).cast("int").alias("d")) \
+                .agg(F.sum(F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1).otherwise(-1)).alias("x"))
+    held = sums.groupBy("language", "word").agg(F.map_from_entries(F.collect_list(F.struct("d", F.col("x").cast("double")))).alias("m"),
+                                                F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))).alias("norm")).where("norm > 0")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    return held.select("language", "word", array_to_vector(dense).alias("vector"))
+
+
+def vector_keywords(docs: DataFrame, terms: DataFrame, emotions, top_n: int = TOP_N, max_features: int = MAX_FEATURES, dimensions: int = DIMENSIONS,
+                    reach: int = REACH, digits: int = 9) -> DataFrame:
+    """K2 by vectors: (date, language, emotion, keyword, confidence, rank).
+
+    A group's vector adds up its words' vectors, a candidate's those of its one
+    to three words; the confidence is the cosine of the two.  The sums are
+    vector aggregates with map-side partial sums.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    path = scratch_path(docs.sparkSession, "word-vectors")
+    word_vectors(docs, dimensions, reach).write.parquet(path)
+    words = docs.sparkSession.read.parquet(path)
+    tf = docs.where(F.col("emotion").isin(list(emotions))).select(*KEYS, "emotion", F.explode("lemmas").alias("word")) \
+             .groupBy(*KEYS, "emotion", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    group = tf.join(words, ["language", "word"]).groupBy(*KEYS, "emotion") \
+              .agg(vector_to_array(Summarizer.sum(F.col("vector"), F.col("tf"))).alias("g"))
+    t = cut_terms(terms, emotions, max_features)
+    parts = t.select("language", "term").distinct().select("language", "term", F.explode(F.split("term", " ")).alias("word"))
+    term = parts.join(words, ["language", "word"]).groupBy("language", "term").agg(vector_to_array(Summarizer.sum(F.col("vector"))).alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    s = t.join(term, ["language", "term"]).join(group, [*KEYS, "emotion"])
+    s = s.withColumn("_n", F.sqrt(dot("v", "v") * dot("g", "g"))).where("_n > 0").withColumn("confidence", F.round(dot("v", "g") / F.col("_n"), digits))
+    w = Window.partitionBy(*KEYS, "emotion").orderBy(F.desc("confidence"), "term")
+    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+            .select(*KEYS, "emotion", F.col("term").alias("keyword"), "confidence", "rank"))

@@ -184,3 +184,11 @@ def q_classifier_two_label_sets(spark, sf_dir):
     clf.fit_many(labelled_texts(ctx).where("not held_out"), path, ("tone", "toxic"), P.languages, features=1 << 14, max_iter=15, min_docs=5)
     out = clf.predict_many_stored(ctx.comments, path, ("tone", "toxic"), P.languages)
     return out.select("id", "prediction_type", "language", "m_prediction_emotion", "m_prediction_score")
+
+
+@register("emotion_keywords_by_vector")
+def q_emotion_keywords_by_vector(spark, sf_dir):
+    """K2 by vectors (no oracle): candidates by the cosine of their words' co-occurrence vectors with the group's."""
+    ctx = Ctx(spark, sf_dir)
+    docs = ek.emotion_documents(ctx.predictions, ctx.lemmatized, KIND, PP.languages)
+    return flat(ek.vector_keywords(docs, docs_tf(ctx), ek.label_set(ctx.predictions, KIND, PP.languages)))
