@@ -11,7 +11,7 @@ from murmur.plans.registry import Ctx, register
 from murmur.session import scratch_path
 from murmur.sources import files as fl
 from murmur.sources import fixtures as fx
-from murmur.sources.drops import write_drop
+from murmur.sources.drops import write_drop, write_named
 
 BASE_ID = 1_000_000
 COMMENT_SITE, ARTICLE_SITE = "site_a", "delfi"
@@ -113,6 +113,26 @@ def q_select_import_files(spark, sf_dir):
              .select("file_name", "kind", "length")
 
 
+@register("select_files_by_name", """
+SELECT 'comment' AS kind, '2024' AS year, CAST(2 AS BIGINT) AS n_files, (SELECT count(*) FROM documents WHERE doc_id % 4 = 2) AS n_rows
+UNION ALL SELECT 'article', '2023', 2, (SELECT count(*) FROM documents WHERE doc_id % 4 = 3)""")
+def q_select_files_by_name(spark, sf_dir):
+    """The year in the file's name, ``meta`` anywhere in the path, files of the log left out; the files selected are read.
+
+    Four drops of two files each: 2019 is no import year, the files of 2021 are in the log.
+    """
+    ctx = Ctx(spark, sf_dir)
+    root = scratch_path(spark, "named-drops")
+    for k, (folder, base) in enumerate((("comments", "tvnet_2019"), ("comments", "tvnet_2021"), ("comments", "tvnet_2024"), ("2020-meta", "tvnet_2023"))):
+        write_named(ctx.t.documents.where(F.col("doc_id") % 4 == k), f"{root}/{folder}", base, [F.col("lang"), F.col("doc_id")], gzip=k == 2)
+    listing = fl.list_files(spark, root)
+    log = listing.where(F.col("path").contains("tvnet_2021")).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit("Success").alias("status"))
+    chosen = fl.select_import_files(listing, log, ctx.params, root).withColumn("year", F.regexp_extract("file_name", "_([0-9]{4})", 1))
+    lines = fl.read_tsv(spark, [f"{root}/comments", f"{root}/2020-meta"], ("region", "article_id"))
+    n = lines.groupBy(F.element_at(F.split("file_path", "/"), -1).alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+    return chosen.join(n, "file_name").groupBy("kind", "year").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_rows"))
+
+
 @register("import_log_status", """
 SELECT 'good' AS folder, 'Success' AS status, CAST(4 AS BIGINT) AS n_files, (SELECT count(*) FROM documents) AS n_loaded
 UNION ALL SELECT 'narrow', 'Failed', 4, 0 UNION ALL SELECT 'empty', 'Failed', 1, 0""")

@@ -29,3 +29,12 @@ def write_drop(df: DataFrame, folder: str, cols: list[Column], order_col: str, n
         w = w.option("compression", "gzip")
     w.text(folder)
     return folder
+
+
+def write_named(df: DataFrame, folder: str, base: str, cols: list[Column], n_files: int = 2, gzip: bool = False) -> str:
+    """Append files whose names begin with ``base`` (Spark adds task number and extension) to a drop folder."""
+    w = df.select(tsv_line(cols).alias("value")).repartition(n_files).write.mode("append").option("mapreduce.output.basename", base)
+    if gzip:
+        w = w.option("compression", "gzip")
+    w.text(folder)
+    return folder
