@@ -1,8 +1,10 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates (DataFrame functions and pyspark.ml only).
 
-Paragraphs (lines of a text, long ones in overlapping windows of ``WINDOW``
-words) that hold a word of the templates other than the commonest are classified by multinomial logistic regression over hashed word
-unigrams and bigrams.  Training rows are crops of the licence templates below
+Lines that hold a word of the templates other than the commonest are classified
+by multinomial logistic regression over hashed word unigrams and bigrams: each
+as it is (a long one in overlapping windows of ``WINDOW`` words) and together
+with the lines after it, up to a blank line and ``WINDOW`` words, so that a
+notice wrapped over several lines is seen whole.  Training rows are crops of the licence templates below
 and, for the class unknown, phrases that only talk of licences plus at most
 ``NEGATIVES`` paragraphs of the scanned texts without a licence word (of each hash
 class the one with the smallest hash).  The probabilities are calibrated by a temperature, and a
@@ -10,7 +12,7 @@ paragraph below the confidence that keeps every held-out unknown out is unknown.
 A predicted family counts only when the paragraph holds enough of the word
 trigrams of one of its templates.
 
-Defined cases: a null, empty or blank text has no paragraphs and no licence;
+Defined cases: columns other than the two named ones are not read; a null, empty or blank text has no paragraphs and no licence;
 repeated rows are scanned one by one; a paragraph with several families reports
 the one that is likeliest, a document the set of its paragraphs' families; an
 empty table gives an empty result.
@@ -68,6 +70,13 @@ TEMPLATES = {
                  "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
                  "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+            "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+                "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+             "SPDX-License-Identifier: Zlib"],
     "CC0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or "
             "neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
 }
@@ -114,18 +123,32 @@ def _trigrams(col: str) -> str:
     return (f"if(size({col}) >= 3, transform(sequence(1, size({col}) - 2), i -> array_join(slice({col}, i, 3), ' ')), array(array_join({col}, ' ')))")
 
 
+#: Lines that a notice is looked for in from its first one on.
+LINES = 12
+
+
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, mark, place, w): word arrays of the paragraphs of every text that hold a cue word.
+    """(key, mark, place, w): word arrays of the lines of every text that hold a cue word, and of these with the lines after them.
 
     Words are split and looked through inside the row, so the bulk of the
-    lines never becomes rows.
+    lines never becomes rows.  Lines that no cue word follows within the window
+    stay as they are.
     """
     cues = F.array(*[F.lit(c) for c in cue_words()])
-    rows = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line, i: F.struct(i.alias("place"), words(line).alias("w")))
+    base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    rows = F.transform("lines", lambda line, i: F.struct(i.alias("place"), words(line).alias("w")))
     rows = F.filter(rows, lambda r: F.arrays_overlap(r["w"], cues))
-    found = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.explode_outer(rows).alias("r")).where("r is not null")
-    cut = F.expr(f"if(size(r.w) <= {WINDOW}, array(r.w), transform(sequence(1, size(r.w) - {WINDOW - STRIDE}, {STRIDE}), i -> slice(r.w, i, {WINDOW})))")
-    return found.select("key", "mark", "r.place", F.explode_outer(cut).alias("w"))
+    found = base.select("key", "mark", "lines", F.explode(rows).alias("r")).where("r is not null")
+    # the lines from here to the next blank one
+    block = F.slice("lines", F.col("r.place") + 1, F.lit(LINES))
+    end = F.array_position(F.transform(block, lambda x: x.rlike(r"^\s*$")), True).cast("int")
+    block = F.when(end > 0, F.slice(block, F.lit(1), end - 1)).otherwise(block)
+    found = found.select("key", "mark", "r.place", "r.w", F.when(F.size("r.w") < WINDOW, F.array_join(block, " ")).alias("more")) \
+                 .withColumn("joined", F.slice(words(F.col("more")), 1, WINDOW))
+    cut = F.expr(f"if(size(w) <= {WINDOW}, array(w), transform(sequence(1, size(w) - {WINDOW - STRIDE}, {STRIDE}), i -> slice(w, i, {WINDOW})))")
+    whole = F.when((F.size("joined") > F.size("w")) & F.arrays_overlap(F.slice("joined", F.size("w") + 1, F.lit(WINDOW)), cues), F.array("joined")) \
+             .otherwise(F.array().cast("array<array<string>>"))
+    return found.select("key", "mark", "place", F.explode(F.concat(cut, whole)).alias("w"))
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
