@@ -111,15 +111,40 @@ def _distinct(part: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarra
     return halves[0], halves[1], n
 
 
-def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, hi, lo, n): n-grams of the highest order in this task's texts."""
+def _packed(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted n-grams and their counts, character by character in as few bytes as each needs: neighbours are alike, so this compresses well."""
+    one = np.uint64((1 << charlm.BITS) - 1)
+    cols = [half >> np.uint64(charlm.BITS * k) & one for half in (hi, lo) for k in (2, 1, 0)] + [n.astype(np.uint64)]
+    kinds = [next(w for w in (1, 2, 4, 8) if w == 8 or int(c.max()) < 1 << 8 * w) for c in cols]
+    return bytes(kinds) + b"".join(c.astype(f"<u{w}").tobytes() for c, w in zip(cols, kinds))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kinds = list(blob[:7])
+    size, at, cols = (len(blob) - 7) // sum(kinds), 7, []
+    for w in kinds:
+        cols.append(np.frombuffer(blob, f"<u{w}", size, at).astype(np.uint64))
+        at += w * size
+    a, b = np.uint64(charlm.BITS), np.uint64(2 * charlm.BITS)
+    return cols[0] << b | cols[1] << a | cols[2], cols[3] << b | cols[4] << a | cols[5], cols[6].astype(np.int64)
+
+
+def _count(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, grams): n-grams of the highest order in this task's texts with their counts, dealt out by hash."""
     held: dict[str | None, tuple[list, list, list]] = {}
 
     def flush():
         for lang, box in held.items():
+            if not box[0]:
+                continue
             hi, lo, n = _merge(*box)
-            yield pa.record_batch({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(hi), np.int64))),
-                                   "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)), "n": pa.array(n)})
+            own = (grams.mix(grams.mix(hi) + lo) % np.uint64(buckets)).astype(np.int64)
+            order_of = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order_of], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cuts)).tolist()
+            each = [order_of[cuts[b]:cuts[b + 1]] for b in used]
+            yield pa.record_batch({"lang": pa.array([lang] * len(used), pa.string()), "bucket": pa.array(used, pa.int32()),
+                                   "grams": pa.array([_packed(hi[x], lo[x], n[x]) for x in each], pa.binary())})
         held.clear()
     for batch in batches:
         names = batch.column(0).dictionary_encode()
@@ -141,10 +166,35 @@ def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield from flush()
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, hi, lo, n): the sums of each (lang, bucket), which come one after the other."""
+    now, held = None, ([], [], [])
+
+    def done() -> pa.RecordBatch:
+        hi, lo, n = _merge(*held)
+        for have in held:
+            have.clear()
+        return pa.record_batch({"lang": pa.array([now[0]], pa.string()).take(pa.array(np.zeros(len(hi), np.int64))), "hi": pa.array(hi.view(np.int64)),
+                                "lo": pa.array(lo.view(np.int64)), "n": pa.array(n)})
+    for batch in batches:
+        for lang, bucket, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if now != (lang, bucket) and held[0]:
+                yield done()
+            now = lang, bucket
+            for have, new in zip(held, _unpacked(blob)):
+                have.append(new)
+            if sum(map(len, held[0])) > HELD and len(held[0]) > 8:
+                for have, new in zip(held, _merge(*held)):
+                    have[:] = [new]
+    if held[0]:
+        yield done()
+
+
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, hi, lo, n) over all documents; docs has (lang, text)."""
-    rows = docs.mapInArrow(partial(_count, order), "lang string, hi long, lo long, n long")
-    return rows.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))
+    """(lang, hi, lo, n) over all documents; a bucket of n-grams is one of as many as the session has shuffle partitions, 64 at least."""
+    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.mapInArrow(partial(_count, order, buckets), "lang string, bucket int, grams binary")
+    return rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_added, "lang string, hi long, lo long, n long")
 
 
 def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataFrame:
