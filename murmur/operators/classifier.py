@@ -76,9 +76,10 @@ def fit_many(labelled: DataFrame, path: str, types: tuple[str, ...], languages:
     """
     kinds = labelled.groupBy("language").agg(*[F.count_distinct(t).alias(t) for t in types]).where(F.col("language").isin(*languages)).collect()
     for t in types:
-        fit(labelled.withColumnRenamed(t, "label"), f"{path}/{t}/{POOLED}", **settings)
+        rows = labelled.select("text", "language", F.col(t).alias("label"))
+        fit(rows, f"{path}/{t}/{POOLED}", **settings)
         for lang in sorted(r.language for r in kinds if r[t] > 1):
-            fit(labelled.where(F.col("language") == lang).withColumnRenamed(t, "label"), f"{path}/{t}/{lang}", **settings)
+            fit(rows.where(F.col("language") == lang), f"{path}/{t}/{lang}", **settings)
 
 
 def predict_many_stored(comments: DataFrame, path: str, types: tuple[str, ...], languages: tuple[str, ...], lang_col: str = "comment_lang",

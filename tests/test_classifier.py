@@ -82,3 +82,7 @@ def test_queries(spark):
     want = qm.q_predict_pending(spark, SF_ORACLE)
     assert {r.id for r in got.collect()} == {r.id for r in want.collect()}
     assert got.where(F.col("ekman_prediction_emotion").isin("good", "poor", "toxic")).count() == want.count()
+    both = qm.q_classifier_two_label_sets(spark, SF_ORACLE)
+    n = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").where("length(text) > 0 and lang in ('en', 'fr', 'de', 'es')").count()
+    got = {(r.prediction_type, r.m_prediction_emotion) for r in both.collect()}
+    assert both.count() == 2 * n and got <= {("tone", "good"), ("tone", "poor"), ("toxic", "clean"), ("toxic", "toxic")} and len(got) > 2
