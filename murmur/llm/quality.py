@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm import charlm, grams
-from murmur.llm.common import written
+from murmur.llm.common import release, written
 
 ORDER = 6
 #: Order from which on n-grams seen once are not stored.
@@ -206,10 +206,11 @@ def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataF
         level[k] = level[k + 1].selectExpr("lang", f"hi & {a}L as hi", f"lo & {b}L as lo").groupBy("lang", "hi", "lo").agg(F.count("*").alias("c"))
     every = None
     for k, rows in level.items():
-        rows = rows.selectExpr("lang", f"{k} as order", "hi", "lo", "c", f"shiftright(hi, {bits}) as chi",
-                               f"shiftright(lo, {bits}) | shiftleft(hi & {low}L, {2 * bits}) as clo")
+        rows = rows.selectExpr("lang", f"{k} as order", "hi", "lo", "c")
         every = rows if every is None else every.union(rows)
     every = written(every, "quality-counts")
+    release(every.sparkSession)
+    every = every.selectExpr("*", f"shiftright(hi, {bits}) as chi", f"shiftright(lo, {bits}) | shiftleft(hi & {low}L, {2 * bits}) as clo")
     tally = every.groupBy("lang", "order").agg(*[F.sum((F.col("c") == r).cast("double")).alias(f"n{r}") for r in (1, 2, 3, 4)])
     y = "n1 / (n1 + 2 * n2)"
     tally = tally.selectExpr("lang", "order", *[
@@ -222,12 +223,14 @@ def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataF
     parts = disc.alias("g").join(context.alias("x"), ["lang", "order", "chi", "clo"]) \
         .selectExpr("lang", "order", "hi", "lo", "stored", "if(stored, (c - d) / total, 0D) as own", "held / total as share")
     parts = written(parts, "quality-parts")
+    release(every.sparkSession)
     lower = parts.where("order = 1").selectExpr("lang", "hi", "lo", "stored", f"own + share / {1 << bits} as p")
     out = lower.selectExpr("lang", "1 as order", "hi", "lo", "stored", "p")
     for k in range(2, order + 1):
         a, b = charlm.masks(k - 1)
         lower = parts.where(F.col("order") == k).alias("g").join(lower.alias("s"), F.expr(f"g.lang = s.lang and (g.hi & {a}L) = s.hi and (g.lo & {b}L) = s.lo")) \
                      .selectExpr("g.lang", "g.hi", "g.lo", "g.stored", "own + share * p as p")
+        lower = written(lower, "quality-level")         # else the next levels would join it again
         out = out.union(lower.selectExpr("lang", f"{k} as order", "hi", "lo", "stored", "p"))
     grams_ = out.where("stored").selectExpr("lang", "order", "hi", "lo", "false as weight", "ln(p) as value")
     weights = context.selectExpr("lang", "order - 1 as order", "chi as hi", "clo as lo", "true as weight", "ln(held / total) as value").where("value < 0")
@@ -255,10 +258,13 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, order: int = ORDER, cut_from: int = CUT_FROM) -> DataFrame:
     """(part, hash, value): the model, sorted by part and hash."""
     counts = written(ngram_counts(docs, order), "quality-ngrams")
+    release(docs.sparkSession)                          # the shuffles of one step are gone before the next one writes its own
     rows = kneser_ney(counts, order, cut_from).selectExpr("lang", "cast(order as int) as order", "hi", "lo", "weight",
                                                           f"cast(round(value * {MILLION}) as int) as value")
     rows = rows.mapInArrow(_hash_rows, "part int, hash long, value int").repartitionByRange("part", "hash").sortWithinPartitions("part", "hash")
-    return written(rows, "quality-model")
+    table = written(rows, "quality-model")
+    release(docs.sparkSession)
+    return table
 
 
 def blocks(table: DataFrame, most_rows: int = BLOCK_ROWS) -> list[list[int]]:
