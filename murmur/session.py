@@ -72,6 +72,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder from the file system that Spark resolves it to; one that is not there is no error."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, cores: int = 8000) -> dict:
     """Suggested settings for a cluster run over ``input_bytes`` of parquet.
 

@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.session import path_exists, scratch_path
+from murmur.session import delete_path, path_exists, scratch_path
 
 
-def write_rollup(df: DataFrame, path: str, date_col: str = "date", by=("language",)) -> None:
+def write_rollup(df: DataFrame, path: str, date_col: str = "date", by=("language",), touched: DataFrame | None = None) -> None:
     """Write a daily rollup partitioned by (language, month).
 
     ``df`` holds whole days.  The stored days of a touched month that ``df``
     does not have are merged in before the month's partition is replaced
     (dynamic overwrite), so rewriting a day (T22) leaves all other days as
     they are.  The merged months are staged in the shared checkpoint folder.
+    ``touched`` names the days (language, date) that were computed anew: those
+    that have no rows any more lose their stored ones.
     """
     spark, keys = df.sparkSession, [*by, "month"]
-    out = df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
+    month = F.date_format(F.col(date_col), "yyyy-MM")
+    out = df.withColumn("month", month)
     if path_exists(spark, path):
+        days = df.select(*by, date_col)
+        days = (days if touched is None else days.unionByName(touched.select(*by, date_col))).distinct()
+        months = days.select(*by, month.alias("month")).distinct()
         old = spark.read.schema(out.schema).parquet(path)
-        kept = (old.join(out.select(*keys).distinct(), keys, "left_semi")
-                .join(out.select(*by, date_col).distinct(), [*by, date_col], "left_anti"))
+        kept = old.join(months, keys, "left_semi").join(days, [*by, date_col], "left_anti")
         staged = scratch_path(spark, "rollup")
         out.unionByName(kept).write.parquet(staged)
         out = spark.read.schema(out.schema).parquet(staged)
+        if touched is not None:                          # a month without any row left is not overwritten, so its folder goes
+            bare = months.join(out.select(*keys).distinct(), keys, "left_anti").collect()
+            for r in bare:
+                delete_path(spark, "/".join([path, *[f"{k}={r[k]}" for k in keys]]))
     (out.repartition(*keys).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path))
