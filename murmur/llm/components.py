@@ -19,13 +19,13 @@ def _stars(edges: DataFrame) -> DataFrame:
             .union(low.select("a", F.col("m").alias("b"))).distinct())
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, label) for every node that is not the smallest of its component; label is the smallest.
+def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(a, b), a > b: edges that connect what ``edges`` connects, contracted until each component is a star around its smallest node.
 
     ``edges`` has (a, b).  Each round is written to the shared folder, so the
     plan does not grow and lost executors only re-read files.  With ``rounds``
-    the contraction stops early: equal labels then still mean connected nodes,
-    but one component may carry several labels.
+    the contraction stops early: a node may then have several edges left, and
+    all of them are needed to keep its component together.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen, k = None, 0
@@ -36,4 +36,14 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-    return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    return now
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of contracted edges: equal labels mean connected nodes, and one component carries one label once it is a star."""
+    return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for every node that is not the smallest of its component; label is the smallest."""
+    return labels(contracted(edges))

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm import grams
 from murmur.llm.common import WORD, packed, unpacked, written
-from murmur.llm.components import components
+from murmur.llm.components import contracted, labels
 
 #: Percent of a set that its prefix holds beyond what may differ.
 RATIO = 6
@@ -264,11 +264,8 @@ def _links(rule: Rule, sets: DataFrame, members: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         found = _check(rule, pairs, sets)
         tree = found if links is None else found.union(links)
-        label = components(tree, rounds=3 if turn < 2 else None)
-        links = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        if turn < 2:
-            links = written(links, "jaccard-forest")
-            label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        links = contracted(tree, rounds=3 if turn < 2 else None)    # all edges: a label of three rounds holds one of several
+        label = labels(links)
     return label
 
 

@@ -137,3 +137,11 @@ def test_rows_of_one_id_stay_apart(spark):
     rows = [(5, text["a"], "s"), (5, text["b"], "s"), (6, text["b"] + " more", "s"), (7, None, "s"), (7, "", "s"), (8, text["a"], "s"), (8, text["a"], "s")]
     got = sorted((r.doc_id, r.text or "") for r in jaccard.keep_one(frame(spark, rows)).collect())
     assert got == [(5, text["a"]), (5, text["b"]), (7, ""), (7, "")]
+
+
+def test_chain_of_links_all_found_at_once(spark):
+    """A template with a passage before it and one after it that only one neighbour has: the contraction between the rounds must lose no link."""
+    part = lambda k: " ".join(f"p{k}x{i}" for i in range(4))
+    body = " ".join(f"t{i}" for i in range(63))
+    rows = [(k, " ".join([part(k + k % 2), body, part(k + 1 - k % 2)]), "s") for k in range(400)]
+    assert {c for _, c in run(frame(spark, rows)).values()} == {0}
