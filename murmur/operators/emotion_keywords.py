@@ -24,6 +24,22 @@ from murmur.session import scratch_path
 # longest n-gram, shortest token (the vectoriser's two-character token rule).
 MAX_FEATURES, TOP_N, NGRAM_MAX, MIN_TOKEN_LEN = 5000, 30, 3, 2
 KEYS = ["date", "language"]
+# Comments of one task that holds whole (date, language) groups, and of the largest group that one task may hold.
+TASK_COMMENTS, GROUP_COMMENTS = 500, 20_000
+
+
+def by_group(docs: DataFrame, task_comments: int = TASK_COMMENTS, group_comments: int = GROUP_COMMENTS) -> DataFrame:
+    """``docs`` dealt by (date, language), so that their n-grams are counted, cut and scored where the comments lie.
+
+    A comment's n-grams are many times its own size, and most occur once or
+    twice, so partial counts save little.  If a group is too large for one
+    task the rows stay as they are, and the n-grams are dealt as partial counts.
+    """
+    sizes = docs.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
+    if sizes.top is None or sizes.top > group_comments:
+        return docs
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(max(least, -(-sizes.n // task_comments)), *KEYS)
 
 
 def emotion_documents(predictions: DataFrame, lemmatized: DataFrame, prediction_type: str,
@@ -46,9 +62,9 @@ def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int
     Tokens shorter than two letters are dropped (the vectoriser's token
     rule), then stop words, then 1..3-grams are formed inside each comment.
     Each language's stop list travels as one array on a broadcast row, so
-    the filter runs inside the scan stage and no token is shuffled.
+    the filter runs where the n-grams are formed.
     """
-    d = docs
+    d = by_group(docs)
     if stopwords is not None:
         sw = stopwords.groupBy("language").agg(F.collect_set("word").alias("_sw"))
         d = d.join(broadcast_checked(sw, known_rows=stop_rows), "language", "left")
@@ -76,8 +92,9 @@ def cut_terms(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> D
     """(date, language, term, f, emotion, tf) of the ``max_features`` most frequent terms per (date, language).
 
     ``terms`` are n-gram occurrences.  One aggregate by (date, language, term)
-    holds a count per emotion of ``emotions``, so the n-grams cross the network
-    once, as partial counts; the cut is a partial group limit.
+    holds a count per emotion of ``emotions``; if ``terms`` are not dealt by
+    group the n-grams cross the network here, once, as partial counts.  The cut
+    is a partial group limit.
     """
     emotions = list(emotions)
     counts = [F.count(F.when(F.col("emotion") == e, 1)).alias(f"c{k}") for k, e in enumerate(emotions)]
@@ -153,6 +170,8 @@ def flatten_stored(stored: DataFrame, prediction_type: str, languages, day=None)
 
 #: Dimensions of a word's vector, and words to either side that make it.
 DIMENSIONS, REACH = 64, 2
+#: Most vectors in one broadcast (about 0.5 KB each).
+VECTOR_ROWS = 100_000
 
 
 def word_vectors(docs: DataFrame, dimensions: int = DIMENSIONS, reach: int = REACH) -> DataFrame:
@@ -184,25 +203,35 @@ def vector_keywords(docs: DataFrame, terms: DataFrame, emotions, top_n: int = TO
     """K2 by vectors: (date, language, emotion, keyword, confidence, rank).
 
     A group's vector adds up its words' vectors, a candidate's those of its one
-    to three words; the confidence is the cosine of the two.  The sums are
-    vector aggregates with map-side partial sums.
+    to three words; the confidence is the cosine of the two.  The sums are one
+    number per dimension, added up before anything is shuffled.  Candidates are
+    cut once and stored, and no row that is shuffled holds two vectors.
     """
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
 
-    path = scratch_path(docs.sparkSession, "word-vectors")
-    word_vectors(docs, dimensions, reach).write.parquet(path)
-    words = docs.sparkSession.read.parquet(path)
+    spark = docs.sparkSession
+    path = scratch_path(spark, "word-vectors")
+    word_vectors(docs, dimensions, reach).select("language", "word", vector_to_array("vector").alias("x")).write.parquet(path)
+    words = spark.read.parquet(path)
+    words = broadcast_checked(words, VECTOR_ROWS)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    adds = lambda by: [F.sum(F.col("x")[i] * by).alias(f"x{i}") for i in range(dimensions)]
+    added = F.array(*[F.col(f"x{i}") for i in range(dimensions)])
     tf = docs.where(F.col("emotion").isin(list(emotions))).select(*KEYS, "emotion", F.explode("lemmas").alias("word")) \
              .groupBy(*KEYS, "emotion", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    group = tf.join(words, ["language", "word"]).groupBy(*KEYS, "emotion") \
-              .agg(vector_to_array(Summarizer.sum(F.col("vector"), F.col("tf"))).alias("g"))
-    t = cut_terms(terms, emotions, max_features)
+    group = tf.join(words, ["language", "word"]).groupBy(*KEYS, "emotion").agg(*adds(F.col("tf"))).select(*KEYS, "emotion", added.alias("g"))
+    path = scratch_path(spark, "group-vectors")
+    group.write.parquet(path)
+    group = broadcast_checked(spark.read.parquet(path), VECTOR_ROWS).withColumn("gg", dot("g", "g"))
+    path = scratch_path(spark, "cut-terms")
+    cut_terms(terms, emotions, max_features).select(*KEYS, "emotion", "term").write.parquet(path)
+    t = spark.read.parquet(path)
     parts = t.select("language", "term").distinct().select("language", "term", F.explode(F.split("term", " ")).alias("word"))
-    term = parts.join(words, ["language", "word"]).groupBy("language", "term").agg(vector_to_array(Summarizer.sum(F.col("vector"))).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    term = parts.join(words, ["language", "word"]).groupBy("language", "term").agg(*adds(F.lit(1.0))).select("language", "term", added.alias("v"))
+    term = term.withColumn("vv", dot("v", "v"))
     s = t.join(term, ["language", "term"]).join(group, [*KEYS, "emotion"])
-    s = s.withColumn("_n", F.sqrt(dot("v", "v") * dot("g", "g"))).where("_n > 0").withColumn("confidence", F.round(dot("v", "g") / F.col("_n"), digits))
+    s = s.withColumn("_n", F.sqrt(F.col("vv") * F.col("gg"))).where("_n > 0").withColumn("confidence", F.round(dot("v", "g") / F.col("_n"), digits))
+    s = s.select(*KEYS, "emotion", "term", "confidence")
     w = Window.partitionBy(*KEYS, "emotion").orderBy(F.desc("confidence"), "term")
     return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
             .select(*KEYS, "emotion", F.col("term").alias("keyword"), "confidence", "rank"))
