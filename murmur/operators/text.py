@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,28 +46,41 @@ def lemmatize(comments: DataFrame, lemma_table: DataFrame | None = None,
     plus comment_id, lemmas, words (parallel arrays) and lemma_count.
     """
     src = spread(comments, id_col)          # the regex pass is the expensive step
-    base = src.select(F.col(id_col).alias("comment_id"), F.col(lang_col).alias("_lang"),
-                      *keep, tokens(text_col).alias("words"))
     if lemma_table is None:
-        out = base.withColumn("lemmas", F.col("words"))
-    else:
-        # a form with several lemmas takes the first in order, else tokens would multiply
-        lt = broadcast_checked(
-            lemma_table.groupBy(F.col("language").alias("_lang"), F.col("form").alias("_form"))
-            .agg(F.min(F.lower("lemma")).alias("_lemma")),
-            known_rows=lemma_rows_bound)
-        exploded = base.select("comment_id", "_lang", *keep,
-                               F.posexplode_outer("words").alias("pos", "_form"))
-        joined = exploded.join(lt, ["_lang", "_form"], "left")
-        # one row per comment again; tokens stay in text order
-        grouped = joined.groupBy("comment_id", "_lang", *keep).agg(
-            F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
-                "pos", F.coalesce("_lemma", "_form").alias("lemma"), F.col("_form").alias("form")))))
-            .alias("_t"))
-        out = grouped.select("comment_id", "_lang", *keep,
-                             F.transform("_t", lambda s: s["form"]).alias("words"),
-                             F.transform("_t", lambda s: s["lemma"]).alias("lemmas"))
-    return out.withColumn("lemma_count", F.size("lemmas")).drop("_lang")
+        out = src.select(F.col(id_col).alias("comment_id"), *keep, tokens(text_col).alias("words")).withColumn("lemmas", F.col("words"))
+        return out.withColumn("lemma_count", F.size("lemmas")).select("comment_id", *keep, "words", "lemmas", "lemma_count")
+    # a form with several lemmas takes the first in order; what keeps itself needs no row
+    lt = broadcast_checked(
+        lemma_table.groupBy(F.col("language").alias("_lang"), F.col("form").alias("_form"))
+        .agg(F.min(F.lower("lemma")).alias("_lemma")).where("_lemma <> _form"),
+        known_rows=lemma_rows_bound)
+    # only forms that change leave the scan, once per comment; the texts are dealt by id once
+    forms = src.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.explode(F.array_distinct(tokens(text_col))).alias("_form"))
+    changed = forms.join(lt, ["_lang", "_form"]).groupBy("_id", "_lang") \
+                   .agg(F.map_from_entries(F.collect_set(F.struct("_form", "_lemma"))).alias("_changed"))
+    base = comments.select(F.col(id_col).alias("comment_id"), F.col(lang_col).alias("_l"), *keep, F.col(text_col).alias("_text"))
+    out = base.join(changed.hint("shuffle_hash"), F.expr("comment_id <=> _id and _l = _lang"), "left")
+    out = out.select("comment_id", *keep, tokens("_text").alias("words"), "_changed")
+    lemmas = F.when(F.col("_changed").isNull(), F.col("words")) \
+              .otherwise(F.transform("words", lambda w: F.coalesce(F.try_element_at(F.col("_changed"), w), w)))
+    return out.select("comment_id", *keep, "words", lemmas.alias("lemmas"), F.size("words").alias("lemma_count"))
+
+
+#: Characters of text and rows that a plug-in gets at once.
+SLICE_CHARS, SLICE_ROWS = 1 << 20, 1_000
+
+
+def text_slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``chars`` bytes of text (a longer text alone) and ``rows`` rows, without a copy."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first = held = 0
+    for k, size in enumerate(sizes):
+        if k > first and (held + size > chars or k - first >= rows):
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
 
 
 def lemmatize_with(comments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
@@ -74,18 +89,21 @@ def lemmatize_with(comments: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
     """X3 plug-in: a per-batch pandas lemmatizer (model loaded once per task).
 
     ``fn`` receives columns comment_id, text, language and returns
-    comment_id, lemmas, words.  Counts are added here.
+    comment_id, lemmas, words.  Counts are added here.  A call gets a bounded
+    amount of text, whatever the size of an Arrow batch.
     """
     src = comments.select(F.col(id_col).alias("comment_id"), F.col(text_col).alias("text"),
                           F.col(lang_col).alias("language"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            res = fn(pdf)
-            res["lemma_count"] = res["lemmas"].map(len).astype("int32")
-            yield res[["comment_id", "lemmas", "words", "lemma_count"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.list_(pa.string())
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                res = fn(part.to_pandas())
+                yield pa.record_batch({"comment_id": pa.array(res["comment_id"], pa.int64()), "lemmas": pa.array(res["lemmas"], words),
+                                       "words": pa.array(res["words"], words), "lemma_count": pa.array(res["lemmas"].map(len), pa.int32())})
 
-    return src.mapInPandas(run, LEMMATIZED_SCHEMA)
+    return src.mapInArrow(run, LEMMATIZED_SCHEMA)
 
 
 def explode_ngrams(df: DataFrame, tokens_col: str, keep: tuple[str, ...] = (), out: str = "term",

@@ -101,10 +101,12 @@ ft AS (SELECT *, CASE WHEN regexp_extract(form, '{FORM}', 1) <> '' THEN regexp_e
 
 
 def lemma_table(ctx: Ctx):
-    """(language, form, lemma) of the documents' vocabulary, each form also with a second, later lemma."""
+    """(language, form, lemma) of the documents' vocabulary, each form also with a second, later lemma; written once and read back."""
     words = ctx.lemmatized.select(F.col("comment_lang").alias("language"), F.explode_outer("lemmas").alias("form")).distinct()
     rows = words.select("language", "form", F.regexp_extract("form", FORM, 1).alias("lemma")).where("lemma != ''")
-    return rows.union(rows.select("language", "form", F.concat(F.lit("zz"), F.col("lemma"))))
+    path = scratch_path(ctx.spark, "lemma-table")
+    rows.select(F.col("language"), F.col("form"), F.explode(F.array("lemma", F.concat(F.lit("zz"), F.col("lemma")))).alias("lemma")).write.parquet(path)
+    return ctx.spark.read.schema("language string, form string, lemma string").parquet(path)
 
 
 def with_lemmas(ctx: Ctx):
@@ -194,8 +196,9 @@ def q_lemmatize_learned(spark, sf_dir):
     """Lemmas from the table, from learned endings for forms the table lacks, counted per form."""
     ctx = Ctx(spark, sf_dir)
     path = scratch_path(spark, "endings")
-    learn_endings(known_pairs(ctx)).write.parquet(path)
-    t = lemmatize_tokens(ctx.comments, known_pairs(ctx), spark.read.parquet(path))
+    pairs = known_pairs(ctx)
+    learn_endings(pairs).write.parquet(path)
+    t = lemmatize_tokens(ctx.comments, pairs, spark.read.parquet(path))
     return t.groupBy("language", "form", "lemma").agg(F.count(F.lit(1)).alias("n"))
 
 
