@@ -12,12 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from murmur.operators.emotions import argmax_prediction
+from murmur.operators.text import text_slices
 
 PREDICTION_TYPE = T.ArrayType(T.StructType([T.StructField("label", T.StringType()),
                                             T.StructField("score", T.DoubleType())]))
@@ -50,21 +53,22 @@ def predict(comments: DataFrame, make: Callable[[], Classifier], text_col: str =
             keep: tuple[str, ...] = ("id",), sort_by_length: bool = True) -> DataFrame:
     """M2/M4: run the classifier that ``make`` builds, once per task, over text batches; rows
     sorted by length inside each partition so a padded batch holds texts of
-    similar size (no extra shuffle).
+    similar size (no extra shuffle).  A call gets a bounded amount of text; the
+    kept columns pass as they are.
     """
     src = comments.select(*keep, F.col(text_col).alias("_text"))
     if sort_by_length:
         src = src.sortWithinPartitions(F.length("_text"))
     schema = T.StructType([comments.schema[k] for k in keep] + [T.StructField("prediction", PREDICTION_TYPE)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = make()
-        for pdf in batches:
-            res = pdf[list(keep)].copy()
-            res["prediction"] = classifier(pdf["_text"])
-            yield res
+        for batch in batches:
+            for part in text_slices(batch, "_text"):
+                scored = pa.array(classifier(part.column("_text").to_pandas()), to_arrow_type(PREDICTION_TYPE))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], scored], [*keep, "prediction"])
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def predictions_table(scored: DataFrame, prediction_type: str, digits: int = 5) -> DataFrame:
