@@ -96,8 +96,10 @@ def q_stream_aggr_compacted(spark, sf_dir):
     root = scratch_path(spark, "stream-compact")
     docs = ctx.t.documents
     for k in range(3):
-        docs.where(F.col("doc_id") % 3 == k).coalesce(1).write.parquet(f"{root}/drops/{k}")
-    stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/drops")
+        docs.where(F.col("doc_id") % 3 == k).write.parquet(f"{root}/drops/{k}")
+    # about a drop a batch, in as many files as the input is read in
+    per = max(1, len(spark.read.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{root}/drops").inputFiles()) // 3)
+    stream = spark.readStream.schema(docs.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per).parquet(f"{root}/drops")
     st.stream_rollup(fx.comments_from(stream), ctx.lexicon, ctx.params, f"{root}/sink", f"{root}/checkpoint", lexicon_rows=ctx.lexicon_rows)
     st.compact_batches(spark, f"{root}/sink")
     out = st.read_rollup_batches(spark, f"{root}/sink")
