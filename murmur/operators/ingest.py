@@ -63,10 +63,12 @@ def first_per_key(parsed: DataFrame, key: str = "article_id") -> DataFrame:
     ``min_by`` is an aggregate with a map-side partial step, so a key that
     holds a third of the rows never lands whole in one task (a window would).
     """
-    cols = [c for c in parsed.columns if c != key]
-    order = F.struct(*BLOCK, "row_pos")
-    agg = parsed.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r"))
-    return agg.select(key, "_r.*")
+    place = [*BLOCK, "row_pos"]
+    order = F.struct(*place)
+    # a row's place is the order itself: kept beside the other columns it would be held twice
+    agg = parsed.groupBy(key).agg(F.min_by(F.struct(*[c for c in parsed.columns if c != key and c not in place]), order).alias("_r"),
+                                  F.min(order).alias("_o"))
+    return agg.select(key, *[F.col(f"{'_o' if c in place else '_r'}.{c}") for c in parsed.columns if c != key])
 
 
 def load_articles(parsed: DataFrame, website: str, params: Params) -> DataFrame:

@@ -18,14 +18,14 @@ COMMENT_SITE, ARTICLE_SITE = "site_a", "delfi"
 DROP_YEAR = "2024"
 
 
-def comment_drop(ctx: Ctx, root: str) -> str:
+def comment_drop(ctx: Ctx, root: str, n_files: int | None = None) -> str:
     d = ctx.t.documents.withColumn("region", F.when(F.col("doc_id") % 3 == 0, F.lit("rus"))
                                    .when(F.col("doc_id") % 3 == 1, F.lit("lat")))
     cols = [F.col("region"), F.col("doc_id") % 97, F.col("source"), F.lit(None),
             F.date_format(F.date_add(F.lit("2024-01-10").cast("date"), ((F.col("doc_id") * 37) % 149).cast("int")),
                           "yyyy-MM-dd 00:00:00"),
             F.col("text")]
-    return write_drop(d, f"{root}/comments/{DROP_YEAR}", cols, "doc_id", 4)
+    return write_drop(d, f"{root}/comments/{DROP_YEAR}", cols, "doc_id", n_files)
 
 
 def article_drop(ctx: Ctx, root: str) -> str:
@@ -34,7 +34,7 @@ def article_drop(ctx: Ctx, root: str) -> str:
             F.concat(F.col("o_orderpriority"), F.lit(" #"), F.col("o_orderkey").cast("string")),
             F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
             F.concat(F.lit("https://www.delfi.lv/"), F.col("o_custkey").cast("string"))]
-    return write_drop(o, f"{root}/articles-meta/{DROP_YEAR}", cols, "o_orderkey", 4, gzip=True)
+    return write_drop(o, f"{root}/articles-meta/{DROP_YEAR}", cols, "o_orderkey", gzip=True)
 
 
 def parsed_comments(ctx: Ctx):
@@ -140,7 +140,7 @@ def q_import_log_status(spark, sf_dir):
     """Statuses of good, wrong-width and empty files, and the rows that are loaded of each."""
     ctx = Ctx(spark, sf_dir)
     root = scratch_path(spark, "import-log")
-    comment_drop(ctx, f"{root}/good")
+    comment_drop(ctx, f"{root}/good", 4)
     d = ctx.t.documents
     write_drop(d, f"{root}/narrow/{DROP_YEAR}", [F.col("lang"), F.col("doc_id"), F.col("text")], "doc_id", 4)
     spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{root}/empty/{DROP_YEAR}")

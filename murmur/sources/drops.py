@@ -18,10 +18,22 @@ def tsv_line(cols: list[Column]) -> Column:
     return F.concat_ws("\t", *clean)
 
 
-def write_drop(df: DataFrame, folder: str, cols: list[Column], order_col: str, n_files: int = 4,
+#: Least number of files of a drop, and input bytes of a plain and of a gzip file, which one task has to read whole.
+MIN_FILES, FILE_BYTES, GZIP_FILE_BYTES = 4, 256 << 20, 8 << 20
+
+
+def files_of(df: DataFrame, gzip: bool = False) -> int:
+    """Files for the rows of ``df``, by Catalyst's estimate from file sizes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(MIN_FILES, -(-size // (GZIP_FILE_BYTES if gzip else FILE_BYTES)))
+
+
+def write_drop(df: DataFrame, folder: str, cols: list[Column], order_col: str, n_files: int | None = None,
                gzip: bool = False) -> str:
     """Range-partition by ``order_col`` so part-00000, part-00001, … hold increasing
-    keys, sort inside each file, and write one line per row."""
+    keys, sort inside each file, and write one line per row.  Without ``n_files``
+    the files of a large drop are as many as keep each small."""
+    n_files = n_files or files_of(df, gzip)
     out = (df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col)
            .select(tsv_line(cols).alias("value")))
     w = out.write.mode("overwrite")
