@@ -66,21 +66,17 @@ def hit_rows(docs: DataFrame, items: DataFrame, n: int = N, key: str = "doc_id",
     base = base.withColumn("wh", F.expr("transform(w, x -> xxhash64(x))"))
     every = F.expr("concat(" + ", ".join(_hashes(s) for s in sizes) + ")") if sizes else F.expr("cast(array() as array<bigint>)")
     scan = base.select("key", "mark", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(every).alias("k", "hash"))
-    size, place, passed = F.lit(None).cast("int"), F.col("k"), F.lit(0).cast("long")
-    for s in reversed(sizes):                           # which size a number belongs to
-        ahead = F.lit(0).cast("long")
-        for t in sizes[:sizes.index(s)]:
-            ahead = ahead + F.greatest(F.col("n_words") - t + 1, F.lit(0))
-        here = F.col("k") >= ahead
-        size = F.when(here, F.coalesce(size, F.lit(s))).otherwise(size)
-        place = F.when(here & (size == s), F.col("k") - ahead).otherwise(place)
+    # windows of smaller sizes come first: a window's place follows those of all sizes before its own
+    counts = [f"greatest(n_words - {s - 1}, 0L)" for s in sizes]
+    aheads = ", ".join(" + ".join(["0L", *counts[:k]]) for k in range(max(1, len(sizes))))
+    place = F.expr(f"k - array_max(filter(array({aheads}), a -> a <= k))")
     out = None
     for b in range(blocks):
         block = windows if blocks == 1 else windows.where(F.expr(f"pmod(hash, {blocks}) = {b}"))
         met = scan.join(F.broadcast(block.withColumnRenamed("size", "w_size")), "hash", "left")
         first = F.expr("k is null or k = 0") if b == 0 else F.lit(False)
         met = met.where(F.col("window").isNotNull() | first)
-        met = met.select("key", "mark", "n_words", place.alias("place"), "w_size", "window", "items", "w", first.alias("first"))
+        met = met.select("key", "mark", "n_words", place.cast("long").alias("place"), "w_size", "window", "items", "w", first.alias("first"))
         ok = F.expr("window is not null and array_join(slice(w, cast(place as int) + 1, w_size), ' ') = window")
         hit = F.when(ok, F.struct(F.col("place").cast("long").alias("place"), F.col("w_size").alias("size"), F.col("items")))
         rows = met.select("key", "mark", "n_words", F.explode(F.array_compact(F.array(

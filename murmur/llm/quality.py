@@ -390,7 +390,8 @@ def scores(docs: DataFrame, table: DataFrame, order: int, most_rows: int = BLOCK
         else:
             each = docs.select("lang", "text", "mark").mapInArrow(partial(_more, order, shared), "mark string, lang string, more long")
             more.append(written(each.groupBy("mark", "lang").agg(F.max("more").alias("more")), "quality-more"))    # equal texts score alike
-        shared.unpersist()
+        del rows, hashes, at
+        shared.destroy()                                # the driver's copy too: what was scored is written
     if more:
         rest = reduce(DataFrame.union, more).groupBy("mark", "lang").agg(F.sum("more").alias("more"))
         out = out.join(rest, ["mark", "lang"]).withColumn("total", F.col("total") + F.col("more"))

@@ -86,3 +86,18 @@ def test_no_python_in_the_plan(spark, tables):
     docs, items = tables
     plan = decontam.contamination(frame(spark, [(i, t, "s") for i, t in docs]), frame(spark, items, ITEMS))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_plan_grows_with_the_sizes_not_their_subsets(spark):
+    """Items of 1 to 13 words: thirteen window sizes."""
+    items = spark.createDataFrame([(f"i{n}", " ".join(f"q{n}x{k}" for k in range(n))) for n in range(1, 14)], "item_id string, text string")
+    docs = spark.createDataFrame([(n, "pre " * n + " ".join(f"q{n}x{k}" for k in range(n)) + " end") for n in range(1, 14)], "doc_id long, text string")
+    seen = []
+    written = decontam.written
+    try:
+        decontam.written = lambda df, name: (seen.append(len(df._jdf.queryExecution().analyzed().toString())), written(df, name))[1]
+        rows = decontam.hit_rows(docs, items).where("place is not null").collect()
+    finally:
+        decontam.written = written
+    assert {(r.key, r.place, r["size"]) for r in rows} == {(n, n, n) for n in range(1, 14)}
+    assert max(seen) < 60_000
