@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.operators.models import predictions_table
-from murmur.session import path_exists
+from murmur.session import path_exists, scratch_path
 
 FEATURES, MAX_ITER, REG, MIN_DOCS = 1 << 18, 30, 0.01, 20
 POOLED = "all"
+#: Stages of the pipeline before the first one that is fitted.
+LEARNED = 5
 
 
 def pipeline(features: int = FEATURES, max_iter: int = MAX_ITER, reg: float = REG, min_docs: int = MIN_DOCS) -> Pipeline:
@@ -42,19 +44,33 @@ def pipeline(features: int = FEATURES, max_iter: int = MAX_ITER, reg: float = RE
     ])
 
 
-def fit(labelled: DataFrame, path: str, **settings) -> PipelineModel:
-    """Fit on (text, label) and store under ``path``; every optimiser step reads the prepared features, which are persisted."""
-    rows = labelled.where(F.col("label").isNotNull()).select("text", "label")
+def counted(labelled: DataFrame, **settings) -> DataFrame:
+    """``labelled`` with the hashed terms of its texts in place of them (``_counts``), written once: every fit reads these and no text."""
+    stages = pipeline(**settings).getStages()[:LEARNED]
+    rows = PipelineModel(stages=stages).transform(labelled).select(*[c for c in labelled.columns if c != "text"], "_counts")
+    path = scratch_path(labelled.sparkSession, "classifier-counts")
+    rows.write.parquet(path)
+    return labelled.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _fit_counted(rows: DataFrame, path: str, **settings) -> PipelineModel:
+    """Fit on (_counts, label) and store the whole pipeline under ``path``; every optimiser step reads the prepared features, which are persisted."""
     stages = pipeline(**settings).getStages()
-    prepared = Pipeline(stages=stages[:-1]).fit(rows)
+    rows = rows.where(F.col("label").isNotNull()).select("_counts", "label")
+    prepared = Pipeline(stages=stages[LEARNED:-1]).fit(rows)
     features = prepared.transform(rows).select("features", "_label").persist()
     last = stages[-1].fit(features)
     features.unpersist()
-    model = PipelineModel(stages=[*prepared.stages, last])
+    model = PipelineModel(stages=[*stages[:LEARNED], *prepared.stages, last])
     model.write().overwrite().save(path)
     return model
 
 
+def fit(labelled: DataFrame, path: str, **settings) -> PipelineModel:
+    """Fit on (text, label) and store under ``path``; texts are read once."""
+    return _fit_counted(counted(labelled.where(F.col("label").isNotNull()).select("text", "label"), **settings), path, **settings)
+
+
 def classify(comments: DataFrame, model: PipelineModel, text: str = "comment_text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """(keep, prediction): label and probability of every class, in alphabetical order of the labels."""
     labels = next(s for s in model.stages if s.__class__.__name__ == "StringIndexerModel").labels
@@ -74,12 +90,13 @@ def fit_many(labelled: DataFrame, path: str, types: tuple[str, ...], languages:
 
     ``labelled`` has text, language and one label column per type.
     """
-    kinds = labelled.groupBy("language").agg(*[F.count_distinct(t).alias(t) for t in types]).where(F.col("language").isin(*languages)).collect()
+    rows = counted(labelled.select("text", "language", *types), **settings)
+    kinds = rows.groupBy("language").agg(*[F.count_distinct(t).alias(t) for t in types]).where(F.col("language").isin(*languages)).collect()
     for t in types:
-        rows = labelled.select("text", "language", F.col(t).alias("label"))
-        fit(rows, f"{path}/{t}/{POOLED}", **settings)
+        own = rows.select("_counts", "language", F.col(t).alias("label"))
+        _fit_counted(own, f"{path}/{t}/{POOLED}", **settings)
         for lang in sorted(r.language for r in kinds if r[t] > 1):
-            fit(rows.where(F.col("language") == lang), f"{path}/{t}/{lang}", **settings)
+            _fit_counted(own.where(F.col("language") == lang), f"{path}/{t}/{lang}", **settings)
 
 
 def predict_many_stored(comments: DataFrame, path: str, types: tuple[str, ...], languages: tuple[str, ...], lang_col: str = "comment_lang",
