@@ -104,18 +104,28 @@ def language_salt(lang: str) -> int:
 class HashModel:
     """Sorted 64-bit hashes with one number each, spread over an open-addressing table."""
 
+    #: Keys that are placed at a time.
+    STEP = 1 << 18
+
     def __init__(self, order: int, keys: np.ndarray, values: np.ndarray, unknown: int):
         """``keys`` are sorted: each goes to the slot of its top bits or the next one that is free, so slots stay in order as well."""
         self.order, self.unknown = order, unknown
         self.bits = max(10, (len(keys) * 5 // 4).bit_length())
-        place = self._slot(keys) - np.arange(len(keys))
-        np.maximum.accumulate(place, out=place)
-        place += np.arange(len(keys))
-        size = max(1 << self.bits, int(place[-1]) + 1 if len(keys) else 0) + 1      # the last slot stays free
+        cuts = range(0, len(keys), self.STEP)                  # in steps: memory is little more than that of the table
+        ahead = [int((self._slot(keys[a:a + self.STEP]) - np.arange(a, min(a + self.STEP, len(keys)))).max()) for a in cuts]
+        size = max(1 << self.bits, max(ahead, default=0) + len(keys)) + 1           # the last slot stays free
         self.key = np.zeros(size, _U)
         self.value = np.zeros(size, np.int32)
-        self.key[place] = keys
-        self.value[place] = values
+        most = 0
+        for a in cuts:
+            at = np.arange(a, min(a + self.STEP, len(keys)))
+            place = self._slot(keys[a:a + self.STEP]) - at
+            place[0] = max(place[0], most)
+            np.maximum.accumulate(place, out=place)
+            most = int(place[-1])
+            place += at
+            self.key[place] = keys[a:a + self.STEP]
+            self.value[place] = values[a:a + self.STEP]
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> _U(64 - self.bits)).astype(np.int64)

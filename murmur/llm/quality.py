@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur.llm import charlm, grams
-from murmur.llm.common import release, written
+from murmur.llm.common import release, tidied, written
 
 ORDER = 6
 #: Order from which on n-grams seen once are not stored.
@@ -193,8 +193,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
     """(lang, hi, lo, n) over all documents; a bucket of n-grams is one of as many as the session has shuffle partitions, 64 at least."""
     buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.mapInArrow(partial(_count, order, buckets), "lang string, bucket int, grams binary")
-    return rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_added, "lang string, hi long, lo long, n long")
+    rows = docs.mapInArrow(partial(tidied, partial(_count, order, buckets)), "lang string, bucket int, grams binary")
+    return rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(partial(tidied, _added), "lang string, hi long, lo long, n long")
 
 
 def kneser_ney(counts: DataFrame, order: int, cut_from: int = CUT_FROM) -> DataFrame:
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, order: int = ORDER, cut_from: int = CUT_FROM) -> DataFr
     release(docs.sparkSession)                          # the shuffles of one step are gone before the next one writes its own
     rows = kneser_ney(counts, order, cut_from).selectExpr("lang", "cast(order as int) as order", "hi", "lo", "weight",
                                                           f"cast(round(value * {MILLION}) as int) as value")
-    rows = rows.mapInArrow(_hash_rows, "part int, hash long, value int").repartitionByRange("part", "hash").sortWithinPartitions("part", "hash")
+    rows = rows.mapInArrow(partial(tidied, _hash_rows), "part int, hash long, value int").repartitionByRange("part", "hash").sortWithinPartitions("part", "hash")
     table = written(rows, "quality-model")
     release(docs.sparkSession)
     return table
@@ -318,22 +318,36 @@ def base_counts(offsets: np.ndarray, raw: np.ndarray, i: int, j: int) -> dict[st
             "n_repeat_words": repeat}
 
 
-_loaded: list = [None, None]                           # the broadcast a worker has unpacked, and its model
+class _Block:
+    """A block of the model on its way to the workers: it travels as sorted hashes and numbers, and arrives as (table, flags of its parts)."""
 
+    def __init__(self, order: int, keys: np.ndarray, values: np.ndarray, own: list[int]):
+        self.content = order, keys, values, own
 
-def _model(order: int, shared) -> tuple[charlm.HashModel, np.ndarray]:
-    if _loaded[0] is not shared:
-        _loaded[:] = [None, None]
-        keys, values, own = shared.value
-        flags = np.zeros(PARTS, bool)
-        flags[own] = True
-        _loaded[:] = [shared, (charlm.HashModel(order, keys, values, -round(np.log(1 << charlm.BITS) * MILLION)), flags)]
-    return _loaded[1]
+    def __reduce__(self):
+        return _arrived, self.content
+
+
+def _arrived(order: int, keys: np.ndarray, values: np.ndarray, own: list[int]) -> tuple[charlm.HashModel, np.ndarray]:
+    """What a worker keeps of a block: the sorted arrays go once the table holds them."""
+    flags = np.zeros(PARTS, bool)
+    flags[own] = True
+    return charlm.HashModel(order, keys, values, -round(np.log(1 << charlm.BITS) * MILLION)), flags
+
+
+def _block(order: int, rows: pa.Table, own: list[int]) -> _Block:
+    """The rows (hash, value) sorted by hash, one of each; takes little more memory than the rows do."""
+    keys, values = rows.column("hash").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+    at = np.argsort(keys, kind="stable")
+    keys, values = keys[at], values[at]
+    del at
+    first = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
+    return _Block(order, keys, values, own) if first.all() else _Block(order, keys[first], values[first], own)
 
 
 def _totals(order: int, shared, langs: list[str], texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(log-probability of the block's characters, number of characters) of each text."""
-    model, own_part = _model(order, shared)
+    model, own_part = shared.value
     offsets, raw = grams.string_buffers(texts)
     salts = {x: charlm.language_salt(x) for x in set(langs)}
     salt = np.array([salts[x] for x in langs], np.uint64)
@@ -382,15 +396,12 @@ def scores(docs: DataFrame, table: DataFrame, order: int, most_rows: int = BLOCK
     schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL(f"lang string, {counts}, mark string").fields])
     out, more = None, []
     for own in dealt:
-        rows = table.where(F.col("part").isin(COMMON, *own)).toArrow()
-        hashes, at = np.unique(rows.column("hash").to_numpy().view(np.uint64), return_index=True)
-        shared = sc.broadcast((hashes, rows.column("value").to_numpy()[at], own))
+        shared = sc.broadcast(_block(order, table.where(F.col("part").isin(COMMON, *own)).select("hash", "value").toArrow(), own))
         if out is None:
-            out = written(docs.mapInArrow(partial(_score, order, shared), schema), "quality-scores")
+            out = written(docs.mapInArrow(partial(tidied, partial(_score, order, shared)), schema), "quality-scores")
         else:
-            each = docs.select("lang", "text", "mark").mapInArrow(partial(_more, order, shared), "mark string, lang string, more long")
+            each = docs.select("lang", "text", "mark").mapInArrow(partial(tidied, partial(_more, order, shared)), "mark string, lang string, more long")
             more.append(written(each.groupBy("mark", "lang").agg(F.max("more").alias("more")), "quality-more"))    # equal texts score alike
-        del rows, hashes, at
         shared.destroy()                                # the driver's copy too: what was scored is written
     if more:
         rest = reduce(DataFrame.union, more).groupBy("mark", "lang").agg(F.sum("more").alias("more"))

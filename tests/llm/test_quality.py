@@ -120,6 +120,25 @@ def test_model_is_sorted_hash_arrays(spark):
     assert (model.find(t["hash"].to_numpy().view(np.uint64) + np.uint64(1)) >= 0).mean() < 0.01
 
 
+def test_a_block_arrives_as_its_table_alone():
+    import pickle
+    import tracemalloc
+    r = np.random.default_rng(4)
+    keys, values = r.integers(1, 1 << 63, 1_500_000).astype(np.uint64) * np.uint64(2), r.integers(-9, 0, 1_500_000).astype(np.int32)
+    block = quality._block(6, pa.table({"hash": keys.view(np.int64), "value": values}), [0, 5])
+    sent = pickle.dumps(block, 5)
+    tracemalloc.start()
+    model, flags = pickle.loads(sent)
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    table = model.key.nbytes + model.value.nbytes
+    assert left < 1.05 * table and peak < table + 12 * len(keys) + (30 << 20)
+    at = model.find(keys)
+    assert (at >= 0).all() and np.flatnonzero(flags).tolist() == [0, 5]
+    first = dict(zip(keys[::-1].tolist(), values[::-1].tolist()))         # of equal hashes the first counts
+    assert model.value[at].tolist() == [first[k] for k in keys.tolist()]
+
+
 def test_any_number_of_blocks_gives_the_same_rows(spark):
     rows = corpus(5) + [(2000 + k, t, "fr", "s") for k, t in enumerate(chain(random.Random(6), 60))]
     docs = frame(spark, rows, SCHEMA).repartition(3)
