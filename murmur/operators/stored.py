@@ -15,11 +15,19 @@ of one or two letters is the beginning of some.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Follows the end of a text in its last two trigrams.
 PAD = "\u0000"
+#: Characters that are cut into trigrams at a time, and the distinct trigrams a task holds before it sends them on.
+PIECE, HELD = 1 << 20, 1 << 21
+#: Bits of a code point.
+BITS = 21
 
 
 # ---------------------------------------------------------------- clustered tables
@@ -64,14 +72,56 @@ def page_after(spark: SparkSession, path: str, last, size: int = 100, key: str =
 
 # ---------------------------------------------------------------- trigram index
 
-def _trigrams(text: Column) -> Column:
-    """Distinct trigrams that start at each character of a lower-cased text."""
-    padded = F.concat(F.lower(text), F.lit(PAD * 2))
-    # split once: taking a substring at a place walks the text up to it
-    letters = F.split(padded, "")
-    shifted = F.arrays_zip(letters.alias("a"), F.slice(letters, 2, F.length(padded)).alias("b"), F.slice(letters, 3, F.length(padded)).alias("c"))
-    whole = F.filter(shifted, lambda z: z["c"].isNotNull())
-    return F.array_distinct(F.transform(whole, lambda z: F.concat(z["a"], z["b"], z["c"])))
+def _pieces(texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts of about ``PIECE`` characters together, and where a trigram starts; a longer text comes in pieces that share two characters."""
+    held, size = [], 0
+
+    def done() -> tuple[str, np.ndarray]:
+        ends = np.cumsum([len(t) for t in held])
+        starts = np.ones(ends[-1], bool)
+        starts[np.concatenate((ends - 1, ends - 2))] = False
+        return "".join(held), starts
+    for text in texts:
+        text += PAD * 2
+        for at in range(0, len(text) - 2, PIECE):
+            held.append(text[at:at + PIECE + 2])
+            size += len(held[-1])
+            if size >= PIECE:
+                yield done()
+                held, size = [], 0
+    if held:
+        yield done()
+
+
+def _trigrams(texts: list[str]) -> np.ndarray:
+    """Distinct trigrams that start at each character of the texts, as numbers."""
+    out = []
+    for text, starts in _pieces(texts):
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        whole = c[:-2] << np.uint64(2 * BITS) | c[1:-1] << np.uint64(BITS) | c[2:]
+        out.append(np.unique(whole[starts[:-2]]))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram): trigrams of the lower-cased texts of this task, once per block and task unless they are very many."""
+    held: dict[int, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for block, found in held.items():
+            letters = np.stack([found >> np.uint64(BITS * k) & np.uint64((1 << BITS) - 1) for k in (2, 1, 0)], 1).astype("<u4")
+            text = letters.tobytes().decode("utf-32-le")
+            yield pa.record_batch({"block": pa.array([block] * len(found), pa.int32()),
+                                   "gram": pa.array([text[i:i + 3] for i in range(0, len(text), 3)], pa.string())})
+        held.clear()
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        for block in np.unique(own).tolist():
+            found = _trigrams(batch.column(1).filter(pa.array(own == block)).to_pylist())
+            held[block] = np.union1d(held[block], found) if block in held else found
+        if sum(map(len, held.values())) > HELD:
+            yield from flush()
+    yield from flush()
 
 
 def save_searchable(rows: DataFrame, path: str, column: str, key: str = "id", blocks: int = 64) -> None:
@@ -80,7 +130,8 @@ def save_searchable(rows: DataFrame, path: str, column: str, key: str = "id", bl
     block = F.spark_partition_id().alias("block")
     rows.repartitionByRange(blocks, key).select("*", block).write.mode("overwrite").partitionBy("block").parquet(path)
     stored = spark.read.parquet(path)
-    grams = stored.select("block", F.explode(_trigrams(F.col(column))).alias("gram")).distinct()
+    texts = stored.where(F.col(column).isNotNull()).select(F.col("block").cast("int").alias("block"), F.lower(column).alias("text"))
+    grams = texts.mapInArrow(_gram_rows, "block int, gram string").distinct()
     grams.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite") \
          .option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}-grams")
 

@@ -86,3 +86,16 @@ def test_core_boundary_reads_the_vectors_twice(spark):
         type(v.write).parquet = parquet
     assert seen == [2] and out.where("point_type = 'core'").count() > 0
     assert "embeddings" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trigrams_are_cut_in_pieces_and_sent_once(monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab\0é日😀 ") for _ in range(n)) for n in (0, 1, 2, 3, 40, 700, 7, 64, 62, 63, 65, 0)]
+    want = {(t + "\0\0")[i:i + 3] for t in texts for i in range(len(t))}
+    block = sto.pa.record_batch({"block": sto.pa.array([4] * len(texts), sto.pa.int32()), "text": texts})
+    for piece, held in ((1 << 20, 1 << 21), (64, 1 << 21), (1, 0)):
+        monkeypatch.setattr(sto, "PIECE", piece)
+        monkeypatch.setattr(sto, "HELD", held)
+        got = [x for b in sto._gram_rows(iter([block, block.slice(3)])) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert {b for b, _ in got} == {4} and {g for _, g in got} == want
+        assert held == 0 or len(got) == len(want)
