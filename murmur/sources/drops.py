@@ -9,9 +9,14 @@ format has no quoting).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.session import delete_path, scratch_path
+
 
 def tsv_line(cols: list[Column]) -> Column:
     clean = [F.coalesce(F.regexp_replace(c.cast("string"), r"[\t\r\n]", " "), F.lit("")) for c in cols]
@@ -28,18 +33,60 @@ def files_of(df: DataFrame, gzip: bool = False) -> int:
     return max(MIN_FILES, -(-size // (GZIP_FILE_BYTES if gzip else FILE_BYTES)))
 
 
+@contextmanager
+def parts_kept(spark: SparkSession):
+    """A union of single partitions has as many partitions as it has parts, whereas Spark 4.1 makes one of them by itself."""
+    name = "spark.sql.unionOutputPartitioning"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
+def in_files(df: DataFrame, order_col: str, cols: list[Column], n_files: int) -> tuple[DataFrame, str]:
+    """Lines in exactly ``n_files`` partitions of increasing keys, and the folder they are read from.
+
+    A file is written by one task, so what this task reads grows with the
+    input.  Instead of shuffled rows it reads the lines of its range from
+    Parquet, compressed by zstd: fewer bytes, and they are no shuffle files.
+    """
+    spark = df.sparkSession
+    bounds = df.approxQuantile(order_col, [k / n_files for k in range(1, n_files)], 0.001)
+    key = F.col(order_col)
+    number = sum([F.coalesce((key > x).cast("int"), F.lit(0)) for x in bounds], F.lit(0))      # a null key comes first
+    path = scratch_path(spark, "drop-lines")
+    lines = df.select(key.alias("key"), tsv_line(cols).alias("value"), number.alias("file"))
+    lines.write.option("compression", "zstd").partitionBy("file").parquet(path)
+    stored = spark.read.schema(lines.schema).parquet(path)
+    each = [stored.where(F.col("file") == k).coalesce(1).sortWithinPartitions("key").select("value") for k in range(n_files)]
+    return reduce(DataFrame.union, each), path
+
+
 def write_drop(df: DataFrame, folder: str, cols: list[Column], order_col: str, n_files: int | None = None,
                gzip: bool = False) -> str:
     """Range-partition by ``order_col`` so part-00000, part-00001, … hold increasing
     keys, sort inside each file, and write one line per row.  Without ``n_files``
     the files of a large drop are as many as keep each small."""
-    n_files = n_files or files_of(df, gzip)
-    out = (df.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col)
-           .select(tsv_line(cols).alias("value")))
+    path = None
+    if n_files:
+        out, path = in_files(df, order_col, cols, n_files)
+    else:
+        out = (df.repartitionByRange(files_of(df, gzip), order_col).sortWithinPartitions(order_col)
+               .select(tsv_line(cols).alias("value")))
     w = out.write.mode("overwrite")
     if gzip:
         w = w.option("compression", "gzip")
-    w.text(folder)
+    if path:
+        with parts_kept(df.sparkSession):
+            w.text(folder)
+        delete_path(df.sparkSession, path)
+    else:
+        w.text(folder)
     return folder
 
 

@@ -47,3 +47,20 @@ def test_compacted_stream_reads_the_input_in_its_parts(spark, tmp_path, monkeypa
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert all(len(list((work / "drops" / str(k)).glob("*.parquet"))) > 1 for k in range(3))
     assert 3 <= len(list((work / "sink").glob("batch_id=*"))) <= 4
+
+
+def test_a_drop_of_given_files_shuffles_no_rows(spark, tmp_path):
+    rows = [(k * 7919 % 5000, f"line\t{k}") for k in range(5000)] + [(None, "first"), (4999, "twice")]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    src = str(tmp_path / "src")
+    df.write.parquet(src)
+    df = spark.read.parquet(src)
+    lines, _ = drops.in_files(df, "k", [F.col("k"), F.col("t")], 4)
+    assert "Exchange hash" not in (plan := lines._jdf.queryExecution().executedPlan().toString()) and "Exchange range" not in plan
+    out = drops.write_drop(df, str(tmp_path / "drop"), [F.col("k"), F.col("t")], "k", 4)
+    files = sorted(spark.read.text(out).inputFiles())
+    got = [[r[0].split("\t") for r in spark.read.text(f).collect()] for f in files]
+    keys = [int(k or -1) for part in got for k, _ in part]
+    assert len(files) == 4 and keys == sorted(keys) and min(map(len, got)) > 1000
+    assert sorted((int(k) if k else None, t) for part in got for k, t in part if k) == sorted((k, t.replace("\t", " ")) for k, t in rows if k is not None)
+    assert got[0][0] == ["", "first"] and not list((tmp_path / "drop").glob("file=*"))
