@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,7 +70,29 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What ``step`` makes of a task's batches; then Arrow's free memory goes back to the system, for the worker stays while others run."""
-    yield from step(batches)
+#: What this Python worker keeps from one task to the next, by name.
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What the worker keeps under ``name`` until a step runs in it that does not keep it; made if it is not there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes back to the system."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch],
+           keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """What ``step`` makes of a task's batches; what earlier steps kept goes before, free memory after, for the worker stays while others run."""
+    for name in set(_kept) - {keep}:
+        del _kept[name]
+    yield from step(batches)
+    give_back()

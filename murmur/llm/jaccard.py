@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm import grams
-from murmur.llm.common import WORD, packed, unpacked, written
+from murmur.llm.common import WORD, packed, tidied, unpacked, written
 from murmur.llm.components import contracted, labels
 
 #: Percent of a set that its prefix holds beyond what may differ.
@@ -207,7 +207,7 @@ def _open(rows: DataFrame, groups: DataFrame, need: str) -> DataFrame:
 def _candidate_index(rule: Rule, sets: DataFrame, members: DataFrame) -> DataFrame:
     """(tok, cls, n, pos, rep): the index hashes of every class, rarest first."""
     tokens = written(sets.join(members.select("cls"), "cls").select("cls", "members")
-                     .mapInArrow(_explode, "cls long, n long, tok long"), "jaccard-tokens")
+                     .mapInArrow(partial(tidied, _explode), "cls long, n long, tok long"), "jaccard-tokens")
     common = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     ranked = tokens.join(common, "tok").selectExpr(
         "tok", "cls", "n", "count(*) over (partition by cls) as shared",
@@ -236,7 +236,7 @@ def _check(rule: Rule, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                   .mapInArrow(partial(_verify, rule), "a long, b long"), "jaccard-links")
+                   .mapInArrow(partial(tidied, partial(_verify, rule)), "a long, b long"), "jaccard-links")
 
 
 def _links(rule: Rule, sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -294,18 +294,18 @@ def _components(docs: DataFrame, rule: Rule | None, key: str, text: str) -> Data
     rule = rule or Rule()
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    keys = written(marked.mapInArrow(partial(_keys, rule), "doc_id long, mark long, n long, h1 long, h2 long, grp long"), "jaccard-keys")
+    keys = written(marked.mapInArrow(partial(tidied, partial(_keys, rule)), "doc_id long, mark long, n long, h1 long, h2 long, grp long"), "jaccard-keys")
     classes = keys.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2", "grp").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "jaccard-classes")
 
-    rows = docs.where("doc_id is not null").select("text").mapInArrow(partial(_token_rows, rule, _heads), "tok long, grp long, credit long")
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(partial(tidied, partial(_token_rows, rule, _heads)), "tok long, grp long, credit long")
     groups = classes.groupBy("grp").agg(F.max("n").alias("n"), F.count("*").alias("size"))
     groups = written(_open(rows, groups, rule.meet_sql("n")), "jaccard-groups")
     members = classes.join(groups.select("grp"), "grp").select("rep", F.col("h1").alias("cls"), "n")
     texts = members.select(F.col("rep").alias("doc_id"), "cls").hint("shuffle_hash").join(docs, "doc_id") \
                    .select("doc_id", "text", "cls")
-    sets = written(texts.mapInArrow(partial(_sets, rule), "cls long, members binary"), "jaccard-sets")
-    rows = sets.mapInArrow(partial(_token_rows, rule, _whole), "tok long, grp long, credit long")
+    sets = written(texts.mapInArrow(partial(tidied, partial(_sets, rule)), "cls long, members binary"), "jaccard-sets")
+    rows = sets.mapInArrow(partial(tidied, partial(_token_rows, rule, _whole)), "tok long, grp long, credit long")
     alone = members.select(F.col("cls").alias("grp"), "n", F.lit(1).alias("size"))
     linked = _open(rows, alone, rule.least_sql("n")).select(F.col("grp").alias("cls"))
     members = written(members.join(linked, "cls"), "jaccard-members")

@@ -8,7 +8,7 @@ any file system.
 
 A text is tokenized word by word: the tokenizer replaces white space by one
 blank and drops it, so words are independent, and a table of the words met so
-far (bounded, kept by the Python worker) saves most calls.  Words of plain
+far (bounded, kept by the Python worker until it runs another step) saves most calls.  Words of plain
 letters go to the library's model directly; every other word goes through the
 whole tokenizer.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm import grams, wavelet
-from murmur.llm.common import small_batches
+from murmur.llm.common import kept, small_batches, tidied
 from murmur.session import scratch_path
 
 SHARD_TOKENS = 1 << 20
@@ -160,18 +161,9 @@ class WordTokens:
         return self.pool[at], np.diff(upto[w.bounds])
 
 
-_tables: dict[str, WordTokens] = {}
-
-
-def _table(path: str) -> WordTokens:
-    if path not in _tables:
-        _tables[path] = WordTokens(path)
-    return _tables[path]
-
-
 def _shard_writer(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        table = kept(path, partial(WordTokens, path))
         bits = wavelet.bits_for(max(table.vocabulary, end_id + 1))
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -214,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
     ordered = (docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
                .repartitionByRange("key").sortWithinPartitions("key", "text"))
     with small_batches(docs.sparkSession):
-        (ordered.mapInArrow(_shard_writer(tokenizer, end_id, shard_tokens), SHARD_SCHEMA)
+        (ordered.mapInArrow(partial(tidied, _shard_writer(tokenizer, end_id, shard_tokens), keep=tokenizer), SHARD_SCHEMA)
          .write.option("compression", "uncompressed").option("parquet.block.size", str(16 << 20)).parquet(path))
 
 
@@ -246,7 +238,7 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
     starts = (shards.select("part", "seq", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("before_shard"))
               .join(sums, "part"))
     rows = shards.select("part", "seq", "shard").mapInArrow(
-        _shard_reader, "part int, seq int, key long, inside long, n_tokens long, ids_crc32 long")
+        partial(tidied, _shard_reader), "part int, seq int, key long, inside long, n_tokens long, ids_crc32 long")
     return (rows.join(starts, ["part", "seq"])
             .select(F.col("key").alias(key), (F.col("before_part") + F.col("before_shard") + F.col("inside")).alias("start"),
                     "n_tokens", "ids_crc32"))

@@ -139,6 +139,38 @@ def test_a_block_arrives_as_its_table_alone():
     assert model.value[at].tolist() == [first[k] for k in keys.tolist()]
 
 
+#: Counts n-grams of many texts, then prints by how many MB the process has grown since.
+COUNTING = """
+import random, re
+from functools import partial
+import pyarrow as pa
+from murmur.llm import quality
+from murmur.llm.common import tidied
+r = random.Random(3)
+words = ["".join(r.choices("abcdefghijklmnoprstuvwy", k=r.randint(3, 11))) for _ in range(40000)]
+texts = [" ".join(r.choices(words, k=600)) for _ in range(4000)]
+def batches():
+    for k in range(0, len(texts), 500):
+        yield pa.record_batch({"lang": pa.array([f"={j % 4}" for j in range(500)]), "text": pa.array(texts[k:k + 500])})
+def now():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+before, n = now(), 0
+for out in tidied(partial(quality._count, 6, 64), batches()):
+    n += out.num_rows
+del out
+assert n
+print(now() - before)
+"""
+
+
+def test_a_worker_that_has_counted_is_small_again():
+    import subprocess
+    import sys
+    from pathlib import Path
+    grown = subprocess.run([sys.executable, "-c", COUNTING], cwd=Path(quality.__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    assert int(grown) < 60
+
+
 def test_any_number_of_blocks_gives_the_same_rows(spark):
     rows = corpus(5) + [(2000 + k, t, "fr", "s") for k, t in enumerate(chain(random.Random(6), 60))]
     docs = frame(spark, rows, SCHEMA).repartition(3)

@@ -1,11 +1,13 @@
 import random
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from murmur.llm import grams, queries, tokens, wavelet
+from murmur.llm.common import tidied
 from tests.llm.util import SF, frame
 
 TEXTS = ["The cat, the CAT. don't we've 12th x²", None, "", "  \t\n", "a<|endoftext|>b <|ENDOFTEXT|>", "Élan vital, İstanbul ΣΑΣ",
@@ -87,3 +89,14 @@ def test_query_against_the_library(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op1_token_shards(spark, sf).orderBy("start").collect()
     check(rows, plain([t for _, t in docs]))
+
+
+def test_a_worker_lets_go_of_the_token_table_when_another_step_runs(spark):
+    def held(batches):
+        import gc
+        for _ in batches:
+            yield pa.record_batch({"n": pa.array([sum(type(x).__name__ == "WordTokens" for x in gc.get_objects())], pa.int64())})
+    docs = frame(spark, [(k, t, "s") for k, t in enumerate(TEXTS)]).repartition(4)
+    assert tokens.token_table(docs, queries.tokenizer_path(), queries.END_ID).count() == len(TEXTS)
+    left = spark.range(0, 64, 1, 8).mapInArrow(partial(tidied, held), "n long").collect()
+    assert left and not any(r.n for r in left)
