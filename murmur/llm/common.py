@@ -63,11 +63,13 @@ def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage now, so that executors drop the shuffle files of steps that are done.
 
     The first collection frees the plans of those steps, the second the shuffles they held.
+    The heap shrinks to what is left, and the driver's Python returns its free memory as well.
     """
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+    give_back()
 
 
 #: What this Python worker keeps from one task to the next, by name.

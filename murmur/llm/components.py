@@ -12,11 +12,11 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One contraction: every node and its larger neighbours move to its smallest neighbour, then the same for the rest."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+    large = large.repartition("a").distinct()           # one shuffle by node serves the distinct rows, their minimum and the join
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a")
-    return (small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b"))).distinct())
+    small = large.join(low.hint("merge"), "a")
+    return small.select(F.when(F.expr("b > m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:

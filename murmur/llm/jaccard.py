@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm import grams
-from murmur.llm.common import WORD, packed, tidied, unpacked, written
+from murmur.llm.common import WORD, packed, release, tidied, unpacked, written
 from murmur.llm.components import contracted, labels
 
 #: Percent of a set that its prefix holds beyond what may differ.
@@ -266,6 +266,7 @@ def _links(rule: Rule, sets: DataFrame, members: DataFrame) -> DataFrame:
         tree = found if links is None else found.union(links)
         links = contracted(tree, rounds=3 if turn < 2 else None)    # all edges: a label of three rounds holds one of several
         label = labels(links)
+        release(sets.sparkSession)                      # plans and task records of a turn would else add up in the driver
     return label
 
 
@@ -301,6 +302,7 @@ def _components(docs: DataFrame, rule: Rule | None, key: str, text: str) -> Data
     rows = docs.where("doc_id is not null").select("text").mapInArrow(partial(tidied, partial(_token_rows, rule, _heads)), "tok long, grp long, credit long")
     groups = classes.groupBy("grp").agg(F.max("n").alias("n"), F.count("*").alias("size"))
     groups = written(_open(rows, groups, rule.meet_sql("n")), "jaccard-groups")
+    release(docs.sparkSession)
     members = classes.join(groups.select("grp"), "grp").select("rep", F.col("h1").alias("cls"), "n")
     texts = members.select(F.col("rep").alias("doc_id"), "cls").hint("shuffle_hash").join(docs, "doc_id") \
                    .select("doc_id", "text", "cls")
@@ -309,6 +311,7 @@ def _components(docs: DataFrame, rule: Rule | None, key: str, text: str) -> Data
     alone = members.select(F.col("cls").alias("grp"), "n", F.lit(1).alias("size"))
     linked = _open(rows, alone, rule.least_sql("n")).select(F.col("grp").alias("cls"))
     members = written(members.join(linked, "cls"), "jaccard-members")
+    release(docs.sparkSession)
     label = _links(rule, sets, members)
     label = written(label.union(label.select(F.col("label").alias("node"), "label").distinct()), "jaccard-labels")
     first = label.join(members.select(F.col("cls").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("component"))

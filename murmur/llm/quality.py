@@ -397,6 +397,7 @@ def scores(docs: DataFrame, table: DataFrame, order: int, most_rows: int = BLOCK
     out, more = None, []
     for own in dealt:
         shared = sc.broadcast(_block(order, table.where(F.col("part").isin(COMMON, *own)).select("hash", "value").toArrow(), own))
+        release(docs.sparkSession)                      # the block is on its way: the driver need not keep the room that collecting it took
         if out is None:
             out = written(docs.mapInArrow(partial(tidied, partial(_score, order, shared)), schema), "quality-scores")
         else:
