@@ -13,12 +13,15 @@ The 30 best per emotion are kept (ties by term).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from murmur.operators import word_vectors as wv
 from murmur.operators.joins import broadcast_checked
 from murmur.operators.text import explode_ngrams
-from murmur.session import scratch_path
+from murmur.session import release, scratch_path
 
 # Candidates kept per (date, language), keywords kept per emotion,
 # longest n-gram, shortest token (the vectoriser's two-character token rule).
@@ -56,6 +59,24 @@ def emotion_documents(predictions: DataFrame, lemmatized: DataFrame, prediction_
     return p.join(lemmatized.select("comment_id", "lemmas"), "comment_id", "inner")
 
 
+def packed(lemmatized: DataFrame) -> DataFrame:
+    """``lemmatized`` with the lemmas of a comment as one JSON text: less than half an array's bytes in a shuffle or file."""
+    return lemmatized.withColumn("lemmas", F.to_json("lemmas"))
+
+
+def lemma_list(docs: DataFrame) -> Column:
+    """The lemmas of ``docs`` as an array, packed or not."""
+    return F.from_json("lemmas", "array<string>") if docs.schema["lemmas"].dataType == T.StringType() else F.col("lemmas")
+
+
+def stored_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` written to the shared folder once, for steps that read them one after the other."""
+    path = scratch_path(docs.sparkSession, "emotion-documents")
+    docs.select(*KEYS, "emotion", "lemmas").write.option("compression", "zstd").parquet(path)
+    release(docs.sparkSession)
+    return docs.sparkSession.read.parquet(path)
+
+
 def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int | None = None) -> DataFrame:
     """N-gram occurrences, one row each: (date, language, emotion, term).
 
@@ -64,7 +85,7 @@ def candidate_terms(docs: DataFrame, stopwords: DataFrame | None, stop_rows: int
     Each language's stop list travels as one array on a broadcast row, so
     the filter runs where the n-grams are formed.
     """
-    d = by_group(docs)
+    d = by_group(docs).withColumn("lemmas", lemma_list(docs))
     if stopwords is not None:
         sw = stopwords.groupBy("language").agg(F.collect_set("word").alias("_sw"))
         d = d.join(broadcast_checked(sw, known_rows=stop_rows), "language", "left")
@@ -88,8 +109,8 @@ def top_candidates(terms: DataFrame, max_features: int = MAX_FEATURES) -> DataFr
     return f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features)
 
 
-def cut_terms(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(date, language, term, f, emotion, tf) of the ``max_features`` most frequent terms per (date, language).
+def cut_counts(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(date, language, term, f, c0, c1, ...) of the ``max_features`` most frequent terms per (date, language).
 
     ``terms`` are n-gram occurrences.  One aggregate by (date, language, term)
     holds a count per emotion of ``emotions``; if ``terms`` are not dealt by
@@ -100,7 +121,13 @@ def cut_terms(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> D
     counts = [F.count(F.when(F.col("emotion") == e, 1)).alias(f"c{k}") for k, e in enumerate(emotions)]
     t = terms.where(F.col("emotion").isin(emotions)).groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("f"), *counts)
     cut = Window.partitionBy(*KEYS).orderBy(F.desc("f"), "term")
-    t = t.withColumn("_dr", F.row_number().over(cut)).where(F.col("_dr") <= max_features)
+    return t.withColumn("_dr", F.row_number().over(cut)).where(F.col("_dr") <= max_features).drop("_dr")
+
+
+def cut_terms(terms: DataFrame, emotions, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(date, language, term, f, emotion, tf) of the terms that ``cut_counts`` keeps."""
+    emotions = list(emotions)
+    t = cut_counts(terms, emotions, max_features)
     per = F.array(*[F.struct(F.lit(e).alias("emotion"), F.col(f"c{k}").alias("tf")) for k, e in enumerate(emotions)])
     return t.select(*KEYS, "term", "f", F.explode(per).alias("_e")).select(*KEYS, "term", "f", "_e.*").where("tf > 0")
 
@@ -170,32 +197,41 @@ def flatten_stored(stored: DataFrame, prediction_type: str, languages, day=None)
 
 #: Dimensions of a word's vector, and words to either side that make it.
 DIMENSIONS, REACH = 64, 2
-#: Most vectors in one broadcast (about 0.5 KB each).
-VECTOR_ROWS = 100_000
+#: Comments whose words one task adds up.  Each such task sends its share of every group's vector.
+WORD_COMMENTS = 25_000
+#: Groups whose candidates one task asks for.
+ASK_GROUPS = 1_000
+KEYWORDS_DDL = "date date, language string, emotion string, keyword string, confidence double, rank int"
+KEYWORDS = pa.schema([("date", pa.date32()), ("language", pa.string()), ("emotion", pa.string()), ("keyword", pa.string()), ("confidence", pa.float64()), ("rank", pa.int32())])
+
+
+def word_notes(docs: DataFrame, emotions, dimensions: int = DIMENSIONS, reach: int = REACH) -> DataFrame:
+    """One row per word and part of a task: what stands around the word, and its counts by group (``wv.NOTES_DDL``)."""
+    emotions = list(emotions)
+    h = lambda w: F.xxhash64(w)
+    near = F.transform("lemmas", lambda w: (F.pmod(h(w), F.lit(dimensions)) * 2 + F.shiftright(h(w), 40).bitwiseAND(1)).cast("int"))
+    d = docs.select(*KEYS, "emotion", lemma_list(docs).alias("lemmas")).select(*KEYS, "emotion", "lemmas", near.alias("near"))
+    return d.mapInArrow(lambda batches: wv.note_words(batches, dimensions, reach, emotions), wv.NOTES_DDL)
+
+
+def by_word(notes: DataFrame, comments: int) -> DataFrame:
+    """``notes`` dealt and in order by (language, word)."""
+    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, -(-comments // WORD_COMMENTS))
+    return notes.repartition(tasks, "language", "word").sortWithinPartitions("language", "word")
 
 
 def word_vectors(docs: DataFrame, dimensions: int = DIMENSIONS, reach: int = REACH) -> DataFrame:
     """(language, word, vector): what stands around a word, hashed into signed dimensions and scaled to length one.
 
-    ``docs`` has (language, lemmas).  Every neighbour within ``reach`` adds one
-    with its sign to its dimension; a task adds these up per word and dimension
-    before anything is shuffled, and a word's row holds ``dimensions`` numbers.
+    ``docs`` has (date, language, emotion, lemmas).  Every neighbour within
+    ``reach`` adds one with its sign to its dimension; a task adds these up per
+    word before anything is shuffled.
     """
     from pyspark.ml.functions import array_to_vector
 
-    a = F.col("lemmas")
-    near = [F.slice(a, k + 1, F.size(a)).alias(f"r{k}") for k in range(1, reach + 1)]
-    z = docs.select("language", F.explode(F.arrays_zip(a.alias("w"), *near)).alias("z"))
-    both = F.array(*[F.when(F.col(f"z.r{k}").isNotNull(), F.struct(x, y)) for k in range(1, reach + 1)
-                     for x, y in ((F.col("z.w").alias("word"), F.col(f"z.r{k}").alias("other")), (F.col(f"z.r{k}").alias("word"), F.col("z.w").alias("other")))])
-    pairs = z.where("z.w is not null").select("language", F.explode(F.array_compact(both)).alias("p")).select("language", "p.*")
-    h = F.xxhash64("other")
-    sums = pairs.groupBy("language", "word", F.pmod(h, F.lit(dimensions)).cast("int").alias("d")) \
-                .agg(F.sum(F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1).otherwise(-1)).alias("x"))
-    held = sums.groupBy("language", "word").agg(F.map_from_entries(F.collect_list(F.struct("d", F.col("x").cast("double")))).alias("m"),
-                                                F.sqrt(F.sum(F.col("x").cast("double") * F.col("x"))).alias("norm")).where("norm > 0")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
-    return held.select("language", "word", array_to_vector(dense).alias("vector"))
+    notes = by_word(word_notes(docs, (), dimensions, reach), docs.count())
+    x = notes.mapInArrow(lambda batches: wv.vectors(batches, dimensions), "language string, word string, x array<double>")
+    return x.select("language", "word", array_to_vector("x").alias("vector"))
 
 
 def vector_keywords(docs: DataFrame, terms: DataFrame, emotions, top_n: int = TOP_N, max_features: int = MAX_FEATURES, dimensions: int = DIMENSIONS,
@@ -203,35 +239,21 @@ def vector_keywords(docs: DataFrame, terms: DataFrame, emotions, top_n: int = TO
     """K2 by vectors: (date, language, emotion, keyword, confidence, rank).
 
     A group's vector adds up its words' vectors, a candidate's those of its one
-    to three words; the confidence is the cosine of the two.  The sums are one
-    number per dimension, added up before anything is shuffled.  Candidates are
-    cut once and stored, and no row that is shuffled holds two vectors.
+    to three words; the confidence is the cosine of the two.  Candidates are cut
+    once and stored.  Each word's vector is made where its notes and the days
+    that ask for it meet, once; from there it goes to these days as whole
+    numbers, and the word's share goes into the groups' vectors.  A group's
+    candidates are then scored together: at most ``max_features`` of them.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    spark = docs.sparkSession
-    path = scratch_path(spark, "word-vectors")
-    word_vectors(docs, dimensions, reach).select("language", "word", vector_to_array("vector").alias("x")).write.parquet(path)
-    words = spark.read.parquet(path)
-    words = broadcast_checked(words, VECTOR_ROWS)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    adds = lambda by: [F.sum(F.col("x")[i] * by).alias(f"x{i}") for i in range(dimensions)]
-    added = F.array(*[F.col(f"x{i}") for i in range(dimensions)])
-    tf = docs.where(F.col("emotion").isin(list(emotions))).select(*KEYS, "emotion", F.explode("lemmas").alias("word")) \
-             .groupBy(*KEYS, "emotion", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    group = tf.join(words, ["language", "word"]).groupBy(*KEYS, "emotion").agg(*adds(F.col("tf"))).select(*KEYS, "emotion", added.alias("g"))
-    path = scratch_path(spark, "group-vectors")
-    group.write.parquet(path)
-    group = broadcast_checked(spark.read.parquet(path), VECTOR_ROWS).withColumn("gg", dot("g", "g"))
+    spark, emotions = docs.sparkSession, list(emotions)
     path = scratch_path(spark, "cut-terms")
-    cut_terms(terms, emotions, max_features).select(*KEYS, "emotion", "term").write.parquet(path)
-    t = spark.read.parquet(path)
-    parts = t.select("language", "term").distinct().select("language", "term", F.explode(F.split("term", " ")).alias("word"))
-    term = parts.join(words, ["language", "word"]).groupBy("language", "term").agg(*adds(F.lit(1.0))).select("language", "term", added.alias("v"))
-    term = term.withColumn("vv", dot("v", "v"))
-    s = t.join(term, ["language", "term"]).join(group, [*KEYS, "emotion"])
-    s = s.withColumn("_n", F.sqrt(F.col("vv") * F.col("gg"))).where("_n > 0").withColumn("confidence", F.round(dot("v", "g") / F.col("_n"), digits))
-    s = s.select(*KEYS, "emotion", "term", "confidence")
-    w = Window.partitionBy(*KEYS, "emotion").orderBy(F.desc("confidence"), "term")
-    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-            .select(*KEYS, "emotion", F.col("term").alias("keyword"), "confidence", "rank"))
+    held = F.array_compact(F.array(*[F.when(F.col(f"c{k}") > 0, F.lit(k)) for k in range(len(emotions))])).cast("array<int>")
+    cut_counts(terms, emotions, max_features).select(*KEYS, "term", held.alias("emotions")).mapInArrow(wv.pack_terms, wv.CUT_DDL).write.parquet(path)
+    release(spark)
+    cut = spark.read.parquet(path)
+    # few tasks ask, as a word's days are one row for each
+    asks = cut.coalesce(max(spark.sparkContext.defaultParallelism, -(-cut.count() // ASK_GROUPS))).mapInArrow(wv.ask_words, wv.NOTES_DDL)
+    notes = by_word(word_notes(docs, emotions, dimensions, reach).unionByName(asks), docs.count())
+    parts = notes.mapInArrow(lambda batches: wv.answer(batches, dimensions, len(emotions)), wv.PARTS_DDL)
+    score = lambda t, p: wv.score(t, p, dimensions, emotions, top_n, digits, KEYWORDS)
+    return cut.groupBy(*KEYS).cogroup(parts.groupBy(*KEYS)).applyInArrow(score, KEYWORDS_DDL)

@@ -190,5 +190,6 @@ def q_classifier_two_label_sets(spark, sf_dir):
 def q_emotion_keywords_by_vector(spark, sf_dir):
     """K2 by vectors (no oracle): candidates by the cosine of their words' co-occurrence vectors with the group's."""
     ctx = Ctx(spark, sf_dir)
-    docs = ek.emotion_documents(ctx.predictions, ctx.lemmatized, KIND, PP.languages)
-    return flat(ek.vector_keywords(docs, docs_tf(ctx), ek.label_set(ctx.predictions, KIND, PP.languages)))
+    docs = ek.stored_documents(ek.emotion_documents(ctx.predictions, ek.packed(ctx.lemmatized), KIND, PP.languages))
+    terms = ek.candidate_terms(docs, fx.stopwords(spark), len(fx.STOPWORD_ROWS))
+    return flat(ek.vector_keywords(docs, terms, ek.label_set(ctx.predictions, KIND, PP.languages)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -65,6 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/murmur-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage now, so that the shuffle files of jobs that are done go before the next one writes its own."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the file system that Spark resolves it to."""
     jvm = spark.sparkContext._jvm
