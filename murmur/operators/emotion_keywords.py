@@ -197,8 +197,8 @@ def flatten_stored(stored: DataFrame, prediction_type: str, languages, day=None)
 
 #: Dimensions of a word's vector, and words to either side that make it.
 DIMENSIONS, REACH = 64, 2
-#: Comments whose words one task adds up.  Each such task sends its share of every group's vector.
-WORD_COMMENTS = 25_000
+#: Comments whose words one task adds up, and tasks for fewer.  Each sends its share of every group's vector, so they are few.
+WORD_COMMENTS, WORD_TASKS = 25_000, 16
 #: Groups whose candidates one task asks for.
 ASK_GROUPS = 1_000
 KEYWORDS_DDL = "date date, language string, emotion string, keyword string, confidence double, rank int"
@@ -216,7 +216,7 @@ def word_notes(docs: DataFrame, emotions, dimensions: int = DIMENSIONS, reach: i
 
 def by_word(notes: DataFrame, comments: int) -> DataFrame:
     """``notes`` dealt and in order by (language, word)."""
-    tasks = max(notes.sparkSession.sparkContext.defaultParallelism, -(-comments // WORD_COMMENTS))
+    tasks = max(min(notes.sparkSession.sparkContext.defaultParallelism, WORD_TASKS), -(-comments // WORD_COMMENTS))
     return notes.repartition(tasks, "language", "word").sortWithinPartitions("language", "word")
 
 
